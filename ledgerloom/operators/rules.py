@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify as C
-from ledgerloom.operators.asof import clip, day
+from ledgerloom.operators.asof import clip, daily_prices
 from ledgerloom.operators.indicators import rsi_series
 from ledgerloom.operators.returns import instrument_values, rolling_returns
 
@@ -186,10 +186,7 @@ def buy_map(shares: DataFrame, regimes: DataFrame, filters: DataFrame, plan: Buy
 
 def underperformance(daily: DataFrame, prices: DataFrame, as_of, benchmark: str = "SPY") -> DataFrame:
     """Month ends at which an account trails the benchmark by 10 points over 12 months or 20 over 24."""
-    quotes = prices.where((F.col("ticker") == benchmark) & (F.col("date") <= day(as_of)))
-    order = Window.partitionBy("ticker").orderBy("date")
-    until = F.coalesce(F.date_sub(F.lead("date").over(order), 1), day(as_of))
-    level = quotes.select(F.explode(F.sequence("date", until)).alias("date"), "price")
+    level = daily_prices(prices.where(F.col("ticker") == benchmark), as_of).select("date", "price")
     out = None
     for months, limit in ((12, 10.0), (24, 20.0)):
         own = rolling_returns(daily, as_of, months).withColumn("start", F.add_months("date", -months))

@@ -276,6 +276,8 @@ def spread(bid: Column, ask: Column) -> Column:
 
 
 def classified(ledger: DataFrame) -> DataFrame:
-    """Ledger with its pricing bucket and cash flag as columns."""
+    """Ledger with its pricing bucket and cash flag as columns (kept where the table already stores them)."""
+    if {"asset_type", "cash_like"} <= set(ledger.columns):
+        return ledger
     out = ledger.withColumn("asset_type", asset_type(F.col("asset")))
     return out.withColumn("cash_like", is_cash_like(F.col("asset"), F.col("asset_type")))

@@ -96,6 +96,7 @@ def apply_changes(
     ``edits`` has account, id and any editable columns (NULL keeps the old value).  Unknown ids change nothing.
     The batch is small beside the ledger: it meets it in joins on (account, id) only.
     """
+    ledger = ledger.select(*LEDGER)
     fields = [c for c in EDITABLE if c in edits.columns]
     patch = edits.select("account", "id", F.lit(True).alias("_edited"), *[F.col(c).alias(f"_{c}") for c in fields])
     removed = resolved_deletes(ledger, deletes).where(~F.col("refused"))

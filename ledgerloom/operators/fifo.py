@@ -23,17 +23,13 @@ from ledgerloom.sources.store import materialize
 NOTHING_LEFT = 1e-9
 
 
-def costed_trades(clipped: DataFrame, prices: DataFrame, until, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Non-cash trades in pre-split units with their dollar amount: lot cost of a buy, net proceeds of a sale.
-
-    The amount is NULL where the ledger currency has no rate yet.  Blocks are assigned first, on the bare rows.
-    """
-    daily = daily_prices(prices, until).select("ticker", "date", "price")
+def unit_trades(clipped: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Non-cash trades in pre-split units, in their blocks.  Blocks are assigned first, on the bare rows."""
     currency = C.currency_or_usd(F.col("currency"))
     trades = clipped.where(F.col("action").isin("BUY", "SELL") & ~F.col("cash_like") & (F.col("quantity") > 0))
-    trades = with_split_factor(
+    factored = with_split_factor(
         split_hot_groups(trades, KEYS, hot_rows).select(
-            *KEYS, *BLOCK, "as_of", "asset_type", "date", "id", "action", "quantity",
+            *KEYS, *BLOCK, "as_of", "date", "id", "action", "quantity",
             (F.col("quantity") * F.coalesce("price", F.lit(0.0))).alias("amount"),
             F.coalesce("fees", F.lit(0.0)).alias("fees"),
             C.normalize_cash_asset(currency, C.asset_type(currency)).alias("pay_key"),
@@ -41,17 +37,30 @@ def costed_trades(clipped: DataFrame, prices: DataFrame, until, hot_rows: int =
         ),
         split_steps(clipped),
     )
-    rated = add_rate(add_rate(trades, "pay_key", daily, "pay_rate"), "fee_key", daily, "fee_rate")
+    return factored.withColumn("units", F.col("quantity") / F.col("factor")).drop("quantity")
+
+
+def add_costs(rows: DataFrame, prices: DataFrame, until) -> DataFrame:
+    """Replaces amounts by ``usd``: lot cost of a buy, net proceeds of a sale, at the rates of the trade's day.
+
+    NULL where the ledger currency has no rate yet.
+    """
+    daily = daily_prices(prices, until).select("ticker", "date", "price")
+    rated = add_rate(add_rate(rows, "pay_key", daily, "pay_rate"), "fee_key", daily, "fee_rate")
     paid, fee = F.col("amount") * F.col("pay_rate"), F.col("fees") * F.col("fee_rate")
-    return rated.select(
-        *KEYS, *BLOCK, "as_of", "asset_type", "date", "id", "action", "factor", "end_factor",
-        (F.col("quantity") / F.col("factor")).alias("units"),
-        F.when(F.col("action") == "BUY", paid + fee).otherwise(paid - fee).alias("usd"),
+    return rated.withColumn("usd", F.when(F.col("action") == "BUY", paid + fee).otherwise(paid - fee)).drop(
+        "amount", "fees", "pay_key", "fee_key", "pay_rate", "fee_rate"
     )
 
 
+def lots(clipped: DataFrame, prices: DataFrame, until, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Placed and costed trades as a written table: it is read once for the blocks and once for the rows."""
+    placed = lot_intervals(unit_trades(clipped, hot_rows))
+    return materialize(add_costs(placed, prices, until), "lots")
+
+
 def lot_intervals(rows: DataFrame) -> DataFrame:
-    """Adds [lo, hi) to every costed trade: its place among all units bought, or among all units consumed."""
+    """Adds [lo, hi) to every trade: its place among all units bought, or among all units consumed."""
     inside = Window.partitionBy(*KEYS, *BLOCK).orderBy("date", "id")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_buy = F.col("action") == "BUY"
@@ -183,7 +192,7 @@ def realized_gains(
     clipped = clip(C.classified(ledger), to_date)
     if asset is not None:
         clipped = clipped.where(F.upper("asset") == asset.upper())
-    intervals = materialize(lot_intervals(costed_trades(clipped, prices, to_date, hot_rows)), "lots")
+    intervals = lots(clipped, prices, to_date, hot_rows)
     gains = _gain_columns(matched_lots(intervals)).drop("as_of")
     if from_date is not None:
         gains = gains.where(F.col("sell_date") >= F.lit(str(from_date)).cast("date"))
@@ -211,23 +220,23 @@ def fifo_metrics(ledger: DataFrame, prices: DataFrame, as_of, until=None, hot_ro
     """Cost basis of open lots, realized and unrealized gain per account, rounded to cents."""
     clipped = clip(C.classified(ledger), as_of)
     last_day = until if isinstance(as_of, DataFrame) else as_of
-    intervals = materialize(lot_intervals(costed_trades(clipped, prices, last_day, hot_rows)), "lots")
+    intervals = lots(clipped, prices, last_day, hot_rows)
     is_buy = F.col("action") == "BUY"
-    lots = intervals.select(
-        *KEYS, "as_of", "asset_type",
+    bought = intervals.select(
+        *KEYS, "as_of",
         F.when(is_buy, F.col("usd")).otherwise(0.0).alias("open_cost"),
         F.lit(0.0).alias("gain"),
         F.when(is_buy, F.col("units")).otherwise(F.col("lo") - F.col("hi")).alias("open_units"),
         "end_factor",
     )
     sold = _gain_columns(matched_lots(intervals)).select(
-        *KEYS, "as_of", F.lit(None).cast("string").alias("asset_type"),
+        *KEYS, "as_of",
         (-F.col("cost_basis_usd")).alias("open_cost"),
         F.col("realized_gain").alias("gain"),
         F.lit(0.0).alias("open_units"),
         F.lit(None).cast("double").alias("end_factor"),
     )
-    per_asset = lots.unionByName(sold).groupBy(*KEYS, "as_of").agg(
+    per_asset = bought.unionByName(sold).groupBy(*KEYS, "as_of").agg(
         F.sum("open_cost").alias("open_cost"),
         F.sum("gain").alias("gain"),
         (F.sum("open_units") * F.max("end_factor")).alias("open_quantity"),

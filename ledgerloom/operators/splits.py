@@ -34,20 +34,17 @@ def split_steps(ledger: DataFrame) -> DataFrame:
             F.row_number().over(order).alias("n"),
         )
     )
-    first = splits.where("n = 1").select(
-        *KEYS,
-        F.lit("0001-01-01").cast("date").alias("from_date"),
-        F.lit(-1).cast("long").alias("from_id"),
-        F.col("date").alias("to_date"),
-        F.col("id").alias("to_id"),
-        F.lit(1.0).alias("factor"),
-        "end_factor",
+    # The first split of a key also opens the interval before it.
+    before = F.struct(
+        F.lit("0001-01-01").cast("date").alias("from_date"), F.lit(-1).cast("long").alias("from_id"),
+        F.col("date").alias("to_date"), F.col("id").alias("to_id"), F.lit(1.0).alias("factor"),
     )
-    later = splits.select(
-        *KEYS, F.col("date").alias("from_date"), F.col("id").alias("from_id"), "to_date", "to_id", "factor",
-        "end_factor",
+    after = F.struct(
+        F.col("date").alias("from_date"), F.col("id").alias("from_id"), "to_date", "to_id", "factor"
+    )
+    return splits.select(
+        *KEYS, "end_factor", F.inline(F.when(F.col("n") == 1, F.array(before, after)).otherwise(F.array(after)))
     )
-    return first.unionByName(later)
 
 
 def with_split_factor(trades: DataFrame, steps: DataFrame) -> DataFrame:

@@ -688,8 +688,8 @@ lib("roll12", _rolling(12), "daily")
 lib("roll24", _rolling(24), "daily")
 q("rolling_returns", "SELECT account, date, round(return_pct, 6) AS return_pct FROM roll12", "roll12")
 q("monthly_performance", """SELECT account, date AS month_end, round(twr * 100, 6) AS time_weighted_return_pct,
-  round(CASE WHEN days > 0 THEN (pow(1 + twr, 365.25 / days) - 1) * 100 ELSE 0 END, 6) AS cagr,
-  round(CASE WHEN sd > 0 THEN (pow(1 + twr, 365.25 / greatest(days, 1)) - 1 - 0.02) / (sd * sqrt(252) / 100) ELSE 0 END, 6) AS sharpe_ratio,
+  CAST(CAST(CASE WHEN days > 0 THEN (pow(1 + twr, 365.25 / days) - 1) * 100 ELSE 0 END AS FLOAT) AS DOUBLE) AS cagr,
+  CAST(CAST(CASE WHEN sd > 0 THEN (pow(1 + twr, 365.25 / greatest(days, 1)) - 1 - 0.02) / (sd * sqrt(252) / 100) ELSE 0 END AS FLOAT) AS DOUBLE) AS sharpe_ratio,
   round(mdd, 6) AS max_drawdown
   FROM (SELECT d.account, d.date, exp(sum(lg) OVER w) - 1 AS twr, date_diff('day', min(d.date) OVER w, d.date) AS days,
       stddev_pop(investment_return) OVER w AS sd, max(dd) OVER w AS mdd,
@@ -828,16 +828,25 @@ q("diversification", f"""SELECT account, {D} AS as_of_date, round(h * 10000, 6)
 # --- scenarios -------------------------------------------------------------------------------------------------
 
 
-def _rows(scenarios: list[dict], fields: dict[str, str]) -> str:
+def _rows(scenarios: list[dict], fields: dict[str, tuple[str, str]]) -> str:
     def lit(v, kind):
         return f"CAST({'NULL' if v is None else repr(v)} AS {kind})"
 
-    rows = ", ".join("(" + ", ".join(lit(s.get(f), k) for f, k in fields.items()) + ")" for s in scenarios)
+    rows = ", ".join("(" + ", ".join(lit(s.get(key), kind) for key, kind in fields.values()) + ")" for s in scenarios)
     return f"(VALUES {rows}) s({', '.join(fields)})"
 
 
-_SAVE = _rows(SAVING, {"scenario": "VARCHAR", "c": "DOUBLE", "rr": "DOUBLE", "target": "DOUBLE", "yrs": "INTEGER", "infl": "DOUBLE"})
-_SPEND = _rows(SPENDING, {"scenario": "VARCHAR", "aw": "DOUBLE", "wr": "DOUBLE", "yrs": "INTEGER", "er": "DOUBLE", "infl": "DOUBLE"})
+_NAME, _INFL = ("scenario", "VARCHAR"), ("inflation_rate", "DOUBLE")
+_SAVE = _rows(
+    SAVING,
+    {"scenario": _NAME, "c": ("monthly_contribution", "DOUBLE"), "rr": ("annual_return_rate", "DOUBLE"),
+     "target": ("target_value", "DOUBLE"), "yrs": ("projection_years", "INTEGER"), "infl": _INFL},
+)
+_SPEND = _rows(
+    SPENDING,
+    {"scenario": _NAME, "aw": ("annual_withdrawal", "DOUBLE"), "wr": ("withdrawal_rate", "DOUBLE"),
+     "yrs": ("time_horizon_years", "INTEGER"), "er": ("expected_return", "DOUBLE"), "infl": _INFL},
+)
 lib("vals", f"""SELECT d.account, d.portfolio_value AS v, r.cagr FROM daily d LEFT JOIN report_all r USING (account) WHERE d.date = {D}""", "daily", "report_all")
 
 
@@ -854,14 +863,14 @@ lib("need", f"""SELECT account, scenario, -0.2::DOUBLE AS lo, 2.0::DOUBLE AS hi,
     SELECT p.account, p.scenario, lo, hi, i, (lo + hi) / 2 AS mid, target * pow(1 + infl, yrs) AS goal,
       {_fv('v', '(pow(1 + (lo + hi) / 2, 1 / 12.0) - 1)', 'c', '(yrs * 12)')} AS f
     FROM need n JOIN plans p ON p.account = n.account AND p.scenario = n.scenario WHERE i < 45)""", "plans")
-q("projection", f"""SELECT account, scenario, round(v, 4) AS current_value, round(rate, 4) AS annual_return_rate, round(c, 4) AS monthly_contribution, round(infl, 4) AS inflation_rate,
-  round(target, 4) AS target_value, round(CASE WHEN v >= target THEN 0 ELSE months / 12.0 END, 4) AS years_to_goal,
-  round(CASE WHEN v >= target THEN v ELSE {_fv('v', 'm', 'c', 'months')} END, 3) AS projected_goal_value,
+q("projection", f"""SELECT account, scenario, v AS current_value, round(rate, 4) AS annual_return_rate, c AS monthly_contribution, infl AS inflation_rate,
+  target AS target_value, round(CASE WHEN v >= target THEN 0 ELSE months / 12.0 END, 4) AS years_to_goal,
+  CAST(CAST(CASE WHEN v >= target THEN v ELSE {_fv('v', 'm', 'c', 'months')} END AS FLOAT) AS DOUBLE) AS projected_goal_value,
   CASE WHEN target IS NULL THEN yrs END AS projection_years,
-  round(CASE WHEN target IS NULL THEN {_fv('v', 'm', 'c', '(yrs * 12)')} END, 3) AS projected_value_nominal,
-  round(CASE WHEN target IS NULL THEN {_fv('v', 'm', 'c', '(yrs * 12)')} / pow(1 + infl, yrs) END, 3) AS projected_value_real,
+  CAST(CAST(CASE WHEN target IS NULL THEN {_fv('v', 'm', 'c', '(yrs * 12)')} END AS FLOAT) AS DOUBLE) AS projected_value_nominal,
+  CAST(CAST(CASE WHEN target IS NULL THEN {_fv('v', 'm', 'c', '(yrs * 12)')} / pow(1 + infl, yrs) END AS FLOAT) AS DOUBLE) AS projected_value_real,
   CASE WHEN target IS NULL THEN c * yrs * 12 END AS total_contributions,
-  round(CASE WHEN target IS NULL THEN {_fv('v', 'm', 'c', '(yrs * 12)')} - v - c * yrs * 12 END, 3) AS return_portion,
+  CAST(CAST(CASE WHEN target IS NULL THEN {_fv('v', 'm', 'c', '(yrs * 12)')} - v - c * yrs * 12 END AS FLOAT) AS DOUBLE) AS return_portion,
   round(CASE WHEN months IS NOT NULL AND {_fv('v', '(pow(3.0, 1 / 12.0) - 1)', 'c', '(yrs * 12)')} >= target * pow(1 + infl, yrs) THEN (lo + hi) / 2 END, 4) AS required_return_rate
   FROM plans LEFT JOIN reach USING (account, scenario) LEFT JOIN (SELECT * FROM need WHERE i = 45) USING (account, scenario)""", "plans", "reach", "need")
 _M7 = "(pow(1.07, 1 / 12.0) - 1)"
@@ -890,10 +899,10 @@ lib("years", """SELECT account, scenario, 0 AS t, v, v AS prev, CAST(NULL AS DOU
   FROM (SELECT *, CASE WHEN nv = 0 OR v <= 0 THEN 1 ELSE least(1, v / (v - nv)) END AS part FROM (
     SELECT y.account, y.scenario, t, y.v, dep, drawn, w0 * pow(1 + i2, t) AS take, y.v * (1 + rate) - w0 * pow(1 + i2, t) AS nv
     FROM years y JOIN spend s ON s.account = y.account AND s.scenario = y.scenario WHERE t < yrs))""", "spend")
-q("withdrawal", f"""SELECT account, scenario, round(s.v, 3) AS portfolio_value, round(w0, 3) AS annual_withdrawal, round(w0 / s.v * 100, 3) AS withdrawal_rate_pct,
-  yrs AS time_horizon_years, round(rate, 3) AS expected_return, round(infl, 3) AS inflation_rate, round(dep, 3) AS years_until_depletion, round(y.v, 3) AS terminal_value,
-  round(ok, 3) AS success_likelihood, round(safe, 3) AS max_safe_withdrawal, round(safe / s.v * 100, 3) AS max_safe_withdrawal_rate, round(drawn, 3) AS total_withdrawn,
-  round(CASE WHEN dep < yrs THEN 0 ELSE y.v END - s.v + drawn, 3) AS return_generated, round(100 - ok, 3) AS shortfall_risk
+q("withdrawal", f"""SELECT account, scenario, CAST(CAST(s.v AS FLOAT) AS DOUBLE) AS portfolio_value, CAST(CAST(w0 AS FLOAT) AS DOUBLE) AS annual_withdrawal, CAST(CAST(w0 / s.v * 100 AS FLOAT) AS DOUBLE) AS withdrawal_rate_pct,
+  yrs AS time_horizon_years, CAST(CAST(rate AS FLOAT) AS DOUBLE) AS expected_return, CAST(CAST(infl AS FLOAT) AS DOUBLE) AS inflation_rate, CAST(CAST(dep AS FLOAT) AS DOUBLE) AS years_until_depletion, CAST(CAST(y.v AS FLOAT) AS DOUBLE) AS terminal_value,
+  CAST(CAST(ok AS FLOAT) AS DOUBLE) AS success_likelihood, CAST(CAST(safe AS FLOAT) AS DOUBLE) AS max_safe_withdrawal, CAST(CAST(safe / s.v * 100 AS FLOAT) AS DOUBLE) AS max_safe_withdrawal_rate, CAST(CAST(drawn AS FLOAT) AS DOUBLE) AS total_withdrawn,
+  CAST(CAST(CASE WHEN dep < yrs THEN 0 ELSE y.v END - s.v + drawn AS FLOAT) AS DOUBLE) AS return_generated, CAST(CAST(100 - ok AS FLOAT) AS DOUBLE) AS shortfall_risk
   FROM spend s JOIN (SELECT *, CASE WHEN y.v >= 0 THEN 100 WHEN dep > 0 THEN greatest(0, least(100, 100 * dep / t)) ELSE 0 END AS ok FROM years y) y
     USING (account, scenario)
   JOIN (SELECT account, scenario, any_value(v * pow(1 + rate, yrs)) / sum(pow(1 + i2, i - 1) * pow(1 + rate, yrs - i)) AS safe
@@ -932,7 +941,7 @@ q("rsi_series", "SELECT ticker, date, round(rsi, 6) AS rsi FROM rsi_all", "rsi_a
 lib("mas", """SELECT ticker, arg_max(close, n) AS c, max(total) AS total, avg(close) FILTER (n > total - 50) AS a50, avg(close) FILTER (n > total - 200) AS a200
   FROM nb GROUP BY ticker""", "nb")
 lib("ma", """SELECT ticker, c, CASE WHEN total >= 50 THEN a50 END AS ma50, CASE WHEN total >= 200 THEN a200 END AS ma200 FROM mas""", "mas")
-q("moving_averages", """SELECT ticker, round(ma50, 8) AS ma50, round(ma200, 8) AS ma200, round((c - ma50) / ma50 * 100, 8) AS price_vs_ma50,
+q("moving_averages", """SELECT ticker, ma50, ma200, round((c - ma50) / ma50 * 100, 8) AS price_vs_ma50,
   round((c - ma200) / ma200 * 100, 8) AS price_vs_ma200, round((ma50 - ma200) / ma200 * 100, 8) AS ma50_vs_ma200,
   CASE WHEN ma200 IS NULL THEN 'Insufficient data' WHEN ma50 > ma200 THEN 'Golden Cross (Bullish)' ELSE 'Death Cross (Bearish)' END AS ma_trend FROM ma""", "ma")
 lib("emas", """SELECT ticker, n, total, close AS f, close AS s, 0.0::DOUBLE AS sig FROM nb WHERE n = 1
@@ -1125,7 +1134,7 @@ lib("index200", f"""SELECT last_day(date) AS date, arg_max(close, date) AS spx_p
 lib("regime", """SELECT *, CASE WHEN missing_count > 1 THEN 'CAUTION' WHEN peak_count <= 1 THEN 'AGGRESSIVE' WHEN peak_count = 2 THEN 'CAUTION' ELSE 'PROTECTION' END AS regime FROM (
   SELECT m.*, spx_price, sma200, (cape > 30)::INT + coalesce(fear_greed > 75, FALSE)::INT + coalesce(unrate <= 3.8, FALSE)::INT + coalesce(spx_price <= sma200, FALSE)::INT AS peak_count,
     (fear_greed IS NULL)::INT + (unrate IS NULL)::INT + (spx_price IS NULL)::INT AS missing_count FROM macro m LEFT JOIN index200 USING (date))""", "macro", "index200")
-q("macro_regime", """SELECT date, cape, fear_greed, unrate, spx_price, round(sma200, 8) AS sma200, unrate BETWEEN 3.8 AND 4.8 AS unrate_ok_band, unrate > 4.8 AS labor_warning,
+q("macro_regime", """SELECT date, cape, fear_greed, unrate, spx_price, sma200, unrate BETWEEN 3.8 AND 4.8 AS unrate_ok_band, unrate > 4.8 AS labor_warning,
   peak_count, missing_count, regime, CASE WHEN missing_count > 1 THEN missing_count || ' indicators missing' ELSE peak_count || ' PEAK' END AS regime_reason FROM regime""", "regime")
 lib("shares", """SELECT account, date AS month, sum(value_usd) AS portfolio_value, coalesce(sum(value_usd) FILTER ((kind = 'cash' AND instrument IN ('USD', 'USDT', 'USDC', 'GBPUSD=X', 'EURUSD=X'))
   OR (kind = 'asset' AND instrument = 'SGOV')), 0) AS idle_usd FROM inst_days WHERE date = last_day(date) GROUP BY ALL""", "inst_days")
@@ -1135,7 +1144,7 @@ lib("filt", """SELECT ticker, last_day(date) AS month, arg_max(close, date) AS c
   SELECT b.ticker, b.date, b.close, CASE WHEN n >= 90 THEN avg(close) OVER (PARTITION BY b.ticker ORDER BY b.date ROWS 89 PRECEDING) END AS sma, r.rsi
   FROM nb b LEFT JOIN rsi_all r USING (ticker, date) WHERE b.ticker IN ('SPYM', 'SCHD', 'XLU')) GROUP BY ALL""", "nb", "rsi_all")
 lib("passed", "SELECT *, coalesce(rsi < CASE ticker WHEN 'SPYM' THEN 70 ELSE 65 END, FALSE) OR coalesce(close < sma, FALSE) AS passes FROM filt", "filt")
-q("buy_filters", "SELECT ticker, month, close, round(sma, 6) AS sma, round(rsi, 6) AS rsi, passes FROM passed", "passed")
+q("buy_filters", "SELECT ticker, month, close, sma, round(rsi, 6) AS rsi, passes FROM passed", "passed")
 q("buy_map", """SELECT account, month, ticker, regime, round(idle_share, 6) AS idle_share, round(rsi, 6) AS rsi, round(base_usd, 4) AS base_usd, round(bonus_usd, 4) AS bonus_usd, surcharge_usd,
   round(CASE WHEN ok THEN base_usd + bonus_usd + surcharge_usd ELSE 0 END, 4) AS buy_usd, round(CASE WHEN ok THEN 0 ELSE base_usd + bonus_usd + surcharge_usd END, 4) AS deferred_usd
   FROM (SELECT i.account, i.month, v.t AS ticker, coalesce(g.regime, 'CAUTION') AS regime, idle_share, p.rsi, v.t = 'SGOV' OR coalesce(p.passes, FALSE) AS ok,
@@ -1163,7 +1172,7 @@ q("dashboard_snapshot", f"""SELECT account, holding_count, allocation_usd, alloc
   JOIN (SELECT account, CAST(count(*) AS INTEGER) AS cash_rows FROM cash_now GROUP BY account) USING (account) LEFT JOIN report_all USING (account)
   JOIN (SELECT account, CAST(count(*) FILTER (date > {D} - 365) AS INTEGER) AS history_points FROM daily GROUP BY account) USING (account)""", "summ", "alloc", "cash_now", "report_all", "daily")
 q("tick_closes", """SELECT event_type AS ticker, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) AS price, count(*) AS ticks FROM events
-  GROUP BY ALL HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
-q("hourly_closes", "SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d %H') AS hour, arg_max(value, (ts, event_id)) AS price, count(*) AS ticks FROM events GROUP BY ALL")
+  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY event_type, CAST(ts AS DATE)""")
+q("hourly_closes", "SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d %H') AS hour, arg_max(value, (ts, event_id)) AS price, count(*) AS ticks FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d %H')")
 q("recalculated_returns", """SELECT * EXCLUDE (f) REPLACE (round(portfolio_daily_return, 8) AS portfolio_daily_return, round(investment_return, 8) AS investment_return) FROM daily d
   JOIN (SELECT account, min(date) AS f FROM txn WHERE action = 'TAX' AND date >= DATE '2001-03-01' GROUP BY account) USING (account) WHERE d.date >= f""", "daily", "txn")

@@ -80,6 +80,11 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def seven_digits(df: DataFrame, *names: str) -> DataFrame:
+    """Seven significant digits, for figures without a natural scale."""
+    return df.withColumns({n: F.col(n).cast("float").cast("double") for n in names})
+
+
 def rounded_doubles(df: DataFrame, digits: int) -> DataFrame:
     return rounded(df, digits, *[n for n, t in df.dtypes if t == "double"])
 
@@ -432,7 +437,10 @@ def rolling_returns(s):
 
 @query
 def monthly_performance(s):
-    return rounded_doubles(performance.monthly_performance(s.daily(AS_OF), AS_OF), 6)
+    rows = performance.monthly_performance(s.daily(AS_OF), AS_OF)
+    # Growth of a few days scaled to a year can be huge.
+    rows = seven_digits(rows, "cagr", "sharpe_ratio")
+    return rounded(rows, 6, "time_weighted_return_pct", "max_drawdown")
 
 
 @query
@@ -555,8 +563,8 @@ def _values(s):
 @query
 def projection(s):
     rows = scenarios.projection(_values(s), SAVING)
-    return rounded(rounded_doubles(rows, 4), 3, "projected_value_nominal", "projected_value_real",
-                   "projected_goal_value", "return_portion")
+    large = ("projected_value_nominal", "projected_value_real", "projected_goal_value", "return_portion")
+    return seven_digits(rounded(rows, 4, "annual_return_rate", "years_to_goal", "required_return_rate"), *large)
 
 
 @query
@@ -590,7 +598,8 @@ def goal_bound(s):
 
 @query
 def withdrawal(s):
-    return rounded_doubles(scenarios.withdrawal(_values(s), SPENDING), 3)
+    rows = scenarios.withdrawal(_values(s), SPENDING)
+    return seven_digits(rows, *[n for n, t in rows.dtypes if t == "double"])
 
 
 # --- ledger changes --------------------------------------------------------------------------------------------
@@ -661,7 +670,9 @@ def rsi_series(s):
 
 @query
 def moving_averages(s):
-    return rounded_doubles(indicators.moving_averages(_bars(s)), 8)
+    return rounded(
+        indicators.moving_averages(_bars(s)), 8, "price_vs_ma50", "price_vs_ma200", "ma50_vs_ma200"
+    )
 
 
 @query
@@ -737,7 +748,8 @@ def asset_metrics(s):
 
 @query
 def technicals(s):
-    return rounded_doubles(indicators.technicals(_bars(s)), 8)
+    rows = indicators.technicals(_bars(s))
+    return rounded(rows, 8, *[n for n, t in rows.dtypes if t == "double" and n not in ("ma50", "ma200")])
 
 
 # --- price coverage --------------------------------------------------------------------------------------------
@@ -816,7 +828,7 @@ def metadata_cache(s):
 
 @query
 def macro_regime(s):
-    return rounded(rules.macro_regime(s.macro, s.bars, BENCHMARK), 8, "sma200")
+    return rules.macro_regime(s.macro, s.bars, BENCHMARK)
 
 
 @query
@@ -826,7 +838,7 @@ def month_shares(s):
 
 @query
 def buy_filters(s):
-    return rounded(rules.buy_filters(_bars(s), rules.BuyPlan()), 6, "sma", "rsi")
+    return rounded(rules.buy_filters(_bars(s), rules.BuyPlan()), 6, "rsi")
 
 
 @query

@@ -4,7 +4,8 @@ Orders become cash rows, line items become trades, and both give prices and rate
 plain ANSI SQL, so the same mapping can be run by any engine that checks the results.
 
 Quantities, prices and rates are multiples of powers of two, so money sums are exact in any order of addition.
-A trade's id is its place inside its order; that window sees one order's lines at a time.
+A trade's id is its place inside its order; that window sees one order's lines at a time.  Ids of one order: cash
+row +0, lines from +1, a split 512 above its line, the second exchange leg +1000.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ SELECT account, id, date,
   CASE WHEN action = 'EXCHANGE' THEN CAST(o_orderkey AS STRING) END AS exchange_group_id
 FROM cash_orders
 UNION ALL
-SELECT account, id + 1, date, 'GBPUSD=X', 'EXCHANGE_TO', total / 64.0E0 * 0.75E0, CAST(NULL AS DOUBLE), '',
+SELECT account, id + 1000, date, 'GBPUSD=X', 'EXCHANGE_TO', total / 64.0E0 * 0.75E0, CAST(NULL AS DOUBLE), '',
   CAST(NULL AS DOUBLE), CAST(NULL AS STRING), CAST(o_orderkey AS STRING)
 FROM cash_orders WHERE action = 'EXCHANGE'
 """

@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.functions.classify import classified
 from ledgerloom.session import checkpoint_folder
 from ledgerloom.sources.ledger_views import ledger_views
 
@@ -39,7 +40,7 @@ class LedgerStore:
             cls._open[key] = cls(spark, folder)
         return cls._open[key]
 
-    txn = cached_property(lambda self: materialize(self.views.txn, "transactions"))
+    txn = cached_property(lambda self: materialize(classified(self.views.txn), "transactions"))
     prices = cached_property(lambda self: materialize(self.views.prices, "prices"))
     bars = cached_property(lambda self: materialize(self.views.bars, "bars"))
     metadata = cached_property(lambda self: materialize(self.views.metadata, "metadata"))

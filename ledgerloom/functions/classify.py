@@ -275,9 +275,23 @@ def spread(bid: Column, ask: Column) -> Column:
     )
 
 
+CLASSES = ("asset_type", "cash_like", "pay_key", "fee_key")
+
+
 def classified(ledger: DataFrame) -> DataFrame:
-    """Ledger with its pricing bucket and cash flag as columns (kept where the table already stores them)."""
-    if {"asset_type", "cash_like"} <= set(ledger.columns):
+    """Ledger with its pricing bucket, cash flag and the price-table keys of its currency and its fee.
+
+    Columns the table already stores are kept, so an ingested ledger pays for the classification once.
+    """
+    if set(CLASSES) <= set(ledger.columns):
         return ledger
+    paid = currency_or_usd(F.col("currency"))
+    charged = fee_currency_or_default(F.col("fee_currency"), F.col("currency"))
     out = ledger.withColumn("asset_type", asset_type(F.col("asset")))
-    return out.withColumn("cash_like", is_cash_like(F.col("asset"), F.col("asset_type")))
+    return out.withColumns(
+        {
+            "cash_like": is_cash_like(F.col("asset"), F.col("asset_type")),
+            "pay_key": normalize_cash_asset(paid, asset_type(paid)),
+            "fee_key": fee_ticker(charged),
+        }
+    )

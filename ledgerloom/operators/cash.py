@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import vocab
 from ledgerloom.functions import classify as C
 from ledgerloom.operators.asof import always_one
 
@@ -18,61 +19,62 @@ def _separate_fee() -> Column:
     )
 
 
-def _bucket_label(asset: Column, bucket: Column, key: Column) -> Column:
-    return (
-        F.when(asset.startswith("CASH "), asset)
-        .when(bucket == "cash_base", F.lit("CASH USD"))
-        .when(bucket == "cash_stable", F.concat(F.lit("CASH "), F.upper(asset)))
-        .when(bucket == "cash_fx", F.concat(F.lit("CASH "), C.cash_display_currency(key)))
-    )
-
-
 def cash_legs(ledger: DataFrame) -> DataFrame:
-    """One row per cash movement of a classified ledger: the settlement leg, and the fee leg where fees are
-    charged in another currency.  Both legs come out of one pass over the rows."""
-    rows = ledger.withColumns(
-        {
-            "is_trade": F.col("action").isin("BUY", "SELL") & ~F.col("cash_like") & F.col("price").isNotNull(),
-            "own_key": C.cash_key(F.col("asset"), F.col("asset_type")),
-            "fee_type": C.asset_type(F.col("fee_currency")),
-        }
-    ).withColumn("fee_apart", F.col("is_trade") & _separate_fee())
+    """One row per cash movement of a classified ledger, still under the ledger's own names.
 
+    ``leg`` is "own" (``name`` is the asset) for the settlement of a row and "fee" (``name`` is the fee currency) where
+    a fee is charged in another currency.  Both legs come out of one pass.  Names are classified after the sums, on
+    one row per name instead of one per ledger row (see ``keyed``).
+    """
+    rows = ledger.withColumn(
+        "is_trade", F.col("action").isin("BUY", "SELL") & ~F.col("cash_like") & F.col("price").isNotNull()
+    ).withColumn("fee_apart", F.col("is_trade") & _separate_fee())
     amount = F.col("quantity") * F.col("price")
-    fee_inside = F.when(F.col("fee_apart"), F.lit(0.0)).otherwise(F.coalesce("fees", F.lit(0.0)))
+    fees = F.coalesce("fees", F.lit(0.0))
+    fee_inside = F.when(F.col("fee_apart"), F.lit(0.0)).otherwise(fees)
     delta = (
         F.when(F.col("is_trade") & (F.col("action") == "BUY"), -(amount + fee_inside))
         .when(F.col("is_trade"), amount - fee_inside)
-        .when(F.col("action").isin("BUY", "EXCHANGE_FROM", "DEPOSIT", "DIVIDEND", "INTEREST", "TRANSFER",
-                                   "EXCHANGE_TO"), F.col("quantity"))
-        .when(F.col("action").isin("SELL", "WITHDRAW", "FEE", "TAX"), -F.col("quantity"))
+        .when(F.col("action").isin("BUY", "EXCHANGE_FROM", *vocab.CASH_IN), F.col("quantity"))
+        .when(F.col("action").isin("SELL", *vocab.CASH_OUT), -F.col("quantity"))
         .otherwise(F.lit(0.0))
     )
-    own = F.struct(
-        F.col("own_key").alias("cash_key"),
-        C.cash_display_currency(F.col("own_key")).alias("currency"),
-        _bucket_label(F.col("asset"), F.col("asset_type"), F.col("own_key")).alias("display_bucket"),
-        delta.alias("cash_delta"),
+
+    def leg(kind, name, moved):
+        return F.struct(F.lit(kind).alias("leg"), F.col(name).alias("name"), moved.alias("cash_delta"))
+
+    own, fee = leg("own", "asset", delta), leg("fee", "fee_currency", -fees)
+    keep = [c for c in ("account", "as_of", "date") if c in ledger.columns]
+    return rows.select(*keep, F.inline(F.when(F.col("fee_apart"), F.array(own, fee)).otherwise(F.array(own))))
+
+
+def keyed(legs: DataFrame) -> DataFrame:
+    """Adds the cash key, display currency and display bucket of (leg, name)."""
+    name = F.col("name")
+    own = F.col("leg") == "own"
+    rows = legs.withColumn("_type", C.asset_type(name))
+    rows = rows.withColumn("_own_key", C.cash_key(name, F.col("_type")))
+    kind, own_key = F.col("_type"), F.col("_own_key")
+    shown = C.cash_display_currency(own_key)
+    cash_name = F.lit("CASH ")
+    own_bucket = (
+        F.when(name.startswith("CASH "), name)
+        .when(kind == "cash_base", F.lit("CASH USD"))
+        .when(kind == "cash_stable", F.concat(cash_name, F.upper(name)))
+        .when(kind == "cash_fx", F.concat(cash_name, shown))
     )
-    fee_key = C.fee_ticker(F.col("fee_currency"))
-    fee = F.struct(
-        fee_key.alias("cash_key"),
-        F.when(F.col("fee_type") == "cash_base", F.lit("USD")).otherwise(F.col("fee_currency")).alias("currency"),
-        F.when(F.col("fee_type") == "cash_base", F.lit("CASH USD"))
-        .when(
-            F.col("fee_type") == "cash_fx",
-            F.concat(
-                F.lit("CASH "),
-                C.cash_display_currency(C.cash_key(F.col("fee_currency"), F.col("fee_type"))),
-            ),
-        )
-        .otherwise(F.concat(F.lit("CASH "), F.col("fee_currency")))
-        .alias("display_bucket"),
-        (-F.coalesce("fees", F.lit(0.0))).alias("cash_delta"),
+    fee_bucket = (
+        F.when(kind == "cash_base", F.lit("CASH USD"))
+        .when(kind == "cash_fx", F.concat(cash_name, shown))
+        .otherwise(F.concat(cash_name, name))
     )
-    keep = [c for c in ("account", "as_of", "date") if c in ledger.columns]
-    legs = F.when(F.col("fee_apart"), F.array(own, fee)).otherwise(F.array(own))
-    return rows.select(*keep, F.inline(legs))
+    return rows.withColumns(
+        {
+            "cash_key": F.when(own, own_key).otherwise(C.fee_ticker(name)),
+            "currency": F.when(own, shown).when(kind == "cash_base", F.lit("USD")).otherwise(name),
+            "display_bucket": F.when(own, own_bucket).otherwise(fee_bucket),
+        }
+    ).drop("_type", "_own_key")
 
 
 def cash(clipped: DataFrame, latest: DataFrame) -> DataFrame:
@@ -80,8 +82,9 @@ def cash(clipped: DataFrame, latest: DataFrame) -> DataFrame:
 
     ``latest`` holds (ticker, price) at the ledger's as-of date, or (ticker, date, price) for per-account dates.
     """
+    by_name = cash_legs(clipped).groupBy("account", "as_of", "leg", "name").agg(F.sum("cash_delta").alias("cash_delta"))
     balances = (
-        cash_legs(clipped)
+        keyed(by_name)
         .groupBy("account", "as_of", "cash_key")
         .agg(
             F.max("currency").alias("currency"),
@@ -110,25 +113,19 @@ def cash(clipped: DataFrame, latest: DataFrame) -> DataFrame:
 
 def cash_balances(ledger: DataFrame) -> DataFrame:
     """Balances over the whole ledger without trade settlement: quantities only, per (key, currency, bucket)."""
-    rows = ledger.withColumn("cash_key", C.cash_key(F.col("asset"), F.col("asset_type")))
+    sums = ledger.groupBy("account", "asset", "asset_type").agg(
+        F.sum(C.signed_holding(F.col("action"), F.col("quantity"), 1)).alias("moved")
+    )
+    rows = sums.withColumn("cash_key", C.cash_key(F.col("asset"), F.col("asset_type")))
+    shown = C.cash_display_currency(F.col("cash_key"))
     label = (
         F.when(F.col("asset").startswith("CASH "), F.col("asset"))
         .when(F.col("asset_type") == "cash_base", F.lit("CASH USD"))
-        .when(
-            F.col("asset_type") == "cash_fx",
-            F.concat(F.lit("CASH "), C.cash_display_currency(F.col("cash_key"))),
-        )
+        .when(F.col("asset_type") == "cash_fx", F.concat(F.lit("CASH "), shown))
     )
     return (
-        rows.select(
-            "account",
-            "cash_key",
-            C.cash_display_currency(F.col("cash_key")).alias("currency"),
-            label.alias("display_bucket"),
-            C.signed_holding(F.col("action"), F.col("quantity"), 1).alias("delta"),
-        )
-        .groupBy("account", "cash_key", "currency", "display_bucket")
-        .agg(F.sum("delta").alias("balance"))
+        rows.groupBy("account", "cash_key", shown.alias("currency"), label.alias("display_bucket"))
+        .agg(F.sum("moved").alias("balance"))
         .where("balance <> 0")
         .withColumn("display_bucket", F.coalesce("display_bucket", F.concat(F.lit("CASH "), F.col("currency"))))
     )

@@ -25,15 +25,13 @@ NOTHING_LEFT = 1e-9
 
 def unit_trades(clipped: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Non-cash trades in pre-split units, in their blocks.  Blocks are assigned first, on the bare rows."""
-    currency = C.currency_or_usd(F.col("currency"))
     trades = clipped.where(F.col("action").isin("BUY", "SELL") & ~F.col("cash_like") & (F.col("quantity") > 0))
     factored = with_split_factor(
         split_hot_groups(trades, KEYS, hot_rows).select(
             *KEYS, *BLOCK, "as_of", "date", "id", "action", "quantity",
             (F.col("quantity") * F.coalesce("price", F.lit(0.0))).alias("amount"),
             F.coalesce("fees", F.lit(0.0)).alias("fees"),
-            C.normalize_cash_asset(currency, C.asset_type(currency)).alias("pay_key"),
-            C.fee_ticker(C.fee_currency_or_default(F.col("fee_currency"), F.col("currency"))).alias("fee_key"),
+            "pay_key", "fee_key",
         ),
         split_steps(clipped),
     )

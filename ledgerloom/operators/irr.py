@@ -120,14 +120,13 @@ def xirr(flows: DataFrame, keys: list[str]) -> DataFrame:
 def account_flows(ledger: DataFrame, prices: DataFrame, values: DataFrame, as_of) -> DataFrame:
     """Deposits as outflows, withdrawals as inflows and the final value, per account."""
     moved = clip(C.classified(ledger.where(F.col("action").isin("DEPOSIT", "WITHDRAW"))), as_of).select(
-        "account", "date",
-        C.normalize_cash_asset(F.col("asset"), F.col("asset_type")).alias("key"),
+        "account", "date", "asset", "asset_type",
         F.when(F.col("action") == "DEPOSIT", -F.col("quantity")).otherwise(F.col("quantity")).alias("amount"),
     )
     # Rated per row sign: folding both signs of a day would hide which ones occur.
-    per_day = moved.groupBy("account", "date", "key", (F.col("amount") > 0).alias("incoming")).agg(
+    per_day = moved.groupBy("account", "date", "asset", "asset_type", (F.col("amount") > 0).alias("incoming")).agg(
         F.sum("amount").alias("amount")
-    )
+    ).withColumn("key", C.normalize_cash_asset(F.col("asset"), F.col("asset_type")))
     rated = add_rate(per_day, "key", daily_prices(prices, as_of)).select(
         "account", "date", (F.col("amount") * F.col("rate")).alias("amount")
     ).where("amount IS NOT NULL")

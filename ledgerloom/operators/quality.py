@@ -139,7 +139,10 @@ def last_bucket_dates(prices: DataFrame, end) -> DataFrame:
 def required_checkpoints(ledger: DataFrame, prices: DataFrame, end) -> DataFrame:
     """(ticker, checkpoint_date): trade days and the last market day, where the market was open at all."""
     traded = F.col("action").isin("BUY", "SELL")
-    seen = C.classified(ledger.select("asset", traded.alias("traded"), "date").distinct())
+    seen = ledger.select("asset", traded.alias("traded"), "date").distinct().withColumn(
+        "asset_type", C.asset_type(F.col("asset"))
+    )
+    seen = seen.withColumn("cash_like", C.is_cash_like(F.col("asset"), F.col("asset_type")))
     asset, bucket, traded = F.col("asset"), F.col("asset_type"), F.col("traded")
     foreign = C.is_foreign_stock(bucket)
     money = (bucket == "cash_fx") | (asset.startswith("CASH ") & (asset != "CASH USD"))

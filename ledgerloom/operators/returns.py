@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import classify as C
 from ledgerloom.functions.stats import log_growth
 from ledgerloom.operators.asof import add_rate, always_one, clip, daily_prices, day, usd_units
-from ledgerloom.operators.cash import cash_legs
+from ledgerloom.operators.cash import cash_legs, keyed
 from ledgerloom.operators.splits import split_steps, with_split_factor
 
 FLAT = 1e-9
@@ -37,7 +37,8 @@ def position_spans(clipped: DataFrame, until) -> DataFrame:
         "account", F.lit("asset").alias("kind"), F.col("asset").alias("instrument"), "date",
         F.lit(0.0).alias("move"), F.col("quantity").alias("split"),
     )
-    money = cash_legs(clipped).select(
+    by_name = cash_legs(clipped).groupBy("account", "leg", "name", "date").agg(F.sum("cash_delta").alias("cash_delta"))
+    money = keyed(by_name).select(
         "account", F.lit("cash").alias("kind"), F.col("cash_key").alias("instrument"), "date",
         F.col("cash_delta").alias("move"), F.lit(1.0).alias("split"),
     )
@@ -81,11 +82,11 @@ def instrument_values(clipped: DataFrame, prices: DataFrame, until, days=None) -
 def external_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
     """Net cash put into each account per day in dollars (deposits minus withdrawals; unrated amounts count 0)."""
     moved = clipped.where(F.col("cash_like") & F.col("action").isin("DEPOSIT", "WITHDRAW")).select(
-        "account", "date",
-        C.normalize_cash_asset(F.col("asset"), F.col("asset_type")).alias("key"),
+        "account", "date", "asset", "asset_type",
         F.when(F.col("action") == "DEPOSIT", F.col("quantity")).otherwise(-F.col("quantity")).alias("amount"),
     )
-    per_key = moved.groupBy("account", "key", "date").agg(F.sum("amount").alias("amount"))
+    per_key = moved.groupBy("account", "asset", "asset_type", "date").agg(F.sum("amount").alias("amount"))
+    per_key = per_key.withColumn("key", C.normalize_cash_asset(F.col("asset"), F.col("asset_type")))
     rated = add_rate(per_key, "key", daily_prices(prices, until))
     return rated.groupBy("account", "date").agg(
         F.sum(F.col("amount") * F.coalesce("rate", F.lit(0.0))).alias("cash_flow")

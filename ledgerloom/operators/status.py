@@ -24,23 +24,28 @@ FLOW_OF_ACTION = {
 def usd_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
     """Deposits, withdrawals, income, fees and taxes per account in dollars of each row's own date.
 
-    Rows are folded per (account, flow, key, date) before rates are joined, so the join sees days, not rows.
+    Rows are folded per (account, flow, name, date) before names are classified and rates joined, so the join sees days, not rows.
     """
-    action = F.col("action")
     flow = F.create_map(*[F.lit(x) for item in FLOW_OF_ACTION.items() for x in item])
+    booked = F.try_element_at(flow, F.col("action"))
     own = F.struct(
-        F.try_element_at(flow, action).alias("flow"),
-        C.normalize_cash_asset(F.col("asset"), F.col("asset_type")).alias("key"),
-        F.col("quantity").alias("amount"),
+        booked.alias("flow"), F.lit("own").alias("leg"), F.col("asset").alias("name"), F.col("quantity").alias("amount")
     )
+    fee_name = C.fee_currency_or_default(F.col("fee_currency"), F.col("currency"))
     fee = F.struct(
-        F.when(F.col("fees") > 0, F.lit("fees")).alias("flow"),
-        C.fee_ticker(C.fee_currency_or_default(F.col("fee_currency"), F.col("currency"))).alias("key"),
-        F.col("fees").alias("amount"),
+        F.lit("fees").alias("flow"), F.lit("fee").alias("leg"), fee_name.alias("name"), F.col("fees").alias("amount")
     )
-    legs = clipped.select("account", "as_of", "date", F.inline(F.array(own, fee))).where("flow IS NOT NULL")
-    per_day = legs.groupBy("account", "as_of", "flow", "key", "date").agg(F.sum("amount").alias("amount"))
-    rated = add_rate(per_day, "key", daily_prices(prices, until))
+    legs = F.array_compact(F.array(F.when(booked.isNotNull(), own), F.when(F.col("fees") > 0, fee)))
+    per_day = (
+        clipped.select("account", "as_of", "date", F.inline(legs))
+        .groupBy("account", "as_of", "flow", "leg", "name", "date")
+        .agg(F.sum("amount").alias("amount"))
+    )
+    name = F.col("name")
+    key = F.when(F.col("leg") == "fee", C.fee_ticker(name)).otherwise(
+        C.normalize_cash_asset(name, C.asset_type(name))
+    )
+    rated = add_rate(per_day.withColumn("key", key), "key", daily_prices(prices, until))
     names = sorted(set(FLOW_OF_ACTION.values()))
     usd = F.col("amount") * F.col("rate")
     return rated.groupBy("account", "as_of").agg(
@@ -128,9 +133,9 @@ def income(ledger: DataFrame, prices: DataFrame, as_of, from_date=None, asset: s
     if asset is not None:
         rows = rows.where(F.upper("asset") == asset.upper())
     per_day = (
-        rows.withColumn("key", C.normalize_cash_asset(F.col("asset"), F.col("asset_type")))
-        .groupBy("account", "asset", "action", "currency", "key", "date")
+        rows.groupBy("account", "asset", "asset_type", "action", "currency", "date")
         .agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
+        .withColumn("key", C.normalize_cash_asset(F.col("asset"), F.col("asset_type")))
     )
     rated = add_rate(per_day, "key", daily_prices(prices, as_of))
     return (

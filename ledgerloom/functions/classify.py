@@ -49,6 +49,8 @@ def is_stable_bucket(asset: Column) -> Column:
 
 def asset_type(ticker: Column) -> Column:
     """Pricing bucket.  The order of the branches is part of the meaning."""
+    listing = {suffix[1:]: f"stock_{ccy.lower()}" for suffix, ccy in vocab.LISTING_CURRENCY.items()}
+    listed = F.when(ticker.contains("."), _lookup(F.substring_index(ticker, ".", -1), listing))
     branches = [
         (ticker == "USD", F.lit("cash_base")),
         (ticker.isin(*vocab.BARE_FIAT), F.lit("cash_fx")),
@@ -56,11 +58,7 @@ def asset_type(ticker: Column) -> Column:
         (ticker.endswith("USD=X"), F.lit("cash_fx")),
         (ticker.endswith("-USD"), F.lit("crypto")),
     ]
-    branches += [
-        (ticker.endswith(suffix), F.lit(f"stock_{ccy.lower()}"))
-        for suffix, ccy in vocab.LISTING_CURRENCY.items()
-    ]
-    return _case(branches, F.lit("stock_usd"))
+    return _case(branches, F.coalesce(listed, F.lit("stock_usd")))
 
 
 def is_foreign_stock(bucket: Column) -> Column:
@@ -116,15 +114,19 @@ def cash_display_currency(key: Column) -> Column:
     return F.when(key.isin(*pairs), F.substring(key, 1, 3)).otherwise(key)
 
 
-def fee_ticker(currency: Column) -> Column:
-    """Price-table key of a fee: dollars by default, the pair of a fiat, ``COIN-USD`` otherwise."""
-    bucket = asset_type(currency)
+def fee_ticker(currency: Column, bucket: Column) -> Column:
+    """Price-table key of a fee: dollars by default, the pair of a fiat, ``COIN-USD`` otherwise.
+
+    ``bucket`` is the pricing bucket of the fee currency.
+    """
     return _case(
         [
-            (currency.isNull() | (currency == ""), F.lit("USD")),
-            (bucket == "cash_base", F.lit("USD")),
+            (currency.isNull() | (currency == "") | (bucket == "cash_base"), F.lit("USD")),
             (bucket == "cash_stable", F.upper(currency)),
-            (bucket == "cash_fx", cash_key(currency, bucket)),
+            (
+                bucket == "cash_fx",
+                F.when(currency.isin(*vocab.BARE_FIAT), F.concat(currency, F.lit("USD=X"))).otherwise(currency),
+            ),
         ],
         F.concat(currency, F.lit("-USD")),
     )
@@ -285,13 +287,18 @@ def classified(ledger: DataFrame) -> DataFrame:
     """
     if set(CLASSES) <= set(ledger.columns):
         return ledger
-    paid = currency_or_usd(F.col("currency"))
-    charged = fee_currency_or_default(F.col("fee_currency"), F.col("currency"))
-    out = ledger.withColumn("asset_type", asset_type(F.col("asset")))
-    return out.withColumns(
+    rows = ledger.withColumns(
         {
-            "cash_like": is_cash_like(F.col("asset"), F.col("asset_type")),
-            "pay_key": normalize_cash_asset(paid, asset_type(paid)),
-            "fee_key": fee_ticker(charged),
+            "asset_type": asset_type(F.col("asset")),
+            "_paid": currency_or_usd(F.col("currency")),
+            "_charged": fee_currency_or_default(F.col("fee_currency"), F.col("currency")),
         }
     )
+    rows = rows.withColumns({"_paid_type": asset_type(F.col("_paid")), "_charged_type": asset_type(F.col("_charged"))})
+    return rows.withColumns(
+        {
+            "cash_like": is_cash_like(F.col("asset"), F.col("asset_type")),
+            "pay_key": normalize_cash_asset(F.col("_paid"), F.col("_paid_type")),
+            "fee_key": fee_ticker(F.col("_charged"), F.col("_charged_type")),
+        }
+    ).drop("_paid", "_charged", "_paid_type", "_charged_type")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import vocab
 from ledgerloom.functions import classify as C
 from ledgerloom.operators.asof import always_one
+from ledgerloom.operators.splits import split_steps, with_split_factor
 
 
 def _separate_fee() -> Column:
@@ -19,37 +20,51 @@ def _separate_fee() -> Column:
     )
 
 
-def cash_legs(ledger: DataFrame) -> DataFrame:
-    """One row per cash movement of a classified ledger, still under the ledger's own names.
+def ledger_legs(ledger: DataFrame) -> DataFrame:
+    """What every row of a classified ledger moves, in one pass: cash and, for assets, the position.
 
-    ``leg`` is "own" (``name`` is the asset) for the settlement of a row and "fee" (``name`` is the fee currency) where
-    a fee is charged in another currency.  Both legs come out of one pass.  Names are classified after the sums, on
-    one row per name instead of one per ledger row (see ``keyed``).
+    ``leg`` is "own" (``name`` is the asset) for the cash a row settles, "fee" (``name`` is the fee currency) for a fee
+    charged in another currency, and "hold" for the quantity of a non-cash asset; a split is a "hold" leg that moves
+    nothing and carries its ratio.  Names stay as the ledger has them: they are classified after the sums, on one row
+    per name instead of one per ledger row (see ``keyed``).
     """
     rows = ledger.withColumn(
         "is_trade", F.col("action").isin("BUY", "SELL") & ~F.col("cash_like") & F.col("price").isNotNull()
     ).withColumn("fee_apart", F.col("is_trade") & _separate_fee())
-    amount = F.col("quantity") * F.col("price")
+    action, quantity = F.col("action"), F.col("quantity")
+    amount = quantity * F.col("price")
     fees = F.coalesce("fees", F.lit(0.0))
     fee_inside = F.when(F.col("fee_apart"), F.lit(0.0)).otherwise(fees)
     delta = (
-        F.when(F.col("is_trade") & (F.col("action") == "BUY"), -(amount + fee_inside))
+        F.when(F.col("is_trade") & (action == "BUY"), -(amount + fee_inside))
         .when(F.col("is_trade"), amount - fee_inside)
-        .when(F.col("action").isin("BUY", "EXCHANGE_FROM", *vocab.CASH_IN), F.col("quantity"))
-        .when(F.col("action").isin("SELL", *vocab.CASH_OUT), -F.col("quantity"))
+        .when(action.isin("BUY", "EXCHANGE_FROM", *vocab.CASH_IN), quantity)
+        .when(action.isin("SELL", *vocab.CASH_OUT), -quantity)
         .otherwise(F.lit(0.0))
     )
+    one = F.lit(1.0)
 
-    def leg(kind, name, moved):
-        return F.struct(F.lit(kind).alias("leg"), F.col(name).alias("name"), moved.alias("cash_delta"))
+    def leg(kind, name, moved, split=one):
+        return F.struct(
+            F.lit(kind).alias("leg"), F.col(name).alias("name"), moved.alias("move"), split.alias("split")
+        )
 
-    own, fee = leg("own", "asset", delta), leg("fee", "fee_currency", -fees)
-    keep = [c for c in ("account", "as_of", "date") if c in ledger.columns]
-    return rows.select(*keep, F.inline(F.when(F.col("fee_apart"), F.array(own, fee)).otherwise(F.array(own))))
+    is_split = action == "SPLIT"
+    held = ~F.col("cash_like") & action.isin("BUY", "SELL", "EXCHANGE_TO", "EXCHANGE_FROM", "SPLIT")
+    hold = leg("hold", "asset", C.position_delta(action, quantity), F.when(is_split, quantity).otherwise(one))
+    legs = F.array_compact(
+        F.array(
+            leg("own", "asset", delta),
+            F.when(F.col("fee_apart"), leg("fee", "fee_currency", -fees)),
+            F.when(held, hold),
+        )
+    )
+    keep = [c for c in ("account", "as_of") if c in ledger.columns]
+    return rows.select(*keep, "date", "id", F.inline(legs))
 
 
 def keyed(legs: DataFrame) -> DataFrame:
-    """Adds the cash key, display currency and display bucket of (leg, name)."""
+    """Adds the cash key, display currency and display bucket of the cash legs' (leg, name)."""
     name = F.col("name")
     own = F.col("leg") == "own"
     rows = legs.withColumn("_type", C.asset_type(name))
@@ -70,43 +85,69 @@ def keyed(legs: DataFrame) -> DataFrame:
     )
     return rows.withColumns(
         {
-            "cash_key": F.when(own, own_key).otherwise(C.fee_ticker(name)),
+            "cash_key": F.when(own, own_key).otherwise(C.fee_ticker(name, kind)),
             "currency": F.when(own, shown).when(kind == "cash_base", F.lit("USD")).otherwise(name),
             "display_bucket": F.when(own, own_bucket).otherwise(fee_bucket),
         }
-    ).drop("_type", "_own_key")
+    ).drop("_own_key")
 
 
-def cash(clipped: DataFrame, latest: DataFrame) -> DataFrame:
-    """Cash per (account, cash key): balance and dollar value (a missing rate counts as 0).
+def account_sums(clipped: DataFrame) -> DataFrame:
+    """Positions and cash balances of every account in one scan of its ledger, zero ones dropped.
 
-    ``latest`` holds (ticker, price) at the ledger's as-of date, or (ticker, date, price) for per-account dates.
+    ``kind`` is "asset" or "cash", ``instrument`` the asset or cash key.
     """
-    by_name = cash_legs(clipped).groupBy("account", "as_of", "leg", "name").agg(F.sum("cash_delta").alias("cash_delta"))
-    balances = (
-        keyed(by_name)
-        .groupBy("account", "as_of", "cash_key")
+    legs = with_split_factor(ledger_legs(clipped), split_steps(clipped), "name", "t.leg = 'hold'")
+    by_name = legs.groupBy("account", "as_of", "leg", "name").agg(
+        F.sum(F.col("move") * F.try_divide("end_factor", "factor")).alias("quantity")
+    )
+    return (
+        instruments(by_name)
+        .groupBy("account", "as_of", "kind", "instrument")
         .agg(
+            F.max("asset_type").alias("asset_type"),
             F.max("currency").alias("currency"),
             F.max("display_bucket").alias("display_bucket"),
-            F.sum("cash_delta").alias("balance"),
+            F.sum("quantity").alias("quantity"),
         )
-        .where("balance <> 0")
+        .where("quantity <> 0")
     )
-    on = ["cash_key"]
-    quotes = latest.withColumnRenamed("ticker", "cash_key").withColumnRenamed("price", "quote")
-    if "date" in latest.columns:
-        quotes = quotes.withColumnRenamed("date", "as_of")
-        on.append("as_of")
-    return balances.join(quotes.select(*on, "quote"), on, "left").select(
+
+
+def instruments(by_name: DataFrame) -> DataFrame:
+    """Turns (leg, name) into (kind, instrument), with the pricing bucket of the instrument."""
+    hold, key = F.col("leg") == "hold", F.col("cash_key")
+    cash_bucket = (
+        F.when(key == "USD", F.lit("cash_base"))
+        .when(C.is_stablecoin(key), F.lit("cash_stable"))
+        .otherwise(F.lit("cash_fx"))
+    )
+    return keyed(by_name).withColumns(
+        {
+            "kind": F.when(hold, F.lit("asset")).otherwise(F.lit("cash")),
+            "instrument": F.when(hold, F.col("name")).otherwise(key),
+            "asset_type": F.when(hold, F.col("_type")).otherwise(cash_bucket),
+        }
+    ).drop("leg", "name", "cash_key", "_type")
+
+
+def cash(clipped: DataFrame, latest: DataFrame) -> DataFrame:
+    """Cash per (account, cash key): balance and dollar value (a missing rate counts as 0).
+
+    ``latest`` holds (ticker, price) at the ledger's as-of date.
+    """
+    balances = account_sums(clipped).where("kind = 'cash'")
+    quotes = latest.select(F.col("ticker").alias("instrument"), F.col("price").alias("quote"))
+    key = F.col("instrument")
+    return balances.join(quotes, "instrument", "left").select(
         "account",
         "as_of",
-        "cash_key",
+        key.alias("cash_key"),
         "currency",
         F.coalesce("display_bucket", F.concat(F.lit("CASH "), F.col("currency"))).alias("display_bucket"),
-        "balance",
-        F.when(always_one(F.col("cash_key")), F.col("balance"))
-        .otherwise(F.col("balance") * F.coalesce("quote", F.lit(0.0)))
+        F.col("quantity").alias("balance"),
+        F.when(always_one(key), F.col("quantity"))
+        .otherwise(F.col("quantity") * F.coalesce("quote", F.lit(0.0)))
         .alias("usd_value"),
     )
 

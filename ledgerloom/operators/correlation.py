@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify as C
 from ledgerloom.operators.asof import day
+from ledgerloom.sources.store import materialize
 
 
 def price_returns(quotes: DataFrame) -> DataFrame:
@@ -63,6 +64,8 @@ def correlation_matrix(ledger: DataFrame, prices: DataFrame, as_of, window_month
         .where("net > 0")
         .select("account", "asset")
     )
+    # Small beside the ledger and used several times: written once, so the ledger is scanned once.
+    held = materialize(held, "held")
     quotes = prices.where(
         (F.col("date") > F.add_months(day(as_of), -window_months)) & (F.col("date") <= day(as_of)) & (F.col("price") > 0)
     ).join(held.select(F.col("asset").alias("ticker")).distinct(), "ticker", "left_semi")
@@ -87,8 +90,9 @@ def diversification(
 ) -> DataFrame:
     """Concentration, effective holdings and pairwise correlation of each account's positive weights."""
     weights = alloc.where("allocation_pct > 0").select(
-        "account", "asset", (F.col("allocation_pct") / 100.0).alias("wgt"), "asset_type"
+        "account", "asset", (F.col("allocation_pct") / 100.0).alias("wgt")
     )
+    weights = materialize(weights, "weights")
     quotes = prices.where(F.col("date").between(F.date_sub(day(as_of), lookback_days), day(as_of)))
     enough = quotes.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     risky = weights.where(~C.is_cash_like(F.col("asset"), C.asset_type(F.col("asset"))))

@@ -12,6 +12,7 @@ from ledgerloom import vocab
 from ledgerloom.functions import classify as C
 from ledgerloom.functions.stats import pct_of_positive, ratio
 from ledgerloom.operators.asof import day
+from ledgerloom.sources.store import materialize
 
 CASH_TYPES = ("cash_base", "cash_fx", "cash_stable")
 
@@ -151,6 +152,7 @@ def rebalance(alloc: DataFrame, targets: dict[str, float]) -> DataFrame:
     total = sum(targets.values())
     if abs(total - 100.0) > 0.01:
         raise ValueError(f"targets sum to {total}, expected 100")
+    alloc = materialize(alloc.select("account", "asset", "allocation_pct", "value_usd"), "allocation")
     accounts = alloc.groupBy("account").agg(F.sum("value_usd").alias("total"))
     wanted = accounts.select(
         "account", "total",

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import classify as C
 from ledgerloom.functions.stats import pct_of_positive
 from ledgerloom.operators.asof import always_one, clip, daily_prices, latest_prices, usd_units
-from ledgerloom.operators.cash import cash, cash_balances
-from ledgerloom.operators.splits import positions
+from ledgerloom.operators.cash import account_sums, cash_balances
 
 
 def quotes_for(prices: DataFrame, as_of, until=None) -> DataFrame:
@@ -33,25 +32,17 @@ def valued(ledger: DataFrame, prices: DataFrame, as_of, until=None) -> DataFrame
     clipped = clip(C.classified(ledger), as_of)
     quotes = quotes_for(prices, as_of, until)
     on = ("date",) if "date" in quotes.columns else ()
-    units = usd_units(quotes, on).withColumnRenamed("ticker", "asset")
+    units = usd_units(quotes, on).withColumnRenamed("ticker", "instrument")
     if on:
         units = units.withColumnRenamed("date", "as_of")
-    keys = ["asset", "as_of"] if on else ["asset"]
-    assets = positions(clipped).join(units.select(*keys, "unit_usd"), keys, "left").select(
-        "account", "as_of", "asset", "asset_type", "net_quantity",
-        (F.col("net_quantity") * F.coalesce("unit_usd", F.lit(0.0))).alias("value_usd"),
+    keys = ["instrument", "as_of"] if on else ["instrument"]
+    name = F.col("instrument")
+    is_cash = F.col("kind") == "cash"
+    unit = F.when(is_cash & always_one(name), F.lit(1.0)).otherwise(F.coalesce("unit_usd", F.lit(0.0)))
+    return account_sums(clipped).join(units.select(*keys, "unit_usd"), keys, "left").select(
+        "account", "as_of", name.alias("asset"), "asset_type",
+        F.col("quantity").alias("net_quantity"), (F.col("quantity") * unit).alias("value_usd"),
     )
-    key = F.col("cash_key")
-    money = cash(clipped, quotes).select(
-        "account", "as_of", key.alias("asset"),
-        F.when(key == "USD", F.lit("cash_base"))
-        .when(C.is_stablecoin(key), F.lit("cash_stable"))
-        .otherwise(F.lit("cash_fx"))
-        .alias("asset_type"),
-        F.col("balance").alias("net_quantity"),
-        F.col("usd_value").alias("value_usd"),
-    )
-    return assets.unionByName(money)
 
 
 def allocation(ledger: DataFrame, prices: DataFrame, metadata: DataFrame, as_of, until=None) -> DataFrame:

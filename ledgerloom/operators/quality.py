@@ -118,7 +118,7 @@ def required_tickers(ledger: DataFrame) -> DataFrame:
         (asset.isin(*[f"CASH {c}" for c in vocab.CASH_BUCKET_CURRENCIES]),
          F.concat(F.substring(asset, 6, 3), F.lit("USD=X")), fx),
         (fee.isin(*vocab.BARE_FIAT), F.concat(fee, F.lit("USD=X")), fx),
-        (fee.isNotNull() & coin, C.fee_ticker(fee), own),
+        (fee.isNotNull() & coin, C.fee_ticker(fee, fee_bucket), own),
     ]
     listed = F.array_compact(F.array(*[F.when(c, _entry(t, k, "ticker_category")) for c, t, k in entries]))
     return seen.select(F.inline(listed)).where("ticker IS NOT NULL").distinct()

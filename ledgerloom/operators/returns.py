@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import classify as C
 from ledgerloom.functions.stats import log_growth
 from ledgerloom.operators.asof import add_rate, always_one, clip, daily_prices, day, usd_units
-from ledgerloom.operators.cash import cash_legs, keyed
+from ledgerloom.operators.cash import instruments, ledger_legs
 from ledgerloom.operators.splits import split_steps, with_split_factor
 
 FLAT = 1e-9
@@ -23,29 +23,13 @@ def position_spans(clipped: DataFrame, until) -> DataFrame:
     Ledger rows are folded to one move per (account, instrument, day) first; trades are kept in pre-split units and
     scaled by the running split factor, so a split starts a new stretch on its own.
     """
-    rows = clipped.where(~F.col("cash_like"))
-    trades = with_split_factor(
-        rows.where(F.col("action") != "SPLIT").select(
-            "account", "asset", "date", "id", C.position_delta(F.col("action"), F.col("quantity")).alias("delta")
-        ),
-        split_steps(clipped),
-    ).select(
-        "account", F.lit("asset").alias("kind"), F.col("asset").alias("instrument"), "date",
-        (F.col("delta") / F.col("factor")).alias("move"), F.lit(1.0).alias("split"),
-    )
-    splits = rows.where(F.col("action") == "SPLIT").select(
-        "account", F.lit("asset").alias("kind"), F.col("asset").alias("instrument"), "date",
-        F.lit(0.0).alias("move"), F.col("quantity").alias("split"),
-    )
-    by_name = cash_legs(clipped).groupBy("account", "leg", "name", "date").agg(F.sum("cash_delta").alias("cash_delta"))
-    money = keyed(by_name).select(
-        "account", F.lit("cash").alias("kind"), F.col("cash_key").alias("instrument"), "date",
-        F.col("cash_delta").alias("move"), F.lit(1.0).alias("split"),
+    legs = with_split_factor(ledger_legs(clipped), split_steps(clipped), "name", "t.leg = 'hold'")
+    by_name = legs.groupBy("account", "leg", "name", "date").agg(
+        F.sum(F.col("move") / F.col("factor")).alias("move"), F.product("split").alias("split")
     )
     keys = ["account", "kind", "instrument"]
     moves = (
-        trades.unionByName(splits)
-        .unionByName(money)
+        instruments(by_name)
         .groupBy(*keys, "date")
         .agg(F.sum("move").alias("move"), F.product("split").alias("split"))
     )

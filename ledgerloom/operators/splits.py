@@ -47,12 +47,15 @@ def split_steps(ledger: DataFrame) -> DataFrame:
     )
 
 
-def with_split_factor(trades: DataFrame, steps: DataFrame) -> DataFrame:
-    """Adds ``factor`` (splits before the row) and ``end_factor`` (all splits); 1 where there are none."""
-    t, s = trades.alias("t"), steps.alias("s")
+def with_split_factor(rows: DataFrame, steps: DataFrame, asset: str = "asset", only: str = "true") -> DataFrame:
+    """Adds ``factor`` (splits before the row) and ``end_factor`` (all splits); 1 where there are none.
+
+    ``asset`` names the column that holds the asset, ``only`` a condition on the rows (``t``) that splits apply to.
+    """
+    t, s = rows.alias("t"), steps.alias("s")
+    same = F.expr(f"t.account = s.account AND t.{asset} = s.asset AND {only}")
     started = F.expr("t.date > s.from_date OR (t.date = s.from_date AND t.id > s.from_id)")
     open_end = F.expr("s.to_date IS NULL OR t.date < s.to_date OR (t.date = s.to_date AND t.id < s.to_id)")
-    same = F.expr("t.account = s.account AND t.asset = s.asset")
     return t.join(s, same & started & open_end, "left").select(
         "t.*",
         F.coalesce("s.factor", F.lit(1.0)).alias("factor"),

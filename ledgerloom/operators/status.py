@@ -22,33 +22,44 @@ FLOW_OF_ACTION = {
 
 
 def usd_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
-    """Deposits, withdrawals, income, fees and taxes per account in dollars of each row's own date.
+    """Row counts and dates, and deposits, withdrawals, income, fees and taxes in dollars of each row's own date.
 
     Rows are folded per (account, flow, name, date) before names are classified and rates joined, so the join sees days, not rows.
     """
     flow = F.create_map(*[F.lit(x) for item in FLOW_OF_ACTION.items() for x in item])
     booked = F.try_element_at(flow, F.col("action"))
-    own = F.struct(
-        booked.alias("flow"), F.lit("own").alias("leg"), F.col("asset").alias("name"), F.col("quantity").alias("amount")
-    )
+
+    def leg(kind, what, name, amount):
+        return F.struct(
+            what.alias("flow"), F.lit(kind).alias("leg"), name.alias("name"), amount.alias("amount")
+        )
+
+    no_name = F.lit(None).cast("string")
     fee_name = C.fee_currency_or_default(F.col("fee_currency"), F.col("currency"))
-    fee = F.struct(
-        F.lit("fees").alias("flow"), F.lit("fee").alias("leg"), fee_name.alias("name"), F.col("fees").alias("amount")
+    legs = F.array_compact(
+        F.array(
+            leg("row", F.lit("rows"), no_name, F.lit(1.0)),
+            F.when(booked.isNotNull(), leg("own", booked, F.col("asset"), F.col("quantity"))),
+            F.when(F.col("fees") > 0, leg("fee", F.lit("fees"), fee_name, F.col("fees"))),
+        )
     )
-    legs = F.array_compact(F.array(F.when(booked.isNotNull(), own), F.when(F.col("fees") > 0, fee)))
     per_day = (
         clipped.select("account", "as_of", "date", F.inline(legs))
         .groupBy("account", "as_of", "flow", "leg", "name", "date")
         .agg(F.sum("amount").alias("amount"))
     )
-    name = F.col("name")
-    key = F.when(F.col("leg") == "fee", C.fee_ticker(name)).otherwise(
-        C.normalize_cash_asset(name, C.asset_type(name))
+    name, bucket = F.col("name"), F.col("bucket")
+    per_day = per_day.withColumn("bucket", C.asset_type(name))
+    key = F.when(F.col("leg") == "fee", C.fee_ticker(name, bucket)).when(
+        F.col("leg") == "own", C.normalize_cash_asset(name, bucket)
     )
     rated = add_rate(per_day.withColumn("key", key), "key", daily_prices(prices, until))
     names = sorted(set(FLOW_OF_ACTION.values()))
     usd = F.col("amount") * F.col("rate")
     return rated.groupBy("account", "as_of").agg(
+        F.sum(F.when(F.col("leg") == "row", F.col("amount"))).cast("long").alias("transactions_count"),
+        F.min("date").alias("start_date"),
+        F.max("date").alias("end_date"),
         *[F.coalesce(F.sum(F.when(F.col("flow") == n, usd)), F.lit(0.0)).alias(n) for n in names]
     )
 
@@ -57,14 +68,9 @@ def status(ledger: DataFrame, prices: DataFrame, as_of, until=None, hot_rows: in
     """Ledger counts, dollar flows, value, gains and lot figures per account."""
     last_day = until if isinstance(as_of, DataFrame) else as_of
     clipped = clip(C.classified(ledger), as_of)
-    counts = clipped.groupBy("account", "as_of").agg(
-        F.count(F.lit(1)).alias("transactions_count"),
-        F.min("date").alias("start_date"),
-        F.max("date").alias("end_date"),
-    )
     keys = ["account", "as_of"]
     joined = (
-        counts.join(usd_flows(clipped, prices, last_day), keys, "left")
+        usd_flows(clipped, prices, last_day)
         .join(portfolio_value(ledger, prices, as_of, until), keys, "left")
         .join(fifo_metrics(ledger, prices, as_of, until, hot_rows), keys, "left")
         .na.fill(0.0)

@@ -184,7 +184,7 @@ def asset_classes(s):
         a, t, C.is_stablecoin(a).alias("stablecoin"), C.is_cash_like(a, t).alias("cash_like"),
         C.normalize_cash_asset(a, t).alias("normalized"), C.cash_key(a, t).alias("cash_key"),
         C.cash_display_currency(C.cash_key(a, t)).alias("display_currency"),
-        C.quote_currency_pair(t).alias("quote_pair"), C.fee_ticker(a).alias("fee_ticker"),
+        C.quote_currency_pair(t).alias("quote_pair"), C.fee_ticker(a, t).alias("fee_ticker"),
         C.is_fetchable(a).alias("fetchable"),
     )
 

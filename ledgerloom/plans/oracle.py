@@ -687,7 +687,7 @@ def _rolling(months: int) -> str:
 lib("roll12", _rolling(12), "daily")
 lib("roll24", _rolling(24), "daily")
 q("rolling_returns", "SELECT account, date, round(return_pct, 6) AS return_pct FROM roll12", "roll12")
-q("monthly_performance", """SELECT account, date AS month_end, round(twr * 100, 6) AS time_weighted_return_pct,
+q("monthly_performance", """SELECT account, date AS month_end, CAST(CAST(twr * 100 AS FLOAT) AS DOUBLE) AS time_weighted_return_pct,
   CAST(CAST(CASE WHEN days > 0 THEN (pow(1 + twr, 365.25 / days) - 1) * 100 ELSE 0 END AS FLOAT) AS DOUBLE) AS cagr,
   CAST(CAST(CASE WHEN sd > 0 THEN (pow(1 + twr, 365.25 / greatest(days, 1)) - 1 - 0.02) / (sd * sqrt(252) / 100) ELSE 0 END AS FLOAT) AS DOUBLE) AS sharpe_ratio,
   round(mdd, 6) AS max_drawdown
@@ -788,7 +788,7 @@ lib("slices", f"""SELECT account, sector, sum(v) AS v FROM (
     UNION ALL SELECT a.account, coalesce(m.sector, {FALLBACK}, 'Other'), a.value_usd FROM eq a LEFT JOIN meta m ON m.ticker = a.asset
       WHERE a.asset NOT IN (SELECT ticker FROM scaled))
   WHERE sector NOT IN {_in(vocab.NON_EQUITY_SECTORS)} AND v > 0 GROUP BY account, sector""", "eq", "scaled", "meta")
-q("sector_exposure", """SELECT account, CASE WHEN small OR rk > 8 THEN 'Other' ELSE sector END AS sector, round(sum(v), 4) AS value_usd,
+q("sector_exposure", """SELECT account, CASE WHEN small OR rk > 8 THEN 'Other' ELSE sector END AS sector, round(sum(v), 2) AS value_usd,
   round(sum(v) / any_value(total) * 100, 4) AS pct
   FROM (SELECT *, row_number() OVER (PARTITION BY account, small ORDER BY v DESC, sector) AS rk FROM (
     SELECT *, sector = 'Other' OR v / total * 100 < 3 AS small FROM (SELECT *, sum(v) OVER (PARTITION BY account) AS total FROM slices)))

@@ -439,8 +439,8 @@ def rolling_returns(s):
 def monthly_performance(s):
     rows = performance.monthly_performance(s.daily(AS_OF), AS_OF)
     # Growth of a few days scaled to a year can be huge.
-    rows = seven_digits(rows, "cagr", "sharpe_ratio")
-    return rounded(rows, 6, "time_weighted_return_pct", "max_drawdown")
+    rows = seven_digits(rows, "time_weighted_return_pct", "cagr", "sharpe_ratio")
+    return rounded(rows, 6, "max_drawdown")
 
 
 @query
@@ -528,9 +528,8 @@ def holdings_table(s):
 
 @query
 def sector_exposure(s):
-    return rounded(
-        exposure.sector_exposure(exposure.add_sectors(_allocation(s), s.metadata)), 4, "value_usd", "pct"
-    )
+    rows = exposure.sector_exposure(exposure.add_sectors(_allocation(s), s.metadata))
+    return rounded(rounded(rows, 2, "value_usd"), 4, "pct")
 
 
 @query

@@ -28,6 +28,8 @@ NATIVE = (
     "USD", "USD", "USD", "USD", "USD", "USD", "EUR", "GBP",
     "JPY", "CHF", "CAD", "AUD", "HKD", "SGD", "USD", "USD",
 )
+# Tickers that are spread over sectors; the others have one sector or none.
+WEIGHTED = ("SPY", "SCHD", "VOD.L", "NESN.SW")
 CASH_NAMES = (
     "USD", "USD", "USD", "USD", "EUR", "GBP", "EURUSD=X", "CASH GBP", "JPYUSD=X", "USDC", "CASH USDT", "CASH UAH",
 )
@@ -149,13 +151,15 @@ FROM (
 """
 
 SECTOR_PARTS = f"""
-SELECT {_pick("p_partkey % 16", TICKERS)} AS ticker,
-  CASE p_type WHEN 'STANDARD' THEN 'Technology' WHEN 'ECONOMY' THEN 'Healthcare' WHEN 'MEDIUM' THEN 'Energy'
-    WHEN 'PROMO' THEN 'Bonds' WHEN 'LARGE' THEN 'Industrials' ELSE 'Utilities' END AS sector,
-  count(*) AS parts
-FROM part
-WHERE p_partkey % 16 IN (0, 2, 7, 9)
-GROUP BY p_partkey % 16, p_type
+SELECT ticker, sector, count(*) AS parts
+FROM (
+  SELECT {_pick("p_partkey % 16", TICKERS)} AS ticker,
+    CASE p_type WHEN 'STANDARD' THEN 'Technology' WHEN 'ECONOMY' THEN 'Healthcare' WHEN 'MEDIUM' THEN 'Energy'
+      WHEN 'PROMO' THEN 'Bonds' WHEN 'LARGE' THEN 'Industrials' ELSE 'Utilities' END AS sector
+  FROM part
+) p
+WHERE ticker IN ({", ".join(repr(t) for t in WEIGHTED)})
+GROUP BY ticker, sector
 """
 
 BARS = """

@@ -52,12 +52,10 @@ def ledger_legs(ledger: DataFrame) -> DataFrame:
     is_split = action == "SPLIT"
     held = ~F.col("cash_like") & action.isin("BUY", "SELL", "EXCHANGE_TO", "EXCHANGE_FROM", "SPLIT")
     hold = leg("hold", "asset", C.position_delta(action, quantity), F.when(is_split, quantity).otherwise(one))
-    legs = F.array_compact(
-        F.array(
-            leg("own", "asset", delta),
-            F.when(F.col("fee_apart"), leg("fee", "fee_currency", -fees)),
-            F.when(held, hold),
-        )
+    own, fee = leg("own", "asset", delta), leg("fee", "fee_currency", -fees)
+    # A fee of its own occurs on trades only, and every trade holds.
+    legs = (
+        F.when(F.col("fee_apart"), F.array(own, fee, hold)).when(held, F.array(own, hold)).otherwise(F.array(own))
     )
     keep = [c for c in ("account", "as_of") if c in ledger.columns]
     return rows.select(*keep, "date", "id", F.inline(legs))

@@ -36,12 +36,15 @@ def usd_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
 
     no_name = F.lit(None).cast("string")
     fee_name = C.fee_currency_or_default(F.col("fee_currency"), F.col("currency"))
-    legs = F.array_compact(
-        F.array(
-            leg("row", F.lit("rows"), no_name, F.lit(1.0)),
-            F.when(booked.isNotNull(), leg("own", booked, F.col("asset"), F.col("quantity"))),
-            F.when(F.col("fees") > 0, leg("fee", F.lit("fees"), fee_name, F.col("fees"))),
-        )
+    row = leg("row", F.lit("rows"), no_name, F.lit(1.0))
+    own = leg("own", booked, F.col("asset"), F.col("quantity"))
+    fee = leg("fee", F.lit("fees"), fee_name, F.col("fees"))
+    is_booked, has_fee = F.col("action").isin(*FLOW_OF_ACTION), F.coalesce(F.col("fees") > 0, F.lit(False))
+    legs = (
+        F.when(is_booked & has_fee, F.array(row, own, fee))
+        .when(is_booked, F.array(row, own))
+        .when(has_fee, F.array(row, fee))
+        .otherwise(F.array(row))
     )
     per_day = (
         clipped.select("account", "as_of", "date", F.inline(legs))

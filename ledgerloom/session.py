@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_TO_DELETE: set[str] = set()
+
 
 def build_session(app: str = "ledgerloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings every operator is written against.
@@ -30,9 +33,21 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Folder the cluster names in ``spark.checkpoint.dir``; a scratch one only where none is set."""
+    """This session's own folder below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Without that setting a scratch folder serves a local master; on a cluster the executors would not see it, so the
+    call fails instead.  The folder goes when the session's JVM ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    folder = f"{named.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
+    if folder not in _TO_DELETE:
+        _TO_DELETE.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

@@ -27,7 +27,7 @@ from ledgerloom.sources.store import materialize
 # Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BUCKET_ROWS, FAN_IN = 20_000, 64
+BUCKET_ROWS, FAN_IN = 1_000, 64
 SPLIT = "doc_id long, nr long, source_no long, bucket long, size long, part double, up long, open boolean"
 
 

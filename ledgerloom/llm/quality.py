@@ -27,8 +27,8 @@ UNIT = 10_000
 SHARES = {
     "symbol": ("n_symbols", "n_words", 1_000),
     "upper": ("n_upper", "word_chars", 2_500),
-    "dup_line": ("n_dup_lines", "n_lines", 3_000),
-    "repeat": ("n_repeat_words", "n_words", 2_000),
+    "dup_line": ("n_dup_lines", "n_lines", 5_000),
+    "repeat": ("n_repeat_words", "n_words", 4_000),
     "length": ("word_chars", "n_words", 15_000),
 }
 FENCE, MIN_DOCS, MIN_WORDS, MAX_REPEAT_PERCENT = 3, 50, 50, 50

@@ -1,7 +1,8 @@
 """First-in-first-out lot matching without a loop.
 
-Quantities are brought to pre-split units, so a lot is an interval on the axis "units bought so far" and a sale an
-interval on the axis "units consumed so far"; a sale consumes the lots its interval overlaps.  A sale beyond the
+Quantities are brought to whole numbers that no split changes: a quantity has ``PLACES`` decimals, and its split scale
+(see ``splits``) is whole.  So a lot is an interval on the axis "units bought so far" and a sale an interval on the axis
+"units consumed so far", both exact however much was traded before; a sale consumes the lots its interval overlaps.  A sale beyond the
 position consumes only what is there.  Both interval ends follow from three running figures (bought, net, lowest
 net), so one ordered scan gives them, and the overlaps follow from one sorted sweep.
 
@@ -20,11 +21,23 @@ from ledgerloom.operators.groups import BLOCK, HOT_ROWS, split_hot_groups
 from ledgerloom.operators.splits import KEYS, split_steps, with_split_factor
 from ledgerloom.sources.store import materialize
 
-NOTHING_LEFT = 1e-9
+PLACES = 12
+UNITS = "decimal(38,0)"
+ATOMS = 10**PLACES
+
+
+def whole_units(quantity, scale):
+    """Exact units: the quantity to ``PLACES`` decimals, times its split scale (below 10**13)."""
+    atoms = (quantity.cast(f"decimal(24,{PLACES})") * F.lit(ATOMS).cast("decimal(13,0)")).cast("decimal(24,0)")
+    return (atoms * scale.cast("decimal(13,0)")).cast(UNITS)
+
+
+def quantity_of(units, scale):
+    return units.cast("double") / (scale * float(ATOMS))
 
 
 def unit_trades(clipped: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Non-cash trades in pre-split units, in their blocks.  Blocks are assigned first, on the bare rows."""
+    """Non-cash trades in whole units, in their blocks.  Blocks are assigned first, on the bare rows."""
     trades = clipped.where(F.col("action").isin("BUY", "SELL") & ~F.col("cash_like") & (F.col("quantity") > 0))
     factored = with_split_factor(
         split_hot_groups(trades, KEYS, hot_rows).select(
@@ -35,7 +48,8 @@ def unit_trades(clipped: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         ),
         split_steps(clipped),
     )
-    return factored.withColumn("units", F.col("quantity") / F.col("factor")).drop("quantity")
+    units = whole_units(F.col("quantity"), F.col("scale"))
+    return factored.withColumn("units", units).drop("quantity", "factor", "end_factor").where("units > 0")
 
 
 def add_costs(rows: DataFrame, prices: DataFrame, until) -> DataFrame:
@@ -64,14 +78,14 @@ def lot_intervals(rows: DataFrame) -> DataFrame:
     is_buy = F.col("action") == "BUY"
     rows = rows.withColumn("signed", F.when(is_buy, F.col("units")).otherwise(-F.col("units")))
     rows = rows.withColumn("net_in", F.sum("signed").over(upto)).withColumn(
-        "bought_in", F.sum(F.when(is_buy, F.col("units")).otherwise(0.0)).over(upto)
+        "bought_in", F.sum(F.when(is_buy, F.col("units")).otherwise(F.lit(0).cast(UNITS))).over(upto)
     )
     rows = rows.withColumn(
         "low_before_in", F.min("net_in").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     )
 
     earlier = Window.partitionBy(*KEYS).orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
+    zero = F.lit(0).cast(UNITS)
     blocks = rows.groupBy(*KEYS, *BLOCK).agg(
         F.sum("signed").alias("net"), F.max("bought_in").alias("bought"), F.min("net_in").alias("low")
     )
@@ -115,7 +129,7 @@ def _sweep(events: DataFrame, group: list[str]) -> DataFrame:
     return (
         carried.withColumn("hi", F.least("next_pos", "buy.hi", "sell.hi"))
         .where(F.col("buy").isNotNull() & F.col("sell").isNotNull())
-        .where(F.col("hi") - F.col("lo") > NOTHING_LEFT)
+        .where(F.col("hi") > F.col("lo"))
         .drop("next_pos")
     )
 
@@ -126,7 +140,7 @@ def _block_overlaps(intervals: DataFrame) -> DataFrame:
     blocks = (
         intervals.groupBy(*KEYS, *BLOCK, "action")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where(F.col("hi") - F.col("lo") > NOTHING_LEFT)
+        .where(F.col("hi") > F.col("lo"))
     )
     block = F.struct("hi", *BLOCK)
     stretches = _sweep(
@@ -148,12 +162,12 @@ def _block_overlaps(intervals: DataFrame) -> DataFrame:
 
 
 def matched_lots(intervals: DataFrame) -> DataFrame:
-    """One row per (sale, lot) pair: the structs ``sell`` and ``buy`` and the pre-split units in common."""
+    """One row per (sale, lot) pair: the structs ``sell`` and ``buy`` and the units in common."""
     is_buy = F.col("action") == "BUY"
     placed = intervals.join(_block_overlaps(intervals), [*KEYS, "action", *BLOCK]).where(
         (F.col("lo") < F.col("cell_hi")) & (F.col("hi") > F.col("cell_lo")) & (F.col("hi") > F.col("lo"))
     )
-    piece = F.struct(F.least("hi", "cell_hi").alias("hi"), "id", "date", "usd", "units", "factor", "as_of")
+    piece = F.struct(F.least("hi", "cell_hi").alias("hi"), "id", "date", "usd", "units", "scale", "as_of")
     events = placed.select(
         *KEYS, "cell", F.greatest("lo", "cell_lo").alias("pos"),
         F.when(is_buy, piece).alias("buy"), F.when(~is_buy, piece).alias("sell"),
@@ -164,14 +178,15 @@ def matched_lots(intervals: DataFrame) -> DataFrame:
 
 
 def _gain_columns(matches: DataFrame) -> DataFrame:
-    proceeds = F.col("sell.usd") * F.col("overlap") / F.col("sell.units")
-    cost = F.col("buy.usd") * F.col("overlap") / F.col("buy.units")
+    overlap = F.col("overlap").cast("double")
+    proceeds = F.col("sell.usd") * overlap / F.col("sell.units").cast("double")
+    cost = F.col("buy.usd") * overlap / F.col("buy.units").cast("double")
     return matches.select(
         "account",
         F.col("sell.date").alias("sell_date"),
         F.col("sell.id").alias("sell_id"),
         "asset",
-        (F.col("overlap") * F.col("sell.factor")).alias("sell_quantity"),
+        quantity_of(F.col("overlap"), F.col("sell.scale")).alias("sell_quantity"),
         proceeds.alias("proceeds_usd"),
         cost.alias("cost_basis_usd"),
         (proceeds - cost).alias("realized_gain"),
@@ -224,20 +239,20 @@ def fifo_metrics(ledger: DataFrame, prices: DataFrame, as_of, until=None, hot_ro
         *KEYS, "as_of",
         F.when(is_buy, F.col("usd")).otherwise(0.0).alias("open_cost"),
         F.lit(0.0).alias("gain"),
-        F.when(is_buy, F.col("units")).otherwise(F.col("lo") - F.col("hi")).alias("open_units"),
-        "end_factor",
+        F.when(is_buy, F.col("units")).otherwise(F.col("lo") - F.col("hi")).cast(UNITS).alias("open_units"),
+        "end_scale",
     )
     sold = _gain_columns(matched_lots(intervals)).select(
         *KEYS, "as_of",
         (-F.col("cost_basis_usd")).alias("open_cost"),
         F.col("realized_gain").alias("gain"),
-        F.lit(0.0).alias("open_units"),
-        F.lit(None).cast("double").alias("end_factor"),
+        F.lit(0).cast(UNITS).alias("open_units"),
+        F.lit(None).cast("double").alias("end_scale"),
     )
     per_asset = bought.unionByName(sold).groupBy(*KEYS, "as_of").agg(
         F.sum("open_cost").alias("open_cost"),
         F.sum("gain").alias("gain"),
-        (F.sum("open_units") * F.max("end_factor")).alias("open_quantity"),
+        quantity_of(F.sum("open_units"), F.max("end_scale")).alias("open_quantity"),
     )
     if isinstance(as_of, DataFrame):
         units = usd_units(daily_prices(prices, until), ("date",)).select(
@@ -253,7 +268,7 @@ def fifo_metrics(ledger: DataFrame, prices: DataFrame, as_of, until=None, hot_ro
         F.round(F.coalesce(F.sum("gain"), zero), 2).alias("realized_gain"),
         F.round(
             F.coalesce(
-                F.sum(F.when(F.col("open_quantity") > NOTHING_LEFT, F.col("open_quantity") * F.col("unit_usd"))), zero
+                F.sum(F.when(F.col("open_quantity") > 0, F.col("open_quantity") * F.col("unit_usd"))), zero
             ),
             2,
         ).alias("market_value"),

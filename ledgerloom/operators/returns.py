@@ -14,7 +14,8 @@ from ledgerloom.operators.asof import add_rate, always_one, clip, daily_prices,
 from ledgerloom.operators.cash import instruments, ledger_legs
 from ledgerloom.operators.splits import split_steps, with_split_factor
 
-FLAT = 1e-9
+#: What running sums of a position may be off by, as a part of all that was ever moved.
+ROUNDING = 1e-13
 
 
 def position_spans(clipped: DataFrame, until) -> DataFrame:
@@ -25,13 +26,14 @@ def position_spans(clipped: DataFrame, until) -> DataFrame:
     """
     legs = with_split_factor(ledger_legs(clipped), split_steps(clipped), "name", "t.leg = 'hold'")
     by_name = legs.groupBy("account", "leg", "name", "date").agg(
-        F.sum(F.col("move") / F.col("factor")).alias("move"), F.product("split").alias("split")
+        F.sum(F.col("move") / F.col("factor")).alias("move"), F.product("split").alias("split"),
+        F.sum(F.abs(F.col("move") / F.col("factor"))).alias("moved"),
     )
     keys = ["account", "kind", "instrument"]
     moves = (
         instruments(by_name)
         .groupBy(*keys, "date")
-        .agg(F.sum("move").alias("move"), F.product("split").alias("split"))
+        .agg(F.sum("move").alias("move"), F.product("split").alias("split"), F.sum("moved").alias("moved"))
     )
     order = Window.partitionBy(*keys).orderBy("date")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -40,7 +42,8 @@ def position_spans(clipped: DataFrame, until) -> DataFrame:
         F.col("date").alias("first_day"),
         F.coalesce(F.date_sub(F.lead("date").over(order), 1), day(until)).alias("last_day"),
         (F.sum("move").over(upto) * F.product("split").over(upto)).alias("quantity"),
-    ).where(F.abs("quantity") > FLAT)
+        (F.abs(F.sum("move").over(upto)) > ROUNDING * F.sum("moved").over(upto)).alias("_open"),
+    ).where("_open").drop("_open")
 
 
 def instrument_values(clipped: DataFrame, prices: DataFrame, until, days=None) -> DataFrame:

@@ -3,26 +3,46 @@
 A split applies to the trades of its (account, asset) strictly before it in (date, id) order.  Split rows are few
 (corporate actions), so their running products form a small interval table; trades find their interval through an
 equi-join on (account, asset), which Spark can broadcast or skew-split.  No window runs over the trades.
+
+Ratios are also kept as fractions, so quantities before and after splits meet on one whole-number axis: a row's
+``scale`` is the product of the numerators of later splits and the denominators of earlier ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify as C
 
 KEYS = ["account", "asset"]
+MOST_DENOMINATOR, OTHER_DENOMINATOR = 1000, 1_000_000
+
+
+def denominator(ratio: Column) -> Column:
+    """Smallest whole number, up to a thousand, that makes the ratio whole; a million for any other ratio."""
+    fits = F.filter(
+        F.sequence(F.lit(1), F.lit(MOST_DENOMINATOR)),
+        lambda n: F.abs(ratio * n - F.round(ratio * n)) < F.least(F.lit(1e-9), ratio * n * 1e-9),
+    )
+    return F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(OTHER_DENOMINATOR)).cast("double")
 
 
 def split_steps(ledger: DataFrame) -> DataFrame:
-    """Factor intervals per (account, asset): ``factor`` of all splits up to the interval, ``end_factor`` of all."""
+    """Factor intervals per (account, asset): ``factor`` of all splits up to the interval, ``end_factor`` of all.
+
+    ``scale`` and ``end_scale`` are their whole-number counterparts.  A ratio of zero or less, or none, is no split (the
+    row checks report it).
+    """
     order = Window.partitionBy(*KEYS).orderBy("date", "id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = order.rowsBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy(*KEYS)
+    one = F.lit(1.0)
     splits = (
-        ledger.where((F.col("action") == "SPLIT") & ~F.col("cash_like"))
-        .select(*KEYS, "date", "id", "quantity")
+        ledger.where((F.col("action") == "SPLIT") & ~F.col("cash_like") & (F.col("quantity") > 0))
+        .select(*KEYS, "date", "id", "quantity", denominator(F.col("quantity")).alias("below"))
+        .withColumn("above", F.round(F.col("quantity") * F.col("below")))
         .select(
             *KEYS,
             "date",
@@ -32,23 +52,27 @@ def split_steps(ledger: DataFrame) -> DataFrame:
             F.lead("date").over(order).alias("to_date"),
             F.lead("id").over(order).alias("to_id"),
             F.row_number().over(order).alias("n"),
+            (F.coalesce(F.product("above").over(later), one) * F.product("below").over(upto)).alias("scale"),
+            F.product("below").over(whole).alias("end_scale"),
+            F.product("above").over(whole).alias("first_scale"),
         )
     )
     # The first split of a key also opens the interval before it.
     before = F.struct(
         F.lit("0001-01-01").cast("date").alias("from_date"), F.lit(-1).cast("long").alias("from_id"),
         F.col("date").alias("to_date"), F.col("id").alias("to_id"), F.lit(1.0).alias("factor"),
+        F.col("first_scale").alias("scale"),
     )
     after = F.struct(
-        F.col("date").alias("from_date"), F.col("id").alias("from_id"), "to_date", "to_id", "factor"
+        F.col("date").alias("from_date"), F.col("id").alias("from_id"), "to_date", "to_id", "factor", "scale"
     )
     return splits.select(
-        *KEYS, "end_factor", F.inline(F.when(F.col("n") == 1, F.array(before, after)).otherwise(F.array(after)))
+        *KEYS, "end_factor", "end_scale", F.inline(F.when(F.col("n") == 1, F.array(before, after)).otherwise(F.array(after)))
     )
 
 
 def with_split_factor(rows: DataFrame, steps: DataFrame, asset: str = "asset", only: str = "true") -> DataFrame:
-    """Adds ``factor`` (splits before the row) and ``end_factor`` (all splits); 1 where there are none.
+    """Adds ``factor`` (splits before the row), ``end_factor`` (all splits), and their scales; 1 where there are none.
 
     ``asset`` names the column that holds the asset, ``only`` a condition on the rows (``t``) that splits apply to.
     """
@@ -60,6 +84,8 @@ def with_split_factor(rows: DataFrame, steps: DataFrame, asset: str = "asset", o
         "t.*",
         F.coalesce("s.factor", F.lit(1.0)).alias("factor"),
         F.coalesce("s.end_factor", F.lit(1.0)).alias("end_factor"),
+        F.coalesce("s.scale", F.lit(1.0)).alias("scale"),
+        F.coalesce("s.end_scale", F.lit(1.0)).alias("end_scale"),
     )
 
 

@@ -1,6 +1,7 @@
 """Lot matching against a sequential one-by-one matcher, with hot groups cut into small blocks."""
 
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -8,27 +9,27 @@ from ledgerloom.operators import fifo, groups, quality
 
 
 def sequential(rows, fee_in_lot=True):
-    """(sell index, buy index) -> (quantity at the sale, cost, proceeds), and the open lots' cost."""
+    """(sell index, buy index) -> (quantity at the sale, cost, proceeds), and the open lots' cost; in exact fractions."""
+    exact = lambda x: Fraction(str(x))
     lots, out = [], {}
     for i, (_, _, action, q, *rest) in enumerate(rows, 1):
-        price = rest[0] if rest else None
-        fee = rest[1] if len(rest) > 1 and rest[1] else 0.0
+        q = exact(q)
+        price = exact(rest[0]) if rest else None
+        fee = exact(rest[1]) if len(rest) > 1 and rest[1] else 0
         if action == "BUY":
             lots.append([i, q, (q * price + fee) / q])
-        elif action == "SPLIT":
+        elif action == "SPLIT" and q > 0:
             for lot in lots:
                 lot[1], lot[2] = lot[1] * q, lot[2] / q
         elif action == "SELL":
             left, proceeds = q, q * price - fee
             for lot in lots:
-                if left <= 1e-12:
-                    break
                 take = min(lot[1], left)
-                if take > 1e-12:
-                    out[(i, lot[0])] = (take, take * lot[2], proceeds * take / q)
+                if take > 0:
+                    out[(i, lot[0])] = tuple(map(float, (take, take * lot[2], proceeds * take / q)))
                     lot[1] -= take
                     left -= take
-    return out, sum(q * c for _, q, c in lots if q > 1e-12)
+    return out, float(sum(q * c for _, q, c in lots))
 
 
 def random_rows(seed, n, days=12):
@@ -64,6 +65,39 @@ def test_matches_the_sequential_matcher(make_ledger, make_prices, seed, hot_rows
     assert metrics.realized_gain == pytest.approx(sum(p - c for _, c, p in want.values()), abs=0.01)
 
 
+def decimal_rows(seed, n=60):
+    """Decimal quantities of very different size after a large turnover, with splits by 3 and 1.5 and a broken one."""
+    rng = random.Random(seed)
+    rows = [("2024-01-01", "AAA", "BUY", 1e9, 1.0), ("2024-01-02", "AAA", "SELL", 1e9, 1.0)]
+    rows += [("2024-01-03", "AAA", "BUY", 5e-10, 7.0), ("2024-01-03", "AAA", "SELL", 5e-10, 8.0), ("2024-01-03", "AAA", "SPLIT", 0.0)]
+    for day in range(4, 4 + n):
+        when = f"2024-{1 + day // 28:02d}-{1 + day % 28:02d}"
+        rows.append((when, "AAA", rng.choice(["BUY", "BUY", "SELL"]), rng.choice([0.1, 0.2, 0.3, 0.7, 1.1, 5e-10]), float(rng.randint(5, 9))))
+        if day % 20 == 0:
+            rows.append((when, "AAA", "SPLIT", rng.choice([3.0, 1.5])))
+    return rows
+
+
+@pytest.mark.parametrize("hot_rows", [2, 7, 1 << 20])
+@pytest.mark.parametrize("rows", [decimal_rows(1, 30), [
+    ("2024-01-01", "AAA", "BUY", 1e9, 1.0), ("2024-01-01", "AAA", "SELL", 1e9, 1.0),
+    *[("2024-01-02", "AAA", action, 0.1, 2.0) for action in ("BUY", "SELL") for _ in range(15)]], [
+    ("2024-01-01", "AAA", "BUY", 9.0, 1.0), ("2024-01-02", "AAA", "SPLIT", 1 / 3), ("2024-01-03", "AAA", "SELL", 3.0, 4.0),
+    ("2024-01-04", "AAA", "BUY", 2.0, 1.0), ("2024-01-05", "AAA", "SELL", 2.0, 1.0)]])
+def test_decimal_quantities_match_exactly(make_ledger, make_prices, rows, hot_rows):
+    thirds = [(*r[:3], Fraction(1, 3), *r[4:]) if r[3] == 1 / 3 else r for r in rows]
+    want, open_cost = sequential(thirds)
+    ledger, prices = make_ledger(rows), make_prices([("AAA", "2024-01-01", 100.0)])
+    got = {
+        (r.sell_id, r.matched_buy_id): (r.sell_quantity, r.cost_basis_usd, r.proceeds_usd)
+        for r in fifo.realized_gains(ledger, prices, "2024-12-01", hot_rows=hot_rows).collect()
+    }
+    assert set(got) == set(want)
+    for key, figures in want.items():
+        assert got[key] == pytest.approx(figures, rel=1e-9), key
+    assert fifo.fifo_metrics(ledger, prices, "2024-12-01", hot_rows=hot_rows).first().cost_basis == pytest.approx(open_cost, abs=0.01)
+
+
 def test_a_single_hot_day_is_cut_by_id(make_ledger, make_prices):
     rows = [("2024-01-05", "AAA", "BUY" if i % 3 else "SELL", float(1 + i % 4), 10.0) for i in range(60)]
     want, _ = sequential(rows)

@@ -302,3 +302,21 @@ def classified(ledger: DataFrame) -> DataFrame:
             "fee_key": fee_ticker(F.col("_charged"), F.col("_charged_type")),
         }
     ).drop("_paid", "_charged", "_paid_type", "_charged_type")
+
+
+def sector_weights_of(text: Column) -> Column:
+    """Array of (sector, weight) from JSON text; items that are not a text with a finite number are left out.
+
+    NULL for text that is not a JSON array.
+    """
+    kind = lambda item, path: F.schema_of_variant(F.try_variant_get(item, path, "variant"))
+    sound = F.filter(
+        F.from_json(text, "array<variant>"),
+        lambda x: (kind(x, "$.sector") == "STRING") & kind(x, "$.weight").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"),
+    )
+    return F.transform(
+        sound,
+        lambda x: F.struct(
+            F.try_variant_get(x, "$.sector", "string").alias("sector"), F.try_variant_get(x, "$.weight", "double").alias("weight")
+        ),
+    )

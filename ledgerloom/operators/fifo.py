@@ -178,9 +178,11 @@ def matched_lots(intervals: DataFrame) -> DataFrame:
 
 
 def _gain_columns(matches: DataFrame) -> DataFrame:
-    overlap = F.col("overlap").cast("double")
-    proceeds = F.col("sell.usd") * overlap / F.col("sell.units").cast("double")
-    cost = F.col("buy.usd") * overlap / F.col("buy.units").cast("double")
+    def part(side):
+        scale = F.col(f"{side}.scale")
+        return F.col(f"{side}.usd") * quantity_of(F.col("overlap"), scale) / quantity_of(F.col(f"{side}.units"), scale)
+
+    proceeds, cost = part("sell"), part("buy")
     return matches.select(
         "account",
         F.col("sell.date").alias("sell_date"),

@@ -1,7 +1,7 @@
 """The same queries as SQL text, to be run by another engine on the raw tables.
 
 Only the ledger views are shared with the Spark side.  Reports are worked out in other ways here: as-of joins
-instead of calendars, correlated products for splits, overlap joins for lots, recursion or list folds for smoothed
+instead of calendars, correlated products for splits, a recursion over events for lots, recursion or list folds for smoothed
 averages.
 """
 
@@ -258,32 +258,47 @@ lib(
     FROM (SELECT *, s - least(0, min(s) OVER (PARTITION BY account, asset ORDER BY date, id)) AS held FROM running)""",
     "running",
 )
+# Lots one event after the other: each step of the recursion takes the next event of every (account, asset) and keeps the
+# open lots as a list.  Quantities here are binary fractions, so plain numbers are exact.
+lib(
+    "events",
+    f"""SELECT *, row_number() OVER (PARTITION BY account, asset ORDER BY date, id) AS n FROM (
+      SELECT account, asset, date, id, action, units * factor AS quantity, usd FROM costed
+      UNION ALL SELECT account, asset, date, id, action, quantity, 0 FROM led WHERE action = 'SPLIT' AND NOT is_cash AND quantity > 0 AND date <= {D}
+        AND (account, asset) IN (SELECT (account, asset) FROM costed))""",
+    "costed",
+    "led",
+)
+lib(
+    "walk",
+    """SELECT DISTINCT account, asset, 0::BIGINT AS n, []::STRUCT(id BIGINT, date DATE, size DOUBLE, rest DOUBLE, usd DOUBLE)[] AS lots,
+        []::STRUCT(sell_date DATE, sell_id BIGINT, sell_quantity DOUBLE, proceeds_usd DOUBLE, cost_basis_usd DOUBLE, buy_id BIGINT, buy_date DATE)[] AS matches
+      FROM events
+    UNION ALL
+    SELECT account, asset, n, CASE action
+        WHEN 'BUY' THEN list_append(lots, {'id': id, 'date': date, 'size': quantity, 'rest': quantity, 'usd': usd})
+        WHEN 'SPLIT' THEN list_transform(lots, lambda l: {'id': l.id, 'date': l.date, 'size': l.size * quantity, 'rest': l.rest * quantity, 'usd': l.usd})
+        ELSE list_filter(list_transform(lots, lambda l, k: {'id': l.id, 'date': l.date, 'size': l.size, 'rest': l.rest - taken[k], 'usd': l.usd}), lambda l: l.rest > 0) END,
+      CASE WHEN action = 'SELL' THEN list_filter(list_transform(lots, lambda l, k: {'sell_date': date, 'sell_id': id, 'sell_quantity': taken[k],
+        'proceeds_usd': usd * taken[k] / quantity, 'cost_basis_usd': l.usd * taken[k] / l.size, 'buy_id': l.id, 'buy_date': l.date}), lambda m: m.sell_quantity > 0)
+        ELSE [] END
+    FROM (SELECT w.account, w.asset, w.lots, e.n, e.date, e.id, e.action, e.quantity, e.usd, CASE WHEN e.action = 'SELL' THEN list_transform(w.lots, lambda l, k:
+        greatest(0, least(l.rest, e.quantity - coalesce(list_sum(list_transform(w.lots[:k - 1], lambda x: x.rest)), 0)))) END AS taken
+      FROM walk w JOIN events e ON w.account = e.account AND w.asset = e.asset AND e.n = w.n + 1)""",
+    "events",
+)
 lib(
     "gains",
-    """SELECT account, sell_date, sell_id, asset, overlap * sell_factor AS sell_quantity,
-      sell_usd * overlap / sell_units AS proceeds_usd, buy_usd * overlap / buy_units AS cost_basis_usd,
-      sell_usd * overlap / sell_units - buy_usd * overlap / buy_units AS realized_gain,
-      sell_date - buy_date AS holding_days, buy_id AS matched_buy_id, buy_date AS matched_buy_date
-    FROM (SELECT s.account, s.asset, s.date AS sell_date, s.id AS sell_id, s.usd AS sell_usd, s.units AS sell_units,
-        s.factor AS sell_factor, b.date AS buy_date, b.id AS buy_id, b.usd AS buy_usd, b.units AS buy_units,
-        least(s.used, b.b) - greatest(s.used_before, b.b - b.units) AS overlap
-      FROM held s JOIN held b ON s.account = b.account AND s.asset = b.asset AND s.action = 'SELL' AND b.action = 'BUY'
-        AND s.used > b.b - b.units AND s.used_before < b.b)
-    WHERE overlap > 1e-9""",
-    "held",
+    """SELECT account, m.sell_date, m.sell_id, asset, m.sell_quantity, m.proceeds_usd, m.cost_basis_usd,
+      m.proceeds_usd - m.cost_basis_usd AS realized_gain, m.sell_date - m.buy_date AS holding_days, m.buy_id AS matched_buy_id,
+      m.buy_date AS matched_buy_date FROM (SELECT account, asset, unnest(matches) AS m FROM walk)""",
+    "walk",
 )
 lib(
     "open_lots",
-    f"""SELECT account, asset, sum(cost) AS cost, sum(units) * any_value(end_factor) AS quantity FROM (
-      SELECT h.account, h.asset, usd / units * (b - greatest(b - units, total_used)) AS cost,
-        b - greatest(b - units, total_used) AS units, end_factor
-      FROM held h JOIN (SELECT account, asset, arg_max(used, (date, id)) AS total_used FROM held GROUP BY ALL) USING (account, asset)
-      JOIN (SELECT c.account, c.asset, coalesce(product(s.quantity), 1) AS end_factor FROM
-        (SELECT DISTINCT account, asset FROM held) c LEFT JOIN led s ON s.account = c.account AND s.asset = c.asset
-        AND s.action = 'SPLIT' AND s.date <= {D} GROUP BY ALL) USING (account, asset)
-      WHERE action = 'BUY' AND b > total_used) GROUP BY account, asset""",
-    "held",
-    "led",
+    """SELECT account, asset, sum(l.usd * l.rest / l.size) AS cost, sum(l.rest) AS quantity
+    FROM (SELECT account, asset, unnest(arg_max(lots, n)) AS l FROM walk GROUP BY account, asset) GROUP BY account, asset""",
+    "walk",
 )
 lib(
     "fifo",
@@ -292,9 +307,10 @@ lib(
     FROM (SELECT a.account, round(coalesce(c.cost, 0), 2) AS cost_basis, round(coalesce(g.gain, 0), 2) AS realized_gain,
         round(coalesce(c.market, 0), 2) AS market
       FROM (SELECT DISTINCT account FROM held) a
-      LEFT JOIN (SELECT account, sum(o.cost) AS cost, sum(CASE WHEN quantity > 1e-9 THEN quantity * u.unit END) AS market
+      LEFT JOIN (SELECT account, sum(o.cost) AS cost, sum(CASE WHEN quantity > 0 THEN quantity * u.unit END) AS market
         FROM open_lots o LEFT JOIN units u ON u.ticker = o.asset GROUP BY account) c USING (account)
       LEFT JOIN (SELECT account, sum(realized_gain) AS gain FROM gains GROUP BY account) g USING (account))""",
+    "held",
     "open_lots",
     "gains",
     "units",
@@ -599,7 +615,7 @@ q("unpriced_holdings", f"""SELECT h.account, h.asset, CASE WHEN p.price IS NULL
 # --- as-of look-ups --------------------------------------------------------------------------------------------
 
 q("prices_asof", """SELECT x.ticker, x.date, CASE WHEN p.date >= x.date - 1 THEN p.price END AS recent_price, p.price
-  FROM (SELECT DISTINCT CASE currency WHEN 'USD' THEN asset ELSE currency || 'USD=X' END AS ticker, date FROM txn WHERE currency <> '') x
+  FROM (SELECT DISTINCT CASE coalesce(nullif(currency, ''), 'USD') WHEN 'USD' THEN asset ELSE currency || 'USD=X' END AS ticker, date FROM txn) x
   ASOF LEFT JOIN prices p ON p.ticker = x.ticker AND p.date <= x.date""", "txn", "prices")
 q("market_values", f"""SELECT t.account, t.id, t.asset, t.quantity * p.price * CASE WHEN {pair_of('t.asset_type')} = 'USD' THEN 1 ELSE f.price END AS value_usd
   FROM (SELECT * FROM led WHERE action IN ('BUY', 'SELL')) t ASOF LEFT JOIN prices p ON p.ticker = t.asset AND p.date <= t.date
@@ -639,8 +655,9 @@ q("summary", "SELECT * FROM summ", "summ")
 
 # --- lots, status, income --------------------------------------------------------------------------------------
 
-q("realized_gains", "SELECT * FROM gains", "gains")
-q("realized_gains_asset", "SELECT * FROM gains WHERE asset = 'AAPL' AND sell_date >= DATE '1999-01-01'", "gains")
+GAIN_ROWS = "SELECT * FROM gains"
+q("realized_gains", GAIN_ROWS, "gains")
+q("realized_gains_asset", GAIN_ROWS + " WHERE asset = 'AAPL' AND sell_date >= DATE '1999-01-01'", "gains")
 q("realized_gains_by_year", """SELECT account, CAST(year(sell_date) AS INTEGER) AS tax_year, round(coalesce(sum(realized_gain), 0), 4) AS total_realized_gain,
   round(coalesce(sum(realized_gain) FILTER (holding_days <= 365), 0), 4) AS short_term_gain,
   round(coalesce(sum(realized_gain) FILTER (holding_days > 365), 0), 4) AS long_term_gain,
@@ -1171,8 +1188,8 @@ q("dashboard_snapshot", f"""SELECT account, holding_count, allocation_usd, alloc
   JOIN (SELECT account, sum(value_usd) AS allocation_usd, CAST(count(*) AS INTEGER) AS allocation_rows FROM alloc GROUP BY account) USING (account)
   JOIN (SELECT account, CAST(count(*) AS INTEGER) AS cash_rows FROM cash_now GROUP BY account) USING (account) LEFT JOIN report_all USING (account)
   JOIN (SELECT account, CAST(count(*) FILTER (date > {D} - 365) AS INTEGER) AS history_points FROM daily GROUP BY account) USING (account)""", "summ", "alloc", "cash_now", "report_all", "daily")
-q("tick_closes", """SELECT event_type AS ticker, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) AS price, count(*) AS ticks FROM events
-  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY event_type, CAST(ts AS DATE)""")
+q("tick_closes", "SELECT event_type AS ticker, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY event_type, CAST(ts AS DATE)")
+q("sector_weight_items", "SELECT ticker, sector, weight FROM weights", "weights")
 q("hourly_closes", "SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d %H') AS hour, arg_max(value, (ts, event_id)) AS price, count(*) AS ticks FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d %H')")
 q("recalculated_returns", """SELECT * EXCLUDE (f) REPLACE (round(portfolio_daily_return, 8) AS portfolio_daily_return, round(investment_return, 8) AS investment_return) FROM daily d
   JOIN (SELECT account, min(date) AS f FROM txn WHERE action = 'TAX' AND date >= DATE '2001-03-01' GROUP BY account) USING (account) WHERE d.date >= f""", "daily", "txn")

@@ -267,8 +267,9 @@ def unpriced_holdings(s):
 
 @query
 def prices_asof(s):
-    probes = s.txn.where("currency <> ''").select(
-        F.when(F.col("currency") == "USD", F.col("asset")).otherwise(F.concat("currency", F.lit("USD=X"))).alias("ticker"),
+    currency = F.coalesce(F.nullif("currency", F.lit("")), F.lit("USD"))
+    probes = s.txn.select(
+        F.when(currency == "USD", F.col("asset")).otherwise(F.concat(currency, F.lit("USD=X"))).alias("ticker"),
         "date",
     ).distinct()
     recent = asof.price_asof(probes, s.prices, "2001-12-31", max_age_days=1).withColumnRenamed("price", "recent_price")
@@ -900,6 +901,15 @@ def dashboard_snapshot(s):
     )
 
 
+@query
+def sector_weight_items(s):
+    """Sector weights stored as JSON text, each list with items of wrong types among them."""
+    bad = '{"sector": 5, "weight": 0.5}, {"sector": "Energy", "weight": "0.5"}, {"weight": 1}, {"sector": "Energy"}, null, 7, "x"'
+    text = F.regexp_replace(F.to_json("sector_weights"), r"\]$", f", {bad}]")
+    parsed = s.metadata.where(F.size("sector_weights") > 0).select("ticker", C.sector_weights_of(text).alias("items"))
+    return parsed.select("ticker", F.inline("items"))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------
 
 def _ticks(events):
@@ -908,23 +918,13 @@ def _ticks(events):
 
 @query
 def tick_closes(s):
-    """Daily closes of the event stream, run over the files available; the open days stay in the stream's state."""
+    """Price table that the event stream fills, the open day included, over the files available."""
     folder = f"{checkpoint_folder(s.spark)}/ticks-{uuid.uuid4().hex}"
     schema = s.views.table("events").schema
     events = s.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(s.views.folder)
-    rows = (
-        ticks.closes(_ticks(events))
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", f"{folder}/state")
-        .option("path", f"{folder}/out")
-        .trigger(availableNow=True)
-        .start()
-    )
-    rows.awaitTermination()
-    return s.spark.read.parquet(f"{folder}/out").withColumn("day", F.to_date("window_start")).select(
-        "ticker", "day", "price", "ticks"
-    )
+    sinks.write_prices(f"{folder}/prices", s.prices.where("false"))
+    ticks.stream_closes_into_prices(_ticks(events), f"{folder}/prices", f"{folder}/state").awaitTermination()
+    return readers.read_prices(s.spark, f"{folder}/prices").select("ticker", F.col("date").alias("day"), "price")
 
 
 @query

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ledgerloom.schemas import PRICES
 
 
 def merge_prices(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -21,7 +24,7 @@ def upsert_prices(path: str, incoming: DataFrame) -> None:
     spark = incoming.sparkSession
     month = F.date_format("date", "yyyy-MM")
     months = incoming.select(month.alias("month")).distinct()
-    table = spark.read.parquet(path)
+    table = spark.read.schema(StructType([*PRICES, StructField("month", StringType())])).parquet(path)
     touched = table.withColumn("month", F.col("month").cast("string")).join(months, "month", "left_semi")
     merged = merge_prices(touched.drop("month"), incoming).withColumn("month", month)
     # The partitions being replaced are also read, so the result is cut from them before the overwrite.
@@ -30,10 +33,11 @@ def upsert_prices(path: str, incoming: DataFrame) -> None:
     write_prices(path, materialize(merged, "price-upsert"))
 
 
-def write_prices(path: str, prices: DataFrame) -> None:
+def write_prices(path: str, prices: DataFrame, files_per_month: int = 8) -> None:
+    """Writes the months that occur in ``prices``; a month goes to several tasks by ticker."""
     rows = prices if "month" in prices.columns else prices.withColumn("month", F.date_format("date", "yyyy-MM"))
     (
-        rows.repartition("month")
+        rows.repartition("month", F.pmod(F.hash("ticker"), F.lit(files_per_month)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month")

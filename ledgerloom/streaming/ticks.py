@@ -12,12 +12,11 @@ from ledgerloom.sources.sinks import upsert_prices
 def closes(ticks: DataFrame, late: str = "2 hours", every: str = "1 day") -> DataFrame:
     """Last value per ticker and window of a tick stream (ticker, ts, value, event_id).
 
-    Ticks later than ``late`` are dropped by the watermark; copies of a tick (same event id and time) count once;
-    ties in time are settled by the event id.  Works on a static frame as well.
+    Ticks later than ``late`` are dropped by the watermark; ties in time are settled by the event id.  Copies of a tick
+    carry its time and event id, so they count once on a stream and on a static frame alike, and never change a price.
     """
-    fresh = ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if ticks.isStreaming else (
-        ticks.dropDuplicates(["event_id"])
-    )
+    fresh = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
+    fresh = fresh.dropDuplicates(["event_id", "ts"])
     return (
         fresh.groupBy("ticker", F.window("ts", every).alias("w"))
         .agg(F.max_by("value", F.struct("ts", "event_id")).alias("price"), F.count(F.lit(1)).alias("ticks"))
@@ -26,7 +25,7 @@ def closes(ticks: DataFrame, late: str = "2 hours", every: str = "1 day") -> Dat
 
 
 def stream_closes_into_prices(ticks: DataFrame, prices_path: str, checkpoint: str, late: str = "2 hours") -> StreamingQuery:
-    """Runs the stream over what is available and upserts each finished day into the price table."""
+    """Runs the stream over what is available and upserts every day it touched, open ones too: the last write wins."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = batch.select(
@@ -35,9 +34,14 @@ def stream_closes_into_prices(ticks: DataFrame, prices_path: str, checkpoint: st
         if not rows.isEmpty():
             upsert_prices(prices_path, rows)
 
+    # Copies do not move the last value, so the update stream needs no state for them.
+    fresh = ticks.withWatermark("ts", late)
+    last = fresh.groupBy("ticker", F.window("ts", "1 day").alias("w")).agg(
+        F.max_by("value", F.struct("ts", "event_id")).alias("price")
+    )
     return (
-        closes(ticks, late)
-        .writeStream.outputMode("append")
+        last.select("ticker", F.col("w.start").alias("window_start"), "price")
+        .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(merge)

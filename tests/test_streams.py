@@ -28,12 +28,12 @@ def test_ticks_become_upserted_closes(spark, make_prices, tmp_path):
         ticks.stream_closes_into_prices(stream, prices, state).awaitTermination()
         return {(r.ticker, str(r.date)): r.price for r in read_prices(spark, prices).collect()}
 
-    # The third day is still open.
-    assert run() == {("A", "2024-01-01"): 2.0, ("B", "2024-01-01"): 5.0, ("A", "2024-01-02"): 3.0}
+    # The third day is still open; its last value so far is there.
+    assert run() == {("A", "2024-01-01"): 2.0, ("B", "2024-01-01"): 5.0, ("A", "2024-01-02"): 3.0, ("A", "2024-01-03"): 4.0}
     late = [("A", at("2024-01-01T21:00:00"), 99.0, 5), ("A", at("2024-01-04T12:00:00"), 7.0, 6)]
     spark.createDataFrame(late, TICKS).coalesce(1).write.mode("append").parquet(source)
     # The late tick belongs to a closed day and is dropped.
-    assert run() == {("A", "2024-01-01"): 2.0, ("B", "2024-01-01"): 5.0, ("A", "2024-01-02"): 3.0, ("A", "2024-01-03"): 4.0}
+    assert run() == {("A", "2024-01-01"): 2.0, ("B", "2024-01-01"): 5.0, ("A", "2024-01-02"): 3.0, ("A", "2024-01-03"): 4.0, ("A", "2024-01-04"): 7.0}
 
 
 def test_changes_rederive_only_their_accounts(spark, make_ledger, make_prices, tmp_path):

@@ -47,10 +47,14 @@ def position_spans(clipped: DataFrame, until) -> DataFrame:
 
 
 def instrument_values(clipped: DataFrame, prices: DataFrame, until, days=None) -> DataFrame:
-    """Dollar value per (account, kind, instrument, day) while the position is open.
+    """Dollar value per (account, kind, instrument, day) while the position is open; 0 without a price.
 
     ``days`` may name a Column of an array of dates built from ``first_day`` and ``last_day``; default all days.
     """
+    return _priced_positions(clipped, prices, until, days).drop("priced")
+
+
+def _priced_positions(clipped: DataFrame, prices: DataFrame, until, days=None) -> DataFrame:
     wanted = F.sequence("first_day", "last_day") if days is None else days
     spread = position_spans(clipped, until).select(
         "account", "kind", "instrument", "quantity", F.explode(wanted).alias("date")
@@ -58,14 +62,20 @@ def instrument_values(clipped: DataFrame, prices: DataFrame, until, days=None) -
     units = usd_units(daily_prices(prices, until), ("date",)).select(
         F.col("ticker").alias("instrument"), "date", "unit_usd"
     )
-    unit = F.when((F.col("kind") == "cash") & always_one(F.col("instrument")), F.lit(1.0)).otherwise(
-        F.coalesce("unit_usd", F.lit(0.0))
-    )
+    unit = F.when((F.col("kind") == "cash") & always_one(F.col("instrument")), F.lit(1.0)).otherwise(F.col("unit_usd"))
     return spread.join(units, ["instrument", "date"], "left").select(
-        "account", "kind", "instrument", "date", "quantity", (F.col("quantity") * unit).alias("value_usd")
+        "account", "kind", "instrument", "date", "quantity",
+        (F.col("quantity") * F.coalesce(unit, F.lit(0.0))).alias("value_usd"),
+        unit.isNotNull().alias("priced"),
     )
 
 
+def unpriced_days(ledger: DataFrame, prices: DataFrame, until) -> DataFrame:
+    """(account, date, unpriced): days on which an account holds assets or cash without a price or rate, and how many."""
+    held = _priced_positions(clip(C.classified(ledger), until), prices, until)
+    return held.where("NOT priced").groupBy("account", "date").agg(F.count(F.lit(1)).alias("unpriced"))
+
+
 def external_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
     """Net cash put into each account per day in dollars (deposits minus withdrawals; unrated amounts count 0)."""
     moved = clipped.where(F.col("cash_like") & F.col("action").isin("DEPOSIT", "WITHDRAW")).select(
@@ -80,13 +90,19 @@ def external_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
     )
 
 
-def daily_returns(ledger: DataFrame, prices: DataFrame, until) -> DataFrame:
-    """Value, cash flow and returns of every account on every day from its first row to ``until``."""
+def daily_returns(ledger: DataFrame, prices: DataFrame, until, unpriced: str = "refuse") -> DataFrame:
+    """Value, cash flow and returns of every account on every day from its first row to ``until``.
+
+    A day on which something held has no price would show a false fall and a false recovery, so an account's days end
+    before its first such day.  With ``unpriced="zero"`` they go on and what has no price counts 0.
+    """
+    if unpriced not in ("refuse", "zero"):
+        raise ValueError(f"unpriced: {unpriced}")
     clipped = clip(C.classified(ledger), until)
     values = (
-        instrument_values(clipped, prices, until)
+        _priced_positions(clipped, prices, until)
         .groupBy("account", "date")
-        .agg(F.sum("value_usd").alias("value"))
+        .agg(F.sum("value_usd").alias("value"), F.bool_and("priced").alias("_priced"))
     )
     spine = (
         clipped.groupBy("account")
@@ -100,10 +116,13 @@ def daily_returns(ledger: DataFrame, prices: DataFrame, until) -> DataFrame:
             "account", "date",
             F.coalesce("value", F.lit(0.0)).alias("portfolio_value"),
             F.coalesce("cash_flow", F.lit(0.0)).alias("cash_flow"),
+            F.coalesce("_priced", F.lit(True)).alias("_priced"),
         )
     )
     order = Window.partitionBy("account").orderBy("date")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if unpriced == "refuse":
+        rows = rows.withColumn("_sound", F.bool_and("_priced").over(upto)).where("_sound")
     value, before = F.col("portfolio_value"), F.col("before")
     rows = rows.withColumn("before", F.lag("portfolio_value").over(order))
     rows = rows.withColumn(

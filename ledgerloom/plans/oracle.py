@@ -389,7 +389,9 @@ lib(
     f"""SELECT s.account, i.kind, i.instrument, s.date, l.quantity,
       l.quantity * CASE WHEN i.kind = 'cash' AND {one('i.instrument')} THEN 1
         WHEN {pair_of(bucket('i.instrument'))} = 'USD' THEN coalesce(u.price, 0)
-        ELSE coalesce(u.price * f.price, 0) END AS value_usd
+        ELSE coalesce(u.price * f.price, 0) END AS value_usd,
+      NOT (i.kind = 'cash' AND {one('i.instrument')}) AND (u.price IS NULL OR
+        {pair_of(bucket('i.instrument'))} <> 'USD' AND f.price IS NULL) AS missing
     FROM spine s JOIN (SELECT DISTINCT account, kind, instrument FROM moves) i USING (account)
     ASOF JOIN levels l ON l.account = s.account AND l.kind = i.kind AND l.instrument = i.instrument AND l.date <= s.date
     LEFT JOIN quotes u ON u.ticker = i.instrument AND u.date = s.date
@@ -678,6 +680,9 @@ q("income_totals", """SELECT account, sum(usd_value) AS total_income_usd, coales
 
 # --- returns ---------------------------------------------------------------------------------------------------
 
+q("unpriced_days", "SELECT account, date, count(*) AS unpriced FROM inst_days WHERE missing GROUP BY ALL", "inst_days")
+q("guarded_returns", f"""SELECT {swap(8, 'portfolio_daily_return', 'investment_return')} FROM daily WHERE NOT EXISTS
+  (FROM inst_days i WHERE missing AND i.account = daily.account AND i.date <= daily.date)""", "daily", "inst_days")
 q("daily_returns", f"SELECT {swap(8, 'portfolio_daily_return', 'investment_return')} FROM daily", "daily")
 q("performance_report", f"SELECT {swap(6, *PERF_COLUMNS)} FROM report_all", "report_all")
 q("performance_since", f"SELECT {swap(6, *PERF_COLUMNS)} FROM report_since", "report_since")

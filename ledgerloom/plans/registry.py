@@ -406,10 +406,22 @@ def income_totals(s):
 
 @query
 def daily_returns(s):
+    rows = returns.daily_returns(s.txn, s.prices, AS_OF, "zero")
+    return rounded(rows, 8, "portfolio_daily_return", "investment_return")
+
+
+@query
+def guarded_returns(s):
+    """Daily returns that end before an account's first day without a price."""
     rows = returns.daily_returns(s.txn, s.prices, AS_OF)
     return rounded(rows, 8, "portfolio_daily_return", "investment_return")
 
 
+@query
+def unpriced_days(s):
+    return returns.unpriced_days(s.txn, s.prices, AS_OF)
+
+
 def _performance(s):
     return performance.performance(s.daily(AS_OF), s.prices, AS_OF, BENCHMARK)
 
@@ -936,7 +948,7 @@ def hourly_closes(s):
 @query
 def recalculated_returns(s):
     changed = s.txn.where("action = 'TAX' AND date >= DATE '2001-03-01'").select("account", "date")
-    rows = recalc.rederive(s.txn, s.prices, changed, AS_OF)
+    rows = recalc.rederive(s.txn, s.prices, changed, AS_OF, "zero")
     return rounded(rows, 8, "portfolio_daily_return", "investment_return")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 _TO_DELETE: set[str] = set()
@@ -32,11 +35,16 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def _delete(files, path) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already
+        files.delete(path, True)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """This session's own folder below the one the cluster names in ``spark.checkpoint.dir``.
 
     Without that setting a scratch folder serves a local master; on a cluster the executors would not see it, so the
-    call fails instead.  The folder goes when the session's JVM ends.
+    call fails instead.  The folder goes when the program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
@@ -49,5 +57,5 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if folder not in _TO_DELETE:
         _TO_DELETE.add(folder)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        atexit.register(_delete, path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
     return folder

@@ -47,10 +47,10 @@ class LedgerStore:
     macro = cached_property(lambda self: materialize(self.views.macro, "macro"))
 
     def daily(self, until: str) -> DataFrame:
-        """The stored daily-returns table up to ``until``."""
+        """The stored daily-returns table up to ``until``; the mapped quotes have gaps, which count 0 here."""
         from ledgerloom.operators.returns import daily_returns
 
         tables = self.__dict__.setdefault("_daily", {})
         if until not in tables:
-            tables[until] = materialize(daily_returns(self.txn, self.prices, until), "daily-returns")
+            tables[until] = materialize(daily_returns(self.txn, self.prices, until, "zero"), "daily-returns")
         return tables[until]

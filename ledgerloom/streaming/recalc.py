@@ -9,15 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.operators.returns import daily_returns
 
 
-def rederive(ledger: DataFrame, prices: DataFrame, changed: DataFrame, until) -> DataFrame:
+def rederive(ledger: DataFrame, prices: DataFrame, changed: DataFrame, until, unpriced: str = "refuse") -> DataFrame:
     """Daily returns of the accounts in ``changed`` (account, date), from each one's earliest change on."""
     since = changed.groupBy("account").agg(F.min("date").alias("recalc_from"))
     affected = ledger.join(since.select("account"), "account", "left_semi")
-    return daily_returns(affected, prices, until).join(since, "account").where("date >= recalc_from").drop("recalc_from")
+    daily = daily_returns(affected, prices, until, unpriced)
+    return daily.join(since, "account").where("date >= recalc_from").drop("recalc_from")
 
 
 def stream_recalculation(
-    changes: DataFrame, load_ledger, prices: DataFrame, out_path: str, checkpoint: str, until
+    changes: DataFrame, load_ledger, prices: DataFrame, out_path: str, checkpoint: str, until, unpriced: str = "refuse"
 ) -> StreamingQuery:
     """Runs over the changes available and overwrites the partitions of the accounts they touch.
 
@@ -28,7 +29,7 @@ def stream_recalculation(
         accounts = batch.select("account").distinct()
         ledger = load_ledger().join(accounts, "account", "left_semi")
         (
-            daily_returns(ledger, prices, until)
+            daily_returns(ledger, prices, until, unpriced)
             .repartition("account")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

@@ -133,3 +133,21 @@ def test_decomposition_of_dividend_growth(make_ledger, make_prices):
     daily = returns.daily_returns(ledger, prices, DAY)
     row = status.decomposition(ledger, prices, daily, DAY).first()
     assert (row.initial_value, row.current_value, row.from_returns_usd, row.total_income) == (1000.0, 1030.0, 0.0, 30.0)
+
+
+def test_days_without_a_price_are_refused(make_ledger, make_prices):
+    ledger = make_ledger([("2024-01-02", "USD", "DEPOSIT", 100), ("2024-01-04", "AAA", "BUY", 1, 10), ("2024-01-05", "BBB", "BUY", 1, 10)])
+    prices = make_prices([("AAA", "2024-01-01", 10), ("BBB", "2024-01-07", 10)])
+    days = lambda mode: [str(r.date) for r in returns.daily_returns(ledger, prices, "2024-01-08", mode).orderBy("date").collect()]
+    assert days("refuse") == ["2024-01-02", "2024-01-03", "2024-01-04"] and len(days("zero")) == 7
+    gaps = {(str(r.date), r.unpriced) for r in returns.unpriced_days(ledger, prices, "2024-01-08").collect()}
+    assert gaps == {("2024-01-05", 1), ("2024-01-06", 1)}
+
+
+def test_sector_weights_are_type_checked(spark):
+    from ledgerloom.functions.classify import sector_weights_of
+
+    texts = ['[{"sector": "A", "weight": 0.5}, {"sector": 1, "weight": 0.5}, {"sector": "B", "weight": "1"}, 3, null]', "[]", "{}", "junk", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(sector_weights_of(F.col("t"))).collect()]
+    assert [None if x is None else [tuple(i) for i in x] for x in got][:2] == [[("A", 0.5)], []]
+    assert got[3] is None and got[4] is None

@@ -239,7 +239,7 @@ def layout(docs: DataFrame) -> Layout:
     got = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(math.ceil(got.b / BLOCK_BYTES), min(tasks, math.ceil(got.b / (BLOCK_BYTES >> 4))), 1)
-    segments = max(math.ceil(got.b / (2 * BLOCK_BYTES)), min(tasks, math.ceil(got.b / (BLOCK_BYTES >> 2))), 1)
+    segments = max(math.ceil(got.b / BLOCK_BYTES), min(tasks, math.ceil(got.b / (BLOCK_BYTES >> 2))), 1)
     return Layout(got.n, got.b, blocks, segments)
 
 

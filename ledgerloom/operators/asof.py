@@ -87,7 +87,10 @@ def always_one(key: Column) -> Column:
 
 
 def add_rate(rows: DataFrame, key: str, daily: DataFrame, out: str = "rate") -> DataFrame:
-    """Dollar rate of the cash key ``key`` on each row's ``date``; NULL where no quote exists yet."""
+    """Dollar rate of the cash key ``key`` on each row's ``date``; NULL where no quote exists yet.
+
+    Cash keys and fee keys are dollars, stablecoins, currency pairs or ``COIN-USD``.
+    """
     quotes = daily.select(F.col("ticker").alias(key), "date", F.col("price").alias("_quote"))
     return (
         rows.join(quotes, [key, "date"], "left")
@@ -96,6 +99,11 @@ def add_rate(rows: DataFrame, key: str, daily: DataFrame, out: str = "rate") ->
     )
 
 
+def daily_rates(prices: DataFrame, until) -> DataFrame:
+    """The daily calendar of what ``add_rate`` can ask for: currency pairs and coins."""
+    return daily_prices(prices.where(F.col("ticker").endswith("USD=X") | F.col("ticker").endswith("-USD")), until)
+
+
 def price_asof(probes: DataFrame, prices: DataFrame, until, max_age_days: int | None = None) -> DataFrame:
     """Adds the latest price at or before each probe's date (optionally no older than ``max_age_days``)."""
     daily = daily_prices(prices, until, max_age_days)
@@ -128,7 +136,7 @@ def cash_to_usd(rows: DataFrame, prices: DataFrame, until) -> DataFrame:
         "_key", C.normalize_cash_asset(F.col("asset"), F.col("_type"))
     )
     return (
-        add_rate(keyed, "_key", daily_prices(prices, until), "_rate")
+        add_rate(keyed, "_key", daily_rates(prices, until), "_rate")
         .withColumn("usd_value", F.col("quantity") * F.col("_rate"))
         .drop("_type", "_key", "_rate")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify as C
-from ledgerloom.operators.asof import add_rate, clip, daily_prices, latest_prices, usd_units
+from ledgerloom.operators.asof import add_rate, clip, daily_prices, daily_rates, latest_prices, usd_units
 from ledgerloom.operators.groups import BLOCK, HOT_ROWS, split_hot_groups
 from ledgerloom.operators.splits import KEYS, split_steps, with_split_factor
 from ledgerloom.sources.store import materialize
@@ -57,7 +57,7 @@ def add_costs(rows: DataFrame, prices: DataFrame, until) -> DataFrame:
 
     NULL where the ledger currency has no rate yet.
     """
-    daily = daily_prices(prices, until).select("ticker", "date", "price")
+    daily = daily_rates(prices, until).select("ticker", "date", "price")
     rated = add_rate(add_rate(rows, "pay_key", daily, "pay_rate"), "fee_key", daily, "fee_rate")
     paid, fee = F.col("amount") * F.col("pay_rate"), F.col("fees") * F.col("fee_rate")
     return rated.withColumn("usd", F.when(F.col("action") == "BUY", paid + fee).otherwise(paid - fee)).drop(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify as C
-from ledgerloom.operators.asof import add_rate, clip, daily_prices, day
+from ledgerloom.operators.asof import add_rate, clip, daily_rates, day
 
 TOLERANCE = 1e-7
 STEPS = 200
@@ -127,7 +127,7 @@ def account_flows(ledger: DataFrame, prices: DataFrame, values: DataFrame, as_of
     per_day = moved.groupBy("account", "date", "asset", "asset_type", (F.col("amount") > 0).alias("incoming")).agg(
         F.sum("amount").alias("amount")
     ).withColumn("key", C.normalize_cash_asset(F.col("asset"), F.col("asset_type")))
-    rated = add_rate(per_day, "key", daily_prices(prices, as_of)).select(
+    rated = add_rate(per_day, "key", daily_rates(prices, as_of)).select(
         "account", "date", (F.col("amount") * F.col("rate")).alias("amount")
     ).where("amount IS NOT NULL")
     final = values.where("portfolio_value > 0").select(

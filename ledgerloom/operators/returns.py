@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify as C
 from ledgerloom.functions.stats import log_growth
-from ledgerloom.operators.asof import add_rate, always_one, clip, daily_prices, day, usd_units
+from ledgerloom.operators.asof import add_rate, always_one, clip, daily_prices, daily_rates, day, usd_units
 from ledgerloom.operators.cash import instruments, ledger_legs
 from ledgerloom.operators.splits import split_steps, with_split_factor
 
@@ -84,7 +84,7 @@ def external_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
     )
     per_key = moved.groupBy("account", "asset", "asset_type", "date").agg(F.sum("amount").alias("amount"))
     per_key = per_key.withColumn("key", C.normalize_cash_asset(F.col("asset"), F.col("asset_type")))
-    rated = add_rate(per_key, "key", daily_prices(prices, until))
+    rated = add_rate(per_key, "key", daily_rates(prices, until))
     return rated.groupBy("account", "date").agg(
         F.sum(F.col("amount") * F.coalesce("rate", F.lit(0.0))).alias("cash_flow")
     )

@@ -47,12 +47,23 @@ def macro_regime(observations: DataFrame, bars: DataFrame, index: str = "SPY") -
     """Regime per month from valuation, sentiment, unemployment and the index against its 200-bar mean.
 
     ``observations`` has one row per month end (date, cape, fear_greed, unrate), any value NULL when missing.
+    Unemployment and the index are taken as of the month: the last value there is.  Valuation and sentiment count
+    for their own month only.  The window runs over one row a month.
     """
     spx = month_ends(with_sma(bars, index, 200)).select(
         F.col("month").alias("date"), F.col("close").alias("spx_price"), F.col("sma").alias("sma200")
     )
     spx = spx.where("sma200 IS NOT NULL")
-    rows = observations.join(spx, "date", "left")
+    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    index_row = F.when(F.col("sma200").isNotNull(), F.struct("spx_price", "sma200"))
+    rows = observations.join(spx, "date", "full").withColumns(
+        {
+            "unrate": F.last("unrate", ignorenulls=True).over(upto),
+            "_index": F.last(index_row, ignorenulls=True).over(upto),
+        }
+    ).join(observations.select("date"), "date", "left_semi").select(
+        "date", "cape", "fear_greed", "unrate", "_index.spx_price", "_index.sma200"
+    )
     flags = [
         F.col("cape") > CAPE_PEAK,
         F.col("fear_greed") > FEAR_GREED_PEAK,
@@ -85,7 +96,6 @@ class BuyPlan:
     budget: float = 1000.0
     weights: dict[str, float] = field(default_factory=lambda: {"SPYM": 0.80, "SCHD": 0.10, "XLU": 0.05})
     cash_fund: str = "SGOV"
-    cash_fund_weight: float = 0.05
     core: str = "SPYM"
     rsi_caps: dict[str, float] = field(default_factory=lambda: {"SPYM": 70.0, "SCHD": 65.0, "XLU": 65.0})
     sma_bars: int = 90
@@ -96,6 +106,9 @@ class BuyPlan:
     fear_below: float = 20.0
     fear_bonus: float = 60.0
     cash_extra: float = 0.10
+    least_risk: float = 0.80
+    standing: dict[str, float] = field(default_factory=lambda: {"BTC-USD": 100.0})
+    kill_months: int = 6
 
 
 # Cash keys that count as idle cash besides the cash fund.
@@ -134,53 +147,112 @@ def buy_filters(bars: DataFrame, plan: BuyPlan) -> DataFrame:
     return rows.select("ticker", "month", "close", "sma", "rsi", F.coalesce(passes, F.lit(False)).alias("passes"))
 
 
-def buy_map(shares: DataFrame, regimes: DataFrame, filters: DataFrame, plan: BuyPlan | None = None) -> DataFrame:
+def buy_map(
+    shares: DataFrame, regimes: DataFrame, filters: DataFrame, plan: BuyPlan | None = None, trailing: DataFrame | None = None
+) -> DataFrame:
     """Planned purchases per account, month and fund.
 
-    A blocked fund's amount is deferred, never moved into the cash fund.  At or above the cash ceiling all new money
-    goes to the core fund; while idle cash exceeds the surcharge level the core fund gets a fixed extra.  Deep fear
-    moves a bonus from the cash fund to the risk funds by weight; two months in a row above the ceiling add ten
-    points to the risk funds, core fund first.
+    * A blocked fund's amount is deferred to the next round in which the core fund may be bought, never moved into the
+      cash fund; so is budget that no fund was planned to get.  ``carried_usd`` is what a round finds waiting.
+    * At or above the cash ceiling all new money goes to the core fund; while idle cash exceeds the surcharge level the
+      core fund gets a fixed extra.  The cash fund is bought below the target band only, with the budget left.
+    * Deep fear moves a bonus out of the cash fund into the risk funds by weight (a negative ``buy_usd`` is a sale).
+    * The month after two months above the ceiling gives ten points more to the risk funds; to the core fund alone
+      while idle cash is still at the ceiling.
+    * ``kill_switch`` is set after ``kill_months`` months in a row above the ceiling when ``trailing`` (the rows of
+      ``underperformance``) has an alert over 24 months.
+    * An AGGRESSIVE month plans at least ``least_risk`` of the budget for risk funds, unless the switch is set;
+      ``below_risk_floor`` says that filters, all of them known, held purchases under it.
+    * Standing orders are bought every month at any price.
+
+    An account has one row a month here; windows run over an account's months.
     """
     plan = plan or BuyPlan()
+    funds, weight = list(plan.weights), sum(plan.weights.values())
     by_month = Window.partitionBy("account").orderBy("month")
-    rows = shares.withColumn("share_before", F.lag("idle_share").over(by_month))
-    rows = rows.join(
-        regimes.select(F.col("date").alias("month"), "regime", "fear_greed"), "month", "left"
-    ).withColumn("regime", F.coalesce("regime", F.lit("CAUTION")))
-    share = F.coalesce("idle_share", F.lit(0.0))
-    high = share >= plan.ceiling
-    persists = (F.col("idle_share") > plan.ceiling) & (F.col("share_before") > plan.ceiling)
-    fear = F.coalesce(F.col("fear_greed") < plan.fear_below, F.lit(False))
-    total_weight = sum(plan.weights.values())
-    slots = []
-    for fund, weight in {**plan.weights, plan.cash_fund: plan.cash_fund_weight}.items():
-        core, is_cash = fund == plan.core, fund == plan.cash_fund
-        base = plan.budget * weight
-        if is_cash:
-            amount = F.when(share < plan.target_low, F.lit(base)).otherwise(0.0)
-        elif core:
-            amount = F.when(high, F.lit(plan.budget)).otherwise(F.lit(base))
-        else:
-            amount = F.when(high, F.lit(0.0)).otherwise(F.lit(base))
-        bonus = F.when(fear, F.lit(plan.fear_bonus * weight / total_weight)).otherwise(0.0) if not is_cash else F.lit(0.0)
-        extra = F.when(persists, F.lit(plan.budget * plan.cash_extra)).otherwise(0.0) if core else F.lit(0.0)
-        added = F.when(share > plan.surcharge_above, F.lit(plan.surcharge)).otherwise(0.0) if core else F.lit(0.0)
-        slots.append(
-            F.struct(
-                F.lit(fund).alias("ticker"), F.lit(is_cash).alias("is_cash"), amount.alias("base_usd"),
-                (bonus + extra).alias("bonus_usd"), added.alias("surcharge_usd"),
-            )
+    share, above = F.coalesce("idle_share", F.lit(0.0)), F.col("idle_share") > plan.ceiling
+    streak = F.count(F.when(above, 1)).over(by_month.rowsBetween(1 - plan.kill_months, Window.currentRow))
+    rows = shares.select(
+        "account", "month", "idle_share", share.alias("share"), (streak == plan.kill_months).alias("long_high"),
+        F.coalesce(F.lag(above, 1).over(by_month) & F.lag(above, 2).over(by_month), F.lit(False)).alias("step"),
+    ).join(regimes.select(F.col("date").alias("month"), "regime", "fear_greed"), "month", "left")
+    if trailing is None:
+        rows = rows.withColumn("behind", F.lit(False))
+    else:
+        alerts = trailing.where("alert AND window_months = 24").select("account", F.col("date").alias("month"))
+        rows = rows.join(alerts.distinct().withColumn("behind", F.lit(True)), ["account", "month"], "left")
+    by_fund = filters.groupBy("month").agg(
+        *[F.max(F.when(F.col("ticker") == f, F.struct("rsi", "passes"))).alias(f"f{i}") for i, f in enumerate(funds)]
+    )
+    rows = rows.join(by_fund, "month", "left").withColumns(
+        {
+            "regime": F.coalesce("regime", F.lit("CAUTION")),
+            "kill_switch": F.col("long_high") & F.coalesce("behind", F.lit(False)),
+            "fear": F.coalesce(F.col("fear_greed") < plan.fear_below, F.lit(False)),
+            "high": F.col("share") >= plan.ceiling,
+        }
+    )
+    high, none = F.col("high"), F.lit(0.0)
+    floored = (F.col("regime") == "AGGRESSIVE") & ~F.col("kill_switch")
+    planned = {}
+    for i, fund in enumerate(funds):
+        part, core = plan.weights[fund] / weight, fund == plan.core
+        base = F.when(high, F.lit(plan.budget if core else 0.0)).otherwise(plan.budget * plan.weights[fund])
+        if core:
+            base = base + F.when(floored & ~high, max(0.0, plan.least_risk - weight) * plan.budget).otherwise(none)
+        step = F.when(high, F.lit(1.0 if core else 0.0)).otherwise(part) * plan.budget * plan.cash_extra
+        planned[f"base{i}"] = base
+        planned[f"bonus{i}"] = F.when(F.col("fear"), plan.fear_bonus * part).otherwise(none) + F.when(
+            F.col("step"), step
+        ).otherwise(none)
+        planned[f"more{i}"] = F.when(F.col("share") > plan.surcharge_above, plan.surcharge).otherwise(none) if core else none
+        planned[f"ok{i}"] = F.coalesce(F.col(f"f{i}.passes"), F.lit(False))
+    rows = rows.withColumns(planned)
+    n = range(len(funds))
+    low = F.col("share") < plan.target_low
+    unplanned = F.greatest(plan.budget - sum((F.col(f"base{i}") for i in n), none), none)
+    wanted = [F.col(f"base{i}") + F.col(f"bonus{i}") + F.col(f"more{i}") for i in n]
+    held = sum((F.when(F.col(f"ok{i}"), none).otherwise(wanted[i]) for i in n), none)
+    bought = sum((F.when(F.col(f"ok{i}"), F.col(f"base{i}") + F.col(f"bonus{i}")).otherwise(none) for i in n), none)
+    known = F.lit(True)
+    for i in n:
+        known = known & F.col(f"f{i}.passes").isNotNull()
+    core_ok = F.col(f"ok{funds.index(plan.core)}")
+    rows = rows.withColumns(
+        {
+            "cash_base": F.when(low, unplanned).otherwise(none),
+            "held": held + F.when(low, none).otherwise(unplanned),
+            "below_risk_floor": floored & known & (bought < plan.least_risk * plan.budget),
+            "_round": F.coalesce(
+                F.sum(core_ok.cast("long")).over(by_month.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ),
+        }
+    ).withColumn("_before", F.coalesce(F.lag("held").over(by_month), none))
+    this_round = Window.partitionBy("account", "_round").orderBy("month")
+    rows = rows.withColumn("pool", F.sum("_before").over(this_round.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    def slot(ticker, rsi, base, bonus, more, carried, ok):
+        amount = base + bonus + more
+        return F.struct(
+            F.lit(ticker).alias("ticker"), rsi.cast("double").alias("rsi"), base.alias("base_usd"), bonus.alias("bonus_usd"),
+            more.alias("surcharge_usd"), carried.alias("carried_usd"),
+            F.when(ok, amount + carried).otherwise(none).alias("buy_usd"),
+            F.when(ok, none).otherwise(amount).alias("deferred_usd"),
         )
-    planned = rows.select("account", "month", "regime", "idle_share", F.inline(F.array(*slots)))
-    planned = planned.join(filters.select("ticker", "month", "rsi", "passes"), ["ticker", "month"], "left")
-    allowed = F.col("is_cash") | F.coalesce("passes", F.lit(False))
-    wanted = F.col("base_usd") + F.col("bonus_usd") + F.col("surcharge_usd")
-    return planned.select(
-        "account", "month", "ticker", "regime", "idle_share", "rsi",
-        "base_usd", "bonus_usd", "surcharge_usd",
-        F.when(allowed, wanted).otherwise(0.0).alias("buy_usd"),
-        F.when(allowed, 0.0).otherwise(wanted).alias("deferred_usd"),
+
+    slots = [
+        slot(
+            fund, F.col(f"f{i}.rsi"), F.col(f"base{i}"), F.col(f"bonus{i}"), F.col(f"more{i}"),
+            F.col("pool") if fund == plan.core else none, F.col(f"ok{i}"),
+        )
+        for i, fund in enumerate(funds)
+    ]
+    always, no_rsi = F.lit(True), F.lit(None)
+    from_cash = F.when(F.col("fear"), F.lit(-plan.fear_bonus)).otherwise(none)
+    slots.append(slot(plan.cash_fund, no_rsi, F.col("cash_base"), from_cash, none, none, always))
+    slots += [slot(t, no_rsi, F.lit(usd), none, none, none, always) for t, usd in plan.standing.items()]
+    return rows.select(
+        "account", "month", "regime", "kill_switch", "below_risk_floor", "idle_share", F.inline(F.array(*slots))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify as C
 from ledgerloom.functions.stats import ratio
-from ledgerloom.operators.asof import add_rate, clip, daily_prices
+from ledgerloom.operators.asof import add_rate, clip, daily_rates
 from ledgerloom.operators.fifo import HOT_ROWS, fifo_metrics
 from ledgerloom.operators.holdings import portfolio_value
 
@@ -56,7 +56,7 @@ def usd_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
     key = F.when(F.col("leg") == "fee", C.fee_ticker(name, bucket)).when(
         F.col("leg") == "own", C.normalize_cash_asset(name, bucket)
     )
-    rated = add_rate(per_day.withColumn("key", key), "key", daily_prices(prices, until))
+    rated = add_rate(per_day.withColumn("key", key), "key", daily_rates(prices, until))
     names = sorted(set(FLOW_OF_ACTION.values()))
     usd = F.col("amount") * F.col("rate")
     return rated.groupBy("account", "as_of").agg(
@@ -146,7 +146,7 @@ def income(ledger: DataFrame, prices: DataFrame, as_of, from_date=None, asset: s
         .agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
         .withColumn("key", C.normalize_cash_asset(F.col("asset"), F.col("asset_type")))
     )
-    rated = add_rate(per_day, "key", daily_prices(prices, as_of))
+    rated = add_rate(per_day, "key", daily_rates(prices, as_of))
     return (
         rated.groupBy("account", "asset", "action", "currency")
         .agg(

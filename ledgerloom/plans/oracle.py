@@ -1155,7 +1155,9 @@ lib("index200", f"""SELECT last_day(date) AS date, arg_max(close, date) AS spx_p
   GROUP BY last_day(date) HAVING arg_max(CASE WHEN sma IS NULL THEN 0 ELSE 1 END, date) = 1""", "bars")
 lib("regime", """SELECT *, CASE WHEN missing_count > 1 THEN 'CAUTION' WHEN peak_count <= 1 THEN 'AGGRESSIVE' WHEN peak_count = 2 THEN 'CAUTION' ELSE 'PROTECTION' END AS regime FROM (
   SELECT m.*, spx_price, sma200, (cape > 30)::INT + coalesce(fear_greed > 75, FALSE)::INT + coalesce(unrate <= 3.8, FALSE)::INT + coalesce(spx_price <= sma200, FALSE)::INT AS peak_count,
-    (fear_greed IS NULL)::INT + (unrate IS NULL)::INT + (spx_price IS NULL)::INT AS missing_count FROM macro m LEFT JOIN index200 USING (date))""", "macro", "index200")
+    (fear_greed IS NULL)::INT + (unrate IS NULL)::INT + (spx_price IS NULL)::INT AS missing_count
+  FROM (SELECT a.date, a.cape, a.fear_greed, u.unrate FROM macro a ASOF LEFT JOIN (SELECT date, unrate FROM macro WHERE unrate IS NOT NULL) u ON a.date >= u.date) m
+  ASOF LEFT JOIN index200 x ON m.date >= x.date)""", "macro", "index200")
 q("macro_regime", """SELECT date, cape, fear_greed, unrate, spx_price, sma200, unrate BETWEEN 3.8 AND 4.8 AS unrate_ok_band, unrate > 4.8 AS labor_warning,
   peak_count, missing_count, regime, CASE WHEN missing_count > 1 THEN missing_count || ' indicators missing' ELSE peak_count || ' PEAK' END AS regime_reason FROM regime""", "regime")
 lib("shares", """SELECT account, date AS month, sum(value_usd) AS portfolio_value, coalesce(sum(value_usd) FILTER ((kind = 'cash' AND instrument IN ('USD', 'USDT', 'USDC', 'GBPUSD=X', 'EURUSD=X'))
@@ -1167,22 +1169,38 @@ lib("filt", """SELECT ticker, last_day(date) AS month, arg_max(close, date) AS c
   FROM nb b LEFT JOIN rsi_all r USING (ticker, date) WHERE b.ticker IN ('SPYM', 'SCHD', 'XLU')) GROUP BY ALL""", "nb", "rsi_all")
 lib("passed", "SELECT *, coalesce(rsi < CASE ticker WHEN 'SPYM' THEN 70 ELSE 65 END, FALSE) OR coalesce(close < sma, FALSE) AS passes FROM filt", "filt")
 q("buy_filters", "SELECT ticker, month, close, sma, round(rsi, 6) AS rsi, passes FROM passed", "passed")
-q("buy_map", """SELECT account, month, ticker, regime, round(idle_share, 6) AS idle_share, round(rsi, 6) AS rsi, round(base_usd, 4) AS base_usd, round(bonus_usd, 4) AS bonus_usd, surcharge_usd,
-  round(CASE WHEN ok THEN base_usd + bonus_usd + surcharge_usd ELSE 0 END, 4) AS buy_usd, round(CASE WHEN ok THEN 0 ELSE base_usd + bonus_usd + surcharge_usd END, 4) AS deferred_usd
-  FROM (SELECT i.account, i.month, v.t AS ticker, coalesce(g.regime, 'CAUTION') AS regime, idle_share, p.rsi, v.t = 'SGOV' OR coalesce(p.passes, FALSE) AS ok,
-      CASE WHEN v.t = 'SGOV' THEN CASE WHEN sh < 0.25 THEN 50.0 ELSE 0 END WHEN v.t = 'SPYM' THEN CASE WHEN sh >= 0.45 THEN 1000.0 ELSE 800.0 END
-        ELSE CASE WHEN sh >= 0.45 THEN 0 ELSE 1000.0 * v.w END END::DOUBLE AS base_usd,
-      (CASE WHEN fear_greed < 20 AND v.t <> 'SGOV' THEN 60.0 * v.w / 0.95 ELSE 0 END + CASE WHEN v.t = 'SPYM' AND idle_share > 0.45 AND share_before > 0.45 THEN 100.0 ELSE 0 END)::DOUBLE AS bonus_usd,
-      CASE WHEN v.t = 'SPYM' AND sh > 0.30 THEN 1000.0 ELSE 0 END::DOUBLE AS surcharge_usd
-    FROM (SELECT *, coalesce(idle_share, 0) AS sh, lag(idle_share) OVER (PARTITION BY account ORDER BY month) AS share_before FROM idle) i
-    CROSS JOIN (VALUES ('SPYM', 0.8), ('SCHD', 0.1), ('XLU', 0.05), ('SGOV', 0.05)) v(t, w)
-    LEFT JOIN regime g ON g.date = i.month LEFT JOIN passed p ON p.month = i.month AND p.ticker = v.t)""", "idle", "regime", "passed")
 lib("rolls", "SELECT * FROM roll12 UNION ALL SELECT * FROM roll24", "roll12", "roll24")
 q("underperformance", f"""SELECT account, date, window_months, round(return_pct, 6) AS return_pct, round(bp, 6) AS benchmark_pct, round(bp - return_pct, 6) AS shortfall_pct,
   bp - return_pct > CASE window_months WHEN 12 THEN 10 ELSE 20 END AS alert FROM (SELECT r.account, r.date, r.window_months, r.return_pct, (e.price / b.price - 1) * 100 AS bp
   FROM (SELECT *, '{BENCHMARK}' AS t, CAST(date - to_months(window_months) AS DATE) AS s FROM rolls) r ASOF JOIN prices e ON e.ticker = r.t AND e.date <= r.date
   ASOF JOIN prices b ON b.ticker = r.t AND b.date <= r.s)""", "rolls", "prices")
 
+lib("under", SQL["underperformance"])
+# One row per month; then per month and fund; what a month leaves; the months since the last round of the core fund.
+lib("bm_month", """SELECT i.account, i.month, coalesce(g.regime, 'CAUTION') AS regime, coalesce(g.fear_greed < 20, FALSE) AS fear, idle_share, coalesce(idle_share, 0) AS sh,
+    coalesce(lag(idle_share) OVER w > 0.45 AND lag(idle_share, 2) OVER w > 0.45, FALSE) AS step,
+    count(*) FILTER (idle_share > 0.45) OVER (PARTITION BY account ORDER BY month ROWS 5 PRECEDING) = 6
+      AND EXISTS (SELECT 1 FROM under u WHERE u.account = i.account AND u.date = i.month AND u.window_months = 24 AND u.alert) AS kill
+  FROM idle i LEFT JOIN regime g ON g.date = i.month WINDOW w AS (PARTITION BY account ORDER BY month)""", "idle", "regime", "under")
+lib("bm_fund", """SELECT m.*, v.t, p.rsi, p.passes, v.w IS NULL OR coalesce(p.passes, FALSE) AS ok,
+    CASE WHEN v.t = 'BTC-USD' THEN 100 WHEN v.t = 'SGOV' THEN CASE WHEN sh < 0.25 THEN 50 ELSE 0 END WHEN sh >= 0.45 THEN CASE v.t WHEN 'SPYM' THEN 1000 ELSE 0 END ELSE 1000 * v.w END::DOUBLE AS base,
+    CASE WHEN v.t = 'BTC-USD' THEN 0 WHEN v.t = 'SGOV' THEN CASE WHEN fear THEN -60 ELSE 0 END
+      ELSE CASE WHEN fear THEN 60 * v.w / 0.95 ELSE 0 END + CASE WHEN NOT step THEN 0 WHEN sh < 0.45 THEN 100 * v.w / 0.95 WHEN v.t = 'SPYM' THEN 100 ELSE 0 END END::DOUBLE AS bonus,
+    CASE WHEN v.t = 'SPYM' AND sh > 0.30 THEN 1000 ELSE 0 END::DOUBLE AS more
+  FROM bm_month m CROSS JOIN (VALUES ('SPYM', 0.8::DOUBLE), ('SCHD', 0.1), ('XLU', 0.05), ('SGOV', NULL), ('BTC-USD', NULL)) v(t, w)
+  LEFT JOIN passed p ON p.month = m.month AND p.ticker = v.t""", "bm_month", "passed")
+lib("bm_left", """SELECT *, max(month) FILTER (core) OVER (PARTITION BY account ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM (
+  SELECT account, month, bool_or(ok) FILTER (t = 'SPYM') AS core, coalesce(sum(base + bonus + more) FILTER (NOT ok), 0) + CASE WHEN any_value(sh) >= 0.25 AND any_value(sh) < 0.45 THEN 50 ELSE 0 END AS held,
+    any_value(regime) = 'AGGRESSIVE' AND NOT any_value(kill) AND count(passes) FILTER (t IN ('SPYM', 'SCHD', 'XLU')) = 3
+      AND coalesce(sum(base + bonus) FILTER (ok AND t IN ('SPYM', 'SCHD', 'XLU')), 0) < 800 AS under_floor
+  FROM bm_fund GROUP BY account, month)""", "bm_fund")
+lib("bm_pool", """SELECT a.account, a.month, any_value(a.under_floor) AS under_floor, coalesce(sum(b.held), 0) AS pool FROM bm_left a
+  LEFT JOIN bm_left b ON b.account = a.account AND b.month < a.month AND (a.since IS NULL OR b.month >= a.since) GROUP BY a.account, a.month""", "bm_left")
+q("buy_map", """SELECT account, month, t AS ticker, regime, kill AS kill_switch, under_floor AS below_risk_floor, round(idle_share, 6) AS idle_share, round(rsi, 6) AS rsi,
+  round(base, 4) AS base_usd, round(bonus, 4) AS bonus_usd, more AS surcharge_usd, round(carried, 4) AS carried_usd,
+  round(CASE WHEN ok THEN base + bonus + more + carried ELSE 0 END, 4) AS buy_usd, round(CASE WHEN ok THEN 0 ELSE base + bonus + more END, 4) AS deferred_usd
+  FROM (SELECT f.*, under_floor, CASE WHEN t = 'SPYM' THEN pool ELSE 0 END::DOUBLE AS carried FROM bm_fund f JOIN bm_pool USING (account, month))""", "bm_fund", "bm_pool")
+
 # --- documents, streams ----------------------------------------------------------------------------------------
 
 q("publish_snapshot", f"""SELECT account, portfolio_value_usd, today_abs, coalesce(total_gain, 0) AS total_abs, points AS history_points,

@@ -861,8 +861,10 @@ def buy_map(s):
         rules.macro_regime(s.macro, s.bars, BENCHMARK),
         rules.buy_filters(_bars(s), plan),
         plan,
+        rules.underperformance(s.daily(AS_OF), s.prices, AS_OF, BENCHMARK),
     )
-    return rounded(rounded(rows, 6, "idle_share", "rsi"), 4, "bonus_usd", "buy_usd", "deferred_usd", "base_usd")
+    dollars = ("bonus_usd", "carried_usd", "buy_usd", "deferred_usd", "base_usd")
+    return rounded(rounded(rows, 6, "idle_share", "rsi"), 4, *dollars)
 
 
 @query

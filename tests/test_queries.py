@@ -14,7 +14,7 @@ CHECKED = (
     "ledger_page", "price_upsert", "metadata_upsert", "asset_classes", "trading_days", "row_validation", "oversold_sales",
     "unpriced_holdings", "prices_asof", "market_values", "cash_report", "allocation", "realized_gains", "fifo_metrics",
     "account_status", "income", "daily_returns", "performance_report", "sector_exposure", "correlation_matrix",
-    "required_checkpoints", "changed_ledger", "macro_regime", "technicals", "tick_closes",
+    "required_checkpoints", "changed_ledger", "macro_regime", "buy_map", "technicals", "tick_closes",
     "unpriced_days", "guarded_returns", "sector_weight_items", "realized_gains_by_year",
 )
 

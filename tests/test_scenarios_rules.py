@@ -101,6 +101,46 @@ def test_buy_map_routes_and_defers(spark):
     rows = {(r.account, r.month, r.ticker): r for r in rules.buy_map(shares, regimes, filters).collect()}
     assert rows[("a", m1, "SPYM")].buy_usd == 2000.0
     assert rows[("a", m1, "SCHD")].buy_usd == 0.0 and rows[("a", m1, "SGOV")].buy_usd == 0.0
-    assert rows[("a", m2, "SPYM")].buy_usd == pytest.approx(2100 + 60 * 0.8 / 0.95)
-    assert rows[("b", m2, "SGOV")].buy_usd == 50.0
+    # Two high months so far: the step starts in the next one.
+    assert rows[("a", m2, "SPYM")].buy_usd == pytest.approx(2000 + 60 * 0.8 / 0.95)
+    assert rows[("a", m2, "SGOV")].buy_usd == -60.0
+    assert rows[("b", m2, "SGOV")].buy_usd == 50.0 - 60.0
     assert rows[("b", m2, "XLU")].buy_usd == 0.0 and rows[("b", m2, "XLU")].deferred_usd > 50.0
+    assert rows[("b", m2, "BTC-USD")].buy_usd == 100.0
+
+
+def test_buy_map_carries_steps_and_stops(spark):
+    months = [dt.date(2024, m, 28) for m in range(1, 9)]
+    core_open = [True, False, False, True, True, True, True, True]
+    shares = spark.createDataFrame(
+        [("low", m, 0.1) for m in months] + [("mid", m, 0.28) for m in months] + [("high", m, 0.5) for m in months],
+        "account string, month date, idle_share double",
+    )
+    regimes = spark.createDataFrame([(m, "AGGRESSIVE", 50.0) for m in months], "date date, regime string, fear_greed double")
+    filters = spark.createDataFrame(
+        [(t, m, 50.0, ok if t == "SPYM" else t == "SCHD") for m, ok in zip(months, core_open) for t in ("SPYM", "SCHD", "XLU")],
+        "ticker string, month date, rsi double, passes boolean",
+    )
+    trailing = spark.createDataFrame([("high", months[6], 24, True)], "account string, date date, window_months int, alert boolean")
+    got = rules.buy_map(shares, regimes, filters, trailing=trailing).collect()
+    rows = {(r.account, months.index(r.month), r.ticker): r for r in got}
+    core = lambda account, i: rows[(account, i, "SPYM")]
+    # XLU is deferred every month, the core fund in two of them; all of it waits for the core fund's next round.
+    assert [round(core("low", i).carried_usd) for i in range(6)] == [0, 50, 900, 1750, 50, 50]
+    assert [round(core("low", i).buy_usd) for i in range(6)] == [800, 0, 0, 2550, 850, 850]
+    # In the target band the cash fund's part is left over and waits too.
+    assert [round(core("mid", i).carried_usd) for i in range(5)] == [0, 100, 1050, 2000, 100]
+    assert all(rows[("mid", i, "SGOV")].buy_usd == 0 for i in range(8))
+    assert [core("high", i).bonus_usd for i in range(4)] == [0.0, 0.0, 100.0, 100.0]
+    assert [core("high", i).kill_switch for i in range(8)] == [False] * 6 + [True, False]
+    assert [core("low", i).below_risk_floor for i in range(4)] == [False, True, True, False]
+
+
+def test_regime_takes_the_last_known_unemployment(spark):
+    ends = [dt.date(2024, 11, 30), dt.date(2024, 12, 31)]
+    obs = spark.createDataFrame([(ends[0], 20.0, 50.0, 3.5), (ends[1], None, 50.0, None)], "date date, cape double, fear_greed double, unrate double")
+    bars = [("SPY", dt.date(2024, 1, 1) + dt.timedelta(i), float(100 + i)) for i in range(330)]
+    bars = spark.createDataFrame(bars, "ticker string, date date, close double")
+    rows = {r.date: r for r in rules.macro_regime(obs, bars).collect()}
+    assert (rows[ends[1]].unrate, rows[ends[1]].missing_count, rows[ends[1]].peak_count) == (3.5, 1, 1)
+    assert rows[ends[1]].spx_price == rows[ends[0]].spx_price

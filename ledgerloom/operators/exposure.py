@@ -145,7 +145,7 @@ def sector_exposure(enriched: DataFrame, min_pct: float = 3.0, top_n: int = 8) -
 
 
 def rebalance(alloc: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """Drift of every account from target percentages that sum to 100.
+    """Drift of every account from target percentages that sum to 100; rank 1 is an account's largest drift.
 
     Targets are exploded onto each account's row and stacked with its holdings, so no join is needed.
     """
@@ -184,7 +184,7 @@ def rebalance(alloc: DataFrame, targets: dict[str, float]) -> DataFrame:
         F.round("current_value", 2).alias("current_value_usd"), F.round(target_value, 2).alias("target_value_usd"),
         F.round(delta, 2).alias("suggested_delta_usd"),
         F.when(F.abs(drift) < 0.01, "HOLD").when(delta > 0, "BUY").otherwise("SELL").alias("action"),
-    )
+    ).withColumn("drift_rank", F.row_number().over(Window.partitionBy("account").orderBy(F.abs("drift_pct").desc(), "asset")))
 
 
 def day_change(alloc: DataFrame, prices: DataFrame, as_of) -> DataFrame:

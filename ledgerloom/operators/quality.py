@@ -242,6 +242,25 @@ def verify_prices(ledger: DataFrame, prices: DataFrame, today, max_age_days: int
     )
 
 
+def price_report(ledger: DataFrame, prices: DataFrame, today, max_age_days: int = 5) -> DataFrame:
+    """What stands behind ``verify_prices``: one row per required ticker or ticker with a gap.
+
+    ``missing_dates`` lists its checkpoints without a price, ``stale`` says that its last quote is too old.
+    """
+    days = F.array_sort(F.collect_set(F.col("checkpoint_date").cast("string")))
+    gaps = missing_checkpoints(required_checkpoints(ledger, prices, today), prices).groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("missing_count"), F.array_join(days, ",").alias("missing_dates")
+    )
+    need = required_tickers(ledger).select("ticker").distinct().withColumn("required", F.lit(True))
+    old = F.col("last_price_date") < F.date_sub(day(today), max_age_days)
+    return latest_quote_dates(need.join(gaps, "ticker", "full"), prices).select(
+        "ticker", F.coalesce("required", F.lit(False)).alias("required"),
+        F.coalesce("missing_count", F.lit(0)).alias("missing_count"), "missing_dates", "last_price_date",
+        F.datediff(day(today), "last_price_date").alias("age_days"),
+        (F.coalesce("required", F.lit(False)) & F.coalesce(old, F.lit(False))).alias("stale"),
+    )
+
+
 def freshness(ledger: DataFrame, prices: DataFrame, as_of, max_age_days: int = 2) -> DataFrame:
     """Last price day up to a date, its age, and whether anything is missing or stale."""
     gaps = missing_checkpoints(required_checkpoints(ledger, prices, as_of), prices).select("ticker")
@@ -275,9 +294,18 @@ def data_quality_summary(ledger: DataFrame, prices: DataFrame, today, max_age_da
     return _one_row([_listed(old, "stale_count", "stale_list"), _listed(gaps, "coverage_count", "coverage_list")])
 
 
-def repair_plan(ledger: DataFrame, prices: DataFrame, today, max_age_days: int) -> DataFrame:
-    """Per required ticker whether it would be fetched or skipped as fresh, and whether it has coverage gaps."""
-    need = required_tickers(ledger).select("ticker").distinct()
+def _wanted_tickers(ledger: DataFrame, tickers: list[str] | None) -> DataFrame:
+    if not tickers:
+        return required_tickers(ledger).select("ticker").distinct()
+    return ledger.sparkSession.createDataFrame([(t,) for t in sorted(set(tickers))], "ticker string")
+
+
+def repair_plan(ledger: DataFrame, prices: DataFrame, today, max_age_days: int, tickers: list[str] | None = None) -> DataFrame:
+    """Per ticker (all required ones by default) whether it would be fetched or skipped as fresh.
+
+    ``status`` is degraded where it has coverage gaps or a stale price.
+    """
+    need = _wanted_tickers(ledger, tickers)
     fresh = (
         prices.where(F.col("date") >= F.date_sub(day(today), max_age_days))
         .select("ticker").distinct().withColumn("fresh", F.lit(True))
@@ -286,10 +314,43 @@ def repair_plan(ledger: DataFrame, prices: DataFrame, today, max_age_days: int)
         missing_checkpoints(required_checkpoints(ledger, prices, today), prices)
         .select("ticker").distinct().withColumn("gap", F.lit(True))
     )
-    return need.join(fresh, "ticker", "left").join(gaps, "ticker", "left").select(
+    old = F.coalesce(F.col("last_price_date") < F.date_sub(day(today), max_age_days), F.lit(False))
+    planned = need.join(fresh, "ticker", "left").join(gaps, "ticker", "left")
+    return latest_quote_dates(planned, prices).select(
         "ticker",
         F.when(F.col("fresh"), F.lit("skip_fresh")).otherwise(F.lit("repair")).alias("plan"),
-        F.when(F.coalesce("gap", F.lit(False)), F.lit("degraded")).otherwise(F.lit("ok")).alias("status"),
+        F.when(F.coalesce("gap", F.lit(False)) | old, F.lit("degraded")).otherwise(F.lit("ok")).alias("status"),
+    )
+
+
+def repair_summary(
+    ledger: DataFrame, prices: DataFrame, today, max_age_days: int, tickers: list[str] | None = None, start=None, end=None
+) -> DataFrame:
+    """One row about a repair run: its date range, how many tickers it would fetch or skip, and its status.
+
+    The range runs from the first ledger row to ``today`` unless given.  A run over all required tickers is degraded
+    while any has a gap or a stale price; a run over chosen ``tickers`` guarantees no coverage and is always ok.
+    """
+    plans = F.col("plan")
+    counted = repair_plan(ledger, prices, today, max_age_days, tickers).agg(
+        F.count(F.when(plans == "repair", 1)).alias("would_repair"),
+        F.count(F.when(plans == "skip_fresh", 1)).alias("would_skip_fresh"),
+    )
+    first = day(start) if start is not None else F.coalesce(F.min("date"), day(today))
+    parts = [ledger.agg(first.alias("range_start")), counted]
+    if not tickers:
+        bad = price_report(ledger, prices, today, max_age_days).agg(
+            F.count(F.when(F.col("missing_count") > 0, 1)).alias("unresolved_missing"),
+            F.count(F.when(F.col("stale"), 1)).alias("unresolved_stale"),
+        )
+        parts.append(bad)
+    row = _one_row(parts).withColumn("range_end", day(end if end is not None else today))
+    if tickers:
+        row = row.withColumns({"unresolved_missing": F.lit(0).cast("long"), "unresolved_stale": F.lit(0).cast("long")})
+    degraded = (F.col("unresolved_missing") > 0) | (F.col("unresolved_stale") > 0)
+    return row.select(
+        "range_start", "range_end", "would_repair", "would_skip_fresh", "unresolved_missing", "unresolved_stale",
+        F.when(degraded, F.lit("degraded")).otherwise(F.lit("ok")).alias("status"),
     )
 
 

@@ -269,11 +269,12 @@ def year_range(bars: DataFrame, nav: DataFrame, as_of) -> DataFrame:
 
 def asset_metrics(
     bars: DataFrame, types: DataFrame, tracking: DataFrame, as_of, benchmark: str,
-    lookback_days: int = LOOKBACK_DAYS, risk_free: float = RISK_FREE,
+    lookback_days: int = LOOKBACK_DAYS, risk_free: float = RISK_FREE, nav: DataFrame | None = None,
 ) -> DataFrame:
     """The risk table of every ticker with its data warnings.
 
-    ``types`` maps ticker to asset type, ``tracking`` ticker to the index its tracking error is measured against.
+    ``types`` maps ticker to asset type, ``tracking`` ticker to the index its tracking error is measured against,
+    ``nav`` (ticker, nav) to its net asset value per unit; without one there is no premium or discount.
     """
     window = between_days(bars, as_of, lookback_days)
     history = between_days(bars, as_of, max(lookback_days, HISTORY_DAYS))
@@ -287,6 +288,8 @@ def asset_metrics(
     out = periods.join(tracking, "ticker", "left")
     parts = [return_risk(rets, periods, risk_free), drawdowns(window), span, bench, track, calmar(history)]
     parts += [cagr(history, y) for y in (1, 3, 5)]
+    nav = types.select("ticker", F.lit(None).cast("double").alias("nav")) if nav is None else nav
+    parts.append(year_range(bars, nav, as_of))
     for part in parts:
         out = out.join(part, "ticker", "left")
 
@@ -314,5 +317,6 @@ def asset_metrics(
         "ticker", "type", "bars", "beta", "annual_volatility", "sharpe_ratio", "sortino_ratio", "downside_deviation",
         "max_drawdown", "max_drawdown_date", "cagr_1y", "cagr_3y", "cagr_5y", "calmar_ratio", "ulcer_index",
         "skewness", "kurtosis", "up_capture", "down_capture", "up_capture_ratio", "down_capture_ratio",
-        "tracking_error", F.col("index").alias("tracking_error_benchmark"), warnings.alias("warnings"),
+        "tracking_error", F.col("index").alias("tracking_error_benchmark"), "premium_discount",
+        "fifty_two_week_range_percent", "fifty_two_week_percent_from_high", warnings.alias("warnings"),
     )

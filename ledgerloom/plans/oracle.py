@@ -816,13 +816,13 @@ q("sector_exposure", """SELECT account, CASE WHEN small OR rk > 8 THEN 'Other' E
     SELECT *, sector = 'Other' OR v / total * 100 < 3 AS small FROM (SELECT *, sum(v) OVER (PARTITION BY account) AS total FROM slices)))
   GROUP BY account, CASE WHEN small OR rk > 8 THEN 'Other' ELSE sector END""", "slices")
 _TG = ", ".join(f"('{a}', {p}::DOUBLE)" for a, p in TARGETS.items())
-q("rebalance", f"""SELECT account, asset, round(cp, 2) AS current_pct, tp AS target_pct, round(cp - tp, 2) AS drift_pct, round(cv, 2) AS current_value_usd,
+q("rebalance", f"""SELECT *, CAST(row_number() OVER (PARTITION BY account ORDER BY abs(drift_pct) DESC, asset) AS INTEGER) AS drift_rank FROM (SELECT account, asset, round(cp, 2) AS current_pct, tp AS target_pct, round(cp - tp, 2) AS drift_pct, round(cv, 2) AS current_value_usd,
   round(tp / 100 * total, 2) AS target_value_usd, round(tp / 100 * total - cv, 2) AS suggested_delta_usd,
   CASE WHEN abs(cp - tp) < 0.01 THEN 'HOLD' WHEN tp / 100 * total - cv > 0 THEN 'BUY' ELSE 'SELL' END AS action
   FROM (SELECT account, asset, coalesce(t.pct, 0) AS tp, coalesce(c.pct, 0) AS cp, coalesce(c.val, 0) AS cv
     FROM (SELECT w.account, v.asset, v.pct FROM worth w, (VALUES {_TG}) v(asset, pct)) t
     FULL JOIN (SELECT account, asset, sum(allocation_pct) AS pct, sum(value_usd) AS val FROM alloc GROUP BY ALL) c USING (account, asset))
-  JOIN (SELECT account, sum(value_usd) AS total FROM alloc GROUP BY account) USING (account)""", "alloc", "worth")
+  JOIN (SELECT account, sum(value_usd) AS total FROM alloc GROUP BY account) USING (account))""", "alloc", "worth")
 q("day_change", f"""SELECT a.account, a.asset, a.asset_type, a.value_usd, p.last AS last_price,
   round(CASE WHEN p.prev > 0 THEN a.value_usd - a.value_usd / (p.last / p.prev) END, 6) AS day_gain_usd
   FROM alloc a LEFT JOIN (SELECT ticker, arg_max(price, date) AS last, list(price ORDER BY date DESC)[2] AS prev FROM prices WHERE date <= {D} GROUP BY ticker) p
@@ -1062,28 +1062,30 @@ lib("brisk", _bench("rets"), "rets")
 q("benchmark_risk", f"SELECT {swap(6, 'beta', 'up_capture', 'down_capture')} FROM brisk", "brisk")
 q("tracking_error", f"""SELECT a.ticker, count(*) AS tracked, round(CASE WHEN count(*) >= 10 THEN stddev_samp(a.ret - b.ret) * sqrt(any_value(p)) END, 8) AS tracking_error
   FROM rets a JOIN rets b ON a.date = b.date AND b.ticker = '{TRACKED}' JOIN ptypes t ON t.ticker = a.ticker GROUP BY a.ticker""", "rets", "ptypes")
-q("year_range", f"""SELECT ticker, round((c - l.price) / l.price * 100, 8) AS premium_discount, round((c - lo) / nullif(hi - lo, 0) * 100, 8) AS fifty_two_week_range_percent,
-  round(CASE WHEN hi > lo THEN (hi - c) / hi * 100 END, 8) AS fifty_two_week_percent_from_high
+lib("year_place", f"""SELECT ticker, (c - l.price) / l.price * 100 AS premium_discount, (c - lo) / nullif(hi - lo, 0) * 100 AS fifty_two_week_range_percent,
+  CASE WHEN hi > lo THEN (hi - c) / hi * 100 END AS fifty_two_week_percent_from_high
   FROM (SELECT ticker, arg_max(close, date) AS c, max(high) AS hi, min(low) AS lo FROM bars WHERE date BETWEEN {D} - 364 AND {D} GROUP BY ticker) LEFT JOIN latest l USING (ticker)""", "bars", "latest")
+q("year_range", f"SELECT ticker, {rnd(8, 'premium_discount', 'fifty_two_week_range_percent', 'fifty_two_week_percent_from_high')} FROM year_place", "year_place")
 lib("hist", f"SELECT * FROM bars WHERE date BETWEEN {D} - 1839 AND {D}", "bars")
 for _y in (1, 3, 5):
     _cagr(_y, "hist", f"h{_y}")
 lib("h3d", _dd("h3w"), "h3w")
 lib("wdd", _dd("win"), "win")
 lib("wbench", _bench("wret"), "wret")
+lib("wtracked", f"""SELECT ticker, CASE WHEN quote_type = 'ETF' OR ticker IN {_in(vocab.TRACKING_INDEX)} AND coalesce(CASE ticker {_TI} END, '') <> '{vocab.DEFAULT_INDEX}' THEN '{BENCHMARK}' ELSE '{TRACKED}' END AS idx FROM meta""", "meta")
 lib("wtrack", f"""SELECT a.ticker, count(*) AS tracked, CASE WHEN count(*) >= 10 THEN stddev_samp(a.ret - b.ret) * sqrt(any_value(p)) END AS tracking_error
-  FROM wret a JOIN wret b ON a.date = b.date AND b.ticker = '{TRACKED}' JOIN ptypes t ON t.ticker = a.ticker GROUP BY a.ticker""", "wret", "ptypes")
+  FROM wret a JOIN wtracked x ON x.ticker = a.ticker JOIN wret b ON a.date = b.date AND b.ticker = x.idx JOIN ptypes t ON t.ticker = a.ticker GROUP BY a.ticker""", "wret", "ptypes", "wtracked")
 q("asset_metrics", f"""SELECT ticker, type, bars, {rnd(6, 'beta', 'annual_volatility', 'sharpe_ratio', 'sortino_ratio', 'downside_deviation')}, {rnd(6, 'max_drawdown')}, max_drawdown_date,
   round(g1, 6) AS cagr_1y, round(g3, 6) AS cagr_3y, round(g5, 6) AS cagr_5y, round(g3 / abs(nullif(deep, 0)), 6) AS calmar_ratio, {rnd(6, 'ulcer_index', 'skewness', 'kurtosis', 'up_capture', 'down_capture')},
-  up_capture_ratio, down_capture_ratio, {rnd(6, 'tracking_error')}, '{TRACKED}' AS tracking_error_benchmark,
+  up_capture_ratio, down_capture_ratio, {rnd(6, 'tracking_error')}, idx AS tracking_error_benchmark, {rnd(6, 'premium_discount', 'fifty_two_week_range_percent', 'fifty_two_week_percent_from_high')},
   concat_ws(',', CASE WHEN bars < 50 THEN 'INSUFFICIENT_LOOKBACK_HISTORY' END, CASE WHEN coalesce(hy, 0) < 1 THEN 'INSUFFICIENT_LONG_HISTORY' END,
     CASE WHEN aligned IS NULL THEN 'BENCHMARK_METRICS_UNAVAILABLE' WHEN aligned / (bars - 1) < 0.6 THEN 'BENCHMARK_ALIGNMENT_REDUCED' END,
     CASE WHEN tracked IS NULL THEN 'TRACKING_ERROR_UNAVAILABLE' WHEN tracked / (bars - 1) < 0.6 THEN 'TRACKING_ALIGNMENT_REDUCED' END) AS warnings
   FROM (SELECT ticker, count(*) AS bars FROM win GROUP BY ticker) JOIN ptypes USING (ticker)
   LEFT JOIN wbench USING (ticker) LEFT JOIN rrisk USING (ticker) LEFT JOIN wdd USING (ticker) LEFT JOIN wtrack USING (ticker)
   LEFT JOIN h1 USING (ticker) LEFT JOIN h3 USING (ticker) LEFT JOIN h5 USING (ticker) LEFT JOIN (SELECT ticker, max_drawdown AS deep FROM h3d) USING (ticker)
-  LEFT JOIN (SELECT ticker, date_diff('day', min(date), max(date)) / 365.2425 AS hy FROM hist GROUP BY ticker) USING (ticker) WHERE bars >= 2""",
-  "win", "ptypes", "wbench", "rrisk", "wdd", "wtrack", "h1", "h3", "h5", "h3d", "hist")
+  LEFT JOIN (SELECT ticker, date_diff('day', min(date), max(date)) / 365.2425 AS hy FROM hist GROUP BY ticker) USING (ticker) LEFT JOIN wtracked USING (ticker) LEFT JOIN year_place USING (ticker) WHERE bars >= 2""",
+  "win", "ptypes", "wtracked", "year_place", "wbench", "rrisk", "wdd", "wtrack", "h1", "h3", "h5", "h3d", "hist")
 for _n in ("rsi", "moving_averages", "macd", "williams_r", "stochastic", "stochastic_rsi"):
     lib(f"t_{_n}", SQL[_n])
 q("technicals", "SELECT * FROM t_rsi LEFT JOIN t_moving_averages USING (ticker) LEFT JOIN t_macd USING (ticker) LEFT JOIN t_williams_r USING (ticker) "
@@ -1130,7 +1132,7 @@ def _stale(today: str, age: int) -> str:
 T = f"DATE '{TODAY}'"
 q("stale_tickers", _stale("DATE '2001-11-20'", 17), "req", "prices")
 q("missing_or_stale", f"""SELECT DISTINCT ticker FROM req r WHERE NOT {cash_like('ticker', bucket('ticker'))} AND NOT EXISTS (SELECT 1 FROM prices p
-  WHERE p.ticker = r.ticker AND p.date BETWEEN DATE '2001-11-20' - 17 AND DATE '2001-11-20')""", "req", "prices")
+  WHERE p.ticker = r.ticker AND p.date BETWEEN DATE '2001-08-05' - 1 AND DATE '2001-08-05')""", "req", "prices")
 lib("stale2", _stale(T, 2), "req", "prices")
 lib("stale3", _stale(T, 3), "req", "prices")
 lib("stale5", _stale(T, 5), "req", "prices")
@@ -1142,8 +1144,16 @@ q("freshness", f"""SELECT max(date) AS prices_as_of, CAST({T} - max(date) AS INT
 q("unhealthy_tickers", """SELECT ticker, bool_or(g) AS coverage_gap, bool_or(NOT g) AS stale_price FROM (SELECT ticker, TRUE AS g FROM gap_t UNION ALL SELECT ticker, FALSE FROM stale3) GROUP BY ticker""", "gap_t", "stale3")
 q("data_quality_summary", """SELECT (SELECT count(*) FROM stale3) AS stale_count, (SELECT coalesce(string_agg(ticker, ',' ORDER BY ticker), '') FROM stale3) AS stale_list,
   (SELECT count(DISTINCT ticker) FROM gap_t) AS coverage_count, (SELECT coalesce(string_agg(ticker, ',' ORDER BY ticker), '') FROM (SELECT DISTINCT ticker FROM gap_t)) AS coverage_list""", "stale3", "gap_t")
+q("price_report", f"""SELECT ticker, ticker IN (SELECT ticker FROM req) AS required, (SELECT count(*) FROM gap_t g WHERE g.ticker = t.ticker) AS missing_count,
+  (SELECT string_agg(CAST(checkpoint_date AS VARCHAR), ',' ORDER BY checkpoint_date) FROM gap_t g WHERE g.ticker = t.ticker) AS missing_dates, l AS last_price_date,
+  CAST({T} - l AS INTEGER) AS age_days, ticker IN (SELECT ticker FROM stale3) AS stale
+  FROM (SELECT ticker FROM req UNION SELECT ticker FROM gap_t) t LEFT JOIN (SELECT ticker, max(date) AS l FROM prices GROUP BY ticker) USING (ticker)""", "req", "gap_t", "stale3", "prices")
+q("repair_summary", f"""SELECT (SELECT min(date) FROM txn) AS range_start, {T} AS range_end, count(*) - count(*) FILTER (fresh) AS would_repair, count(*) FILTER (fresh) AS would_skip_fresh,
+  (SELECT count(DISTINCT ticker) FROM gap_t) AS unresolved_missing, (SELECT count(DISTINCT ticker) FROM stale3) AS unresolved_stale,
+  CASE WHEN EXISTS (SELECT 1 FROM gap_t) OR EXISTS (SELECT 1 FROM stale3) THEN 'degraded' ELSE 'ok' END AS status
+  FROM (SELECT DISTINCT ticker, ticker IN (SELECT ticker FROM prices WHERE date >= {T} - 3) AS fresh FROM req)""", "txn", "req", "prices", "gap_t", "stale3")
 q("repair_plan", f"""SELECT DISTINCT ticker, CASE WHEN EXISTS (SELECT 1 FROM prices p WHERE p.ticker = r.ticker AND p.date >= {T} - 3) THEN 'skip_fresh' ELSE 'repair' END AS plan,
-  CASE WHEN ticker IN (SELECT ticker FROM gap_t) THEN 'degraded' ELSE 'ok' END AS status FROM req r""", "req", "prices", "gap_t")
+  CASE WHEN ticker IN (SELECT ticker FROM gap_t) OR ticker IN (SELECT ticker FROM stale3) THEN 'degraded' ELSE 'ok' END AS status FROM req r""", "req", "prices", "gap_t", "stale3")
 q("metadata_cache", f"""SELECT ticker AS asset, CAST(NULL AS VARCHAR) AS asset_kind, sector, CAST(NULL AS VARCHAR) AS industry, CAST(NULL AS VARCHAR) AS region,
   CAST((SELECT count(*) FROM sector_parts s WHERE s.ticker = m.ticker) AS INTEGER) AS sector_weights, 'parts' AS source, strftime(fetched, '%Y-%m-%dT00:00:00Z') AS fetched_at,
   fetched < {D} - 5 AS is_stale FROM meta m""", "meta", "sector_parts")

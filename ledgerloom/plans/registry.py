@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import vocab
 from ledgerloom.functions import classify as C
 from ledgerloom.operators import (
     asof,
@@ -745,16 +746,22 @@ def tracking_error(s):
     return rounded(risk.tracking_error(aligned, risk.with_periods(bars, _types(s))), 8, "tracking_error")
 
 
+def _navs(s):
+    return asof.latest_prices(s.prices, AS_OF).select("ticker", F.col("price").alias("nav"))
+
+
 @query
 def year_range(s):
-    nav = asof.latest_prices(s.prices, AS_OF).select("ticker", F.col("price").alias("nav"))
-    return rounded_doubles(risk.year_range(s.bars, nav, AS_OF), 8)
+    return rounded_doubles(risk.year_range(s.bars, _navs(s), AS_OF), 8)
 
 
 @query
 def asset_metrics(s):
-    tracking = s.metadata.select("ticker", F.lit(TRACKED).alias("index"))
-    rows = risk.asset_metrics(s.bars, _types(s), tracking, AS_OF, BENCHMARK)
+    # The indices of the tracking table are not among the bars; funds stand in for them.
+    own = C.tracking_index(F.col("ticker")) != vocab.DEFAULT_INDEX
+    index = F.when(own | (F.col("quote_type") == "ETF"), F.lit(BENCHMARK)).otherwise(F.lit(TRACKED))
+    tracking = s.metadata.select("ticker", index.alias("index"))
+    rows = risk.asset_metrics(s.bars, _types(s), tracking, AS_OF, BENCHMARK, nav=_navs(s))
     return rounded_doubles(rows.withColumn("warnings", F.array_join("warnings", ",")), 6)
 
 
@@ -802,7 +809,17 @@ def stale_tickers(s):
 
 @query
 def missing_or_stale(s):
-    return quality.missing_or_stale(quality.required_tickers(s.txn), s.prices, "2001-11-20", 17)
+    return quality.missing_or_stale(quality.required_tickers(s.txn), s.prices, "2001-08-05", 1)
+
+
+@query
+def price_report(s):
+    return quality.price_report(s.txn, s.prices, TODAY, 3)
+
+
+@query
+def repair_summary(s):
+    return quality.repair_summary(s.txn, s.prices, TODAY, 3)
 
 
 @query

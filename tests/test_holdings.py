@@ -121,6 +121,9 @@ def test_rebalance_and_bad_targets(make_ledger, make_prices, no_metadata):
     ledger, prices = mixed(make_ledger, make_prices)
     alloc = holdings.allocation(ledger, prices, no_metadata, DAY)
     rows = {r.asset: r for r in exposure.rebalance(alloc, {"aapl": 50.0, "NEW": 50.0}).collect()}
+    by_rank = sorted(rows.values(), key=lambda r: r.drift_rank)
+    assert [r.drift_rank for r in by_rank] == list(range(1, len(rows) + 1))
+    assert [abs(r.drift_pct) for r in by_rank] == sorted((abs(r.drift_pct) for r in by_rank), reverse=True)
     assert rows["NEW"].action == "BUY" and rows["USD"].action == "SELL"
     assert sum(r.target_value_usd for r in rows.values()) == pytest.approx(59464.4, abs=0.05)
     with pytest.raises(ValueError):

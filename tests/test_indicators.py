@@ -6,6 +6,7 @@ import random
 import statistics as st
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import indicators, risk
 from ledgerloom.schemas import BARS
@@ -173,5 +174,12 @@ def test_metric_table_warnings(spark, frame):
     as_of = START + dt.timedelta(419)
     rows = {r.ticker: r for r in risk.asset_metrics(frame, types, index, as_of, "BBB", lookback_days=500).collect()}
     assert rows["AAA"].warnings == ["TRACKING_ERROR_UNAVAILABLE"]
+    assert rows["AAA"].premium_discount is None and 0.0 <= rows["AAA"].fifty_two_week_range_percent <= 100.0
+    nav = spark.createDataFrame([("AAA", 80.0)], "ticker string, nav double")
+    index = spark.createDataFrame([("AAA", "BBB"), ("BBB", "AAA")], "ticker string, index string")
+    more = {r.ticker: r for r in risk.asset_metrics(frame, types, index, as_of, "BBB", lookback_days=500, nav=nav).collect()}
+    last = frame.where(F.col("ticker") == "AAA").orderBy(F.desc("date")).first().close
+    assert more["AAA"].premium_discount == pytest.approx((last - 80.0) / 80.0 * 100.0)
+    assert more["AAA"].tracking_error_benchmark == "BBB" and more["AAA"].tracking_error is not None
     assert "INSUFFICIENT_LOOKBACK_HISTORY" in rows["CCC"].warnings and "INSUFFICIENT_LONG_HISTORY" in rows["CCC"].warnings
     assert rows["AAA"].cagr_1y is not None and rows["AAA"].cagr_3y is None

@@ -52,6 +52,15 @@ def test_holiday_is_not_required_but_a_gap_is(make_ledger, make_prices):
     assert (row.ticker, row.issues) == ("AAPL", "missing_dates: 2026-06-17")
     stale = quality.stale_tickers(quality.required_tickers(ledger), prices, "2026-06-21", 2).collect()
     assert [(r.ticker, r.age_days) for r in stale] == [("AAPL", 3)]
+    report = {r.ticker: r for r in quality.price_report(ledger, prices, "2026-06-21", 2).collect()}
+    assert (report["AAPL"].missing_dates, report["AAPL"].stale, report["AAPL"].age_days) == ("2026-06-17", True, 3)
+    assert "MSFT" not in report and not report["SAP.DE"].stale
+    plan = {r.ticker: (r.plan, r.status) for r in quality.repair_plan(ledger, prices, "2026-06-21", 2).collect()}
+    assert plan["AAPL"] == ("repair", "degraded") and plan["SAP.DE"][0] == "skip_fresh"
+    run = quality.repair_summary(ledger, prices, "2026-06-21", 2).first()
+    assert (run.status, run.unresolved_stale, str(run.range_end)) == ("degraded", 1, "2026-06-21")
+    chosen = quality.repair_summary(ledger, prices, "2026-06-21", 2, tickers=["SAP.DE"], start="2026-06-01").first()
+    assert (chosen.status, chosen.would_skip_fresh, str(chosen.range_start)) == ("ok", 1, "2026-06-01")
     fresh = quality.freshness(ledger, prices, "2026-06-19").first()
     assert fresh.stale and fresh.price_age_days == 0
     never = quality.missing_or_stale(quality.required_tickers(make_ledger([("2026-06-17", "NEW", "BUY", 1, 1)])), prices, "2026-06-19")

@@ -3,9 +3,13 @@
 A string of ``WIDTH`` bytes that occurs in two documents has the same smallest 26-byte gram in both (its anchor), so only
 suffixes whose anchor occurs in two documents need sorting.
 
-1. Each block of documents sends its anchors as compressed numbers; segments tell it which occur in two documents.
+1. Each block of documents sends its anchors as compressed numbers; segments tell it which occur in two documents, and which
+   are hot, that is, occur in more than ``HOT_BLOCKS`` blocks.
 2. A block cuts its texts into stretches of suffixes with one such anchor and sends each different stretch once, with the
-   smallest doc_id that has it, to the anchor's segment.
+   smallest doc_id that has it, to the anchor's segment.  Under a hot anchor (the border of a passage that very many documents
+   share) stretches differ with what surrounds the passage, so they are cut into single strings of ``WIDTH`` bytes that go to
+   the segments of their own hashes: no segment gets more than ``HOT_BLOCKS`` blocks' stretches of an anchor, and of a string
+   one entry a block.
 3. A segment sorts the suffixes of its stretches deep-shallow: multikey quicksort, eight bytes a symbol, to a shallow
    depth; the groups that still tie there are ordered by blind tries, built top-down and breadth-first: a node skips to the
    first byte in which its suffixes differ and branches on that byte alone.  Suffixes that tie to ``WIDTH`` bytes are equal
@@ -34,8 +38,9 @@ from ledgerloom.llm.windows import SENT, TOLD, _answers, _cut, _sent, _told, rep
 WIDTH = 50
 GRAM = 26
 SHALLOW = 16
+HOT_BLOCKS = 256
 _U = np.uint64
-ANCHORS, STRETCHES = 0, 1
+ANCHORS, STRETCHES, HOT = 0, 1, 2
 
 
 # ---- the sort ----------------------------------------------------------------------------------------------------
@@ -150,16 +155,35 @@ class BlockSuffixes:
         np.maximum.at(high, place, self.doc)
         return values, low < high, place
 
-    def stretches(self, shared: np.ndarray, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Different stretches by (anchor, text): texts, anchors, first run of each; and the stretch of each run (-1: none).
+    def narrow(self, told: dict[int, np.ndarray], width: int, bits: int) -> None:
+        """Keeps the runs of shared anchors, those of hot ones cut into single strings under their own hashes."""
+        values, _, place = self.anchors()
+        none = np.zeros(len(values), bool)
+        shared, hot = told.get(ANCHORS, none)[place], told.get(HOT, none)[place]
+        cold, warm = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
+        doc, lo, hi, anchor = self.doc[cold], self.lo[cold], self.hi[cold], self.anchor[cold]
+        if len(warm):
+            n = (self.hi - self.lo)[warm]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            size = n + width - 1
+            ends = zip(self.lo[warm].tolist(), (self.hi[warm] + width - 1).tolist(), strict=True)
+            pool = np.concatenate([self.data[a:b] for a, b in ends])
+            strings = scramble(runs_hash(_BYTES[pool], width)) >> _U(64 - bits)
+            at = np.repeat(self.lo[warm], n) + inside
+            doc, lo, hi = np.append(doc, np.repeat(self.doc[warm], n)), np.append(lo, at), np.append(hi, at + 1)
+            anchor = np.append(anchor, strings[np.repeat(np.cumsum(size) - size, n) + inside])
+        order = np.argsort(lo, kind="stable")
+        self.doc, self.lo, self.hi, self.anchor = doc[order], lo[order], hi[order], anchor[order]
+
+    def stretches(self, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Different stretches by (anchor, text): texts, anchors, first run of each; and the stretch of each run.
 
         A document's number in the block follows its id, so the first run of a stretch is in the smallest document.
         """
-        values, _, place = self.anchors()
-        runs = np.flatnonzero(shared[place]) if len(values) else np.empty(0, np.int64)
-        runs = runs[np.argsort(place[runs], kind="stable")]
+        place = self.anchors()[2]
+        runs = np.argsort(place, kind="stable")
         number: dict[bytes, int] = {}
-        of, first, last = np.full(len(self.lo), -1, np.int64), [], -1
+        of, first, last = np.empty(len(self.lo), np.int64), [], -1
         data = self.data
         for r, p, a, b in zip(runs.tolist(), place[runs].tolist(), self.lo[runs].tolist(), self.hi[runs].tolist(), strict=True):
             if p != last:
@@ -179,12 +203,18 @@ def anchor_bits(plan: Layout) -> int:
     return min(63, max(24, math.ceil(math.log2(plan.size + 1)) + 13))
 
 
-def remove_repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def blocks_of(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """For lists of ascending distinct keys: in how many lists each one occurs."""
+    values, counts = np.unique(np.concatenate(keys), return_counts=True)
+    return [counts[np.searchsorted(values, k)] for k in keys]
+
+
+def remove_repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``; ``kept`` holds the bytes left.
 
     A byte goes if a string of ``width`` bytes that covers it also starts in a document with a smaller doc_id, judged on
     the input.  Texts are UTF-8 bytes; a missing text is empty.  Rows without doc_id come after all others; rows with
-    the same doc_id do not remove anything from each other.
+    the same doc_id do not remove anything from each other.  ``hot_blocks`` changes the plan, never the rows.
     """
     plan = layout(docs)
     bits = anchor_bits(plan)
@@ -196,16 +226,21 @@ def remove_repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRA
         return _sent(key[0].as_py(), [(ANCHORS, s, pack_sorted(values[a:b]), pack_bits(twice[a:b])) for s, a, b in cuts])
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        found = repeated(
-            [unpack_sorted(x.as_py()) for x in rows.column("keys")], [unpack_bits(x.as_py()) for x in rows.column("more")]
-        )
-        return _answers(key[1].as_py(), ANCHORS, rows.column("block").to_pylist(), [pack_bits(f) for f in found])
+        keys, segment, blocks = [unpack_sorted(x.as_py()) for x in rows.column("keys")], key[1].as_py(), rows.column("block").to_pylist()
+        found = repeated(keys, [unpack_bits(x.as_py()) for x in rows.column("more")])
+        answers = [_answers(segment, ANCHORS, blocks, [pack_bits(f) for f in found])]
+        if len(keys) > hot_blocks:
+            answers.append(_answers(segment, HOT, blocks, [pack_bits(n > hot_blocks) for n in blocks_of(keys)]))
+        else:
+            answers.append(_answers(segment, HOT, blocks, [pack_bits(np.zeros(len(k), bool)) for k in keys]))
+        return pa.concat_tables(answers)
 
     def send_stretches(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _sent(0, [])
         block = BlockSuffixes(rows, width, gram, bits)
-        texts, anchors, first, _ = block.stretches(_told(told).get(ANCHORS, np.empty(0, bool)), width)
+        block.narrow(_told(told), width, bits)
+        texts, anchors, first, _ = block.stretches(width)
         lowest = block.ids[block.doc[first]]
         out = []
         for s, a, b in _cut(anchors, plan, 1 << bits):
@@ -240,19 +275,19 @@ def remove_repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRA
         if not rows.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         block, answers = BlockSuffixes(rows, width, gram, bits), _told(told)
-        _, _, first, of = block.stretches(answers.get(ANCHORS, np.empty(0, bool)), width)
+        block.narrow(answers, width, bits)
+        _, _, first, of = block.stretches(width)
         earlier = answers.get(STRETCHES, np.empty(0, bool))
         marked = np.zeros(len(block.data) + 1, bool)
-        runs = np.flatnonzero(of >= 0)
         length = block.hi[first] - block.lo[first]
         offset = np.cumsum(length) - length
-        n = (block.hi - block.lo)[runs]
+        n = block.hi - block.lo
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         # A stretch that the block has in a smaller document goes whole.
-        late = block.ids[block.doc[runs]] > block.ids[block.doc[first[of[runs]]]]
+        late = block.ids[block.doc] > block.ids[block.doc[first[of]]]
         goes = np.repeat(late, n)
-        goes |= earlier[np.repeat(offset[of[runs]], n) + inside] if len(earlier) else False
-        marked[(np.repeat(block.lo[runs], n) + inside)[goes]] = True
+        goes |= earlier[np.repeat(offset[of], n) + inside] if len(earlier) else False
+        marked[(np.repeat(block.lo, n) + inside)[goes]] = True
         removed, spans, digests, kept, sizes = [], [], [], [], []
         for i in range(len(block.ids)):
             a, b = int(block.starts[i]), int(block.starts[i + 1])

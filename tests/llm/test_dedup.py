@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerloom.llm import simhash, suffixes, windows
+from ledgerloom.llm import common, simhash, suffixes, windows
 from ledgerloom.llm.common import pack_bits, pack_longs, pack_sorted, runs_hash, unpack_bits, unpack_longs, unpack_sorted
 
 INF = float("inf")
@@ -99,15 +99,25 @@ def mixed_rows(rows, odd, seed=3):
     return out
 
 
+@pytest.fixture(params=[1, 4])
+def blocks(request, monkeypatch, make_docs, sample_rows, odd_rows):
+    """Runs a test in one block, then in several."""
+    monkeypatch.setattr(common, "BLOCK_BYTES", 1 << 16 if request.param > 1 else 4 << 20)
+    assert common.layout(make_docs(mixed_rows(sample_rows, [r for r in odd_rows if r[0] not in (11, 12)]))).blocks >= request.param
+    return request.param
+
+
 @pytest.mark.parametrize("width", [20, 5])
-def test_windows_are_those_of_brute_force(make_docs, sample_rows, odd_rows, width):
+def test_windows_are_those_of_brute_force(blocks, make_docs, sample_rows, odd_rows, width):
     rows = mixed_rows(sample_rows, odd_rows)
     same(windows.window_digest(make_docs(rows, clashing=True), width), brute_windows(rows, width))
 
 
-def test_strings_are_those_of_brute_force(make_docs, sample_rows, odd_rows):
+@pytest.mark.parametrize("hot_blocks", [suffixes.HOT_BLOCKS, 1, 0])
+def test_strings_are_those_of_brute_force(blocks, make_docs, sample_rows, odd_rows, hot_blocks):
     rows = [r for r in mixed_rows(sample_rows, odd_rows) if r[0] not in (11, 12)] + [(11, "long text " * 900, "de", "b"), (12, "long text " * 901, "de", "b")]
-    same(suffixes.string_digest(make_docs(rows, clashing=True)), brute_strings(rows, 50))
+    found = suffixes.remove_repeated_strings(make_docs(rows, clashing=True), hot_blocks=hot_blocks)
+    same(found.drop("kept"), brute_strings(rows, 50))
 
 
 def test_classes_are_those_of_brute_force(make_docs, sample_rows, odd_rows):

@@ -10,6 +10,7 @@ row +0, lines from +1, a split 512 above its line, the second exchange leg +1000
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -198,6 +199,8 @@ class LedgerViews:
 
     spark: SparkSession
     folder: str
+    #: Keeps a view that several others read, given its name.
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -213,7 +216,7 @@ class LedgerViews:
         text = text.replace("datediff('day',", "date_diff(DAY,")
         return self.spark.sql(text, **sources)
 
-    trade_lines = cached_property(lambda self: self._run("trade_lines"))
+    trade_lines = cached_property(lambda self: self.keep(self._run("trade_lines"), "trade-lines"))
     cash_orders = cached_property(lambda self: self._run("cash_orders"))
     cash_rows = cached_property(lambda self: self._run("cash_rows"))
     split_rows = cached_property(lambda self: self._run("split_rows"))
@@ -263,8 +266,8 @@ class LedgerViews:
         )
 
 
-def ledger_views(spark: SparkSession, folder: str) -> LedgerViews:
-    return LedgerViews(spark, folder)
+def ledger_views(spark: SparkSession, folder: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> LedgerViews:
+    return LedgerViews(spark, folder, keep)
 
 
 def view_ctes(*names: str) -> str:

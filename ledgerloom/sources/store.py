@@ -31,7 +31,7 @@ class LedgerStore:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.views = ledger_views(spark, folder)
+        self.views = ledger_views(spark, folder, materialize)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> LedgerStore:

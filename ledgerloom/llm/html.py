@@ -3,8 +3,9 @@
 Markup is cut into blocks at block-level tags.  Elements that never hold article text (scripts, menus, forms, ...) and
 elements whose class, id or role names such a part are left out with all they contain.  Pass one labels the other blocks
 by length, stop-word density and link density: *good*, *bad*, or undecided when too short to tell.  Pass two gives an
-undecided block the label of its nearest decided neighbours.  Inside an ``article`` or ``main`` element a block counts as
-good unless it is mostly links; where a page has such an element, blocks outside it are bad.
+undecided block the label of its nearest decided neighbours.  ``article`` and ``main`` elements are a prior only: few stop
+words inside one leave a block undecided (lists, code), neighbours are looked for on the same side of the element's
+border, and where that side has none decided, a block inside is good, unless all good text of the page lies outside.
 """
 
 from __future__ import annotations
@@ -153,31 +154,29 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return [(text, b.linked, b.inside, b.heading) for b in out if b.parts and (text := b.text())]
 
 
-def first_pass(text: str, linked: int, inside: bool, heading: bool, framed: bool) -> int:
+def first_pass(text: str, linked: int, inside: bool, heading: bool) -> int:
     """1 good, -1 bad, 0 undecided."""
     solid = len("".join(text.split()))
     if linked > LINKS_HIGH * solid:
         return -1
-    if framed:
-        return 1 if inside else -1
     if len(text) < SHORT or heading:
         return 0
     words = text.lower().split()
     density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if density >= STOP_HIGH or len(text) >= LONG and density >= STOP_LOW:
         return 1
-    return 0 if density >= STOP_LOW else -1
+    return 0 if inside or density >= STOP_LOW else -1
 
 
-def second_pass(labels: list[int]) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided one; between a good and a bad one as near, good."""
+def second_pass(labels: list[int], prior: int = -1) -> list[bool]:
+    """Undecided blocks take the label of the nearest decided one, ``prior`` without any; between a good and a bad one as near, good."""
     n = len(labels)
-    before, after = [(-1, n + 1)] * n, [(-1, n + 1)] * n
-    last = (-1, n + 1)
+    before, after = [(prior, n + 1)] * n, [(prior, n + 1)] * n
+    last = (prior, n + 1)
     for i in range(n):
         last = (labels[i], 0) if labels[i] else (last[0], last[1] + 1)
         before[i] = last
-    last = (-1, n + 1)
+    last = (prior, n + 1)
     for i in range(n - 1, -1, -1):
         last = (labels[i], 0) if labels[i] else (last[0], last[1] + 1)
         after[i] = last
@@ -187,8 +186,14 @@ def second_pass(labels: list[int]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """Good blocks, joined by line feeds; empty for a page without any."""
     found = blocks_of(page or "")
-    framed = any(b[2] for b in found)
-    good = second_pass([first_pass(*b, framed) for b in found])
+    labels = [first_pass(*b) for b in found]
+    # Whether the good text, as far as there is any, lies inside the element.
+    home = not any(x > 0 for x in labels) or any(x > 0 and b[2] for x, b in zip(labels, found, strict=True))
+    good = [False] * len(found)
+    for side in (True, False):
+        at = [k for k, b in enumerate(found) if b[2] == side]
+        for k, keep in zip(at, second_pass([labels[k] for k in at], 1 if side and home else -1), strict=True):
+            good[k] = keep
     return "\n".join(b[0] for b, keep in zip(found, good, strict=True) if keep)
 
 

@@ -253,6 +253,25 @@ def test_pages_without_an_article_use_density():
     assert "Home" not in html.main_text(page) and "Other" not in html.main_text(page)
 
 
+STORY = "This is the story of a man who was in the town and had to go to the river with all of his friends. " * 3
+
+
+def test_article_outside_the_element():
+    card = "<article><h3>Ten boats</h3><p>Ten boats, five lakes.</p></article>"
+    page = f"<div class=text><h1>The river</h1><p>{STORY}</p><p>So it was.</p><p>{STORY}</p></div>{card}"
+    assert html.main_text(page) == f"The river\n{STORY.strip()}\nSo it was.\n{STORY.strip()}"
+    both = f"<article><p>{STORY}</p></article><div><p>{STORY}</p></div><div>Imprint 2020</div><div><a href=1>Home</a></div><div>Town press</div>"
+    assert html.main_text(both).split("\n")[:2] == [STORY.strip()] * 2 and "Town press" not in html.main_text(both)
+    assert html.main_text(f"<article><p>{STORY}</p></article><div>Imprint 2020</div>") == STORY.strip()
+
+
+def test_boilerplate_inside_the_element():
+    links = "".join(f"<li><a href={k}>Other story {k}</a></li>" for k in range(3))
+    numbers = "Oslo 12, Rome 14, Paris 11, Berlin 9, Madrid 17, Vienna 8, Athens 21, Lisbon 19, Dublin 10"
+    page = f"<main><h1>The river</h1><p>{STORY}</p><p>{numbers}</p><p>{STORY}</p><ul>{links}</ul><p>By J. Doe, 3 May</p><p>Share this</p><ul>{links}</ul><p>Town press</p></main>"
+    assert html.main_text(page) == f"The river\n{STORY.strip()}\n{numbers}\n{STORY.strip()}"
+
+
 def test_neighbours_decide():
     assert html.second_pass([0, 1, 0, 0, -1, 0]) == [True, True, True, False, False, False]
     assert html.second_pass([0, 0]) == [False, False] and html.second_pass([]) == []

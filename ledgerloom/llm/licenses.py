@@ -1,8 +1,10 @@
 """License scan by sentences: known sentences become identifiers, identifier sequences are matched against rules.
 
-A text is cut into sentences at line ends, ``! ? ; :`` and at dots that end a word; sentences are compared after lower-casing
-A-Z and turning everything but letters, digits and dots inside words into single spaces.  The identifiers of the known
-sentences of a text, in text order, form its sequence; unknown sentences leave no trace.  Rules are tried in order: a
+A text is cut into sentences at lines without letters and digits, ``! ? ; :`` and at dots that end a word, and these into lines;
+they are compared after lower-casing A-Z and turning everything but letters, digits and dots inside words into single
+spaces, comment leaders among it.  Consecutive lines of a sentence that together give a known one count as that, so a
+wrapped license is found as well as a notice on a line of its own; of several that begin at a line the longest counts.  The
+identifiers of the known sentences of a text, in text order, form its sequence; unknown sentences leave no trace.  Rules are tried in order: a
 rule's identifiers must follow each other in the sequence, and what a rule has matched is not matched again, so a whole
 license text is reported once and not also by its first sentence.  DataFrame functions only; rows are not shuffled.
 """
@@ -54,7 +56,10 @@ RULES = (
     ("CC-BY-4.0", (24,)), ("MPL-2.0", (25,)), ("proprietary", (26,)),
 )
 BREAK = r"[!?;:\n\r]+|[.]+(?=[^A-Za-z0-9]|$)"
-NOISE = r"[^a-z0-9.\n]+"
+# The same breaks but for those of single lines; lines without letters and digits; what stands before a line's first word.
+HARD = r"[!?;:\r]+|[.]+(?=[^A-Za-z0-9]|$)"
+BLANK, LEADER = r"\n(?:[^A-Za-z0-9.\n]*\n)+", r"\n[^A-Za-z0-9.\n\r]*"
+NOISE = r"[^a-z0-9.\n\r]+"
 
 
 def normal(sentence: str) -> list[str]:
@@ -72,31 +77,58 @@ def token(n: int) -> str:
     return f"<{n}>"
 
 
-def pieces(text: Column) -> Column:
-    """The normalised sentences of a text, empty ones left out."""
-    broken = F.translate(F.regexp_replace(text, BREAK, "\n"), UPPER, LOWER)
-    return F.filter(
-        F.transform(F.split(F.regexp_replace(broken, NOISE, " "), "\n"), lambda x: F.trim(x)), lambda x: x != ""
+def lines(text: Column) -> Column:
+    """The normalised lines of each sentence of a text, empty ones left out."""
+    joined = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), BLANK, "\r")
+    broken = F.translate(F.regexp_replace(F.regexp_replace(joined, LEADER, "\n"), HARD, "\r"), UPPER, LOWER)
+    cut = F.split(F.regexp_replace(broken, NOISE, " "), "\r")
+    trimmed = F.transform(cut, lambda s: F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.filter(trimmed, lambda s: F.size(s) > 0)
+
+
+def known_runs(sentence: Column, ids: Column, known: dict[str, str]) -> Column:
+    """Tokens of the known sentences among runs of consecutive lines of a sentence, none of which overlap."""
+    first_words = F.array(*[F.lit(w) for w in sorted({k.split(" ")[0] for k in known})])
+    most = max(len(k.split(" ")) for k in known)
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size(sentence)),
+        lambda i: F.array_contains(first_words, F.substring_index(F.element_at(sentence, i), " ", 1)),
+    )
+
+    def from_line(i: Column) -> Column:
+        ends = F.sequence(i, F.least(F.size(sentence), i + most - 1))
+        tried = F.transform(
+            ends, lambda j: F.struct(
+                i.alias("lo"), j.alias("hi"), F.try_element_at(ids, F.array_join(F.slice(sentence, i, j - i + 1), " ")).alias("id")
+            ),
+        )
+        return F.try_element_at(F.filter(tried, lambda x: x["id"].isNotNull()), F.lit(-1))
+
+    found = F.filter(F.transform(starts, from_line), lambda x: x.isNotNull())
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("ids"))
+    return F.aggregate(
+        found, none,
+        lambda acc, x: F.when(
+            x["lo"] > acc["end"], F.struct(x["hi"].alias("end"), F.array_append(acc["ids"], x["id"]).alias("ids"))
+        ).otherwise(acc),
+        lambda acc: acc["ids"],
     )
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:
     """(doc_id, n_sentences, n_known, sequence, licenses) for every row of ``docs``.
 
+    ``n_sentences`` counts the lines of all sentences, ``n_known`` the known sentences, however many lines each takes.
     ``sequence`` holds the identifiers of known sentences as ``<12><13>``, ``licenses`` the names of the matched rules,
     in rule order, once each, comma-joined.  A missing or empty text has no sentences and empty strings.
     """
     known = known_sentences(sentences)
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    longest = max(map(len, known))
-    parts = docs.select("doc_id", pieces(F.coalesce("text", F.lit(""))).alias("_parts"))
+    parts = docs.select("doc_id", lines(F.coalesce("text", F.lit(""))).alias("_lines"))
     found = parts.select(
         "doc_id",
-        F.size("_parts").cast("long").alias("n_sentences"),
-        F.filter(
-            F.transform(F.filter("_parts", lambda x: F.length(x) <= longest), lambda x: F.try_element_at(ids, x)),
-            lambda x: x.isNotNull(),
-        ).alias("_ids"),
+        F.aggregate("_lines", F.lit(0).cast("long"), lambda n, s: n + F.size(s)).alias("n_sentences"),
+        F.flatten(F.transform("_lines", lambda s: known_runs(s, ids, known))).alias("_ids"),
     )
     order = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(map(token, seq))).alias("seq")) for name, seq in rules])
     sequence = F.array_join("_ids", "")

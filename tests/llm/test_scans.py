@@ -152,6 +152,41 @@ def test_license_sequences(make_docs):
     assert got == {1: "MIT", 2: "BSD-2-Clause", 3: "BSD-3-Clause", 4: "Apache-2.0,MIT", 5: "", 6: ""}
 
 
+def test_wrapped_and_commented_licenses(make_docs):
+    import textwrap
+
+    full = {"MIT": (1, 2, 3), "BSD-3-Clause": (4, 5, 6, 7), "BSD-2-Clause": (4, 5, 6), "ISC": (8,), "MPL-2.0": (25,)}
+    marks = {1: ":", 4: ":"}
+    texts = {name: "\n\n".join(licenses.SENTENCES[k] + marks.get(k, "") for k in ks) for name, ks in full.items()}
+    texts["Apache-2.0"] = (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    )
+    texts["GPL-2.0-or-later"] = f"{licenses.SENTENCES[14]}; {licenses.SENTENCES[15]}; {licenses.SENTENCES[17]}"
+    rows, want = [], {}
+    for name, text in texts.items():
+        for width in (30, 70, 78):
+            for lead in ("", " * ", "# ", "// ", ";; ", "   "):
+                for end in ("\n", "\r\n"):
+                    wrapped = [x for p in text.split("\n\n") for x in ["", *textwrap.wrap(p, width)]]
+                    body = end.join(lead.rstrip() if not x else lead + x for x in ["Copyright 2020 X", *wrapped, "", "import os"])
+                    rows.append((len(rows), body, "en", "a"))
+                    want[len(want)] = name
+    # No blank line before the license; a notice between lines without end marks; known lines inside an unknown sentence.
+    more = {
+        "# Copyright 2020 X\n# Licensed under the Apache License, Version 2.0\n# (the \"License\");\n# you may not use this file\n# except in compliance with the License.": "Apache-2.0",
+        "some words\nReleased under the MIT License\nother words": "MIT",
+        "Copyright 2020 X\nAll rights reserved\nand more": "proprietary",
+        "Released under the\n\nMIT License.": "", "Not released\nunder the MIT License.": "",
+    }
+    for text, name in more.items():
+        rows.append((len(rows), text, "en", "a"))
+        want[len(want)] = name
+    got = {r.doc_id: r for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert {k: r.licenses for k, r in got.items()} == want
+    assert got[0].sequence == "<1><2><3>" and got[0].n_known == 3
+
+
 # ---- secrets
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,7 +227,7 @@ def unpack_bits(blob: bytes) -> np.ndarray:
 
 @dataclass
 class Layout:
-    """Documents are dealt to ``blocks`` by a hash of their id, hash values to ``segments`` by range."""
+    """Documents are dealt to ``blocks`` by a hash of their id and text, hash values to ``segments`` by range."""
 
     rows: int
     size: int
@@ -244,8 +245,8 @@ def layout(docs: DataFrame) -> Layout:
 
 
 def in_blocks(docs: DataFrame, plan: Layout) -> DataFrame:
-    """(block, doc_id, text) of every row."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.blocks)).alias("block"), "doc_id", "text")
+    """(block, doc_id, text) of every row; different texts of one id, or without an id, spread over the blocks."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.blocks)).alias("block"), "doc_id", "text")
 
 
 def segment_bounds(values: np.ndarray, segments: int, space: int) -> np.ndarray:
@@ -262,6 +263,12 @@ def ids_of(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
+def document_order(docs: pa.Table) -> pa.Array:
+    """Places of a block's rows by (doc_id, text), so that every read of the block numbers them alike."""
+    keys = pa.table({"id": pa.array(ids_of(docs.column("doc_id"))), "text": docs.column("text")})
+    return pc.sort_indices(keys, sort_keys=[("id", "ascending"), ("text", "ascending")])
+
+
 def covered(flags: np.ndarray, width: int) -> np.ndarray:
     """Positions within ``width`` after a flagged start (the start included)."""
     edge = np.zeros(len(flags) + 1, np.int32)

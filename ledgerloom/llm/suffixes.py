@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import (
-    Layout, _BYTES, chunks, covered, ids_of, in_blocks, layout, pack_bits, pack_bytes, pack_longs, pack_sorted, runs_hash, scramble,
+    Layout, _BYTES, chunks, covered, document_order, ids_of, in_blocks, layout, pack_bits, pack_bytes, pack_longs, pack_sorted, runs_hash, scramble,
     unpack_bits, unpack_bytes, unpack_longs, unpack_sorted, utf8,
 )
 from ledgerloom.llm.windows import SENT, TOLD, _answers, _cut, _sent, _told, repeated
@@ -117,9 +117,8 @@ class BlockSuffixes:
     """Suffixes of a block's documents that have ``width`` bytes left, in runs of one anchor: (document, start, end, anchor)."""
 
     def __init__(self, docs: pa.Table, width: int, gram: int, bits: int):
-        ids = ids_of(docs.column("doc_id"))
-        order = np.argsort(ids, kind="stable")
-        self.docs, self.ids = docs.take(pa.array(order)), ids[order]
+        self.docs = docs.take(document_order(docs))
+        self.ids = ids_of(self.docs.column("doc_id"))
         self.data, self.starts = utf8(self.docs.column("text"))
         doc, lo, hi, anchor = [], [], [], []
         for a, b in chunks(self.starts):
@@ -178,7 +177,8 @@ class BlockSuffixes:
     def stretches(self, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Different stretches by (anchor, text): texts, anchors, first run of each; and the stretch of each run.
 
-        A document's number in the block follows its id, so the first run of a stretch is in the smallest document.
+        A document's number in the block follows its id and text, so every read numbers stretches alike, and the first run of
+        a stretch is in the smallest document.
         """
         place = self.anchors()[2]
         runs = np.argsort(place, kind="stable")

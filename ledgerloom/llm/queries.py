@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, html, licenses, mixing, quality, secrets, simhash, suffixes, urls, windows
+from ledgerloom.llm import decontaminate, html, licenses, merkle, mixing, quality, secrets, simhash, suffixes, urls, windows
 from ledgerloom.llm.common import table
 from ledgerloom.llm.oracle import SQL
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_url_filter": lambda spark, d: urls.judge_urls(table(spark, d, "pages"), urls.rule_table(spark)),
     "op9_html_text": lambda spark, d: html.extract_text(table(spark, d, "pages")),
     "op10_window_dedup": lambda spark, d: windows.window_digest(table(spark, d, "documents")),
+    "op13_merkle_manifest": lambda spark, d: merkle.folded(table(spark, d, "documents")),
 }
 
 __all__ = ["QUERIES", "SQL"]

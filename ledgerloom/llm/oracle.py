@@ -126,4 +126,18 @@ def _merkle() -> str:
       SELECT doc_id, leaf, subroot, r.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.d AS verified FROM u{_TOP_LEVELS} u CROSS JOIN t_roots r"""
 
 
-SQL = {"op3_quality_rules": _quality(), "op5_license_scan": _licenses(), "op8_url_filter": _urls(), "op13_merkle_manifest": _merkle()}
+def _negatives() -> str:
+    dot = "list_reduce(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]), lambda x, y: x + y)"
+    return rf"""WITH usable AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {dot} AS score
+        FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+      positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+      SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+      FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+      WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+SQL = {"op3_quality_rules": _quality(), "op5_license_scan": _licenses(), "op8_url_filter": _urls(), "op11_hard_negatives": _negatives(), "op13_merkle_manifest": _merkle()}

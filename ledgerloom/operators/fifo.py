@@ -1,19 +1,32 @@
 """First-in-first-out lot matching without a loop.
 
-Quantities are brought to whole numbers that no split changes: a quantity has ``PLACES`` decimals, and its split scale
-(see ``splits``) is whole.  So a lot is an interval on the axis "units bought so far" and a sale an interval on the axis
-"units consumed so far", both exact however much was traded before; a sale consumes the lots its interval overlaps.  A sale beyond the
-position consumes only what is there.  Both interval ends follow from three running figures (bought, net, lowest
-net), so one ordered scan gives them, and the overlaps follow from one sorted sweep.
+Quantities are brought to whole numbers that no split changes, so a lot is an interval on the axis "units bought so far" and a
+sale an interval on the axis "units consumed so far"; a sale consumes the lots its interval overlaps.  A sale beyond the
+position consumes only what is there.  Both interval ends follow from three running figures (bought, net, lowest net),
+so one ordered scan gives them, and the overlaps follow from one sorted sweep.
+
+Each (account, asset) has an axis of its own.  Usual ones have units of ``PLACES`` decimals times the split scale (see
+``splits``), in column arithmetic.  Where that would not hold all quantities exactly in 38 digits (many unround splits,
+huge or very small quantities), the units are as fine as 38 digits allow: a row's units are computed once with exact
+fractions and rounded once, and overlaps of fewer units than the asset has trades, which only such rounding can make,
+are no matches.  That is 1e-27 of the turnover for a billion trades.
 
 Hot (account, asset) groups are scanned in blocks (see ``groups``).  Their sweep is cut at the borders of the buy
-blocks and sell blocks, so no task sees more than two blocks of rows.
+blocks and sell blocks, so no task sees more than two blocks of rows.  Where no group is hot, plain windows do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+from functools import lru_cache
+from math import prod
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import classify as C
 from ledgerloom.operators.asof import add_rate, clip, daily_prices, daily_rates, latest_prices, usd_units
@@ -24,32 +37,104 @@ from ledgerloom.sources.store import materialize
 PLACES = 12
 UNITS = "decimal(38,0)"
 ATOMS = 10**PLACES
+#: Digits of the scale and of the whole axis up to which column arithmetic is exact, and of the axis at most.
+SCALE_DIGITS, AXIS_DIGITS = 13, 36
 
 
 def whole_units(quantity, scale):
-    """Exact units: the quantity to ``PLACES`` decimals, times its split scale (below 10**13)."""
-    atoms = (quantity.cast(f"decimal(24,{PLACES})") * F.lit(ATOMS).cast("decimal(13,0)")).cast("decimal(24,0)")
-    return (atoms * scale.cast("decimal(13,0)")).cast(UNITS)
+    """Exact units: the quantity to ``PLACES`` decimals, times its split scale; null where either is beyond 10**12 or 10**13."""
+    atoms = (quantity.try_cast(f"decimal(24,{PLACES})") * F.lit(ATOMS).cast("decimal(13,0)")).cast("decimal(24,0)")
+    return (atoms * scale.try_cast("decimal(13,0)")).cast(UNITS)
+
 
+@dataclass
+class Axes:
+    """What is special about some keys: (account, asset, places, dust, hot), and whether any is hot or has an axis of its own."""
 
-def quantity_of(units, scale):
-    return units.cast("double") / (scale * float(ATOMS))
+    keys: DataFrame
+    hot: bool
+    own: bool
 
 
-def unit_trades(clipped: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Non-cash trades in whole units, in their blocks.  Blocks are assigned first, on the bare rows."""
+def special_axes(trades: DataFrame, steps: DataFrame, hot_rows: int) -> Axes:
+    """Keys with many trades, or with quantities or splits that the usual units do not hold exactly; a small written table.
+
+    ``places`` is null for usual units, else the power of ten that makes units as fine as the axis allows; ``dust`` is the
+    number of units that rounding can leave over, 0 where nothing is rounded.
+    """
+    q = F.col("quantity")
+    per = trades.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.max(q).alias("most"),
+        F.max(q != F.round(q, PLACES)).alias("fine"), F.max(q != F.round(q, 18)).alias("finer"),
+    )
+    digits = steps.groupBy(*KEYS).agg(F.max("digits").alias("digits"))
+    known = per.join(digits, KEYS, "left").withColumn("digits", F.coalesce("digits", F.lit(0.0)))
+    top = F.ceil(F.log10("most") + F.log10("n") + F.col("digits"))
+    own = F.col("fine") | (F.col("digits") > SCALE_DIGITS - 1) | (F.col("most") >= 1e12) | (top + PLACES > AXIS_DIGITS)
+    places = (F.lit(AXIS_DIGITS) - top).cast("int")
+    exact = ~F.col("finer") & (places >= 18)
+    found = known.select(
+        *KEYS, F.when(own, places).alias("places"), F.when(own & ~exact, F.col("n")).otherwise(F.lit(0)).cast(UNITS).alias("dust"),
+        (F.col("n") > hot_rows).alias("hot"),
+    )
+    keys = materialize(found.where("hot OR places IS NOT NULL"), "lot-axes")
+    got = keys.agg(F.coalesce(F.max("hot"), F.lit(False)), F.count("places") > 0).first()
+    return Axes(keys, got[0], got[1])
+
+
+@lru_cache(maxsize=1 << 16)
+def exact_scale(ratios: tuple[tuple[float, float], ...], before: int) -> int:
+    """Numerators of the later splits times denominators of the earlier ones."""
+    return prod(int(a) for a, _ in ratios[before:]) * prod(int(b) for _, b in ratios[:before])
+
+
+def _own_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of the rows whose key has an axis of its own, with exact fractions, rounded once."""
+    for batch in batches:
+        units, share, end = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("quantity", "places", "ratios", "before")]
+        for quantity, places, listed, before in zip(*columns, strict=True):
+            ratios = tuple((r["above"], r["below"]) for r in listed or ())
+            ten = Fraction(10) ** places
+            per_share = exact_scale(ratios, before or 0) * ten
+            units.append(round(Fraction(repr(quantity)) * per_share))
+            share.append(float(per_share))
+            end.append(float(exact_scale(ratios, len(ratios)) * ten))
+        made = {"units": pa.array(units, pa.decimal128(38, 0)), "per_share": pa.array(share, pa.float64()), "end_per_share": pa.array(end, pa.float64())}
+        kept = [c for c in batch.schema.names if c not in made]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made.values()], names=[*kept, *made])
+
+
+def unit_trades(clipped: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+    """Non-cash trades in whole units, in their blocks, and whether any key has more than one block."""
     trades = clipped.where(F.col("action").isin("BUY", "SELL") & ~F.col("cash_like") & (F.col("quantity") > 0))
-    factored = with_split_factor(
-        split_hot_groups(trades, KEYS, hot_rows).select(
-            *KEYS, *BLOCK, "as_of", "date", "id", "action", "quantity",
-            (F.col("quantity") * F.coalesce("price", F.lit(0.0))).alias("amount"),
-            F.coalesce("fees", F.lit(0.0)).alias("fees"),
-            "pay_key", "fee_key",
-        ),
-        split_steps(clipped),
+    steps = split_steps(clipped)
+    axes = special_axes(trades, steps, hot_rows)
+    # Blocks are assigned first, on the bare rows.
+    blocked = split_hot_groups(trades, KEYS, hot_rows) if axes.hot else trades.withColumns({"blk": F.lit(0).cast("long"), "sub": F.lit(-1).cast("long")})
+    bare = blocked.select(
+        *KEYS, *BLOCK, "as_of", "date", "id", "action", "quantity",
+        (F.col("quantity") * F.coalesce("price", F.lit(0.0))).alias("amount"),
+        F.coalesce("fees", F.lit(0.0)).alias("fees"),
+        "pay_key", "fee_key",
     )
-    units = whole_units(F.col("quantity"), F.col("scale"))
-    return factored.withColumn("units", units).drop("quantity", "factor", "end_factor").where("units > 0")
+    factored = with_split_factor(bare, steps, more=("ratios", "before"))
+    if axes.own:
+        own = axes.keys.where("places IS NOT NULL").select(*KEYS, "places", "dust")
+        factored = factored.join(own, KEYS, "left").withColumn("dust", F.coalesce("dust", F.lit(0).cast(UNITS)))
+    else:
+        factored = factored.withColumns({"places": F.lit(None).cast("int"), "dust": F.lit(0).cast(UNITS)})
+    usual = factored.where("places IS NULL").withColumns({
+        "units": whole_units(F.col("quantity"), F.col("scale")),
+        "per_share": F.col("scale") * float(ATOMS), "end_per_share": F.col("end_scale") * float(ATOMS),
+    })
+    rows = usual
+    if axes.own:
+        rest = factored.where("places IS NOT NULL")
+        schema = T.StructType([*rest.schema, *[usual.schema[c] for c in ("units", "per_share", "end_per_share")]])
+        rows = usual.unionByName(rest.mapInArrow(_own_units, schema))
+    unused = ("quantity", "factor", "end_factor", "scale", "end_scale", "places", "ratios", "before")
+    return rows.drop(*unused).where("units > 0"), axes.hot
 
 
 def add_costs(rows: DataFrame, prices: DataFrame, until) -> DataFrame:
@@ -65,14 +150,17 @@ def add_costs(rows: DataFrame, prices: DataFrame, until) -> DataFrame:
     )
 
 
-def lots(clipped: DataFrame, prices: DataFrame, until, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Placed and costed trades as a written table: it is read once for the blocks and once for the rows."""
-    placed = lot_intervals(unit_trades(clipped, hot_rows))
-    return materialize(add_costs(placed, prices, until), "lots")
+def lots(clipped: DataFrame, prices: DataFrame, until, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+    """Placed and costed trades as a written table, and whether any key has more than one block."""
+    rows, hot = unit_trades(clipped, hot_rows)
+    return materialize(add_costs(lot_intervals(rows, hot), prices, until), "lots"), hot
+
 
+def lot_intervals(rows: DataFrame, hot: bool = True) -> DataFrame:
+    """Adds [lo, hi) to every trade: its place among all units bought, or among all units consumed.
 
-def lot_intervals(rows: DataFrame) -> DataFrame:
-    """Adds [lo, hi) to every trade: its place among all units bought, or among all units consumed."""
+    Unless something is ``hot``, every key is one block, and nothing comes before it.
+    """
     inside = Window.partitionBy(*KEYS, *BLOCK).orderBy("date", "id")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_buy = F.col("action") == "BUY"
@@ -84,6 +172,26 @@ def lot_intervals(rows: DataFrame) -> DataFrame:
         "low_before_in", F.min("net_in").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     )
 
+    zero = F.lit(0).cast(UNITS)
+    if hot:
+        rows = rows.join(_before_blocks(rows), [*KEYS, *BLOCK])
+    else:
+        rows = rows.withColumns({"net_0": zero, "bought_0": zero, "low_0": zero})
+    net = F.col("net_0") + F.col("net_in")
+    bought = F.col("bought_0") + F.col("bought_in")
+    low_before = F.least(F.col("low_0"), F.coalesce(F.col("net_0") + F.col("low_before_in"), zero))
+    held_before = net - F.col("signed") - low_before
+    held = net - F.least(low_before, net)
+    return rows.withColumns(
+        {
+            "lo": F.when(is_buy, bought - F.col("units")).otherwise(bought - held_before).cast(UNITS),
+            "hi": F.when(is_buy, bought).otherwise(bought - held).cast(UNITS),
+        }
+    ).drop("signed", "net_in", "bought_in", "low_before_in", "net_0", "bought_0", "low_0")
+
+
+def _before_blocks(rows: DataFrame) -> DataFrame:
+    """Net, bought and lowest net units before each block."""
     earlier = Window.partitionBy(*KEYS).orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(UNITS)
     blocks = rows.groupBy(*KEYS, *BLOCK).agg(
@@ -94,23 +202,10 @@ def lot_intervals(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("net").over(earlier), zero).alias("net_0"),
         F.coalesce(F.sum("bought").over(earlier), zero).alias("bought_0"),
     )
-    blocks = blocks.withColumn(
+    return blocks.withColumn(
         "low_0", F.least(zero, F.coalesce(F.min(F.col("net_0") + F.col("low")).over(earlier), zero))
     ).drop("low")
 
-    rows = rows.join(blocks, [*KEYS, *BLOCK])
-    net = F.col("net_0") + F.col("net_in")
-    bought = F.col("bought_0") + F.col("bought_in")
-    low_before = F.least(F.col("low_0"), F.coalesce(F.col("net_0") + F.col("low_before_in"), zero))
-    held_before = net - F.col("signed") - low_before
-    held = net - F.least(low_before, net)
-    return rows.withColumns(
-        {
-            "lo": F.when(is_buy, bought - F.col("units")).otherwise(bought - held_before),
-            "hi": F.when(is_buy, bought).otherwise(bought - held),
-        }
-    ).drop("signed", "net_in", "bought_in", "low_before_in", "net_0", "bought_0", "low_0")
-
 
 def _sweep(events: DataFrame, group: list[str]) -> DataFrame:
     """Overlaps of two chains of adjoining intervals.
@@ -161,26 +256,29 @@ def _block_overlaps(intervals: DataFrame) -> DataFrame:
     )
 
 
-def matched_lots(intervals: DataFrame) -> DataFrame:
+def matched_lots(intervals: DataFrame, hot: bool = True) -> DataFrame:
     """One row per (sale, lot) pair: the structs ``sell`` and ``buy`` and the units in common."""
     is_buy = F.col("action") == "BUY"
-    placed = intervals.join(_block_overlaps(intervals), [*KEYS, "action", *BLOCK]).where(
-        (F.col("lo") < F.col("cell_hi")) & (F.col("hi") > F.col("cell_lo")) & (F.col("hi") > F.col("lo"))
-    )
-    piece = F.struct(F.least("hi", "cell_hi").alias("hi"), "id", "date", "usd", "units", "scale", "as_of")
+    what = ["id", "date", "usd", "units", "per_share", "dust", "as_of"]
+    if hot:
+        placed = intervals.join(_block_overlaps(intervals), [*KEYS, "action", *BLOCK]).where(
+            (F.col("lo") < F.col("cell_hi")) & (F.col("hi") > F.col("cell_lo")) & (F.col("hi") > F.col("lo"))
+        )
+        piece, group = F.struct(F.least("hi", "cell_hi").alias("hi"), *what), [*KEYS, "cell"]
+        start = F.greatest("lo", "cell_lo")
+    else:
+        placed = intervals.where(F.col("hi") > F.col("lo"))
+        piece, group, start = F.struct("hi", *what), KEYS, F.col("lo")
     events = placed.select(
-        *KEYS, "cell", F.greatest("lo", "cell_lo").alias("pos"),
-        F.when(is_buy, piece).alias("buy"), F.when(~is_buy, piece).alias("sell"),
-    )
-    return _sweep(events, [*KEYS, "cell"]).select(
-        *KEYS, "buy", "sell", (F.col("hi") - F.col("lo")).alias("overlap")
+        *group, start.alias("pos"), F.when(is_buy, piece).alias("buy"), F.when(~is_buy, piece).alias("sell")
     )
+    overlap = F.col("hi") - F.col("lo")
+    return _sweep(events, group).select(*KEYS, "buy", "sell", overlap.alias("overlap")).where(F.col("overlap") > F.col("buy.dust"))
 
 
 def _gain_columns(matches: DataFrame) -> DataFrame:
     def part(side):
-        scale = F.col(f"{side}.scale")
-        return F.col(f"{side}.usd") * quantity_of(F.col("overlap"), scale) / quantity_of(F.col(f"{side}.units"), scale)
+        return F.col(f"{side}.usd") * F.col("overlap").cast("double") / F.col(f"{side}.units").cast("double")
 
     proceeds, cost = part("sell"), part("buy")
     return matches.select(
@@ -188,7 +286,7 @@ def _gain_columns(matches: DataFrame) -> DataFrame:
         F.col("sell.date").alias("sell_date"),
         F.col("sell.id").alias("sell_id"),
         "asset",
-        quantity_of(F.col("overlap"), F.col("sell.scale")).alias("sell_quantity"),
+        (F.col("overlap").cast("double") / F.col("sell.per_share")).alias("sell_quantity"),
         proceeds.alias("proceeds_usd"),
         cost.alias("cost_basis_usd"),
         (proceeds - cost).alias("realized_gain"),
@@ -207,8 +305,7 @@ def realized_gains(
     clipped = clip(C.classified(ledger), to_date)
     if asset is not None:
         clipped = clipped.where(F.upper("asset") == asset.upper())
-    intervals = lots(clipped, prices, to_date, hot_rows)
-    gains = _gain_columns(matched_lots(intervals)).drop("as_of")
+    gains = _gain_columns(matched_lots(*lots(clipped, prices, to_date, hot_rows))).drop("as_of")
     if from_date is not None:
         gains = gains.where(F.col("sell_date") >= F.lit(str(from_date)).cast("date"))
     return gains
@@ -235,26 +332,26 @@ def fifo_metrics(ledger: DataFrame, prices: DataFrame, as_of, until=None, hot_ro
     """Cost basis of open lots, realized and unrealized gain per account, rounded to cents."""
     clipped = clip(C.classified(ledger), as_of)
     last_day = until if isinstance(as_of, DataFrame) else as_of
-    intervals = lots(clipped, prices, last_day, hot_rows)
+    intervals, hot = lots(clipped, prices, last_day, hot_rows)
     is_buy = F.col("action") == "BUY"
     bought = intervals.select(
         *KEYS, "as_of",
         F.when(is_buy, F.col("usd")).otherwise(0.0).alias("open_cost"),
         F.lit(0.0).alias("gain"),
         F.when(is_buy, F.col("units")).otherwise(F.col("lo") - F.col("hi")).cast(UNITS).alias("open_units"),
-        "end_scale",
+        "end_per_share", "dust",
     )
-    sold = _gain_columns(matched_lots(intervals)).select(
+    sold = _gain_columns(matched_lots(intervals, hot)).select(
         *KEYS, "as_of",
         (-F.col("cost_basis_usd")).alias("open_cost"),
         F.col("realized_gain").alias("gain"),
         F.lit(0).cast(UNITS).alias("open_units"),
-        F.lit(None).cast("double").alias("end_scale"),
+        F.lit(None).cast("double").alias("end_per_share"), F.lit(0).cast(UNITS).alias("dust"),
     )
     per_asset = bought.unionByName(sold).groupBy(*KEYS, "as_of").agg(
         F.sum("open_cost").alias("open_cost"),
         F.sum("gain").alias("gain"),
-        quantity_of(F.sum("open_units"), F.max("end_scale")).alias("open_quantity"),
+        F.when(F.sum("open_units") > F.max("dust"), F.sum("open_units").cast("double") / F.max("end_per_share")).otherwise(0.0).alias("open_quantity"),
     )
     if isinstance(as_of, DataFrame):
         units = usd_units(daily_prices(prices, until), ("date",)).select(

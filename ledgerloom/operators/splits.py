@@ -16,23 +16,26 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import classify as C
 
 KEYS = ["account", "asset"]
-MOST_DENOMINATOR, OTHER_DENOMINATOR = 1000, 1_000_000
+MOST_DENOMINATOR, MOST_DECIMALS = 1000, 15
 
 
 def denominator(ratio: Column) -> Column:
-    """Smallest whole number, up to a thousand, that makes the ratio whole; a million for any other ratio."""
+    """Smallest whole number, up to a thousand, that makes the ratio whole; for other ratios the power of ten of their decimals."""
     fits = F.filter(
         F.sequence(F.lit(1), F.lit(MOST_DENOMINATOR)),
         lambda n: F.abs(ratio * n - F.round(ratio * n)) < F.least(F.lit(1e-9), ratio * n * 1e-9),
     )
-    return F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(OTHER_DENOMINATOR)).cast("double")
+    decimals = F.length(F.regexp_extract(ratio.cast("decimal(38,18)").cast("string"), r"\.(\d*?)0*$", 1))
+    other = F.pow(F.lit(10.0), F.least(decimals, F.lit(MOST_DECIMALS)))
+    return F.coalesce(F.try_element_at(fits, F.lit(1)).cast("double"), other)
 
 
 def split_steps(ledger: DataFrame) -> DataFrame:
     """Factor intervals per (account, asset): ``factor`` of all splits up to the interval, ``end_factor`` of all.
 
-    ``scale`` and ``end_scale`` are their whole-number counterparts.  A ratio of zero or less, or none, is no split (the
-    row checks report it).
+    ``scale`` and ``end_scale`` are their whole-number counterparts, exact up to 2 ** 53; beyond that ``ratios`` (all splits
+    of the key in order, as numerator and denominator) and ``before`` (how many of them come before the interval) give them
+    exactly, and ``digits`` bounds their length.  A ratio of zero or less, or none, is no split (the row checks report it).
     """
     order = Window.partitionBy(*KEYS).orderBy("date", "id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -47,34 +50,37 @@ def split_steps(ledger: DataFrame) -> DataFrame:
             *KEYS,
             "date",
             "id",
-            F.product("quantity").over(upto).alias("factor"),
-            F.product("quantity").over(whole).alias("end_factor"),
+            F.product(F.col("above") / F.col("below")).over(upto).alias("factor"),
+            F.product(F.col("above") / F.col("below")).over(whole).alias("end_factor"),
             F.lead("date").over(order).alias("to_date"),
             F.lead("id").over(order).alias("to_id"),
             F.row_number().over(order).alias("n"),
             (F.coalesce(F.product("above").over(later), one) * F.product("below").over(upto)).alias("scale"),
             F.product("below").over(whole).alias("end_scale"),
             F.product("above").over(whole).alias("first_scale"),
+            F.collect_list(F.struct("above", "below")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("ratios"),
+            F.sum(F.log10(F.greatest("above", "below"))).over(whole).alias("digits"),
         )
     )
     # The first split of a key also opens the interval before it.
     before = F.struct(
         F.lit("0001-01-01").cast("date").alias("from_date"), F.lit(-1).cast("long").alias("from_id"),
         F.col("date").alias("to_date"), F.col("id").alias("to_id"), F.lit(1.0).alias("factor"),
-        F.col("first_scale").alias("scale"),
+        F.col("first_scale").alias("scale"), F.lit(0).alias("before"),
     )
     after = F.struct(
-        F.col("date").alias("from_date"), F.col("id").alias("from_id"), "to_date", "to_id", "factor", "scale"
+        F.col("date").alias("from_date"), F.col("id").alias("from_id"), "to_date", "to_id", "factor", "scale", F.col("n").alias("before")
     )
     return splits.select(
-        *KEYS, "end_factor", "end_scale", F.inline(F.when(F.col("n") == 1, F.array(before, after)).otherwise(F.array(after)))
+        *KEYS, "end_factor", "end_scale", "ratios", "digits", F.inline(F.when(F.col("n") == 1, F.array(before, after)).otherwise(F.array(after)))
     )
 
 
-def with_split_factor(rows: DataFrame, steps: DataFrame, asset: str = "asset", only: str = "true") -> DataFrame:
+def with_split_factor(rows: DataFrame, steps: DataFrame, asset: str = "asset", only: str = "true", more: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``factor`` (splits before the row), ``end_factor`` (all splits), and their scales; 1 where there are none.
 
-    ``asset`` names the column that holds the asset, ``only`` a condition on the rows (``t``) that splits apply to.
+    ``asset`` names the column that holds the asset, ``only`` a condition on the rows (``t``) that splits apply to, ``more``
+    further columns of ``steps``, null where there are no splits.
     """
     t, s = rows.alias("t"), steps.alias("s")
     same = F.expr(f"t.account = s.account AND t.{asset} = s.asset AND {only}")
@@ -86,6 +92,7 @@ def with_split_factor(rows: DataFrame, steps: DataFrame, asset: str = "asset", o
         F.coalesce("s.end_factor", F.lit(1.0)).alias("end_factor"),
         F.coalesce("s.scale", F.lit(1.0)).alias("scale"),
         F.coalesce("s.end_scale", F.lit(1.0)).alias("end_scale"),
+        *[F.col(f"s.{c}") for c in more],
     )
 
 

@@ -98,6 +98,59 @@ def test_decimal_quantities_match_exactly(make_ledger, make_prices, rows, hot_ro
     assert fifo.fifo_metrics(ledger, prices, "2024-12-01", hot_rows=hot_rows).first().cost_basis == pytest.approx(open_cost, abs=0.01)
 
 
+def unround_rows(ratio, splits, size, seed, sales):
+    """Trades around many splits of one unround ratio; ``sales`` are parts of what is held, or None for all of it."""
+    rng, rows, held = random.Random(seed), [], Fraction(0)
+    for k in range(splits + 1):
+        for n, part in enumerate(sales):
+            when = f"2024-{1 + k:02d}-{1 + 2 * n:02d}"
+            bought = Fraction(str(round(rng.uniform(0.5, 2.0), 2))) * size
+            rows.append((when, "AAA", "BUY", float(bought), 2.0))
+            held += Fraction(str(float(bought)))
+            if part is not None:
+                sold = float(f"{float(held * Fraction(str(part))):.6g}")
+                rows.append((when, "AAA", "SELL", sold, 3.0))
+                held -= Fraction(str(sold))
+        if k < splits:
+            rows.append((f"2024-{1 + k:02d}-27", "AAA", "SPLIT", ratio))
+            held *= Fraction(str(ratio))
+    return rows
+
+
+TOKENS = [("2024-01-01", "AAA", "BUY", 1e-18, 5.0), ("2024-01-01", "AAA", "BUY", 3e-18, 5.0), ("2024-01-02", "AAA", "SELL", 2e-18, 6.0),
+          ("2024-01-03", "AAA", "BUY", 12345.678901234567, 1.0), ("2024-01-04", "AAA", "SELL", 2e-18, 6.0), ("2024-01-05", "AAA", "SELL", 12345.678901234567, 1.0)]
+
+
+HISTORIES = [
+    unround_rows(1.281, 5, 1, 1, (None, 0.3, 0.5)), unround_rows(1.0123456, 9, 10, 2, (0.25, None, 0.6)),
+    unround_rows(0.98765432101, 11, 1000, 3, (0.5, 0.1)), unround_rows(1.281, 4, 10**13, 4, (0.3, 0.2)),
+    [("2024-01-01", "AAA", "BUY", 2e12, 1.0), ("2024-01-02", "AAA", "SELL", 5e11, 1.0), ("2024-01-03", "AAA", "SELL", 1.5e12, 1.0)],
+    [("2024-01-01", "AAA", "BUY", 1e-13, 1.0), ("2024-01-02", "AAA", "SELL", 1e-13, 2.0)], TOKENS,
+    [("2024-01-01", "AAA", "BUY", 10.0, 1.0), *[(f"2024-01-{2 + k:02d}", "AAA", "SPLIT", 1.281) for k in range(5)], ("2024-01-20", "AAA", "SELL", float(Fraction("1.281") ** 5 * 10), 2.0)],
+    [("2024-01-01", "AAA", "BUY", 2.0, 1.0), ("2024-01-02", "AAA", "SELL", 1.0, 1.0)],
+]
+
+
+@pytest.mark.parametrize("hot_rows", [2, 7, 1 << 20])
+def test_nothing_is_too_large_small_or_unround(make_ledger, make_prices, hot_rows):
+    """One asset for each history; ids count through all of them."""
+    rows, want, open_cost = [], {}, 0.0
+    for k, history in enumerate(HISTORIES):
+        found, cost = sequential(history)
+        want |= {(a + len(rows), b + len(rows)): figures for (a, b), figures in found.items()}
+        open_cost += cost
+        rows += [(day, f"A{k}", *rest) for day, _, *rest in history]
+    ledger, prices = make_ledger(rows), make_prices([(f"A{k}", "2024-01-01", 1.0) for k in range(len(HISTORIES))])
+    got = {
+        (r.sell_id, r.matched_buy_id): (r.sell_quantity, r.cost_basis_usd, r.proceeds_usd)
+        for r in fifo.realized_gains(ledger, prices, "2025-12-01", hot_rows=hot_rows).collect()
+    }
+    assert set(got) == set(want)
+    for key, figures in want.items():
+        assert got[key] == pytest.approx(figures, rel=1e-9, abs=1e-25), key
+    assert fifo.fifo_metrics(ledger, prices, "2025-12-01", hot_rows=hot_rows).first().cost_basis == pytest.approx(open_cost, rel=1e-9)
+
+
 def test_a_single_hot_day_is_cut_by_id(make_ledger, make_prices):
     rows = [("2024-01-05", "AAA", "BUY" if i % 3 else "SELL", float(1 + i % 4), 10.0) for i in range(60)]
     want, _ = sequential(rows)

@@ -5,7 +5,8 @@ adjacent pairs whose joined text is a piece, best score first, leftmost first am
 new neighbours, until the agenda is empty.  What is no piece falls back to its UTF-8 bytes, or to the unknown piece.
 
 Symbols never merge across two neighbouring characters that no piece of the vocabulary holds side by side, so a text is cut
-there without changing the result; the parts between spaces are remembered, up to ``REMEMBERED`` of them, per Python worker.
+there without changing the result: before spaces, and between letters and others, as far as the vocabulary allows.  Parts are
+remembered, up to ``REMEMBERED`` of them, per Python worker.
 
 Texts pass through in Arrow batches, never shuffled.  Each batch can be checked against the sentencepiece library (``agrees``).
 """
@@ -28,7 +29,9 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import add_columns, long_field, text_field
 
 SPACE = "▁"
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 500_000, 48
+#: Two classes of characters that make up all but the space mark; which ones is only a matter of speed.
+LETTERS, OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{SPACE}]|[\d_²³¹])"
 # Fixed values of the model format: kinds of pieces, and the kind of model.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
@@ -84,9 +87,19 @@ class Vocabulary:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, UNUSED)}
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for p, i in self.reserved.items() if self.kinds[i] == BYTE}
-        self.together = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        spaced = any(pair[1] == SPACE and pair[0] != SPACE for pair in self.together)
-        self.parts = re.compile(".+" if spaced else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
+        #: Place of a piece in the agenda: the best score is the smallest.
+        self.order = {p: -self.scores[i] for p, i in self.ids.items()}
+        self.unused = {p for p, i in self.ids.items() if self.kinds[i] == UNUSED}
+        # The finest cut that parts no piece: between letters and others and before spaces, before spaces only, or none.
+        mixed = re.compile(f"{LETTERS}{OTHERS}|{OTHERS}{LETTERS}|[^{SPACE}]{SPACE}")
+        spaced = re.compile(f"[^{SPACE}]{SPACE}")
+        if not any(map(mixed.search, self.ids)):
+            parts = f"{SPACE}*(?:{LETTERS}+|{OTHERS}+)|{SPACE}+"
+        elif not any(map(spaced.search, self.ids)):
+            parts = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        else:
+            parts = ".+"
+        self.parts = re.compile(parts, re.DOTALL)
         self.known = Known(self)
         byte_of = {i: b for b, i in self.bytes.items()}
         # 0xFF is in no UTF-8 text: it marks what the short way of decoding does not handle.
@@ -104,64 +117,59 @@ class Vocabulary:
         return ((" " if self.prefix else "") + text).replace(" ", SPACE)
 
     def merged(self, text: str) -> list[str]:
-        """The agenda: pieces (or single characters that are none) of a text whose symbols may all merge."""
-        symbols: list[str] = list(text)
+        """The agenda over one text: the pieces (or single characters that are none) it ends with."""
+        symbols = list(text)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ids, scores, split = self.ids, self.scores, {}
-        agenda: list[tuple[float, int, int, int]] = []
-
-        def pair(left: int, right: int) -> tuple | None:
-            joined = symbols[left] + symbols[right]
-            k = ids.get(joined)
-            if k is None:
-                return None
-            if self.kinds[k] == UNUSED:
-                split[joined] = symbols[left], symbols[right]
-            return -scores[k], left, right, len(joined)
-
-        agenda = [p for k in range(n - 1) if (p := pair(k, k + 1))]
+        order, split = self.order.get, {}
+        agenda = [(place, k, k + 1, text[k : k + 2]) for k in range(n - 1) if (place := order(text[k : k + 2])) is not None]
+        if self.unused:
+            split.update((joined, (joined[0], joined[1])) for _, _, _, joined in agenda if joined in self.unused)
         heapify(agenda)
         while agenda:
-            _, left, right, size = heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
+            _, left, right, joined = heappop(agenda)
+            own, other = symbols[left], symbols[right]
+            # Left or right may have grown or gone since the pair was offered.
+            if not own or not other or len(own) + len(other) != len(joined):
                 continue
-            symbols[left] += symbols[right]
-            symbols[right] = ""
-            follows = after[left] = after[right]
+            symbols[left], symbols[right] = joined, ""
+            follows, leads = after[right], before[left]
+            after[left] = follows
             if follows >= 0:
                 before[follows] = left
-                if p := pair(left, follows):
-                    heappush(agenda, p)
-            if before[left] >= 0 and (p := pair(before[left], left)):
-                heappush(agenda, p)
+                pair = joined + symbols[follows]
+                if (place := order(pair)) is not None:
+                    heappush(agenda, (place, left, follows, pair))
+                    if pair in self.unused:
+                        split[pair] = joined, symbols[follows]
+            if leads >= 0:
+                pair = symbols[leads] + joined
+                if (place := order(pair)) is not None:
+                    heappush(agenda, (place, leads, left, pair))
+                    if pair in self.unused:
+                        split[pair] = symbols[leads], joined
+        if not split:
+            return [x for x in symbols if x]
         out: list[str] = []
-        for symbol in filter(None, symbols):
-            todo = [symbol]
-            while todo:
-                piece = todo.pop()
-                if piece in split and self.kinds[self.ids[piece]] == UNUSED:
-                    todo += reversed(split[piece])
-                else:
-                    out.append(piece)
+        todo = [x for x in reversed(symbols) if x]
+        while todo:
+            piece = todo.pop()
+            if piece in split:
+                todo += reversed(split[piece])
+            else:
+                out.append(piece)
         return out
 
     def encode_part(self, part: str) -> tuple[int, ...]:
-        """Ids of normalised text, cut wherever no piece holds two neighbours side by side."""
         out: list[int] = []
-        low = 0
-        for k in range(1, len(part) + 1):
-            if k < len(part) and part[k - 1 : k + 1] in self.together:
-                continue
-            for piece in self.merged(part[low:k]) if k - low > 1 else [part[low:k]]:
-                found = self.ids.get(piece)
-                if found is not None:
-                    out.append(found)
-                elif self.byte_fallback:
-                    out += [self.bytes[b] for b in piece.encode()]
-                else:
-                    out.append(self.unknown)
-            low = k
+        for piece in self.merged(part):
+            found = self.ids.get(piece)
+            if found is not None:
+                out.append(found)
+            elif self.byte_fallback:
+                out += [self.bytes[b] for b in piece.encode()]
+            else:
+                out.append(self.unknown)
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:

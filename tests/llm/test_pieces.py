@@ -43,12 +43,19 @@ def test_any_ids_decode_alike():
         assert OURS.decode(ids) == THEIRS.decode(ids), ids
 
 
-def test_agenda_needs_no_cut():
+def test_cuts_change_nothing():
     rng = random.Random(2)
-    for _ in range(200):
-        text = OURS.normal("".join(rng.choice("theinga réo ") for _ in range(30)))
-        whole = [OURS.ids[p] for p in OURS.merged(text) if p in OURS.ids]
-        assert whole == [x for x in OURS.encode_part(text) if OURS.kinds[x] == pieces.NORMAL]
+    for _ in range(300):
+        text = "".join(rng.choice("theinga réo  ▁") for _ in range(40))
+        assert list(OURS.encode_part(OURS.normal(text))) == OURS.encode(text)
+
+
+def test_unused_pieces_fall_apart():
+    own = pieces.Vocabulary(MODEL)
+    the = own.ids["▁the"]
+    own.kinds[the], own.unused = pieces.UNUSED, {"▁the"}
+    got = own.encode("the")
+    assert the not in got and own.decode(got) == "the"
 
 
 def test_rows(make_docs, sample_rows, odd_rows, monkeypatch):

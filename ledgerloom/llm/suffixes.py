@@ -69,7 +69,7 @@ def _split(order: np.ndarray, group: np.ndarray, part: np.ndarray, keys: np.ndar
 
     A group's number is the place of its first entry, so splitting one changes no other.
     """
-    within = np.lexsort((keys, group[part]))
+    within = np.lexsort((keys, group[part])) if group[part[0]] != group[part[-1]] else np.argsort(keys, kind="stable")
     order[part] = order[part][within]
     keys, groups = keys[within], group[part][within]
     new = np.ones(len(part), bool)
@@ -85,31 +85,34 @@ def deep_shallow(words: np.ndarray, starts: np.ndarray, width: int = WIDTH, shal
         if not len(part):
             return order, group
         _split(order, group, part, words[starts[order[part]] + depth])
-    # Blind tries on what still ties: all groups at once, a level of every trie in each round.
+    # Blind tries on what still ties: all groups at once, a level of every trie in each round.  ``depth`` is how far the
+    # suffixes of a node are known to agree; it grows in every round.
     part = np.flatnonzero(_ties(group))
-    offsets = sorted({*range(shallow, width - 7, 8), width - 8})
+    depth = np.full(len(part), min(shallow, width), np.int64)
     while len(part):
         at, groups = starts[order[part]], group[part]
         heads = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
         sizes = np.diff(np.append(heads, len(part)))
         pattern = np.repeat(at[heads], sizes)
-        differs = np.full(len(part), width, np.int64)
-        for offset in reversed(offsets):
-            odd = words[at + offset] ^ words[pattern + offset]
-            # Place of the highest byte that differs.
-            byte = (64 - np.frexp(odd.astype(np.float64))[1]).clip(0) // 8
-            differs = np.where(odd != 0, offset + byte, differs)
-        skip = np.minimum.reduceat(differs, heads)
-        open_ = np.repeat(skip < width, sizes)
-        if not open_.any():
-            break
-        skip = np.repeat(skip, sizes)
-        part, branch = part[open_], (words[at + skip.clip(max=width - 1)] >> _U(56))[open_]
-        _split(order, group, part, branch)
-        part = part[_ties(group[part])]
+        differs = depth + first_byte(words[at + depth] ^ words[pattern + depth])
+        skip = np.repeat(np.minimum.reduceat(differs, heads), sizes)
+        # Nodes whose next eight bytes agree only go deeper; the others branch on the byte they skip to.
+        branching = (skip < depth + 8) & (skip < width)
+        if branching.any():
+            _split(order, group, part[branching], words[(at + skip)[branching]] >> _U(56))
+        depth = np.where(branching, skip + 1, skip)
+        left = (depth < width) & _ties(group[part])
+        part, depth = part[left], depth[left]
     return order, group
 
 
+def first_byte(odd: np.ndarray) -> np.ndarray:
+    """Place of the highest byte that is not zero, 8 where all are.  Halves of 32 bits are exact as floating-point numbers."""
+    high = odd >> _U(32)
+    bits = np.frexp(np.where(high, high, odd & _U(0xFFFFFFFF)).astype(np.float64))[1]
+    return (32 - bits) // 8 + np.where(high, 0, 4)
+
+
 # ---- blocks ------------------------------------------------------------------------------------------------------
 
 
@@ -148,11 +151,14 @@ class BlockSuffixes:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different anchors, whether each occurs in two documents of the block, and the anchor number of each run."""
-        values, place = np.unique(self.anchor, return_inverse=True)
-        low, high = np.full(len(values), np.iinfo(np.int64).max), np.full(len(values), -1)
-        np.minimum.at(low, place, self.doc)
-        np.maximum.at(high, place, self.doc)
-        return values, low < high, place
+        order = np.argsort(self.anchor, kind="stable")
+        ascending, doc = self.anchor[order], self.doc[order]
+        heads = np.flatnonzero(np.concatenate(([True], ascending[1:] != ascending[:-1]))) if len(order) else order
+        sizes = np.diff(np.append(heads, len(order)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(heads)), sizes)
+        # Runs are in document order, so the first and the last of an anchor tell whether it has two documents.
+        return ascending[heads], doc[heads] < doc[heads + sizes - 1], place
 
     def narrow(self, told: dict[int, np.ndarray], width: int, bits: int) -> None:
         """Keeps the runs of shared anchors, those of hot ones cut into single strings under their own hashes."""
@@ -180,12 +186,11 @@ class BlockSuffixes:
         A document's number in the block follows its id and text, so every read numbers stretches alike, and the first run of
         a stretch is in the smallest document.
         """
-        place = self.anchors()[2]
-        runs = np.argsort(place, kind="stable")
+        runs = np.argsort(self.anchor, kind="stable")
         number: dict[bytes, int] = {}
         of, first, last = np.empty(len(self.lo), np.int64), [], -1
         data = self.data
-        for r, p, a, b in zip(runs.tolist(), place[runs].tolist(), self.lo[runs].tolist(), self.hi[runs].tolist(), strict=True):
+        for r, p, a, b in zip(runs.tolist(), self.anchor[runs].tolist(), self.lo[runs].tolist(), self.hi[runs].tolist(), strict=True):
             if p != last:
                 number, last = {}, p
             text = data[a : b + width - 1].tobytes()
@@ -250,24 +255,31 @@ def remove_repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRA
         return _sent(key[0].as_py(), out)
 
     def sort(key: tuple, rows: pa.Table) -> pa.Table:
-        sizes, owners, texts, counts = [], [], [], []
+        number: dict[bytes, int] = {}
+        owners, stretches, counts = [], [], []
         for k, m in zip(rows.column("keys").to_pylist(), rows.column("more").to_pylist(), strict=True):
             n, d = unpack_longs(k).reshape(2, -1)
-            sizes.append(n)
+            text, end = unpack_bytes(m), np.cumsum(n)
+            # A stretch that several blocks sent is sorted once.
+            stretches.append(np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip((end - n).tolist(), end.tolist(), strict=True)), np.int64, len(n)))
             owners.append(d)
-            texts.append(unpack_bytes(m))
             counts.append(int((n - width + 1).sum()))
-        size, owner = np.concatenate(sizes), np.concatenate(owners)
-        words = symbols(np.frombuffer(b"".join(texts), np.uint8))
+        stretch, owner = np.concatenate(stretches), np.concatenate(owners)
+        size = np.fromiter(map(len, number), np.int64, len(number))
+        words = symbols(np.frombuffer(b"".join(number), np.uint8))
+        first = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(first, stretch, owner)
         n = size - width + 1
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(np.cumsum(size) - size, n) + inside
-        order, group = deep_shallow(words, starts, width)
-        owner = np.repeat(owner, n)
+        begin = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(begin, n)
+        order, group = deep_shallow(words, np.repeat(np.cumsum(size) - size, n) + inside, width)
         heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        lowest = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(order))))
-        earlier = np.empty(len(order), bool)
-        earlier[order] = lowest < owner[order]
+        lowest = np.empty(len(order), np.int64)
+        lowest[order] = np.repeat(np.minimum.reduceat(np.repeat(first, n)[order], heads), np.diff(np.append(heads, len(order))))
+        # Back to all that was sent: each block hears about its own copy of a stretch.
+        n = n[stretch]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        earlier = lowest[np.repeat(begin[stretch], n) + inside] < np.repeat(owner, n)
         parts = np.split(earlier, np.cumsum(counts)[:-1])
         return _answers(key[1].as_py(), STRETCHES, rows.column("block").to_pylist(), [pack_bits(p) for p in parts])
 

@@ -955,7 +955,7 @@ def tick_closes(s):
     events = s.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(s.views.folder)
     sinks.write_prices(f"{folder}/prices", s.prices.where("false"))
     ticks.stream_closes_into_prices(_ticks(events), f"{folder}/prices", f"{folder}/state").awaitTermination()
-    return readers.read_prices(s.spark, f"{folder}/prices").select("ticker", F.col("date").alias("day"), "price")
+    return sinks.read_price_table(s.spark, f"{folder}/prices").select("ticker", F.col("date").alias("day"), "price")
 
 
 @query

@@ -1,12 +1,16 @@
-"""Writes: price and metadata upserts, dated table snapshots, document output, removal of bad rows."""
+"""Writes: price and metadata upserts, dated copies of tables, document output, removal of bad rows.
+
+Prices, copies and documents are tables in versions (see ``versions``): readers never see half a write.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.schemas import PRICES
+from ledgerloom.sources.versions import Conflict, Version, VersionedTable
 
 
 def merge_prices(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -19,30 +23,28 @@ def merge_prices(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("ticker", "date").agg(F.max_by("price", "seq").alias("price"))
 
 
-def upsert_prices(path: str, incoming: DataFrame) -> None:
-    """Upserts into a price table partitioned by month, rewriting only the months that occur in ``incoming``."""
-    spark = incoming.sparkSession
-    month = F.date_format("date", "yyyy-MM")
-    months = incoming.select(month.alias("month")).distinct()
-    table = spark.read.schema(StructType([*PRICES, StructField("month", StringType())])).parquet(path)
-    touched = table.withColumn("month", F.col("month").cast("string")).join(months, "month", "left_semi")
-    merged = merge_prices(touched.drop("month"), incoming).withColumn("month", month)
-    # The partitions being replaced are also read, so the result is cut from them before the overwrite.
-    from ledgerloom.sources.store import materialize
-
-    write_prices(path, materialize(merged, "price-upsert"))
-
-
-def write_prices(path: str, prices: DataFrame, files_per_month: int = 8) -> None:
-    """Writes the months that occur in ``prices``; a month goes to several tasks by ticker."""
-    rows = prices if "month" in prices.columns else prices.withColumn("month", F.date_format("date", "yyyy-MM"))
-    (
-        rows.repartition("month", F.pmod(F.hash("ticker"), F.lit(files_per_month)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
+
+
+def month() -> Column:
+    return F.date_format("date", "yyyy-MM")
+
+
+def price_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, PRICES)
+
+
+def upsert_prices(path: str, incoming: DataFrame, batch: tuple[str, int] | None = None) -> Version:
+    """Upserts (ticker, date, price, seq) into a price table in months; only months that occur in ``incoming`` are rewritten."""
+    return price_table(incoming.sparkSession, path).update(incoming, month(), merge_prices, batch)
+
+
+def write_prices(path: str, prices: DataFrame) -> Version:
+    """Makes ``prices`` the contents of the months that occur in it."""
+    return price_table(prices.sparkSession, path).update(prices, month(), lambda _, new: new)
+
+
+def read_price_table(spark: SparkSession, path: str) -> DataFrame:
+    return price_table(spark, path).read()
 
 
 QUOTE_COLUMNS = ("quote_type", "long_name", "currency", "fetched_at")
@@ -68,17 +70,47 @@ def purge_bad_prices(prices: DataFrame) -> DataFrame:
     return prices.where(~((F.col("ticker") == "USD") & (F.col("price") != 1.0)))
 
 
-def snapshot_table(table: DataFrame, folder: str, name: str, stamp: str) -> bool:
-    """Copies a table under its date; an existing copy of that date is left alone.  Returns whether it was written."""
-    path = f"{folder.rstrip('/')}/{name}/snapshot={stamp}"
-    spark = table.sparkSession
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-    if not exists:
-        table.write.mode("ignore").parquet(path)
-    return not exists
+def dated_copy(table: DataFrame, folder: str, name: str, stamp: str) -> int:
+    """Copies a table under its date and returns the rows copied; a copy of that date that is there stays, and 0 is returned.
+
+    The copy is a version of its own, so one that fails half-way does not count as being there.
+    """
+    copies = VersionedTable(table.sparkSession, f"{folder.rstrip('/')}/{name}/{stamp}", table.schema)
+    since = copies.current()
+    if since.number:
+        return 0
+    try:
+        made = copies.write(table, F.lit("all"), ["all"], since)
+    except Conflict:
+        return 0
+    return copies.read(made).count()
+
+
+def dated_copies(tables: dict[str, DataFrame], folder: str, stamp: str) -> dict[str, int]:
+    """A dated copy of each table: rows copied by name."""
+    return {name: dated_copy(table, folder, name, stamp) for name, table in tables.items()}
+
+
+def read_dated_copy(table: DataFrame, folder: str, name: str, stamp: str) -> DataFrame:
+    """The copy of that date of a table with the schema of ``table``."""
+    return VersionedTable(table.sparkSession, f"{folder.rstrip('/')}/{name}/{stamp}", table.schema).read()
+
+
+DOCUMENTS = StructType([StructField("account", StringType()), StructField("document", StringType())])
+
+
+def document_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, DOCUMENTS)
+
+
+def write_documents(documents: DataFrame, path: str, buckets: int = 16) -> Version:
+    """Upserts one JSON document an account; readers see all documents of before or all of after.
+
+    Documents of accounts that are not in ``documents`` stay.
+    """
+    part = F.lpad(F.pmod(F.xxhash64("account"), F.lit(buckets)).cast("string"), 6, "0")
 
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select("account"), "account", "left_anti").select("account", "document").unionByName(new)
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One JSON document per line, keyed by account."""
-    documents.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
+    return document_table(documents.sparkSession, path).update(documents.select("account", "document"), part, merge)

@@ -25,14 +25,17 @@ def closes(ticks: DataFrame, late: str = "2 hours", every: str = "1 day") -> Dat
 
 
 def stream_closes_into_prices(ticks: DataFrame, prices_path: str, checkpoint: str, late: str = "2 hours") -> StreamingQuery:
-    """Runs the stream over what is available and upserts every day it touched, open ones too: the last write wins."""
+    """Runs the stream over what is available and upserts every day it touched, open ones too: the last write wins.
+
+    The price table keeps the number of the last micro-batch of this checkpoint, so a replayed one changes nothing.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = batch.select(
             "ticker", F.to_date("window_start").alias("date"), "price", F.lit(epoch).cast("long").alias("seq")
         )
         if not rows.isEmpty():
-            upsert_prices(prices_path, rows)
+            upsert_prices(prices_path, rows, (checkpoint, epoch))
 
     # Copies do not move the last value, so the update stream needs no state for them.
     fresh = ticks.withWatermark("ts", late)

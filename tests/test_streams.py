@@ -3,8 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.returns import daily_returns
-from ledgerloom.sources.readers import read_prices
-from ledgerloom.sources.sinks import write_prices
+from ledgerloom.sources.sinks import read_price_table, write_prices
 from ledgerloom.streaming import recalc, ticks
 from tests.conftest import d
 
@@ -26,7 +25,7 @@ def test_ticks_become_upserted_closes(spark, make_prices, tmp_path):
     def run():
         stream = spark.readStream.schema(TICKS).parquet(source)
         ticks.stream_closes_into_prices(stream, prices, state).awaitTermination()
-        return {(r.ticker, str(r.date)): r.price for r in read_prices(spark, prices).collect()}
+        return {(r.ticker, str(r.date)): r.price for r in read_price_table(spark, prices).collect()}
 
     # The third day is still open; its last value so far is there.
     assert run() == {("A", "2024-01-01"): 2.0, ("B", "2024-01-01"): 5.0, ("A", "2024-01-02"): 3.0, ("A", "2024-01-03"): 4.0}

@@ -5,6 +5,8 @@ Every window here sees one account (or one instrument of an account) with at mos
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,20 @@ from ledgerloom.operators.splits import split_steps, with_split_factor
 ROUNDING = 1e-13
 
 
-def position_spans(clipped: DataFrame, until) -> DataFrame:
+@dataclass(frozen=True)
+class Opening:
+    """What accounts stood at on a day: ``positions`` (account, kind, instrument, date, quantity) and ``accounts`` (account,
+    date, adjusted_base).  A ledger that starts after that day goes on from here."""
+
+    positions: DataFrame
+    accounts: DataFrame
+
+
+def position_spans(clipped: DataFrame, until, opening: Opening | None = None) -> DataFrame:
     """Stretches of days over which an account holds a constant, non-zero quantity of an instrument.
 
     Ledger rows are folded to one move per (account, instrument, day) first; trades are kept in pre-split units and
-    scaled by the running split factor, so a split starts a new stretch on its own.
+    scaled by the running split factor, so a split starts a new stretch on its own.  An ``opening`` is one more move.
     """
     legs = with_split_factor(ledger_legs(clipped), split_steps(clipped), "name", "t.leg = 'hold'")
     by_name = legs.groupBy("account", "leg", "name", "date").agg(
@@ -30,9 +41,12 @@ def position_spans(clipped: DataFrame, until) -> DataFrame:
         F.sum(F.abs(F.col("move") / F.col("factor"))).alias("moved"),
     )
     keys = ["account", "kind", "instrument"]
+    rows = instruments(by_name).select(*keys, "date", "move", "split", "moved")
+    if opening is not None:
+        held = F.col("quantity")
+        rows = rows.unionByName(opening.positions.select(*keys, "date", held.alias("move"), F.lit(1.0).alias("split"), F.abs(held).alias("moved")))
     moves = (
-        instruments(by_name)
-        .groupBy(*keys, "date")
+        rows.groupBy(*keys, "date")
         .agg(F.sum("move").alias("move"), F.product("split").alias("split"), F.sum("moved").alias("moved"))
     )
     order = Window.partitionBy(*keys).orderBy("date")
@@ -54,9 +68,16 @@ def instrument_values(clipped: DataFrame, prices: DataFrame, until, days=None) -
     return _priced_positions(clipped, prices, until, days).drop("priced")
 
 
-def _priced_positions(clipped: DataFrame, prices: DataFrame, until, days=None) -> DataFrame:
+def month_end_positions(spans: DataFrame) -> DataFrame:
+    """(account, kind, instrument, date, quantity) on every month end inside the stretches."""
+    months = F.sequence(F.trunc("first_day", "month"), F.trunc("last_day", "month"), F.expr("INTERVAL 1 MONTH"))
+    ends = spans.select("account", "kind", "instrument", F.explode(F.transform(months, F.last_day)).alias("date"), "quantity", "last_day")
+    return ends.where("date <= last_day").drop("last_day")
+
+
+def _priced_positions(clipped: DataFrame, prices: DataFrame, until, days=None, opening: Opening | None = None) -> DataFrame:
     wanted = F.sequence("first_day", "last_day") if days is None else days
-    spread = position_spans(clipped, until).select(
+    spread = position_spans(clipped, until, opening).select(
         "account", "kind", "instrument", "quantity", F.explode(wanted).alias("date")
     )
     units = usd_units(daily_prices(prices, until), ("date",)).select(
@@ -90,22 +111,27 @@ def external_flows(clipped: DataFrame, prices: DataFrame, until) -> DataFrame:
     )
 
 
-def daily_returns(ledger: DataFrame, prices: DataFrame, until, unpriced: str = "refuse") -> DataFrame:
+def daily_returns(ledger: DataFrame, prices: DataFrame, until, unpriced: str = "refuse", opening: Opening | None = None) -> DataFrame:
     """Value, cash flow and returns of every account on every day from its first row to ``until``.
 
     A day on which something held has no price would show a false fall and a false recovery, so an account's days end
     before its first such day.  With ``unpriced="zero"`` they go on and what has no price counts 0.
+
+    With an ``opening`` the ledger holds only what came after each account's opening day, and days start there.
     """
     if unpriced not in ("refuse", "zero"):
         raise ValueError(f"unpriced: {unpriced}")
     clipped = clip(C.classified(ledger), until)
     values = (
-        _priced_positions(clipped, prices, until)
+        _priced_positions(clipped, prices, until, opening=opening)
         .groupBy("account", "date")
         .agg(F.sum("value_usd").alias("value"), F.bool_and("priced").alias("_priced"))
     )
+    starts = clipped.select("account", "date")
+    if opening is not None:
+        starts = starts.unionByName(opening.accounts.select("account", "date"))
     spine = (
-        clipped.groupBy("account")
+        starts.groupBy("account")
         .agg(F.min("date").alias("first_day"))
         .select("account", F.explode(F.sequence("first_day", day(until))).alias("date"))
     )
@@ -132,12 +158,16 @@ def daily_returns(ledger: DataFrame, prices: DataFrame, until, unpriced: str = "
     def pct(change):
         return F.when(before > 0, F.try_divide(change, before) * 100.0).otherwise(F.lit(0.0))
 
+    base = F.first("portfolio_value").over(upto)
+    if opening is not None:
+        rows = rows.join(opening.accounts.select("account", F.col("adjusted_base").alias("_base")), "account", "left")
+        base = F.coalesce("_base", base)
     return rows.select(
         "account", "date", "portfolio_value",
         pct(value - before).alias("portfolio_daily_return"),
         pct(value - before - F.col("cash_flow_impact")).alias("investment_return"),
         "cash_flow_impact",
-        (F.first("portfolio_value").over(upto) + F.sum("cash_flow_impact").over(upto)).alias("adjusted_base"),
+        (base + F.sum("cash_flow_impact").over(upto)).alias("adjusted_base"),
     )
 
 

@@ -1224,5 +1224,12 @@ q("dashboard_snapshot", f"""SELECT account, holding_count, allocation_usd, alloc
 q("tick_closes", "SELECT event_type AS ticker, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY event_type, CAST(ts AS DATE)")
 q("sector_weight_items", "SELECT ticker, sector, weight FROM weights", "weights")
 q("hourly_closes", "SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d %H') AS hour, arg_max(value, (ts, event_id)) AS price, count(*) AS ticks FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d %H')")
+q("resumed_returns", f"SELECT {swap(8, 'portfolio_daily_return', 'investment_return')} FROM daily", "daily")
+q("dated_copies", """SELECT * FROM (SELECT unnest([{'stamp': '20010630', 'run': 1}, {'stamp': '20010630', 'run': 2}, {'stamp': '20010805', 'run': 3}], recursive := true)) JOIN
+  (SELECT name, run, if(run = 2, 0, n) AS rows_copied, n AS rows_there FROM (SELECT name, unnest([1, 2]) AS run, n FROM (
+     SELECT 'prices' AS name, count(*) AS n FROM prices UNION ALL SELECT 'metadata', count(*) FROM meta UNION ALL SELECT 'bars', count(*) FROM bars)
+   UNION ALL SELECT 'prices', 3, count(*) FROM prices WHERE ticker = 'SPY' UNION ALL SELECT unnest(['metadata', 'bars']), 3, 0)) USING (run)""", "prices", "meta", "bars")
+q("stored_documents", f"""SELECT account, CASE WHEN NOT ends_with(account, '1') THEN portfolio_value_usd END AS portfolio_value_usd,
+  CASE WHEN NOT ends_with(account, '1') THEN {D} END AS as_of_date FROM summ""", "summ")
 q("recalculated_returns", """SELECT * EXCLUDE (f) REPLACE (round(portfolio_daily_return, 8) AS portfolio_daily_return, round(investment_return, 8) AS investment_return) FROM daily d
   JOIN (SELECT account, min(date) AS f FROM txn WHERE action = 'TAX' AND date >= DATE '2001-03-01' GROUP BY account) USING (account) WHERE d.date >= f""", "daily", "txn")

@@ -941,6 +941,10 @@ def sector_weight_items(s):
     return parsed.select("ticker", F.inline("items"))
 
 
+def _scratch(s, name: str) -> str:
+    return f"{checkpoint_folder(s.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # --- streams ---------------------------------------------------------------------------------------------------
 
 def _ticks(events):
@@ -950,7 +954,7 @@ def _ticks(events):
 @query
 def tick_closes(s):
     """Price table that the event stream fills, the open day included, over the files available."""
-    folder = f"{checkpoint_folder(s.spark)}/ticks-{uuid.uuid4().hex}"
+    folder = _scratch(s, "ticks")
     schema = s.views.table("events").schema
     events = s.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(s.views.folder)
     sinks.write_prices(f"{folder}/prices", s.prices.where("false"))
@@ -964,9 +968,48 @@ def hourly_closes(s):
     return rows.select("ticker", F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "price", "ticks")
 
 
+LATE_ROWS = "action = 'TAX' AND date >= DATE '2001-03-01'"
+
+
+@query
+def resumed_returns(s):
+    """The returns table after late ledger rows came in as a stream and were derived from the stored month ends on."""
+    folder = _scratch(s, "returns")
+    table = recalc.ReturnsTable(s.spark, f"{folder}/table", 8)
+    table.build(s.txn.where(f"NOT ({LATE_ROWS})"), s.prices, AS_OF, "zero")
+    s.txn.where(LATE_ROWS).select("account", "date").write.parquet(f"{folder}/changes")
+    changes = s.spark.readStream.schema("account string, date date").parquet(f"{folder}/changes")
+    recalc.stream_recalculation(changes, lambda: s.txn, s.prices, table, f"{folder}/state", AS_OF, "zero").awaitTermination()
+    return rounded(table.days(), 8, "portfolio_daily_return", "investment_return")
+
+
+@query
+def dated_copies(s):
+    """Rows copied, and rows there, of two days' copies of prices and metadata; the second run of a day copies nothing."""
+    folder, tables = _scratch(s, "copies"), {"prices": s.prices, "metadata": s.metadata, "bars": s.bars}
+    rows = []
+    for stamp, content in (("20010630", tables), ("20010630", tables), ("20010805", {n: t.limit(0) for n, t in tables.items()} | {"prices": s.prices.where("ticker = 'SPY'")})):
+        copied = sinks.dated_copies(content, folder, stamp)
+        rows += [(stamp, name, len(rows) // 3 + 1, n, sinks.read_dated_copy(tables[name], folder, name, stamp).count()) for name, n in copied.items()]
+    return s.spark.createDataFrame(rows, "stamp string, name string, run int, rows_copied long, rows_there long")
+
+
+@query
+def stored_documents(s):
+    """Fields of the short documents, read back from the document table after a second write of some accounts."""
+    path = _scratch(s, "documents")
+    quoted = s.prices.where(F.col("date") <= asof.day(AS_OF)).agg(F.max("date").alias("prices_as_of"))
+    docs = snapshot.publish_snapshot(holdings.summary(s.txn, s.prices, AS_OF), _status(s), s.daily(AS_OF), quoted, AS_OF)
+    sinks.write_documents(docs, path, 4)
+    ends = F.col("account").endswith("1")
+    sinks.write_documents(sinks.document_table(s.spark, path).read().where(ends).withColumn("document", F.lit("{}")), path, 4)
+    read = sinks.document_table(s.spark, path).read().withColumn("d", F.from_json("document", "portfolio_value_usd double, as_of_date date"))
+    return read.select("account", F.col("d.portfolio_value_usd").alias("portfolio_value_usd"), F.col("d.as_of_date").alias("as_of_date"))
+
+
 @query
 def recalculated_returns(s):
-    changed = s.txn.where("action = 'TAX' AND date >= DATE '2001-03-01'").select("account", "date")
+    changed = s.txn.where(LATE_ROWS).select("account", "date")
     rows = recalc.rederive(s.txn, s.prices, changed, AS_OF, "zero")
     return rounded(rows, 8, "portfolio_daily_return", "investment_return")
 

@@ -35,19 +35,66 @@ def test_ticks_become_upserted_closes(spark, make_prices, tmp_path):
     assert run() == {("A", "2024-01-01"): 2.0, ("B", "2024-01-01"): 5.0, ("A", "2024-01-02"): 3.0, ("A", "2024-01-03"): 4.0, ("A", "2024-01-04"): 7.0}
 
 
-def test_changes_rederive_only_their_accounts(spark, make_ledger, make_prices, tmp_path):
-    rows = [("2024-01-02", "USD", "DEPOSIT", 100), ("2024-01-04", "USD", "DEPOSIT", 50)]
-    prices = make_prices([("AAA", "2024-01-01", 1)])
-    ledger = make_ledger(rows, "one").unionByName(make_ledger(rows, "two"))
-    out, source, state = (str(tmp_path / n) for n in ("daily", "changes", "state"))
-    daily_returns(ledger, prices, "2024-01-06").write.partitionBy("account").parquet(out)
-    kept = sorted(p.name for p in (tmp_path / "daily" / "account=one").iterdir())
-    changed = ledger.withColumn("quantity", F.when((F.col("account") == "two") & (F.col("id") == 2), 80.0).otherwise(F.col("quantity")))
-    spark.createDataFrame([("two", d("2024-01-04"))], "account string, date date").write.parquet(source)
-    stream = spark.readStream.schema("account string, date date").parquet(source)
-    recalc.stream_recalculation(stream, lambda: changed, prices, out, state, "2024-01-06").awaitTermination()
-    last = {r.account: r.portfolio_value for r in spark.read.parquet(out).where("date = DATE '2024-01-06'").collect()}
-    assert last == {"one": 150.0, "two": 180.0}
-    assert sorted(p.name for p in (tmp_path / "daily" / "account=one").iterdir()) == kept
-    part = recalc.rederive(changed, prices, spark.createDataFrame([("two", d("2024-01-04"))], "account string, date date"), "2024-01-06")
-    assert {(r.account, str(r.date)) for r in part.collect()} == {("two", f"2024-01-0{i}") for i in (4, 5, 6)}
+def rounded(df):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+CHANGES = "account string, date date"
+
+
+def test_changes_rederive_from_the_state_before_them(spark, make_ledger, make_prices, tmp_path):
+    rows = [("2024-01-02", "USD", "DEPOSIT", 1000), ("2024-01-10", "AAA", "BUY", 10, 20), ("2024-02-05", "AAA", "SPLIT", 2), ("2024-02-20", "AAA", "SELL", 4, 12),
+            ("2024-03-11", "USD", "DEPOSIT", 50), ("2024-03-15", "BBB", "BUY", 3, 5), ("2024-04-02", "AAA", "SELL", 2, 13)]
+    prices = make_prices([("AAA", "2024-01-01", 20), ("AAA", "2024-02-05", 11), ("AAA", "2024-03-20", 12.5), ("BBB", "2024-01-01", 5), ("BBB", "2024-04-10", 6)])
+    before = make_ledger(rows, "one").unionByName(make_ledger(rows, "two")).unionByName(make_ledger(rows[:4], "three"))
+    more = [("2024-03-12", "USD", "DEPOSIT", 70), ("2024-03-25", "AAA", "BUY", 2, 12)]
+    added = make_ledger(more, "two").withColumn("id", F.col("id") + 100).unionByName(make_ledger([("2024-01-01", "USD", "DEPOSIT", 5)], "three").withColumn("id", F.col("id") + 100))
+    after = before.unionByName(added).unionByName(make_ledger([("2024-04-01", "USD", "DEPOSIT", 9)], "new"))
+    until = "2024-04-20"
+    table = recalc.ReturnsTable(spark, str(tmp_path / "returns"), 3)
+    table.build(before, prices, until)
+    assert rounded(table.days()) == rounded(daily_returns(before, prices, until).select(*recalc.DAYS.names))
+    source, state = str(tmp_path / "changes"), str(tmp_path / "state")
+    changes = [("two", d("2024-03-25")), ("two", d("2024-03-12")), ("three", d("2024-01-01")), ("new", d("2024-04-01"))]
+    spark.createDataFrame(changes, CHANGES).write.parquet(source)
+    stream = lambda: recalc.stream_recalculation(spark.readStream.schema(CHANGES).parquet(source), lambda: after, prices, table, state, until)
+    stream().awaitTermination()
+    assert rounded(table.days()) == rounded(daily_returns(after, prices, until).select(*recalc.DAYS.names))
+    whole = recalc.ReturnsTable(spark, str(tmp_path / "whole"), 3)
+    whole.build(after, prices, until)
+    assert rounded(table.states()) == rounded(whole.states())
+    # A replayed batch leaves the version as it is.
+    version = table.table.current()
+    assert table.apply(spark.createDataFrame(changes, CHANGES), before, prices, until, batch=(state, 0)) == version
+    part = recalc.rederive(after, prices, spark.createDataFrame([("two", d("2024-03-12"))], CHANGES), until)
+    assert {(r.account, r.date) for r in part.collect()} == {("two", r.date) for r in table.days().where("account = 'two' AND date >= DATE '2024-03-12'").collect()}
+
+
+def test_rederivation_reads_ledger_rows_after_the_state_only(spark, make_ledger, make_prices, tmp_path):
+    rows = [("2024-01-02", "USD", "DEPOSIT", 1000), ("2024-01-10", "AAA", "BUY", 10, 20), ("2024-03-11", "USD", "DEPOSIT", 50)]
+    prices = make_prices([("AAA", "2024-01-01", 20)])
+    make_ledger(rows, "one").write.parquet(str(tmp_path / "ledger"))
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    table = recalc.ReturnsTable(spark, str(tmp_path / "returns"), 2)
+    table.build(ledger, prices, "2024-04-20")
+    since = spark.createDataFrame([("one", d("2024-03-11"))], "account string, recalc_from date")
+    made = recalc.rederived(ledger, prices, since, "2024-04-20", "refuse", table.days(), table.states())
+    assert [str(r.date) for r in made.ledger.collect()] == ["2024-03-11"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = made.days._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan" in line and f"{tmp_path}/ledger" in line]
+    assert scans and all("GreaterThan(date,2024-02-29)" in line for line in scans)
+
+
+def test_a_table_without_rows_takes_no_changes(spark, make_ledger, make_prices, tmp_path):
+    table = recalc.ReturnsTable(spark, str(tmp_path / "returns"), 2)
+    none = make_ledger([])
+    table.build(none, make_prices([]), "2024-01-10")
+    assert table.days().count() == 0
+    table.apply(spark.createDataFrame([], CHANGES), none, make_prices([]), "2024-01-10")
+    ledger = make_ledger([("2024-01-02", "USD", "DEPOSIT", 5)], "one")
+    table.apply(spark.createDataFrame([("one", d("2024-01-02"))], CHANGES), ledger, make_prices([("AAA", "2024-01-01", 1)]), "2024-01-04")
+    assert [r.portfolio_value for r in table.days().collect()] == [5.0] * 3

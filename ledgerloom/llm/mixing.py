@@ -6,9 +6,10 @@ gains and the other loses the same number of words, by a random choice that keep
 is whole.  Words are conserved at every step, so a source ends within one document of its target, and a document's
 expected copies are exact.
 
-Documents of a source are dealt to buckets by a hash of their id; each bucket reduces to one unfinished document, and
-these are reduced again in groups, level by level, until one is left, whose fraction is decided by chance.  Chance is a
-hash of the two ids, so reruns agree.
+Every row is rounded on its own: rows that agree in id, source, size and text are numbered among themselves, part by part of
+a written table, so neither a repeated row nor a missing id gathers in one task.  Rows of a source are dealt to buckets by a
+hash of id and number; each bucket reduces to one unfinished row, and these are reduced again in groups, level by level,
+until one is left, whose fraction is decided by chance.  Chance is a hash of ids and numbers, so reruns agree.
 """
 
 from __future__ import annotations
@@ -28,15 +29,37 @@ from ledgerloom.sources.store import materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BUCKET_ROWS, FAN_IN = 1_000, 64
-SPLIT = "doc_id long, nr long, source_no long, bucket long, size long, part double, up long, open boolean"
+SPLIT = "at long, doc_id long, nr long, source_no long, bucket long, size long, part double, up long, open boolean"
 
 
 def _sizes(batch: pa.RecordBatch) -> list[list[int]]:
     return [[len((x.as_py() or "").encode().split()) for x in batch.column("text")]]
 
 
-def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return add_columns(docs, [long_field("size")], _sizes, keep)
+def sized(docs: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """``keep`` columns, ``size``, a hash ``like`` of what makes rows alike, and the row number ``at``, as a written table."""
+    rows = add_columns(docs.withColumn("like", F.xxhash64("text")), [long_field("size")], _sizes, [*keep, "like"])
+    return materialize(rows.withColumn("at", F.monotonically_increasing_id()), name)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(at, doc_id, source, size, nr): ``nr`` tells rows with one id apart, the same way in every run.
+
+    Alike rows are counted per part of the written table, so a row that makes up much of the table is numbered in as many
+    tasks as it has parts; which of them gets which number does not matter.
+    """
+    alike = ["doc_id", "source", "size", "like"]
+    parts = rows.withColumn("piece", F.shiftright("at", 33))
+    inside = Window.partitionBy(*alike, "piece").orderBy("at")
+    counts = parts.groupBy(*alike, "piece").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*alike).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(c).alias(f"_{c}") for c in (*alike, "piece")], F.sum("n").over(earlier).alias("before")).where("before > 0")
+    same = F.lit(True)
+    for c in (*alike, "piece"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return parts.withColumn("inside", F.row_number().over(inside)).join(before, same, "left").select(
+        "at", "doc_id", "source", "size", F.xxhash64("source", "size", "like", F.col("inside") + F.coalesce("before", F.lit(0))).alias("nr")
+    )
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -75,50 +98,50 @@ def chance(*parts) -> float:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=7).digest(), "big") / (1 << 56)
 
 
-def pivot(rows: list[tuple[int, int, int, float]], salt: int) -> tuple[dict[tuple[int, int], int], tuple | None]:
-    """Rounds (doc_id, nr, size, part) with 0 < part < 1: whole parts by (doc_id, nr), and what is left unfinished."""
-    done: dict[tuple[int, int], int] = {}
-    held = None
-    for row in rows:
+def pivot(rows: list[tuple[int | None, int, int, float]], salt: int) -> tuple[list[int], tuple[int, float] | None]:
+    """Rounds (doc_id, nr, size, part) with 0 < part < 1: a whole part for each row, and the place and part of one unfinished."""
+    done = [0] * len(rows)
+    held: tuple[int, float] | None = None
+    for place, (b, bn, t, q) in enumerate(rows):
         if held is None:
-            held = row
+            held = place, q
             continue
-        (a, an, s, p), (b, bn, t, q) = held, row
+        other, p = held
+        a, an, s, _ = rows[other]
         # Words that can go from b to a, and from a to b.
         gain, loss = min((1 - p) * s, q * t), min(p * s, (1 - q) * t)
-        to_a = chance(salt, a, an, b, bn) * (gain + loss) < loss
-        if to_a:
+        if chance(salt, a, an, b, bn) * (gain + loss) < loss:
             a_whole = (1 - p) * s <= q * t
             p, q = (1.0, q - gain / t) if a_whole else (p + gain / s, 0.0)
-            done[(a, an) if a_whole else (b, bn)] = 1 if a_whole else 0
         else:
             a_whole = p * s <= (1 - q) * t
             p, q = (0.0, q + loss / t) if a_whole else (p - loss / s, 1.0)
-            done[(a, an) if a_whole else (b, bn)] = 0 if a_whole else 1
-        held = (b, bn, t, q) if a_whole else (a, an, s, p)
-        if not 1e-12 < held[3] < 1 - 1e-12:
-            done[held[:2]] = round(held[3])
+        done[other if a_whole else place] = int(p if a_whole else q)
+        held = (place, q) if a_whole else (other, p)
+        if not 1e-12 < held[1] < 1 - 1e-12:
+            done[held[0]] = round(held[1])
             held = None
     return done, held
 
 
 def _reduce(key: tuple, group: pa.Table) -> pa.Table:
-    """One bucket: all its documents come out, one of them unfinished at most.  Largest first, so small ones remain."""
-    names = ("doc_id", "nr", "size", "part")
+    """One bucket: all its rows come out, one of them unfinished at most.  Largest first, so small ones remain."""
+    names = ("doc_id", "nr", "size", "part", "at")
     listed = zip(*(group.column(c).to_pylist() for c in names), strict=True)
-    rows = sorted(listed, key=lambda r: (-r[2], r[0], r[1]))
-    done, held = pivot(rows, key[0].as_py())
-    n = len(rows)
+    rows = sorted(listed, key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1]))
+    done, held = pivot([r[:4] for r in rows], key[0].as_py())
+    n, (place, part) = len(rows), held or (-1, 0.0)
     return pa.table(
         {
+            "at": pa.array([r[4] for r in rows], pa.int64()),
             "doc_id": pa.array([r[0] for r in rows], pa.int64()),
             "nr": pa.array([r[1] for r in rows], pa.int64()),
             "source_no": pa.array([key[0].as_py()] * n, pa.int64()),
             "bucket": pa.array([key[1].as_py()] * n, pa.int64()),
             "size": pa.array([r[2] for r in rows], pa.int64()),
-            "part": pa.array([held[3] if held and r[:2] == held[:2] else 0.0 for r in rows], pa.float64()),
-            "up": pa.array([done.get(r[:2], 0) for r in rows], pa.int64()),
-            "open": pa.array([bool(held) and r[:2] == held[:2] for r in rows], pa.bool_()),
+            "part": pa.array([part if k == place else 0.0 for k in range(n)], pa.float64()),
+            "up": pa.array(done, pa.int64()),
+            "open": pa.array([k == place for k in range(n)], pa.bool_()),
         }
     )
 
@@ -131,18 +154,17 @@ def _last_chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
 
-def taken_copies(sizes: DataFrame) -> DataFrame:
-    """(doc_id, nr, source_no, size, source_size, target, copies), a row for each of (doc_id, nr, source, size).
+def taken_copies(rows: DataFrame) -> DataFrame:
+    """(at, doc_id, size, source_size, target, copies) for every row of a table that ``sized`` wrote.
 
-    ``nr`` tells rows with the same id apart; rows that agree in id and ``nr`` get the same copies.  Documents without
-    words are taken as often as their source's share says, rounded down: they carry no words either way.
+    Documents without words are taken as often as their source's share says, rounded down: they carry no words either way.
     """
-    targets = materialize(source_targets(sizes), "mix-targets")
-    per_doc = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "nr", "source_no", "size", "source_size", "target", "docs",
+    targets = materialize(source_targets(rows), "mix-targets")
+    per_row = numbered(rows).join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
+        "at", "doc_id", "nr", "source_no", "size", "source_size", "target", "docs",
         F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("_rate"),
     )
-    ready = per_doc.select(
+    ready = per_row.select(
         "*", F.floor("_rate").cast("long").alias("whole"), (F.col("_rate") - F.floor("_rate")).alias("part"),
         F.pmod(F.xxhash64("doc_id", "nr"), F.ceil(F.col("docs") / BUCKET_ROWS).cast("long")).alias("bucket"),
     )
@@ -150,7 +172,7 @@ def taken_copies(sizes: DataFrame) -> DataFrame:
     most = targets.agg(F.max("docs")).first()[0] or 0
     part = F.col("part")
     fractional = (F.col("size") > 0) & (part > 1e-12) & (part < 1 - 1e-12)
-    level = ready.where(fractional).select("doc_id", "nr", "source_no", "bucket", "size", "part")
+    level = ready.where(fractional).select("at", "doc_id", "nr", "source_no", "bucket", "size", "part")
     buckets, finished = math.ceil(most / BUCKET_ROWS), []
     while True:
         reduced = materialize(level.groupBy("source_no", "bucket").applyInArrow(_reduce, SPLIT), "mix-level")
@@ -160,44 +182,40 @@ def taken_copies(sizes: DataFrame) -> DataFrame:
             break
         buckets = math.ceil(buckets / FAN_IN)
         level = rest.select(
-            "doc_id", "nr", "source_no", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"), "size", "part"
+            "at", "doc_id", "nr", "source_no", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"), "size", "part"
         )
     finished.append(rest.mapInArrow(_last_chance, rest.schema))
     ups = finished[0]
     for more in finished[1:]:
         ups = ups.unionByName(more)
-    ups = ups.groupBy("doc_id", "nr").agg(F.max("up").alias("up")).withColumnsRenamed({"doc_id": "_doc_id", "nr": "_nr"})
     near = F.when((F.col("size") > 0) & (part >= 1 - 1e-12), F.lit(1)).otherwise(F.lit(0))
-    return ready.join(
-        ups, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("nr") == F.col("_nr")), "left"
-    ).select(
-        "doc_id", "nr", "source_no", "size", "source_size", "target",
-        (F.col("whole") + F.coalesce("up", near)).cast("long").alias("copies"),
+    return ready.join(ups.select("at", "up"), "at", "left").select(
+        "at", "doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce("up", near)).cast("long").alias("copies"),
     )
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of ``docs``.
 
-    A missing text has no words; a missing source is a source of its own, after all others.  Rows that repeat an id
-    with the same number of words and source are rounded together.
+    A missing or empty text has no words; a missing source is a source of its own, after all others.  Rows that repeat an
+    id, or all of another row, or have no id, are rounded one by one.  Texts of any length count whole.  Other columns
+    play no part; an empty table gives no rows.
     """
-    sizes = sized(docs.select("doc_id", "source", "text"), ["doc_id", "source"]).withColumn("nr", F.xxhash64("source", "size"))
-    return taken_copies(materialize(sizes, "mix-sizes")).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
-    )
+    rows = sized(docs.select("doc_id", "source", "text"), ["doc_id", "source"], "mix-sizes")
+    return taken_copies(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` the mix takes, with ``copies``, ``taken``, ``target`` and ``source_size`` beside their own columns."""
+    """The rows of ``docs`` the mix takes, with ``copies``, ``taken``, ``target`` and ``source_size`` beside their own columns.
+
+    Own columns of these names, and of the names used on the way, are replaced or kept apart.  See ``mix_report`` for odd rows.
+    """
     new = ["copies", "taken", "target", "source_size"]
     own = docs.drop(*new)
-    sizes = sized(own, ["doc_id", "source"]).withColumn("nr", F.xxhash64("source", "size"))
-    got = taken_copies(materialize(sizes, "mix-sizes")).where("copies > 0").groupBy("doc_id", "nr").agg(
-        F.max("copies").alias("copies"), F.max("target").alias("target"), F.max("source_size").alias("source_size"),
-        F.max(F.col("copies") * F.col("size")).alias("taken"),
-    ).withColumnsRenamed({"doc_id": "_doc_id", "nr": "_nr"})
-    words = add_columns(own, [long_field("_size")], _sizes)
-    return words.withColumn("_key", F.xxhash64("source", "_size")).join(
-        got, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_nr"))
-    ).select(*own.columns, *new)
+    apart = {c: f"_own_{c}" for c in own.columns if c in ("at", "like", "size")}
+    renamed = own.withColumnsRenamed(apart)
+    rows = sized(renamed, renamed.columns, "mix-rows")
+    got = taken_copies(rows.select("at", "doc_id", "source", "size", "like")).where("copies > 0").select(
+        "at", "copies", "target", "source_size", (F.col("copies") * F.col("size")).alias("taken")
+    )
+    return rows.drop("size", "like").join(got, "at").drop("at").withColumnsRenamed({v: k for k, v in apart.items()}).select(*own.columns, *new)

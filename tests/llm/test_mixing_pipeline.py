@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm import decontaminate, mixing, quality, secrets
 
@@ -66,17 +68,33 @@ def test_odd_rows_and_empty(make_docs, odd_rows):
     assert all(r.copies > 0 and r.taken == r.copies * len((r.text or "").encode().split()) for r in got)
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_equal_rows_are_rounded_one_by_one(make_docs, monkeypatch, doc_id):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(doc_id, "ten words " * 5, "en", "a")] * 500 + [(k, "two words", "en", "b") for k in range(1000, 1400)] + [(doc_id, f"{k} nine " * 5, "en", "a") for k in range(40)]
+    docs = make_docs(rows, clashing=True).withColumn("at", F.lit(1)).withColumn("like", F.lit("x"))
+    got = mixing.mix_report(docs.repartition(6)).collect()
+    assert len(got) == len(rows)
+    sizes = {"a": 5400, "b": 800}
+    want = brute_targets(sizes)
+    taken = sum(r.taken for r in got if r.source_size == 5400)
+    assert abs(taken - want["a"]) <= 10 and {r.copies for r in got if r.source_size == 5400} == {int(want["a"] / 5400), int(want["a"] / 5400) + 1}
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_report(docs.repartition(3)).collect()))
+    kept = mixing.mixed(docs).collect()
+    assert sum(r.taken for r in kept if r.source == "a") == taken and set(docs.columns) <= set(kept[0].asDict())
+
+
 def test_pivots_keep_words_and_expectations():
     rows = [(k, 0, 1 + k % 5, 0.3) for k in range(40)]
     ups = defaultdict(int)
     for salt in range(400):
         done, held = mixing.pivot(rows, salt)
-        words = sum(up * rows[k][2] for (k, _), up in done.items()) + (held[3] * held[2] if held else 0)
+        words = sum(up * rows[k][2] for k, up in enumerate(done)) + (held[1] * rows[held[0]][2] if held else 0)
         assert words == pytest.approx(sum(s * p for _, _, s, p in rows))
-        for (k, _), up in done.items():
+        for k, up in enumerate(done):
             ups[k] += up
         if held:
-            ups[held[0]] += held[3]
+            ups[held[0]] += held[1]
     assert all(0.2 < n / 400 < 0.4 for n in ups.values())
 
 

@@ -5,8 +5,11 @@ item of n characters may differ from a passage by ``budget = floor(RATE n)`` edi
 passage within the budget holds at least one piece unchanged.  One automaton finds all pieces in a text; around each hit,
 Myers' bit-parallel distance (the item as the pattern, free start and end in the text) decides.
 
-Test items reach the tasks in slices of at most ``SLICE_CHARS`` characters, a pass over the documents for each slice, so
-neither the driver nor a task holds more of the benchmark than that.  Documents are never shuffled.
+An item too short for an edit (budget 0) must occur unchanged, at word borders.
+
+Test items reach the tasks in slices of about ``SLICE_CHARS`` characters.  The driver reads one slice, writes what its pass over
+the documents gives, and only then reads the next, so neither the driver nor a task holds more than a slice (or one
+longer item).  A benchmark of one slice needs no table in between.  Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from ledgerloom.llm.common import add_columns
 from ledgerloom.sources.store import materialize
 
 RATE = 0.05
-MIN_CHARS = 24
 SLICE_CHARS = 4_000_000
 WORDS = re.compile(r"\w+")
 
@@ -74,10 +76,10 @@ def distance_at_most(item: str, text: str, budget: int) -> tuple[int, int] | Non
 
 
 class Matcher:
-    """All items of a slice, ready to search texts.  Items under ``MIN_CHARS`` must occur unchanged, at word borders."""
+    """All items of a slice, ready to search texts."""
 
     def __init__(self, items: tuple[Item, ...], rate: float = RATE):
-        self.items = [(i, t, int(rate * len(t)) if len(t) >= MIN_CHARS else 0) for i, t in items if t]
+        self.items = [(i, t, int(rate * len(t))) for i, t in items if t]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text, budget) in enumerate(self.items):
             for offset, piece in pieces(text, rate) if budget else [(0, text)]:
@@ -101,7 +103,7 @@ class Matcher:
         for k, starts in windows.items():
             item_id, item, budget = self.items[k]
             best = None
-            if len(item) < MIN_CHARS:
+            if not budget:
                 ends = {len(text)} | {i for s in starts for i in (s + len(item),) if text[i : i + 1] == " "}
                 if any((s == 0 or text[s - 1] == " ") and s + len(item) in ends for s in starts):
                     best = 0
@@ -128,26 +130,36 @@ def _matcher(items: tuple[Item, ...], rate: float) -> Matcher:
     return Matcher(items, rate)
 
 
-def item_slices(benchmark: DataFrame, slice_chars: int = SLICE_CHARS) -> Iterator[tuple[Item, ...]]:
-    """Normalised items in slices; items without words and repeated texts are left out (the smallest id stands)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+def benchmark_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the different normalised texts (key, norm) and of all their ids (key, item_id).
+
+    Items without words are left out; an item without an id has item_id -1.
+    """
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1).cast("long")).alias("item_id"), "text")
     named = add_columns(items, [T.StructField("norm", T.StringType())], lambda b: [[normal(x.as_py()) for x in b.column("text")]], ["item_id"])
-    unique = named.where("norm <> ''").groupBy("norm").agg(F.min("item_id").alias("item_id"))
-    stored = materialize(unique.withColumn("size", F.length("norm")), "benchmark-items")
-    total = stored.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    named = materialize(named.where("norm <> ''").distinct(), "benchmark-items")
+    texts = materialize(named.select("norm").distinct().withColumn("key", F.monotonically_increasing_id()), "benchmark-texts")
+    return texts, materialize(named.join(texts, "norm").select("key", "item_id"), "benchmark-ids")
+
+
+def item_slices(texts: DataFrame, slice_chars: int = SLICE_CHARS) -> Iterator[tuple[tuple[Item, ...], bool]]:
+    """(items as (key, norm), whether this is the last slice); one slice is read at a time."""
+    total = texts.agg(F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()[0]
     n = -(-total // slice_chars)
-    dealt = stored.withColumn("slice", F.pmod(F.xxhash64("norm"), F.lit(max(n, 1))))
     for k in range(n):
-        rows = dealt.where(F.col("slice") == k).select("item_id", "norm").collect()
-        yield tuple(sorted((-1 if r.item_id is None else r.item_id, r.norm) for r in rows))
+        rows = texts.where(F.pmod(F.xxhash64("norm"), F.lit(n)) == k).select("key", "norm").collect()
+        yield tuple(sorted((r.key, r.norm) for r in rows)), k == n - 1
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(doc_id, item_id, distance) of every item found in a document; clean documents have no row.
 
-    An item without an id has item_id -1.  Of rows with the same doc_id each is searched; equal findings are listed once.
+    Items with the same normalised text are all listed; an item without an id has item_id -1, one without words is never
+    found.  A missing or empty text holds nothing; texts are searched whole, however long.  Of rows with the same doc_id,
+    or none, each is searched; equal findings are listed once.  Other columns of both tables play no part, empty tables
+    give no rows.
     """
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", T.LongType()), T.StructField("distance", T.LongType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("distance", T.LongType())])
 
     def one(items: tuple[Item, ...]) -> DataFrame:
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +178,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
 
         return docs.select("doc_id", "text").mapInArrow(step, schema)
 
-    parts = [one(items) for items in item_slices(benchmark)]
+    texts, ids = benchmark_items(benchmark)
+    parts = [one(items) if last else materialize(one(items), "findings") for items, last in item_slices(texts, slice_chars)]
     if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+        return docs.sparkSession.createDataFrame([], T.StructType([schema["doc_id"], T.StructField("item_id", T.LongType()), schema["distance"]]))
+    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "key").agg(F.min("distance").alias("distance"))
+    return found.join(ids, "key").groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no test item is found, with their own columns.
 
-    One step a slice, each over what the steps before it left: nothing is shuffled or joined.
+    Each slice goes over what the ones before it left, written as a table.  Missing and empty texts stay, rows with one id
+    are judged one by one, and without benchmark items all rows stay; see ``contaminated`` for the rest.
     """
-    for items in item_slices(benchmark):
+    for items, last in item_slices(benchmark_items(benchmark)[0], slice_chars):
 
         def step(batches: Iterator[pa.RecordBatch], items: tuple[Item, ...] = items) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(items, rate)
@@ -186,4 +201,6 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(step, docs.schema)
+        if not last:
+            docs = materialize(docs, "clean-documents")
     return docs

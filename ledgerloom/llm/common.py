@@ -6,6 +6,7 @@ a run of anything else.  ``bytes.split()`` splits on exactly these.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -98,18 +99,6 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = scramble(np.arange(1, 257, dtype=np.uint64) * ODD)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``ODD ** i`` and its inverse modulo 2**64, for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 64)
-        up, down = np.full(size, ODD), np.full(size, _U(pow(int(ODD), -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _POWERS.update(up=np.cumprod(up, dtype=np.uint64), down=np.cumprod(down, dtype=np.uint64))
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -117,22 +106,61 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 @dataclass
 class Words:
-    """Words of a range of rows: byte range, 64-bit value, and the first word of every row."""
+    """Words of a range of rows: byte range, two 64-bit values, and the first word of every row."""
 
     lo: np.ndarray
     hi: np.ndarray
     value: np.ndarray
+    other: np.ndarray
     first: np.ndarray
 
 
-def words_of(data: np.ndarray, starts: np.ndarray) -> Words:
+LANES = 8
+
+
+class WordKeys:
+    """Random keys for one job: words are told apart by two keyed 64-bit values.
+
+    A value is the sum of products of key-shifted 32-bit halves of the word (NH hashing): two different words have equal
+    sums with a chance of 2**-32 at most for each of the two, whatever the words are.  Words above 64 bytes take a keyed
+    128-bit BLAKE2 digest instead.
+    """
+
+    def __init__(self, secret: bytes):
+        self.secret = secret
+        drawn = np.frombuffer(hashlib.shake_256(secret).digest(8 * 2 * (2 * LANES + 1)), "<u8").reshape(2, -1)
+        self.length, self.lanes = drawn[:, 0] | _U(1), drawn[:, 1:] & _U(0xFFFFFFFF)
+
+    def values(self, part: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+        size = hi - lo
+        eight = np.ndarray(len(part), "<u8", np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))
+        half, every = _U(32), _U(0xFFFFFFFF)
+        sums = [size.astype(np.uint64) * k for k in self.length]
+        for lane in range(LANES):
+            at = np.flatnonzero(size > 8 * lane) if lane else np.arange(len(lo))
+            if not len(at):
+                break
+            bits = eight[lo[at] + 8 * lane] & _FIRST_BYTES[np.minimum(size[at] - 8 * lane, 8)]
+            low, high = bits & every, bits >> half
+            for total, keys in zip(sums, self.lanes, strict=True):
+                total[at] += (low + keys[2 * lane] & every) * (high + keys[2 * lane + 1] & every)
+        for k in np.flatnonzero(size > 8 * LANES).tolist():
+            digest = hashlib.blake2b(part[lo[k] : hi[k]].tobytes(), digest_size=16, key=self.secret).digest()
+            sums[0][k], sums[1][k] = np.frombuffer(digest, "<u8")
+        return [scramble(sums[0]), scramble(sums[1] ^ _U(0x5851F42D4C957F2D))]
+
+
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def words_of(data: np.ndarray, starts: np.ndarray, keys: WordKeys) -> Words:
     """``starts`` are positions in ``data``, one more than rows.  Row borders end words."""
     base, end = int(starts[0]), int(starts[-1])
     part = data[base:end]
     n = len(part)
     if n == 0:
         none = np.empty(0, np.int64)
-        return Words(none, none, np.empty(0, np.uint64), np.zeros(len(starts), np.int64))
+        return Words(none, none, np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(len(starts), np.int64))
     solid = ~_SPACE[part]
     new_row = np.zeros(n + 1, bool)
     new_row[starts - base] = True
@@ -141,11 +169,7 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> Words:
     closes = solid.copy()
     closes[:-1] &= ~solid[1:] | new_row[1:n]
     lo, hi = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[part] * up[:n], out=total[1:])
-    value = scramble((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-    return Words(lo + base, hi + base, value, np.searchsorted(lo, starts - base))
+    return Words(lo + base, hi + base, *keys.values(part, lo, hi), np.searchsorted(lo, starts - base))
 
 
 def runs_hash(values: np.ndarray, width: int) -> np.ndarray:

@@ -7,7 +7,8 @@ Documents are dealt to blocks by id, sketch cells and window hashes to segments
 2. A segment merges the partition sketches of its range and tells each block which of its cells hold two or more windows.
    A merged count is never below a window's true count.
 3. A block sends the windows that all rows of the sketch call repeated, each once, with its own first occurrence.
-4. A segment groups these exactly (96-bit hashes) and tells each block whether its first occurrence is the first of all.
+4. A segment groups these by 96 bits, 64 and 32 of them from independent values of each word's bytes under random keys of the
+   job, and tells each block whether its first occurrence is the first of all.
 5. A block removes all words under a window that is not the first of its kind.
 
 The text is dealt once and read three times from the same exchange; only sketches, hashes and single bits travel besides.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import (
-    Layout, chunks, covered, document_order, ids_of, in_blocks, layout, pack_bits, pack_longs, pack_sorted, runs_hash, scramble,
+    Layout, WordKeys, chunks, covered, document_order, ids_of, in_blocks, layout, pack_bits, pack_longs, pack_sorted, runs_hash, scramble,
     segment_bounds, unpack_bits, unpack_bytes, unpack_longs, unpack_sorted, pack_bytes, utf8, words_of,
 )
 
@@ -38,14 +40,14 @@ TOLD = "block long, row int, segment long, bits binary"
 class BlockWindows:
     """All windows of a block, in document order (doc_id, then text): hashes, document, first word."""
 
-    def __init__(self, docs: pa.Table, width: int):
+    def __init__(self, docs: pa.Table, width: int, keys: WordKeys):
         self.docs = docs.take(document_order(docs))
         self.ids = ids_of(self.docs.column("doc_id"))
         self.width = width
         self.data, self.starts = utf8(self.docs.column("text"))
         hashes, second, doc, at, counts, self.lo, self.hi = [], [], [], [], [], [], []
         for a, b in chunks(self.starts):
-            words = words_of(self.data, self.starts[a : b + 1])
+            words = words_of(self.data, self.starts[a : b + 1], keys)
             n = np.diff(words.first)
             counts.append(n)
             self.lo.append(words.lo)
@@ -56,8 +58,7 @@ class BlockWindows:
             place = np.arange(len(owner)) - np.repeat(words.first[:-1], n)
             whole = owner[: len(owner) - width + 1] == owner[width - 1 :]
             hashes.append(scramble(runs_hash(words.value, width))[whole])
-            other = runs_hash(scramble(words.value ^ _U(0x5851F42D4C957F2D)), width)
-            second.append((scramble(other)[whole] >> _U(32)).astype(np.uint32))
+            second.append((scramble(runs_hash(words.other, width))[whole] >> _U(32)).astype(np.uint32))
             doc.append(owner[: len(whole)][whole].astype(np.int32))
             at.append(place[: len(whole)][whole].astype(np.int32))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
@@ -149,9 +150,10 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     plan = layout(docs)
     bits = sketch_bits(plan)
     dealt = in_blocks(docs, plan)
+    keys = WordKeys(secrets.token_bytes(32))
 
     def sketch(key: tuple, rows: pa.Table) -> pa.Table:
-        block, out = BlockWindows(rows, width), []
+        block, out = BlockWindows(rows, width, keys), []
         for row in range(ROWS):
             cells, counts = np.unique(block.cells(row, bits), return_counts=True)
             out += [(row, s, pack_sorted(cells[a:b]), pack_bits(counts[a:b] > 1)) for s, a, b in _cut(cells, plan, 1 << bits)]
@@ -167,7 +169,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def choose(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _sent(0, [])
-        block = BlockWindows(rows, width)
+        block = BlockWindows(rows, width, keys)
         hashes, second, first, _ = candidate_keys(block, _told(told), bits)
         out = []
         for s, a, b in _cut(hashes, plan, 1 << 64):
@@ -205,7 +207,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def finish(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        block, answers = BlockWindows(rows, width), _told(told)
+        block, answers = BlockWindows(rows, width, keys), _told(told)
         hashes, _, first, entry = candidate_keys(block, answers, bits)
         is_first = answers.get(ROWS, np.zeros(len(hashes), bool))
         own = np.where(entry >= 0, first[entry] if len(first) else 0, -1)

@@ -141,7 +141,7 @@ def test_arrival_order_does_not_number_a_block():
     tables = [pa.table({"doc_id": pa.array([r[0] for r in x], pa.int64()), "text": [r[1] for r in x]}) for x in (rows, rows[::-1])]
     one, two = (suffixes.BlockSuffixes(t, 50, 26, 40).stretches(50) for t in tables)
     assert one[0] == two[0] and all((a == b).all() for a, b in zip(one[1:], two[1:]))
-    one, two = (windows.BlockWindows(t, 20) for t in tables)
+    one, two = (windows.BlockWindows(t, 20, common.WordKeys(b"k")) for t in tables)
     assert (one.hash == two.hash).all() and (one.at == two.at).all() and (one.ids == two.ids).all()
 
 
@@ -222,6 +222,53 @@ def test_suffix_order_is_the_sorted_one():
         assert (group[k] == group[k - 1]) == (ranked[k] == ranked[k - 1])
 
 
+def test_word_values_tell_words_apart():
+    rng = random.Random(8)
+    words = {bytes(rng.choice(b"ab\x00\xff") for _ in range(n)) for n in (*range(1, 20), *range(60, 70), 200) for _ in range(60)}
+    words = sorted(w for w in words if w.split() == [w])
+    for lead in (b"", b"x ", b"\n\n\n"):
+        data = np.frombuffer(lead + b" ".join(words), np.uint8)
+        got = common.words_of(data, np.array([0, len(data)]), common.WordKeys(b"secret"))
+        value, other = (x[1 if lead == b"x " else 0 :].tolist() for x in (got.value, got.other))
+        assert len(value) == len(words) == len(set(value)) == len(set(other))
+        if not lead:
+            first = value, other
+        assert (value, other) == first
+    assert common.words_of(data, np.array([0, len(data)]), common.WordKeys(b"another")).value.tolist() != value
+
+
+def test_words_that_polynomials_confuse_stay(make_docs):
+    turns = "ab"
+    for _ in range(9):
+        turns += turns.translate({97: "b", 98: "a"})
+    mirror = turns.translate({97: "b", 98: "a"})
+    lead = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{lead} {turns}", "en", "a"), (2, f"{lead} {mirror}", "en", "a"), (3, f"{turns} {mirror} " * 15, "en", "a")]
+    rows += [(4, " ".join({"a": turns, "b": mirror}[c] for c in turns[:64]), "en", "a"), (5, " ".join({"a": turns, "b": mirror}[c] for c in mirror[:64]), "en", "a")]
+    same(windows.window_digest(make_docs(rows)), brute_windows(rows, 20))
+
+
+@pytest.mark.parametrize("offset", range(14, 50))
+def test_tries_split_on_complementary_bytes(offset):
+    rng = random.Random(offset)
+    strings = []
+    for x in (0, 1, 127, 254):
+        tail = bytes(rng.randrange(256) for _ in range(49 - offset))
+        for first, rest in ((x, bytes(49 - offset)), (x + 1, b"\xff" * (49 - offset)), (x, tail), (x + 1, bytes(255 - c for c in tail))):
+            strings.append(b"p" * offset + bytes([first]) + rest)
+    pool = np.frombuffer(b"".join(strings), np.uint8)
+    order, group = suffixes.deep_shallow(suffixes.symbols(pool), np.arange(len(strings)) * 50)
+    ranked = [strings[k] for k in order]
+    assert ranked == sorted(strings)
+    assert [bool(group[k] == group[k - 1]) for k in range(1, len(ranked))] == [a == b for a, b in zip(ranked[1:], ranked)]
+
+
+def test_texts_that_differ_by_all_bits_end(make_docs):
+    common = "the same forty-one bytes before they differ"[:41]
+    rows = [(2 * k + j, f"{k:02d} {common}" + tail * 12, "en", "a") for k in range(20) for j, tail in enumerate(("\u00e9", "<V"))]
+    same(suffixes.string_digest(make_docs(rows)), brute_strings(rows, 50))
+
+
 def test_packing_keeps_values():
     rng = np.random.default_rng(1)
     values = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))

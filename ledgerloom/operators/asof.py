@@ -104,30 +104,54 @@ def daily_rates(prices: DataFrame, until) -> DataFrame:
     return daily_prices(prices.where(F.col("ticker").endswith("USD=X") | F.col("ticker").endswith("-USD")), until)
 
 
+def quotes_at(points: DataFrame, prices: DataFrame, until, max_age_days: int | None = None) -> DataFrame:
+    """(ticker, date, price, quoted_on) for the different points (ticker, date) of ``points`` that a quote reaches.
+
+    No calendar: points and quotes are sorted together inside (ticker, month), the last quote is carried along, and one row a
+    month carries it over month borders.  Points are made different first, combined before the shuffle, so a ticker that
+    half of the rows ask for costs at most a row a day.
+    """
+    asked = points.where((F.col("date") <= day(until)) & F.col("ticker").isNotNull()).select("ticker", "date").distinct()
+    quote = F.struct("price", F.col("date").alias("quoted_on"))
+    known = prices.where(F.col("date") <= day(until)).groupBy("ticker", "date").agg(F.max("price").alias("price"))
+    events = asked.select("ticker", "date", F.lit(None).cast("struct<price: double, quoted_on: date>").alias("quote")).unionByName(
+        known.select("ticker", "date", quote.alias("quote"))
+    ).withColumn("month", F.trunc("date", "month"))
+    inside = Window.partitionBy("ticker", "month").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = events.withColumn("own", F.last("quote", ignorenulls=True).over(inside)).where("quote IS NULL")
+    months = events.groupBy("ticker", "month").agg(F.max_by("quote", F.col("quote.quoted_on")).alias("last_quote"))
+    before = Window.partitionBy("ticker").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    borders = months.select("ticker", "month", F.last("last_quote", ignorenulls=True).over(before).alias("old")).where("old IS NOT NULL")
+    found = carried.join(borders, ["ticker", "month"], "left").withColumn("quote", F.coalesce("own", "old")).where("quote IS NOT NULL")
+    if max_age_days is not None:
+        found = found.where(F.datediff("date", "quote.quoted_on") <= max_age_days)
+    return found.select("ticker", "date", "quote.price", "quote.quoted_on")
+
+
 def price_asof(probes: DataFrame, prices: DataFrame, until, max_age_days: int | None = None) -> DataFrame:
     """Adds the latest price at or before each probe's date (optionally no older than ``max_age_days``)."""
-    daily = daily_prices(prices, until, max_age_days)
-    return probes.join(daily.select("ticker", "date", "price"), ["ticker", "date"], "left")
+    found = quotes_at(probes, prices, until, max_age_days).select("ticker", "date", "price")
+    return probes.join(found, ["ticker", "date"], "left")
 
 
 def market_value_usd(rows: DataFrame, prices: DataFrame, until) -> DataFrame:
-    """Adds ``value_usd`` of (asset, quantity, date) rows; NULL where a price or rate is missing."""
-    daily = daily_prices(prices, until)
-    units = usd_units(daily, on=("date",)).select(
-        F.col("ticker").alias("asset"), "date", "price", "unit_usd"
-    )
-    bucket = C.asset_type(F.col("asset"))
-    return (
-        rows.join(units, ["asset", "date"], "left")
-        .withColumn("asset_type", bucket)
-        .withColumn(
-            "value_usd",
-            F.when(F.col("asset_type").isin("cash_base", "cash_stable"), F.col("quantity"))
-            .when(F.col("asset_type") == "cash_fx", F.col("quantity") * F.col("price"))
-            .otherwise(F.col("quantity") * F.col("unit_usd")),
-        )
-        .drop("price", "unit_usd", "asset_type")
+    """Adds ``value_usd`` of (asset, quantity, date) rows; NULL where a price or rate is missing.
+
+    Prices and the rates of their currencies are looked up together, at the days that occur in ``rows`` only.
+    """
+    typed = rows.withColumn("_type", C.asset_type(F.col("asset"))).withColumn("_pair", C.quote_currency_pair(F.col("_type")))
+    keys = typed.select("date", F.explode(F.array("asset", "_pair")).alias("ticker"))
+    found = quotes_at(keys.where("ticker <> 'USD'"), prices, until)
+    quotes = found.select(F.col("ticker").alias("asset"), "date", F.col("price").alias("_price"))
+    rates = found.where(F.col("ticker").endswith("USD=X")).select(F.col("ticker").alias("_pair"), "date", F.col("price").alias("_rate"))
+    priced = typed.join(quotes, ["asset", "date"], "left").join(rates, ["_pair", "date"], "left")
+    rate = F.when(F.col("_pair") == "USD", F.lit(1.0)).otherwise(F.col("_rate"))
+    value = (
+        F.when(F.col("_type").isin("cash_base", "cash_stable"), F.col("quantity"))
+        .when(F.col("_type") == "cash_fx", F.col("quantity") * F.col("_price"))
+        .otherwise(F.col("quantity") * F.col("_price") * rate)
     )
+    return priced.select(*rows.columns, value.alias("value_usd"))
 
 
 def cash_to_usd(rows: DataFrame, prices: DataFrame, until) -> DataFrame:

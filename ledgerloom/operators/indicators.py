@@ -1,18 +1,18 @@
 """Technical indicators per ticker.
 
-Bars hold one row per ticker and day, so a ticker's window, array or pandas group is bounded by the calendar.
-Fixed look-backs are windows; recursive averages are folds over the ordered closes, or an exponentially weighted
-pandas mean where the whole series is wanted.
+Fixed look-backs are windows over a ticker's bars.  Recursive averages (exponential and smoothed means) are prefix scans: a
+step ``y -> (1 - a) y + a x`` is an affine map, and maps compose, so blocks of consecutive bars are summed side by side and
+joined by one row a block.  A ticker with very many bars is smoothed in as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.vocab import TINY
 
+BLOCK_BARS = 256
 
 
 def by_day():
@@ -53,49 +53,75 @@ def _gain_loss_index(gain: Column, loss: Column) -> Column:
     )
 
 
-def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
-    """Relative strength of the last bar with smoothed averages seeded on the first ``period`` changes."""
-    change = F.col("close") - F.col("before")
-    moves = ordered(bars).where("before IS NOT NULL").select(
-        "ticker", "date", F.greatest(change, F.lit(0.0)).alias("gain"), F.greatest(-change, F.lit(0.0)).alias("loss")
+def numbered(bars: DataFrame) -> DataFrame:
+    """(ticker, date, close, n, before): position and the close before, counted inside months and carried over their borders."""
+    rows = bars.select("ticker", "date", "close", F.trunc("date", "month").alias("month"))
+    inside = Window.partitionBy("ticker", "month").orderBy("date")
+    earlier = Window.partitionBy("ticker").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = rows.groupBy("ticker", "month").agg(F.count(F.lit(1)).alias("bars"), F.max_by("close", "date").alias("last_close")).select(
+        "ticker", "month", F.coalesce(F.sum("bars").over(earlier), F.lit(0)).alias("_n"),
+        F.lag("last_close").over(Window.partitionBy("ticker").orderBy("month")).alias("_close"),
     )
-    gathered = moves.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "gain", "loss"))).alias("m"))
-    # A ticker with a single bar still gets its row.
-    gathered = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("bars")).join(gathered, "ticker", "left")
-
-    def smoothed(name):
-        seed = F.aggregate(F.slice("m", 1, period), F.lit(0.0), lambda acc, x: acc + x[name]) / period
-        return F.aggregate(
-            F.slice("m", F.lit(period + 1), F.greatest(F.size("m") - period, F.lit(0))),
-            seed,
-            lambda acc, x: acc + (x[name] - acc) / period,
-        )
+    placed = rows.withColumns({"_k": F.row_number().over(inside), "_before": F.lag("close").over(inside)}).join(months, ["ticker", "month"])
+    before = F.when(F.col("_k") == 1, F.col("_close")).otherwise(F.col("_before"))
+    return placed.select("ticker", "date", "close", (F.col("_n") + F.col("_k")).alias("n"), before.alias("before"))
 
-    value = F.when(F.col("bars") >= period + 1, _gain_loss_index(smoothed("gain"), smoothed("loss")))
-    return gathered.select("ticker", value.alias("rsi")).withColumn("rsi_signal", rsi_label(F.col("rsi")))
 
+def smoothed(rows: DataFrame, means: dict[str, tuple[str, float]], first: int = 1) -> DataFrame:
+    """Rows from position ``first`` on with running means: ``means`` gives the value and the weight of a new one by column.
 
-def rsi_series(bars: DataFrame, period: int = 14) -> DataFrame:
-    """The same index on every bar from the first full period on."""
+    ``rows`` has (ticker, n) with n counting from 1.  A mean starts as the plain mean of the first ``first`` values; from
+    then on it moves by its weight towards each new value.
+    """
+    seeds = rows.where(F.col("n") <= first).groupBy("ticker").agg(
+        *[F.avg(value).alias(f"_{out}") for out, (value, _) in means.items()], F.count(F.lit(1)).alias("_have")
+    ).where(F.col("_have") == first)
+    place = F.col("n") - first
+    cut = rows.where(place >= 0).join(seeds, "ticker").withColumns({"_block": F.floor(place / BLOCK_BARS), "_j": (place % BLOCK_BARS).cast("double")})
+    inside = Window.partitionBy("ticker", "_block").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Inside a block: what its own values give, as if nothing came before.
+    own = {}
+    for out, (value, weight) in means.items():
+        keep = F.lit(1.0 - weight)
+        new = F.when(place == 0, F.col(f"_{out}")).otherwise(weight * F.col(value))
+        own[f"_{out}"] = F.pow(keep, F.col("_j")) * F.sum(new * F.pow(keep, -F.col("_j"))).over(inside)
+    local = cut.withColumns(own)
+    ends = local.groupBy("ticker", "_block").agg(F.max_by(F.struct("_j", *own), "_j").alias("e"))
+    # Over the blocks of a ticker: what each one is handed by those before.
+    listed = ends.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("_block", "e"))).alias("blocks"))
+    start = F.struct(*[F.lit(0.0).alias(out) for out in means])
+
+    def hand_over(state, block):
+        now = state["now"]
+        after = F.struct(*[
+            (block["e"][f"_{out}"] + F.pow(F.lit(1.0 - weight), block["e"]["_j"] + 1.0) * now[out]).alias(out) for out, (_, weight) in means.items()
+        ])
+        handed = F.struct(block["_block"].alias("_block"), *[now[out].alias(f"_in_{out}") for out in means])
+        return F.struct(after.alias("now"), F.concat(state["handed"], F.array(handed)).alias("handed"))
+
+    kind = "array<struct<_block: bigint, " + ", ".join(f"_in_{out}: double" for out in means) + ">>"
+    folded = listed.select("ticker", F.inline(F.aggregate("blocks", F.struct(start.alias("now"), F.array().cast(kind).alias("handed")), hand_over)["handed"]))
+    joined = local.join(folded, ["ticker", "_block"])
+    full = {out: F.col(f"_{out}") + F.pow(F.lit(1.0 - weight), F.col("_j") + 1.0) * F.col(f"_in_{out}") for out, (_, weight) in means.items()}
+    return joined.withColumns(full).select(*rows.columns, *means)
 
-    def one_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        change = pdf["close"].diff().iloc[1:]
 
-        def smooth(x: pd.Series) -> pd.Series:
-            seeded = x.iloc[period - 1 :].copy()
-            if len(seeded):
-                seeded.iloc[0] = x.iloc[:period].mean()
-            return seeded.ewm(alpha=1.0 / period, adjust=False).mean()
+def rsi_series(bars: DataFrame, period: int = 14) -> DataFrame:
+    """Relative strength on every bar from the first full period on, with means seeded on the first ``period`` changes."""
+    change = F.col("close") - F.col("before")
+    moves = numbered(bars).where("n > 1").select(
+        "ticker", "date", (F.col("n") - 1).alias("n"),
+        F.greatest(change, F.lit(0.0)).alias("up"), F.greatest(-change, F.lit(0.0)).alias("down"),
+    )
+    means = smoothed(moves, {"gain": ("up", 1.0 / period), "loss": ("down", 1.0 / period)}, period)
+    return means.select("ticker", "date", _gain_loss_index(F.col("gain"), F.col("loss")).alias("rsi"))
 
-        gain, loss = smooth(change.clip(lower=0.0)), smooth((-change).clip(lower=0.0))
-        index = (100.0 - 100.0 / (1.0 + gain / loss)).where(loss.abs() >= TINY, 100.0)
-        return pd.DataFrame({"ticker": pdf["ticker"].loc[index.index], "date": pdf["date"].loc[index.index],
-                             "rsi": index})
 
-    return bars.select("ticker", "date", "close").groupBy("ticker").applyInPandas(
-        one_ticker, "ticker string, date date, rsi double"
-    )
+def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
+    """Relative strength of the last bar; NULL for a ticker with too few."""
+    last = rsi_series(bars, period).groupBy("ticker").agg(F.max_by("rsi", "date").alias("rsi"))
+    tickers = bars.select("ticker").distinct()
+    return tickers.join(last, "ticker", "left").withColumn("rsi_signal", rsi_label(F.col("rsi")))
 
 
 def moving_averages(bars: DataFrame) -> DataFrame:
@@ -123,33 +149,12 @@ def moving_averages(bars: DataFrame) -> DataFrame:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Difference of two exponential means, its own mean and their gap, in one fold over the closes."""
-
-    def toward(old, new, span):
-        return old + (2.0 / (span + 1.0)) * (new - old)
-
-    def step(state, bar):
-        close = bar["close"]
-        lines = F.struct(
-            F.coalesce(toward(state["fast"], close, fast), close).alias("fast"),
-            F.coalesce(toward(state["slow"], close, slow), close).alias("slow"),
-        )
-
-        def with_signal(pair):
-            line = pair["fast"] - pair["slow"]
-            return F.struct(
-                pair["fast"].alias("fast"), pair["slow"].alias("slow"),
-                F.coalesce(toward(state["signal"], line, signal), line).alias("signal"),
-            )
-
-        return F.element_at(F.transform(F.array(lines), with_signal), 1)
-
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("fast"), none.alias("slow"), none.alias("signal"))
-    gathered = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("b"))
-    rows = gathered.select(
-        "ticker", F.when(F.size("b") >= slow + signal, F.aggregate("b", start, step)).alias("s")
-    ).select("ticker", (F.col("s.fast") - F.col("s.slow")).alias("macd"), F.col("s.signal").alias("macd_signal"))
+    """Difference of two exponential means, its own mean and their gap, on the last bar of tickers with enough of them."""
+    rows = smoothed(numbered(bars).select("ticker", "date", "n", "close"), {"fast": ("close", 2.0 / (fast + 1)), "slow": ("close", 2.0 / (slow + 1))})
+    rows = rows.select("ticker", "date", "n", (F.col("fast") - F.col("slow")).alias("line"))
+    last = smoothed(rows, {"mean": ("line", 2.0 / (signal + 1))}).groupBy("ticker").agg(F.max_by(F.struct("n", "line", "mean"), "n").alias("s"))
+    known = F.col("s.n") >= slow + signal
+    rows = last.select("ticker", F.when(known, F.col("s.line")).alias("macd"), F.when(known, F.col("s.mean")).alias("macd_signal"))
     line, mean = F.col("macd"), F.col("macd_signal")
     trend = (
         F.when(line.isNull(), F.lit("Insufficient data"))

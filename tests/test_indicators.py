@@ -183,3 +183,28 @@ def test_metric_table_warnings(spark, frame):
     assert more["AAA"].tracking_error_benchmark == "BBB" and more["AAA"].tracking_error is not None
     assert "INSUFFICIENT_LOOKBACK_HISTORY" in rows["CCC"].warnings and "INSUFFICIENT_LONG_HISTORY" in rows["CCC"].warnings
     assert rows["AAA"].cagr_1y is not None and rows["AAA"].cagr_3y is None
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 256])
+def test_blocks_of_bars_smooth_like_one_scan(spark, monkeypatch, block):
+    monkeypatch.setattr(indicators, "BLOCK_BARS", block)
+    rng = random.Random(block)
+    rows, want = [], {}
+    for ticker, n in (("A", 60), ("B", 14), ("C", 13), ("D", 1), ("E", 30)):
+        closes = [rng.uniform(5, 50) for _ in range(n)]
+        rows += [(ticker, k + 1, x) for k, x in enumerate(closes)]
+        mean = sum(closes[:14]) / 14 if n >= 14 else None
+        for k in range(13, n):
+            if k > 13:
+                mean += 0.3 * (closes[k] - mean)
+            want[ticker, k + 1] = mean
+    df = spark.createDataFrame(rows, "ticker string, n long, x double")
+    got = {(r.ticker, r.n): r.y for r in indicators.smoothed(df, {"y": ("x", 0.3)}, 14).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_bars_are_counted_over_month_borders(spark):
+    days = [dt.date(2024, 1, 30) + dt.timedelta(days=k) for k in (0, 1, 2, 3, 40, 41)]
+    df = spark.createDataFrame([("A", x, float(k)) for k, x in enumerate(days)] + [("B", days[4], 9.0)], "ticker string, date date, close double")
+    got = sorted(tuple(r) for r in indicators.numbered(df).select("ticker", "n", "close", "before").collect())
+    assert got == [("A", k + 1, float(k), float(k - 1) if k else None) for k in range(6)] + [("B", 1, 9.0, None)]

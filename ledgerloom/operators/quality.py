@@ -87,7 +87,7 @@ def unpriced_holdings(ledger: DataFrame, prices: DataFrame, as_of) -> DataFrame:
 
 def guard_held_prices(ledger: DataFrame, prices: DataFrame, as_of) -> None:
     """Raises, naming the ticker, if any held asset cannot be priced."""
-    first = unpriced_holdings(ledger, prices, as_of).limit(1).collect()
+    first = unpriced_holdings(ledger, prices, as_of).orderBy("asset", "account").limit(1).collect()
     if first:
         row = first[0]
         raise ValueError(f"{row.problem}: {row.missing} as of {row.as_of_date}")

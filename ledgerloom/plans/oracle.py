@@ -8,7 +8,7 @@ averages.
 from __future__ import annotations
 
 from ledgerloom import vocab
-from ledgerloom.plans.registry import AS_OF, BENCHMARK, EARLY, SAVING, SPENDING, TARGETS, TODAY, TRACKED
+from ledgerloom.plans.registry import AS_OF, BENCHMARK, EARLY, EARLY_TICKS, SAVING, SPENDING, TARGETS, TODAY, TRACKED
 from ledgerloom.sources.ledger_views import VIEWS
 
 D = f"DATE '{AS_OF}'"
@@ -1132,7 +1132,7 @@ def _stale(today: str, age: int) -> str:
 T = f"DATE '{TODAY}'"
 q("stale_tickers", _stale("DATE '2001-11-20'", 17), "req", "prices")
 q("missing_or_stale", f"""SELECT DISTINCT ticker FROM req r WHERE NOT {cash_like('ticker', bucket('ticker'))} AND NOT EXISTS (SELECT 1 FROM prices p
-  WHERE p.ticker = r.ticker AND p.date BETWEEN DATE '2001-08-05' - 1 AND DATE '2001-08-05')""", "req", "prices")
+  WHERE p.ticker = r.ticker AND p.date BETWEEN DATE '2001-12-05' - 1 AND DATE '2001-12-05')""", "req", "prices")
 lib("stale2", _stale(T, 2), "req", "prices")
 lib("stale3", _stale(T, 3), "req", "prices")
 lib("stale5", _stale(T, 5), "req", "prices")
@@ -1224,6 +1224,9 @@ q("dashboard_snapshot", f"""SELECT account, holding_count, allocation_usd, alloc
 q("tick_closes", "SELECT event_type AS ticker, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY event_type, CAST(ts AS DATE)")
 q("sector_weight_items", "SELECT ticker, sector, weight FROM weights", "weights")
 q("hourly_closes", "SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d %H') AS hour, arg_max(value, (ts, event_id)) AS price, count(*) AS ticks FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d %H')")
+q("streamed_hours", f"""WITH tagged AS (SELECT event_type AS ticker, ts, value, event_id, strftime(ts, '%Y-%m-%d %H') AS hour, NOT ({EARLY_TICKS}) AND
+    date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events WHERE {EARLY_TICKS}) AS late FROM events)
+  SELECT ticker, hour, arg_max(value, (ts, event_id)) AS price, count(*) AS ticks, late FROM tagged GROUP BY ticker, hour, late""")
 q("resumed_returns", f"SELECT {swap(8, 'portfolio_daily_return', 'investment_return')} FROM daily", "daily")
 q("dated_copies", """SELECT * FROM (SELECT unnest([{'stamp': '20010630', 'run': 1}, {'stamp': '20010630', 'run': 2}, {'stamp': '20010805', 'run': 3}], recursive := true)) JOIN
   (SELECT name, run, if(run = 2, 0, n) AS rows_copied, n AS rows_there FROM (SELECT name, unnest([1, 2]) AS run, n FROM (

@@ -38,8 +38,8 @@ from ledgerloom.sources import readers, sinks
 from ledgerloom.sources.store import LedgerStore
 from ledgerloom.streaming import recalc, ticks
 
-AS_OF = "2001-06-30"
-TODAY = "2001-08-05"
+AS_OF = "2001-11-30"
+TODAY = "2001-12-05"
 EARLY = "1995-03-31"
 BENCHMARK = "SPY"
 TRACKED = "SPYM"
@@ -809,7 +809,7 @@ def stale_tickers(s):
 
 @query
 def missing_or_stale(s):
-    return quality.missing_or_stale(quality.required_tickers(s.txn), s.prices, "2001-08-05", 1)
+    return quality.missing_or_stale(quality.required_tickers(s.txn), s.prices, TODAY, 1)
 
 
 @query
@@ -968,9 +968,24 @@ def hourly_closes(s):
     return rows.select("ticker", F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "price", "ticks")
 
 
+EARLY_TICKS = "ts < TIMESTAMP '2024-01-20 00:00:00' AND event_id % 10 <> 0"
 LATE_ROWS = "action = 'TAX' AND date >= DATE '2001-03-01'"
 
 
+@query
+def streamed_hours(s):
+    """Hourly closes and late ticks after two arrivals: nine of ten ticks up to a day, then all others."""
+    folder, ticked = _scratch(s, "hours"), _ticks(s.views.table("events"))
+    table, early = ticks.CloseTable(s.spark, f"{folder}/table"), F.expr(EARLY_TICKS)
+    for arrived in (ticked.where(early), ticked.where(~early)):
+        arrived.write.mode("append").parquet(f"{folder}/ticks")
+        stream = s.spark.readStream.schema(arrived.schema).parquet(f"{folder}/ticks")
+        ticks.stream_hourly_closes(stream, table, f"{folder}/state").awaitTermination()
+    hour = F.date_format("window_start", "yyyy-MM-dd HH").alias("hour")
+    late = table.late().groupBy("ticker", hour).agg(F.max_by("price", F.struct("ts", "event_id")).alias("price"), F.count(F.lit(1)).alias("ticks"))
+    return table.closes().select("ticker", hour, "price", "ticks", F.lit(False).alias("late")).unionByName(late.withColumn("late", F.lit(True)))
+
+
 @query
 def resumed_returns(s):
     """The returns table after late ledger rows came in as a stream and were derived from the stored month ends on."""

@@ -30,11 +30,12 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Version:
-    """What a table consists of: folder by part, and the last batch by writer."""
+    """What a table consists of: folder by part, the last batch by writer, and other whole numbers writers keep (``marks``)."""
 
     number: int = 0
     parts: dict[str, str] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
+    marks: dict[str, int] = field(default_factory=dict)
 
 
 class VersionedTable:
@@ -55,7 +56,7 @@ class VersionedTable:
             return Version()
         text = self.spark.read.text(f"{self.path}/manifests/{numbers[-1]:012d}.json", wholetext=True).first()[0]
         got = json.loads(text)
-        return Version(numbers[-1], got["parts"], got["batches"])
+        return Version(numbers[-1], got["parts"], got["batches"], got["marks"])
 
     def read(self, version: Version | None = None, parts: list[str] | None = None) -> DataFrame:
         """Rows of a version (default the current one), of some parts only if ``parts`` names them."""
@@ -65,7 +66,9 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*folders)
 
-    def write(self, rows: DataFrame, part, replaced: list[str], since: Version, batch: tuple[str, int] | None = None) -> Version:
+    def write(
+        self, rows: DataFrame, part, replaced: list[str], since: Version, batch: tuple[str, int] | None = None, marks: dict[str, int] | None = None
+    ) -> Version:
         """Makes ``rows``, cut by the column ``part``, the contents of the parts ``replaced`` (those without rows become empty).
 
         Tasks are as many as the rows need: Spark splits large parts and packs small ones.
@@ -80,13 +83,13 @@ class VersionedTable:
             raise ValueError(f"rows outside the parts to be replaced: {sorted(extra)[:5]}")
         kept = {p: x for p, x in since.parts.items() if p not in replaced}
         batches = since.batches | ({batch[0]: batch[1]} if batch else {})
-        return self._commit(Version(since.number + 1, kept | new, batches))
+        return self._commit(Version(since.number + 1, kept | new, batches, since.marks | (marks or {})))
 
     def _commit(self, version: Version) -> Version:
         jvm, files = self.spark._jvm, self._files()
         temporary, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/{version.number:012d}.json")
         stream = files.create(temporary, False)
-        stream.write(json.dumps({"parts": version.parts, "batches": version.batches}, sort_keys=True).encode())
+        stream.write(json.dumps({"parts": version.parts, "batches": version.batches, "marks": version.marks}, sort_keys=True).encode())
         stream.close()
         option = jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(option, 1)

@@ -133,3 +133,26 @@ def test_indicator_file_takes_the_last_non_blank(spark, tmp_path):
     path.write_text("observation_date,OTHER,UNRATE\n2024-01-01,1,3.7\n2024-02-01,2,3.9\n2024-03-01,3, \n2024-04-01,4,\n")
     row = readers.latest_value(readers.read_indicator(spark, str(path), "observation_date", "UNRATE")).first()
     assert (row.value, str(row.date)) == (3.9, "2024-02-01")
+
+
+def test_the_guard_stops_a_run_and_names_the_ticker(make_ledger, make_prices):
+    ledger = make_ledger([("2024-01-02", "AAA", "BUY", 1, 5), ("2024-01-03", "SAP.DE", "BUY", 2, 6), ("2024-01-04", "GONE", "BUY", 3, 7), ("2024-01-05", "GONE", "SELL", 3, 7)])
+    with pytest.raises(ValueError, match="PRICE_UNAVAILABLE: AAA as of 2024-01-10"):
+        quality.guard_held_prices(ledger, make_prices([("SAP.DE", "2024-01-02", 5), ("EURUSD=X", "2024-01-02", 1)]), "2024-01-10")
+    with pytest.raises(ValueError, match="FX_PRICE_UNAVAILABLE: EURUSD=X"):
+        quality.guard_held_prices(ledger, make_prices([("AAA", "2024-01-02", 5), ("SAP.DE", "2024-01-02", 5)]), "2024-01-10")
+    # Sold assets need no price; nor does anything before it is bought.
+    quality.guard_held_prices(ledger, make_prices([("AAA", "2024-01-02", 5), ("SAP.DE", "2024-01-02", 5), ("EURUSD=X", "2024-01-02", 1)]), "2024-01-10")
+    quality.guard_held_prices(ledger, make_prices([]), "2024-01-01")
+
+
+def test_metadata_upsert_takes_every_text_column(spark):
+    text = [f.name for f in METADATA if f.dataType.simpleString() == "string" and f.name != "ticker"]
+    schema = "ticker string, " + ", ".join(f"{c} string" for c in text)
+    old = spark.createDataFrame([("A", *["old"] * len(text)), ("B", *["kept"] * len(text))], schema)
+    new = spark.createDataFrame([("A", *["new"] * len(text)), ("C", *[None] * len(text))], schema)
+    got = {r.ticker: tuple(r)[1:] for r in sinks.merge_metadata(old, new, tuple(text)).collect()}
+    assert got == {"A": ("new",) * len(text), "B": ("kept",) * len(text), "C": (None,) * len(text)}
+    for column in text:
+        one = {r.ticker: r.asDict() for r in sinks.merge_metadata(old, new.select("ticker", column), (column,)).collect()}
+        assert one["A"] == {"ticker": "A"} | {c: "new" if c == column else "old" for c in text}

@@ -98,3 +98,30 @@ def test_a_table_without_rows_takes_no_changes(spark, make_ledger, make_prices,
     ledger = make_ledger([("2024-01-02", "USD", "DEPOSIT", 5)], "one")
     table.apply(spark.createDataFrame([("one", d("2024-01-02"))], CHANGES), ledger, make_prices([("AAA", "2024-01-01", 1)]), "2024-01-04")
     assert [r.portfolio_value for r in table.days().collect()] == [5.0] * 3
+
+
+def test_hourly_closes_keep_late_ticks_apart(spark, tmp_path):
+    source, state = str(tmp_path / "ticks"), str(tmp_path / "state")
+    table = ticks.CloseTable(spark, str(tmp_path / "closes"))
+
+    def run(rows):
+        spark.createDataFrame([(t, at(f"2024-01-01T{x}"), v, i) for t, x, v, i in rows], TICKS).coalesce(1).write.mode("append").parquet(source)
+        ticks.stream_hourly_closes(spark.readStream.schema(TICKS).parquet(source), table, state).awaitTermination()
+        closes = {(r.ticker, r.window_start.hour): (r.price, r.ticks) for r in table.closes().collect()}
+        return closes, sorted((r.ticker, r.event_id, r.price) for r in table.late().collect())
+
+    closes, late = run([("A", "10:00:00", 1.0, 1), ("A", "10:30:00", 2.0, 2), ("A", "10:30:00", 2.0, 2), ("B", "13:59:59", 5.0, 3)])
+    assert closes == {("A", 10): (2.0, 2), ("B", 13): (5.0, 1)} and late == []
+    # The watermark is at 11:59:59 now: hour 10 is closed, hour 11 still open.  Tick 3 comes once more, tick 4 is late.
+    closes, late = run([("A", "10:45:00", 9.0, 4), ("A", "11:10:00", 3.0, 5), ("B", "13:59:59", 5.0, 3), ("B", "13:30:00", 4.0, 6)])
+    assert closes == {("A", 10): (2.0, 2), ("A", 11): (3.0, 1), ("B", 13): (5.0, 2)} and late == [("A", 4, 9.0)]
+    version = table.table.current()
+    replay = spark.createDataFrame([("A", at("2024-01-01T13:00:00"), 9.0, 77)], TICKS)
+    assert table.apply(replay, (state, 1)) == version
+    closes, late = run([("A", "09:00:00", 8.0, 8), ("A", "10:59:00", 8.5, 9)])
+    assert closes[("A", 10)] == (2.0, 2) and late == [("A", 4, 9.0), ("A", 8, 8.0), ("A", 9, 8.5)]
+    closes, _ = run([("B", "20:00:00", 6.0, 10)])
+    assert closes[("B", 20)] == (6.0, 1) and len(closes) == 4
+    # Only ids of open hours are remembered.
+    now = table.table.current()
+    assert {r.event_id for r in table.table.read(now, ["seen-open"]).collect()} == {10}

@@ -2,7 +2,8 @@
 
 Pattern kinds (``assign``, ``access``, ``hex``) follow fixed expressions.  Structural kinds decode base64 or hex and read
 what is inside: ``pem`` and ``der`` are keys whose ASN.1 lengths nest exactly, or keys in the openssh format whose length
-fields add up; ``derhex`` is the same in hex; ``jwt`` is a signed token whose header is JSON with an algorithm and whose
+fields add up, encrypted ones included (their algorithm and body nest, or their headers name a cipher of whole blocks);
+``derhex`` is the same in hex, outside marks from 40 characters of base64 or 32 bytes of hex on one line; ``jwt`` is a signed token whose header is JSON with an algorithm and whose
 claims are a JSON object.  Spans count code points, the end is exclusive.
 """
 
@@ -80,6 +81,24 @@ def is_der_key(data: bytes) -> bool:
     return len(tags) >= 3 and tags[0] == 0x02 and any(t in (0x02, 0x04) for t in tags[1:])
 
 
+def is_encrypted_key(data: bytes) -> bool:
+    """An encrypted private key: a sequence of an algorithm (with an object identifier) and an octet string, to the last byte."""
+    top = der_item(data, 0, len(data))
+    if not top or top[0] != 0x30 or top[2] != len(data):
+        return False
+    algorithm = der_item(data, top[1], top[2])
+    if not algorithm or algorithm[0] != 0x30:
+        return False
+    name, body = der_item(data, algorithm[1], algorithm[2]), der_item(data, algorithm[2], top[2])
+    return bool(name and name[0] == 0x06 and body and body[0] == 0x04 and body[2] == len(data) and body[2] - body[1] >= 16)
+
+
+def is_ciphered(headers: str, data: bytes) -> bool:
+    """A body that its headers call encrypted: a named cipher with its start value, and whole blocks."""
+    named = re.search(r"^DEK-Info:\s*[A-Za-z0-9-]+\s*,\s*([0-9A-Fa-f]{16,32})\s*$", headers, re.MULTILINE)
+    return bool(named) and "ENCRYPTED" in headers and len(data) >= 16 and len(data) % 8 == 0
+
+
 def is_ssh_key(data: bytes) -> bool:
     """Three length-prefixed strings, a key count, then as many public keys and the private part, to the last byte."""
     if not data.startswith(SSH_MAGIC):
@@ -130,10 +149,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            lines = [x for x in m[2].split("\n") if ":" not in x]
-            encrypted = "ENCRYPTED" in m[1] or "ENCRYPTED" in m[2]
-            data = decode64("".join("".join(lines).split()))
-            if is_key(data) or encrypted and data:
+            lines = m[2].split("\n")
+            headers = "\n".join(x.strip() for x in lines if ":" in x)
+            data = decode64("".join("".join(x for x in lines if ":" not in x).split()))
+            if data and (is_ciphered(headers, data) if headers else is_encrypted_key(data) if m[1].startswith("ENCRYPTED") else is_key(data)):
                 found.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]

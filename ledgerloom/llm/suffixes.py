@@ -331,4 +331,8 @@ def remove_repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRA
 
 
 def string_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``remove_repeated_strings`` without the bytes left: nulls are empty, ids that tie or are missing as there.
+
+    Texts are judged whole, however long; a text takes a multiple of its size in one task.  An empty table gives no rows.
+    """
     return remove_repeated_strings(docs, width).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

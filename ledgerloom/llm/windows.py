@@ -244,4 +244,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def window_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``remove_repeated_windows`` without the words left: nulls are empty, ids that tie or are missing as there.
+
+    Texts are judged whole, however long; a text takes a multiple of its size in one task.  An empty table gives no rows.
+    """
     return remove_repeated_windows(docs, width).select("doc_id", F.col("n_words"), "n_removed", "kept_sha256")

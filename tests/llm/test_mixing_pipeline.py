@@ -127,3 +127,37 @@ def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path, make_docs, sampl
         out = stage(spark, out, folder)
         assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_take_odd_rows(spark, tmp_path, make_docs, odd_rows):
+    """Nulls, repeated ids, ties, long texts and clashing columns, through every stage and the whole run."""
+    long_rows = [(None, f"no id {k} " + " ".join(f"w{k}x{j}" for j in range(90)), "en", "a") for k in range(3)]
+    long_rows += [(70, "same words here " + " ".join(f"v{j}" for j in range(90)), "en", None)] * 3 + [(70, "other words " + " ".join(f"u{j}" for j in range(90)), None, "b")]
+    long_rows += [(71, "same words here " + " ".join(f"v{j}" for j in range(90)), "en", "a")]
+    docs = make_docs(odd_rows + long_rows, clashing=True)
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    bench = spark.createDataFrame([(None, None), (1, ""), (2, "u3 u4 u5 u6 u7 u8 u9 u10 u11 u12 u13"), (2, "U3 u4 u5 u6 u7 u8 u9 u10 u11 u12 u13!")], "item_id long, text string")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    out = {}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder)
+        assert now.columns == docs.columns
+        out[name] = [(r.doc_id, (r.text or "")[:10]) for r in now.collect()]
+    kept = out["quality rules"]
+    assert kept.count((70, "same words")) == 3 and (70, "other word") in kept and (71, "same words") in kept and all(t for _, t in kept)
+    near = out["near dedup"]
+    assert near.count((70, "same words")) == 1 and near.count((70, "other word")) == 1 and (71, "same words") not in near
+    assert sum(i is None for i, _ in near) == sum(i is None for i, _ in kept) >= 3
+    assert sorted(out["benchmark decontamination"], key=repr) == sorted((x for x in near if x != (70, "other word")), key=repr)
+    assert len(out["secret scan"]) == len(out["benchmark decontamination"])
+    got = corpus_pipeline.run(spark, folder)
+    assert {(r.doc_id, (r.text or "")[:10]) for r in got.collect()} <= set(out["secret scan"]) and set(docs.columns) <= set(got.columns) | {"copies", "size"}
+
+
+def test_an_empty_table_goes_through(spark, tmp_path, make_docs):
+    folder = str(tmp_path)
+    make_docs([]).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []

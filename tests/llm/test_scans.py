@@ -61,6 +61,20 @@ def test_quality_keeps_clean_and_drops_junk(make_docs):
     assert kept == set(range(len(clean)))
 
 
+def test_fences_follow_their_group(make_docs):
+    """The same text is usual in one source and out of bounds in another; floors alone would reject it in both."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9)))
+    prose = [" ".join(word() for _ in range(80)) for _ in range(100)]
+    code = [" ".join(w + rng.choice(["", " {", " |", "$"]) for w in t.split()) for t in prose]
+    rows = [(k, t, "en", "prose") for k, t in enumerate(prose)] + [(100 + k, t, "en", "code") for k, t in enumerate(code)] + [(300, code[0], "en", "prose")]
+    limits = {r.source: r for r in quality.thresholds(quality.sketches(quality.counted(make_docs(rows), ["lang", "source"]))).collect()}
+    assert limits["prose"].symbol_high == quality.SHARES["symbol"][4] < limits["code"].symbol_high
+    assert all(limits["prose"][f"{s}_high"] != limits["code"][f"{s}_high"] for s in ("symbol", "length"))
+    kept = {r.doc_id for r in quality.quality_filter(make_docs(rows)).collect()}
+    assert 300 not in kept and 100 in kept and len(kept) >= 195
+
+
 def test_buckets_merge_and_stay_close(spark):
     got = spark.range(0, 20000, 7).select("id", quality.bucket(quality.F.col("id")).alias("b")).collect()
     assert all(r.b <= r.id and (r.id - r.b) * 32 <= max(r.id, 1) for r in got)
@@ -92,7 +106,8 @@ def test_myers_distance_is_the_edit_distance():
 def test_found_items_are_those_of_brute_force(spark, make_docs, odd_rows):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("aeiourst") for _ in range(rng.randint(2, 7)))
-    items = [" ".join(word() for _ in range(rng.randint(8, 30))) for _ in range(12)] + [None, "", "short one", "..."]
+    items = [" ".join(word() for _ in range(rng.randint(8, 30))) for _ in range(12)] + [None, "", "short one", "...", "twenty chars or more"]
+    items += [items[0].upper(), f"{items[3]}!", "Short  one"]
 
     def edited(text, n):
         for _ in range(n):
@@ -106,7 +121,7 @@ def test_found_items_are_those_of_brute_force(spark, make_docs, odd_rows):
         planted = edited(item, rng.randint(0, int(0.09 * len(item))))
         front = " ".join(word() for _ in range(rng.choice([0, 0, 20])))
         rows.append((100 + n, f"{front} {planted.upper()}! " + " ".join(word() for _ in range(rng.choice([0, 15]))), "en", "a"))
-    rows += [(300, "a short one.", "en", "a"), (301, "shorter short ones", "en", "a")]
+    rows += [(300, "a short one.", "en", "a"), (301, "shorter short ones", "en", "a"), (302, "x twenty chars Xr more", "en", "a"), (303, "twenty char or mor", "en", "a")]
     docs = make_docs(rows, clashing=True)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").selectExpr("*", "1 AS doc_id")
     want = set()
@@ -114,7 +129,7 @@ def test_found_items_are_those_of_brute_force(spark, make_docs, odd_rows):
         t = decontaminate.normal(text)
         for k, item in enumerate(items):
             x = decontaminate.normal(item)
-            if len(x) < decontaminate.MIN_CHARS:
+            if len(x) < 20:
                 if x and f" {x} " in f" {t} ":
                     want.add((doc_id, k, 0))
             elif len(t) < 4000:
@@ -122,8 +137,13 @@ def test_found_items_are_those_of_brute_force(spark, make_docs, odd_rows):
                 if d <= int(decontaminate.RATE * len(x)):
                     want.add((doc_id, k, d))
     assert {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()} == want and len(want) > 20
+    assert {tuple(r) for r in decontaminate.contaminated(docs, bench, slice_chars=200).collect()} == want
+    unnamed = bench.selectExpr("CASE WHEN item_id > 3 THEN item_id END AS item_id", "text")
+    assert {tuple(r) for r in decontaminate.contaminated(docs, unnamed).select("doc_id", "item_id").collect()} == {(i, k if k > 3 else -1) for i, k, _ in want}
     dirty = {i for i, _, _ in want}
+    few = decontaminate.without_benchmark(docs, bench, slice_chars=200)
     kept = decontaminate.without_benchmark(docs, bench)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, kept.collect()))
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r[0] or -1 for r in rows if r[0] not in dirty)
     assert kept.columns == docs.columns
     none = bench.where("false")
@@ -133,8 +153,9 @@ def test_found_items_are_those_of_brute_force(spark, make_docs, odd_rows):
 
 def test_slices_cover_the_benchmark(spark):
     bench = spark.createDataFrame([(k, f"item number {k} of many") for k in range(50)], "item_id long, text string")
-    got = [i for s in decontaminate.item_slices(bench, 200) for i, _ in s]
-    assert sorted(got) == list(range(50))
+    slices = list(decontaminate.item_slices(decontaminate.benchmark_items(bench)[0], 200))
+    assert sorted(t for s, _ in slices for _, t in s) == sorted(f"item number {k} of many" for k in range(50))
+    assert [last for _, last in slices] == [False] * (len(slices) - 1) + [True] and len(slices) > 3
 
 
 # ---- licenses
@@ -232,6 +253,16 @@ def test_only_parsed_structures_are_reported(make_docs):
     ssh += b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"q" * 144))
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64)) + "\n-----END RSA PRIVATE KEY-----"
     texts = [f"x {b64} y", f"x {cut} y", jwt, fake, pem, pem.replace(b64[:4], "AAAA"), RSA_KEY.hex().upper(), base64.b64encode(ssh).decode(), "A" * 200]
+    der = lambda tag, *parts: bytes([tag, 0x82]) + len(b"".join(parts)).to_bytes(2, "big") + b"".join(parts)
+    locked = der(0x30, der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), der(0x30)), der(0x04, bytes(range(48))))
+    marked = lambda name, body: f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
+    coded = lambda x: base64.b64encode(x).decode()
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    locks = {20: marked("ENCRYPTED PRIVATE KEY", coded(locked)), 21: marked("RSA PRIVATE KEY", headers + coded(bytes(range(64))))}
+    none = {22: marked("ENCRYPTED PRIVATE KEY", coded(locked[:-1])), 23: marked("ENCRYPTED PRIVATE KEY", "put your own key here AAAA"),
+            24: marked("RSA PRIVATE KEY", headers + coded(bytes(range(61)))), 25: marked("RSA PRIVATE KEY", headers.replace("DEK-Info", "Comment") + coded(bytes(range(64))))}
+    seen = {r.doc_id: r.spans for r in secrets.scan_secrets(make_docs([(i, t, "en", "a") for i, t in (locks | none).items()])).collect()}
+    assert all(f"pem:0:{len(t)}" in seen[i] for i, t in locks.items()) and not any("pem" in seen[i] for i in none)
     got = {r.doc_id: ",".join(x for x in re.sub(r":\d+:\d+", "", r.spans).split(",") if x != "hex") for r in secrets.scan_secrets(make_docs([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
     assert got == {0: "der", 1: "", 2: "jwt", 3: "", 4: "pem", 5: "", 6: "derhex", 7: "der", 8: ""}
 

@@ -11,20 +11,21 @@ _DEALT = "coalesce(text, '')"
 
 def _quality() -> str:
     def part(name: str) -> str:
-        top, bottom, _ = quality.SHARES[name]
+        top, bottom, *_ = quality.SHARES[name]
         return f"CASE WHEN {bottom} = 0 THEN 0 ELSE ({top} * {quality.UNIT}) // {bottom} END"
 
     parts = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS share, {part(s)} AS v FROM passed" for s in quality.SHARES)
-    margin = " ".join(f"WHEN '{s}' THEN {m}" for s, (_, _, m) in quality.SHARES.items())
+    per_share = lambda k: "CASE share " + " ".join(f"WHEN '{s}' THEN {rule[k]}" for s, rule in quality.SHARES.items()) + " END"
     q = f"quantile_rows AS (SELECT *, greatest(length(bin(v)) - 6, 0) AS d FROM ({parts}))"
 
     def level(name: str, keys: str) -> str:
         group = f"{keys}, " if keys else ""
-        return f"""{name} AS (SELECT {group}share, max(total) AS docs, min(b) FILTER (4 * c >= total) AS q25, min(b) FILTER (4 * c >= 3 * total) AS q75
-          FROM (SELECT {group}share, b, sum(n) OVER (PARTITION BY {group}share ORDER BY b) AS c, sum(n) OVER (PARTITION BY {group}share) AS total
+        return f"""{name} AS (SELECT {group}share, max(total) AS docs, min(b) FILTER (100 * c >= (100 - tail) * total) AS below,
+            min(b) FILTER (100 * c >= 50 * total) AS middle, min(b) FILTER (100 * c >= tail * total) AS above
+          FROM (SELECT {group}share, {per_share(2)} AS tail, b, sum(n) OVER (PARTITION BY {group}share ORDER BY b) AS c, sum(n) OVER (PARTITION BY {group}share) AS total
             FROM (SELECT {group}share, (v >> d) << d AS b, count(*) AS n FROM quantile_rows GROUP BY ALL)) GROUP BY ALL)"""
 
-    pick = lambda c: f"CASE WHEN o.docs >= {quality.MIN_DOCS} THEN o.{c} WHEN l.docs >= {quality.MIN_DOCS} THEN l.{c} ELSE e.{c} END"
+    pick = lambda c: f"CASE WHEN o.docs >= {quality.MIN_DOCS} THEN o.{c} WHEN l.docs >= {quality.MIN_DOCS} THEN l.{c} ELSE e.{c} END AS {c}"
     fits = " AND ".join(
         f"coalesce({part(s)} <= (SELECT high FROM limits t WHERE t.lang IS NOT DISTINCT FROM c.lang AND t.source IS NOT DISTINCT FROM c.source AND t.share = '{s}'), true)"
         for s in quality.SHARES
@@ -42,9 +43,9 @@ def _quality() -> str:
         FROM base LEFT JOIN marked m USING (doc_id)),
       flagged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts),
       passed AS (SELECT * FROM flagged WHERE NOT base_failed), {q}, {level("own", "lang, source")}, {level("by_lang", "lang")}, {level("by_all", "")},
-      limits AS (SELECT lang, source, share, q75 + {quality.FENCE} * (q75 - q25) + m AS high, q25 - {quality.FENCE} * (q75 - q25) - m AS low
-        FROM (SELECT o.lang, o.source, o.share, CASE o.share {margin} END AS m, {pick("q25")} AS q25, {pick("q75")} AS q75
-          FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.share = l.share JOIN by_all e ON o.share = e.share))
+      limits AS (SELECT lang, source, share, above + reach * (above - middle) + least_floor AS high, below - reach * (middle - below) - least_floor AS low
+        FROM (SELECT *, {per_share(3)} AS reach, {per_share(4)} AS least_floor FROM (SELECT o.lang, o.source, o.share, {pick("below")}, {pick("middle")}, {pick("above")}
+          FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.share = l.share JOIN by_all e ON o.share = e.share)))
       SELECT doc_id, {", ".join(quality.COUNTS)}, base_failed, NOT base_failed AND {fits} AND {low} AS kept FROM flagged c"""
 
 

@@ -2,10 +2,14 @@
 
 Every document gets counts (words, symbols, repeated lines, ...) and five shares made of them.  Shares are summed up in
 mergeable quantile sketches: a share becomes a whole number of ten-thousandths, of which the six leading binary digits
-are kept (relative error below 1/32, integer arithmetic only, so merging in any order gives the same sketch).  A
-threshold is the upper fence ``q75 + 3 (q75 - q25) + margin`` of a (language, source) group; the word length has a lower
-fence too.  Groups of fewer than ``MIN_DOCS`` documents take the merged sketch of their language, or of everything.
-Documents then meet their thresholds in a join.
+are kept (relative error below 1/32, integer arithmetic only, so merging in any order gives the same sketch).
+
+The thresholds of a (language, source) group come from its own sketch: a share may lie beyond the group's tail quantile by as many
+times the way from its median to that quantile as ``SHARES`` says, plus a floor that only keeps single marks from counting where
+the sketch is all zero.  Shares that sound texts keep close to the middle of their group (symbols, capitals, word length) take
+the 90th percentile and three times its way; those that a few sound texts exceed by far (repeated lines and passages) the
+99th and once its way.  Word length has a lower fence too, mirrored.  Groups of fewer than ``MIN_DOCS`` documents take the
+merged sketch of their language, or of everything.  Documents then meet their thresholds in a join.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import add_columns, long_field
+from ledgerloom.sources.store import materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
 SYMBOLS = b"#*$%&|<>"
@@ -23,15 +28,15 @@ CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 SPACES = " \t\n\x0b\x0c\r"
 UNIT = 10_000
 
-#: Share: numerator, denominator, margin in ten-thousandths.
+#: Share: numerator, denominator, tail percentile, reach beyond it in ways from the median, floor in ten-thousandths.
 SHARES = {
-    "symbol": ("n_symbols", "n_words", 1_000),
-    "upper": ("n_upper", "word_chars", 2_500),
-    "dup_line": ("n_dup_lines", "n_lines", 5_000),
-    "repeat": ("n_repeat_words", "n_words", 4_000),
-    "length": ("word_chars", "n_words", 15_000),
+    "symbol": ("n_symbols", "n_words", 90, 3, 100),
+    "upper": ("n_upper", "word_chars", 90, 3, 50),
+    "dup_line": ("n_dup_lines", "n_lines", 99, 1, 100),
+    "repeat": ("n_repeat_words", "n_words", 99, 1, 100),
+    "length": ("word_chars", "n_words", 90, 3, 500),
 }
-FENCE, MIN_DOCS, MIN_WORDS, MAX_REPEAT_PERCENT = 3, 50, 50, 50
+MIN_DOCS, MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50, 50
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -79,7 +84,7 @@ def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def share(name: str) -> Column:
     """Ten-thousandths, as a whole number; 0 where nothing is counted."""
-    top, bottom, _ = SHARES[name]
+    top, bottom, *_ = SHARES[name]
     return F.expr(f"CASE WHEN {bottom} = 0 THEN 0L ELSE ({top} * {UNIT}L) div {bottom} END")
 
 
@@ -100,40 +105,42 @@ def sketches(scored: DataFrame) -> DataFrame:
     return passed.groupBy("lang", "source", "share", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q25, q75 and the number of documents of each group's sketch; a group has some hundred buckets at most."""
+LEVELS = ("below", "middle", "above")
+
+
+def _per_share(place: int) -> Column:
+    return F.create_map(*[x for s, rule in SHARES.items() for x in (F.lit(s), F.lit(rule[place]).cast("long"))])[F.col("share")]
+
+
+def _levels(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Median, tail quantiles on both sides and number of documents of each group's sketch (some hundred buckets at most)."""
     merged = sketch.groupBy(*keys, "share", "bucket").agg(F.sum("n").alias("n"))
     listed = merged.groupBy(*keys, "share").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("docs")
-    )
+    ).withColumn("tail", _per_share(2))
     rank = "aggregate(h, named_struct('c', 0L, 'v', -1L), (a, x) -> named_struct('c', a.c + x.n, 'v', "
-    rank += "CASE WHEN a.v >= 0 THEN a.v WHEN 4 * (a.c + x.n) >= {k} * docs THEN x.bucket ELSE -1L END), a -> a.v)"
-    return listed.select(
-        *keys, "share", "docs", F.expr(rank.format(k=1)).alias("q25"), F.expr(rank.format(k=3)).alias("q75")
-    )
+    rank += "CASE WHEN a.v >= 0 THEN a.v WHEN 100 * (a.c + x.n) >= {p} * docs THEN x.bucket ELSE -1L END), a -> a.v)"
+    percents = ("(100 - tail)", "50", "tail")
+    return listed.select(*keys, "share", F.struct("docs", *[F.expr(rank.format(p=p)).alias(n) for n, p in zip(LEVELS, percents, strict=True)]).alias("q"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per (lang, source): ``low`` and ``high`` of each share, as columns ``<share>_low`` and ``<share>_high``."""
-    own = _quartiles(sketch, ["lang", "source"])
-    language = _quartiles(sketch, ["lang"]).select(
-        F.col("lang").alias("_lang"), F.col("share").alias("_share"), F.struct("docs", "q25", "q75").alias("by_lang")
-    )
-    whole = _quartiles(sketch, []).select(F.col("share").alias("_any"), F.struct("docs", "q25", "q75").alias("by_all"))
+    own = _levels(sketch, ["lang", "source"])
+    language = _levels(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("share").alias("_share"), F.col("q").alias("by_lang"))
+    whole = _levels(sketch, []).select(F.col("share").alias("_any"), F.col("q").alias("by_all"))
     found = (
         own.join(language, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("share") == F.col("_share")))
         .join(whole, F.col("share") == F.col("_any"))
         .withColumn(
-            "q",
-            F.when(F.col("docs") >= MIN_DOCS, F.struct("docs", "q25", "q75"))
-            .when(F.col("by_lang.docs") >= MIN_DOCS, F.col("by_lang"))
-            .otherwise(F.col("by_all")),
+            "q", F.when(F.col("q.docs") >= MIN_DOCS, F.col("q")).when(F.col("by_lang.docs") >= MIN_DOCS, F.col("by_lang")).otherwise(F.col("by_all"))
         )
     )
-    margin = F.create_map(*[x for s, (_, _, m) in SHARES.items() for x in (F.lit(s), F.lit(m).cast("long"))])
-    reach = FENCE * (F.col("q.q75") - F.col("q.q25")) + margin[F.col("share")]
+    reach, floor = _per_share(3), _per_share(4)
     sided = found.select(
-        "lang", "source", "share", (F.col("q.q75") + reach).alias("high"), (F.col("q.q25") - reach).alias("low")
+        "lang", "source", "share",
+        (F.col("q.above") + reach * (F.col("q.above") - F.col("q.middle")) + floor).alias("high"),
+        (F.col("q.below") - reach * (F.col("q.middle") - F.col("q.below")) - floor).alias("low"),
     )
     return sided.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("share") == s, F.col(side))).alias(f"{s}_{side}") for s in SHARES for side in ("low", "high")]
@@ -145,10 +152,11 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     Needs doc text, lang and source (null languages and sources form groups of their own).  A missing or empty text
     has no words, so it fails the base rules.  Where no document passes the base rules there is no threshold, and
-    nothing that could fail it.
+    nothing that could fail it.  Texts of any length count whole; rows with one id, or none, are judged one by one, and equal
+    rows alike.  An empty table gives no rows.  Texts are counted once, into a written table.
     """
-    scored = counted(docs, list(dict.fromkeys([*keep, "lang", "source"])))
-    limits = thresholds(sketches(counted(docs.select("text", "lang", "source"), ["lang", "source"])))
+    scored = materialize(counted(docs, list(dict.fromkeys([*keep, "lang", "source"]))), "counted")
+    limits = thresholds(sketches(scored))
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     inside = F.lit(True)
     for s in SHARES:

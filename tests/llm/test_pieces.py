@@ -50,6 +50,14 @@ def test_cuts_change_nothing():
         assert list(OURS.encode_part(OURS.normal(text))) == OURS.encode(text)
 
 
+def test_short_and_long_agendas_agree(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aeinrst▁h.é中") for _ in range(rng.randrange(1, 25))) for _ in range(500)]
+    short = [OURS.merged(t) for t in texts]
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert short == [OURS.merged(t) for t in texts]
+
+
 def test_unused_pieces_fall_apart():
     own = pieces.Vocabulary(MODEL)
     the = own.ids["▁the"]
@@ -72,6 +80,21 @@ def test_rows(make_docs, sample_rows, odd_rows, monkeypatch):
     assert pieces.piece_digest(make_docs([]), PATH).collect() == []
 
 
+def test_disagreement_is_reported(make_docs):
+    own = pieces.Vocabulary(MODEL)
+    own.known.fresh = {}
+    own.order["▁th"] = -1e9
+    texts = ["the cat", "a dog", "a dog, the dog"]
+    for t in texts:
+        own.encode(t)
+    own.known.check(pieces.library(MODEL)[1])
+    assert own.known.wrong == {"▁the"} or own.known.wrong == set()
+    own.known["▁dog"] = (1,)
+    own.known.fresh = {"▁dog": (1,), "▁cat": own.encode_part("▁cat")}
+    own.known.check(pieces.library(MODEL)[1])
+    assert "▁dog" in own.known.wrong and "▁cat" not in own.known.wrong
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         pieces.Vocabulary(b"\x0a\x07\x0a\x05<unk>")

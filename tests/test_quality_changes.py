@@ -101,12 +101,12 @@ def test_change_batch(spark, make_ledger):
 def test_price_upsert_rewrites_only_touched_months(spark, make_prices, tmp_path):
     path = str(tmp_path / "prices")
     sinks.write_prices(path, make_prices([("A", "2024-01-05", 1), ("A", "2024-02-05", 2)]))
-    untouched = sorted(p.name for p in (tmp_path / "prices" / "month=2024-01").iterdir())
+    untouched = sinks.price_table(spark, path).current().parts["2024-01"]
     new = make_prices([("A", "2024-02-05", 5), ("A", "2024-02-05", 6), ("B", "2024-02-06", 7)])
     sinks.upsert_prices(path, new.withColumn("seq", F.col("price").cast("long")))
-    got = {(r.ticker, str(r.date)): r.price for r in readers.read_prices(spark, path).collect()}
+    got = {(r.ticker, str(r.date)): r.price for r in sinks.read_price_table(spark, path).collect()}
     assert got == {("A", "2024-01-05"): 1.0, ("A", "2024-02-05"): 6.0, ("B", "2024-02-06"): 7.0}
-    assert sorted(p.name for p in (tmp_path / "prices" / "month=2024-01").iterdir()) == untouched
+    assert sinks.price_table(spark, path).current().parts["2024-01"] == untouched
 
 
 def test_metadata_upserts_replace_only_their_columns(spark):
@@ -123,9 +123,9 @@ def test_metadata_upserts_replace_only_their_columns(spark):
 
 def test_snapshots_are_written_once(spark, make_prices, tmp_path):
     table = make_prices([("A", "2024-01-05", 1)])
-    assert sinks.snapshot_table(table, str(tmp_path), "prices", "20240105")
-    assert not sinks.snapshot_table(table.union(table), str(tmp_path), "prices", "20240105")
-    assert spark.read.parquet(str(tmp_path / "prices" / "snapshot=20240105")).count() == 1
+    assert sinks.dated_copy(table, str(tmp_path), "prices", "20240105") == table.count()
+    assert sinks.dated_copy(table.union(table), str(tmp_path), "prices", "20240105") == 0
+    assert sinks.read_dated_copy(table, str(tmp_path), "prices", "20240105").count() == 1
 
 
 def test_indicator_file_takes_the_last_non_blank(spark, tmp_path):

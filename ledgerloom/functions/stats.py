@@ -22,11 +22,6 @@ def log_growth(ret: Column) -> Column:
     return F.ln(F.greatest(1.0 + ret, F.lit(1e-12)))
 
 
-def linked(ret: Column) -> Column:
-    """Geometrically linked return of a group of simple returns (an aggregate)."""
-    return F.exp(F.sum(log_growth(ret))) - 1.0
-
-
 def annualised(growth: Column, years: Column) -> Column:
     """(1 + growth) ** (1 / years) - 1."""
     return F.pow(1.0 + growth, F.try_divide(F.lit(1.0), years)) - 1.0

@@ -5,6 +5,7 @@ import pytest
 from ledgerloom.operators import fifo, holdings, irr, performance, returns, status
 from ledgerloom.sources.store import materialize
 
+# The ledger, its quotes and the figures expected of them.
 AS_OF = "2026-01-05"
 DATES = (
     "2024-01-02", "2024-03-01", "2024-06-03", "2024-09-03", "2024-12-02",

@@ -203,7 +203,11 @@ def _extract(batch: pa.RecordBatch) -> list[list]:
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of ``pages``; a missing or empty page has an empty text."""
+    """(page_id, url, text, n_chars) for every row of ``pages``; a missing or empty page has an empty text.
+
+    Pages are read whole, however long; rows that repeat an id, or have none, are read one by one; other columns play no part.
+    An empty table gives no rows.
+    """
     return add_columns(
         pages.select("page_id", "url", "html"), [text_field("text"), long_field("n_chars")], _extract, ["page_id", "url"]
     )

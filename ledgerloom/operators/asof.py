@@ -149,7 +149,7 @@ def market_value_usd(rows: DataFrame, prices: DataFrame, until) -> DataFrame:
     value = (
         F.when(F.col("_type").isin("cash_base", "cash_stable"), F.col("quantity"))
         .when(F.col("_type") == "cash_fx", F.col("quantity") * F.col("_price"))
-        .otherwise(F.col("quantity") * F.col("_price") * rate)
+        .otherwise(F.col("quantity") * (F.col("_price") * rate))
     )
     return priced.select(*rows.columns, value.alias("value_usd"))
 

@@ -278,7 +278,8 @@ def matched_lots(intervals: DataFrame, hot: bool = True) -> DataFrame:
 
 def _gain_columns(matches: DataFrame) -> DataFrame:
     def part(side):
-        return F.col(f"{side}.usd") * F.col("overlap").cast("double") / F.col(f"{side}.units").cast("double")
+        share = F.col(f"{side}.per_share")
+        return F.col(f"{side}.usd") * (F.col("overlap").cast("double") / share) / (F.col(f"{side}.units").cast("double") / share)
 
     proceeds, cost = part("sell"), part("buy")
     return matches.select(

@@ -8,7 +8,9 @@ Symbols never merge across two neighbouring characters that no piece of the voca
 there without changing the result: before spaces, and between letters and others, as far as the vocabulary allows.  Parts are
 remembered, up to ``REMEMBERED`` of them, per Python worker.
 
-Texts pass through in Arrow batches, never shuffled.  Each batch can be checked against the sentencepiece library (``agrees``).
+Texts pass through in Arrow batches, never shuffled.  Each batch can be checked against the sentencepiece library (``agrees``): the
+library encodes every part that is new; where the vocabulary can write any text, all ids of a row must decode to its text, else to
+what the library decodes them to.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from ledgerloom.llm.common import add_columns, long_field, text_field
 
 SPACE = "▁"
 REMEMBERED, LONGEST = 500_000, 48
+#: Up to so many characters the agenda is a list, above a heap.
+SHORT, NOWHERE = 24, float("inf")
 #: Two classes of characters that make up all but the space mark; which ones is only a matter of speed.
 LETTERS, OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{SPACE}]|[\d_²³¹])"
 # Fixed values of the model format: kinds of pieces, and the kind of model.
@@ -116,8 +120,18 @@ class Vocabulary:
             return ""
         return ((" " if self.prefix else "") + text).replace(" ", SPACE)
 
+    @property
+    def lossless(self) -> bool:
+        """Whether ids that are right decode to the text they were made of, space marks as spaces."""
+        return self.byte_fallback and not self.squeeze and self.prefix
+
+    def denormal(self, text: str) -> str:
+        return text.replace(SPACE, " ")
+
     def merged(self, text: str) -> list[str]:
         """The agenda over one text: the pieces (or single characters that are none) it ends with."""
+        if len(text) <= SHORT and not self.unused:
+            return self.merged_short(text)
         symbols = list(text)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -160,6 +174,23 @@ class Vocabulary:
                 out.append(piece)
         return out
 
+    def merged_short(self, text: str) -> list[str]:
+        """The same with the agenda as a list in the order of the text: the first of its smallest places is the best pair."""
+        symbols, order = list(text), self.order.get
+        agenda = [order(text[k : k + 2], NOWHERE) for k in range(len(text) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == NOWHERE:
+                break
+            k = agenda.index(best)
+            symbols[k] = joined = symbols[k] + symbols[k + 1]
+            del symbols[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = order(joined + symbols[k + 1], NOWHERE)
+            if k:
+                agenda[k - 1] = order(symbols[k - 1] + joined, NOWHERE)
+        return symbols
+
     def encode_part(self, part: str) -> tuple[int, ...]:
         out: list[int] = []
         for piece in self.merged(part):
@@ -218,19 +249,32 @@ class Vocabulary:
 
 
 class Known(dict):
-    """Ids of the parts met so far; long parts are not kept, and a full memory starts anew."""
+    """Ids of the parts met so far; long parts are not kept, and a full memory starts anew.
+
+    ``fresh`` collects the parts encoded since it was set, ``wrong`` holds those that the library encodes otherwise.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.fresh: dict[str, tuple[int, ...]] | None = None
+        self.wrong: set[str] = set()
 
     def __missing__(self, part: str) -> tuple[int, ...]:
         got = self.vocabulary.encode_part(part)
+        if self.fresh is not None:
+            self.fresh[part] = got
         if len(part) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[part] = got
         return got
 
+    def check(self, theirs) -> None:
+        """Compares the fresh parts with the library, which is set to add no space in front."""
+        fresh, self.fresh = self.fresh or {}, {}
+        if fresh:
+            self.wrong.update(p for (p, ids), their in zip(fresh.items(), theirs.encode(list(fresh), num_threads=1), strict=True) if list(ids) != their)
+
 
 def characters(run: bytes) -> str:
     """UTF-8 bytes as text, U+FFFD for each byte that begins no whole character."""
@@ -256,9 +300,12 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 @lru_cache(maxsize=2)
 def library(model: bytes):
+    """The library twice: as the model says, and without the space in front, for parts of a text."""
     from sentencepiece import SentencePieceProcessor
 
-    return SentencePieceProcessor(model_proto=model)
+    # A message given twice is merged: these are the rules of normalisation (3) without a prefix (3) and without squeezing (4).
+    plain = bytes([3 << 3 | 2, 4, 3 << 3, 0, 4 << 3, 0])
+    return SentencePieceProcessor(model_proto=model), SentencePieceProcessor(model_proto=model + plain)
 
 
 FIELDS = {
@@ -269,7 +316,7 @@ FIELDS = {
 
 def encoded(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids",), begin: bool = False, end: bool = True) -> DataFrame:
     """Every row of ``docs`` with the columns named in ``outputs`` (see ``FIELDS``): ids, their number and digest, what they decode to and
-    its digest, and whether the sentencepiece library gives the same ids and the same text.
+    its digest, and whether the sentencepiece library agrees: the same ids for every part of the text, and the right text back.
 
     A missing text is an empty one: it has the begin and end ids asked for, and decodes to nothing.  Texts are encoded whole,
     however long; memory grows with the longest one.  Equal rows get equal results, columns called like an output are
@@ -284,7 +331,9 @@ def encoded(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids",
         head, tail = ([own.reserved[p] for p, wanted in special.items() if wanted and p == q] for q in special)
         texts = [x or "" for x in batch.column("text").to_pylist()]
         made: dict[str, list] = {name: [] for name in outputs}
-        check = library(model) if "agrees" in made else None
+        known, theirs = own.known, library(model) if "agrees" in made else None
+        if theirs:
+            known.fresh = known.fresh if known.fresh is not None else {}
         for text in texts:
             ids = head + own.encode(text) + tail
             if "ids" in made:
@@ -299,8 +348,12 @@ def encoded(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids",
                     made["decoded"].append(decoded)
                 if "decoded_sha256" in made:
                     made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if check:
-                    made["agrees"].append(ids == check.encode(text, add_bos=begin, add_eos=end) and decoded == check.decode(ids))
+                if theirs:
+                    made["agrees"].append(decoded == own.denormal(text) if own.lossless else decoded == theirs[0].decode(ids))
+        if theirs:
+            known.check(theirs[1])
+            if known.wrong:
+                made["agrees"] = [fine and known.wrong.isdisjoint(own.parts.findall(own.normal(t))) for fine, t in zip(made["agrees"], texts, strict=True)]
         return [made[name] for name in outputs]
 
     return add_columns(docs, [FIELDS[name] for name in outputs], compute, [c for c in docs.columns if c not in outputs])

@@ -44,6 +44,9 @@ def _pick(key: str, values) -> str:
     return f"CASE {key} {arms} END"
 
 
+FEE_CURRENCY = f"""CASE l.l_linenumber WHEN 7 THEN 'BTC' WHEN 6 THEN 'EUR' WHEN 5 THEN NULL WHEN 4 THEN '' WHEN 3 THEN 'USDC'
+    ELSE {_pick("l.l_partkey % 16", NATIVE)} END"""
+
 TRADE_LINES = f"""
 SELECT
   concat('A', lpad(CAST(o.o_custkey % {ACCOUNTS} AS STRING), 2, '0')) AS account,
@@ -58,8 +61,7 @@ SELECT
     + datediff('day', DATE '1995-01-01', CAST(l.l_shipdate AS DATE))) / 64.0E0 AS price,
   {_pick("l.l_partkey % 16", NATIVE)} AS currency,
   CASE WHEN l.l_tax > 0 THEN CAST(round(l.l_tax * 100) AS BIGINT) / 16.0E0 END AS fees,
-  CASE l.l_linenumber WHEN 7 THEN 'BTC' WHEN 6 THEN 'EUR' WHEN 5 THEN NULL WHEN 4 THEN '' WHEN 3 THEN 'USDC'
-    ELSE {_pick("l.l_partkey % 16", NATIVE)} END AS fee_currency
+  {FEE_CURRENCY} AS fee_currency
 FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
     l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS line
@@ -67,6 +69,13 @@ FROM (
 ) l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
+# Every name that a line can bring into the ledger, its order not looked up.
+TRADE_NAMES = f"""
+SELECT DISTINCT {_pick("l.l_partkey % 16", TICKERS)} AS asset, {_pick("l.l_partkey % 16", NATIVE)} AS currency,
+  {FEE_CURRENCY} AS fee_currency
+FROM lineitem l
+"""
+
 CASH_ORDERS = f"""
 SELECT
   concat('A', lpad(CAST(o_custkey % {ACCOUNTS} AS STRING), 2, '0')) AS account,
@@ -181,6 +190,7 @@ FROM orders GROUP BY last_day(CAST(o_orderdate AS DATE))
 # View name -> (text, views it reads).
 VIEWS = {
     "trade_lines": (TRADE_LINES, ()),
+    "trade_names": (TRADE_NAMES, ()),
     "cash_orders": (CASH_ORDERS, ()),
     "cash_rows": (CASH_ROWS, ("cash_orders",)),
     "split_rows": (SPLIT_ROWS, ("trade_lines",)),
@@ -205,9 +215,9 @@ class LedgerViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _run(self, view: str) -> DataFrame:
+    def _run(self, view: str, **given: DataFrame) -> DataFrame:
         text, needs = VIEWS[view]
-        sources = {n: getattr(self, n) for n in needs}
+        sources = {n: given[n] if n in given else getattr(self, n) for n in needs}
         for name in ("lineitem", "orders", "part"):
             if f"FROM {name}" in text or f"JOIN {name}" in text:
                 sources[name] = self.table(name)
@@ -217,11 +227,21 @@ class LedgerViews:
         return self.spark.sql(text, **sources)
 
     trade_lines = cached_property(lambda self: self.keep(self._run("trade_lines"), "trade-lines"))
+    trade_names = cached_property(lambda self: self._run("trade_names"))
     cash_orders = cached_property(lambda self: self._run("cash_orders"))
     cash_rows = cached_property(lambda self: self._run("cash_rows"))
     split_rows = cached_property(lambda self: self._run("split_rows"))
     txn = cached_property(lambda self: self._run("txn"))
     prices = cached_property(lambda self: self._run("prices"))
+
+    def trade_txn(self, lines: DataFrame) -> DataFrame:
+        """The transactions that the trade lines are."""
+        return self._run("txn", trade_lines=lines, cash_rows=self.cash_rows.where("false"), split_rows=self._run("split_rows", trade_lines=lines).where("false"))
+
+    def other_txn(self) -> DataFrame:
+        """The transactions that the trade lines are not: cash rows and splits."""
+        return self._run("txn", trade_lines=self.trade_lines.where("false"))
+
     metadata_flat = cached_property(lambda self: self._run("metadata_flat"))
     sector_parts = cached_property(lambda self: self._run("sector_parts"))
     bars = cached_property(lambda self: self._run("bars"))

@@ -10,18 +10,33 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.functions.classify import classified
+from ledgerloom.functions.classify import CLASSES, classified
 from ledgerloom.session import checkpoint_folder
 from ledgerloom.sources.ledger_views import ledger_views
 
 
+def _written(df: DataFrame, name: str) -> str:
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns a scan of it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+
+
+def classified_by_name(ledger: DataFrame, names: DataFrame) -> DataFrame:
+    """``classified``, worked out once for each of the different ``names`` (asset, currency, fee_currency) instead of on every row.
+
+    ``names`` holds at least all that occur in the ledger.
+    """
+    keys = ("asset", "currency", "fee_currency")
+    known = materialize(classified(names.select(*keys).distinct()), "names").alias("n")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    return ledger.alias("l").join(known, same, "left").select("l.*", *[f"n.{c}" for c in CLASSES])
 
 
 class LedgerStore:
@@ -31,7 +46,8 @@ class LedgerStore:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.views = ledger_views(spark, folder, materialize)
+        self.views = ledger_views(spark, folder, self._keep_trades)
+        self._trades = ""
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> LedgerStore:
@@ -40,7 +56,18 @@ class LedgerStore:
             cls._open[key] = cls(spark, folder)
         return cls._open[key]
 
-    txn = cached_property(lambda self: materialize(classified(self.views.txn), "transactions"))
+    def _keep_trades(self, lines: DataFrame, name: str) -> DataFrame:
+        """The trade lines are written once, as the ledger's own rows; what is derived from them reads those."""
+        rows = classified_by_name(self.views.trade_txn(lines), self.views.trade_names)
+        self._trades = _written(rows, name)
+        return self.spark.read.schema(rows.schema).parquet(self._trades)
+
+    @cached_property
+    def txn(self) -> DataFrame:
+        trades, others = self.views.trade_lines, self.views.other_txn()
+        rest = _written(classified_by_name(others, others), "other-transactions")
+        return self.spark.read.schema(trades.schema).parquet(self._trades, rest)
+
     prices = cached_property(lambda self: materialize(self.views.prices, "prices"))
     bars = cached_property(lambda self: materialize(self.views.bars, "bars"))
     metadata = cached_property(lambda self: materialize(self.views.metadata, "metadata"))

@@ -17,6 +17,8 @@ from ledgerloom.functions import classify as C
 
 KEYS = ["account", "asset"]
 MOST_DENOMINATOR, MOST_DECIMALS = 1000, 15
+#: Up to this many splits every task gets the whole interval table, and the trades stay where they are.
+FEW_SPLITS = 10_000
 
 
 def denominator(ratio: Column) -> Column:
@@ -36,15 +38,18 @@ def split_steps(ledger: DataFrame) -> DataFrame:
     ``scale`` and ``end_scale`` are their whole-number counterparts, exact up to 2 ** 53; beyond that ``ratios`` (all splits
     of the key in order, as numerator and denominator) and ``before`` (how many of them come before the interval) give them
     exactly, and ``digits`` bounds their length.  A ratio of zero or less, or none, is no split (the row checks report it).
+
+    The planner cannot know how few splits there are and would shuffle the trades to them, so they are counted first.
     """
     order = Window.partitionBy(*KEYS).orderBy("date", "id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = order.rowsBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy(*KEYS)
     one = F.lit(1.0)
+    rows = ledger.where((F.col("action") == "SPLIT") & ~F.col("cash_like") & (F.col("quantity") > 0))
+    few = rows.select(F.lit(1)).limit(FEW_SPLITS + 1).count() <= FEW_SPLITS
     splits = (
-        ledger.where((F.col("action") == "SPLIT") & ~F.col("cash_like") & (F.col("quantity") > 0))
-        .select(*KEYS, "date", "id", "quantity", denominator(F.col("quantity")).alias("below"))
+        rows.select(*KEYS, "date", "id", "quantity", denominator(F.col("quantity")).alias("below"))
         .withColumn("above", F.round(F.col("quantity") * F.col("below")))
         .select(
             *KEYS,
@@ -71,9 +76,10 @@ def split_steps(ledger: DataFrame) -> DataFrame:
     after = F.struct(
         F.col("date").alias("from_date"), F.col("id").alias("from_id"), "to_date", "to_id", "factor", "scale", F.col("n").alias("before")
     )
-    return splits.select(
+    steps = splits.select(
         *KEYS, "end_factor", "end_scale", "ratios", "digits", F.inline(F.when(F.col("n") == 1, F.array(before, after)).otherwise(F.array(after)))
     )
+    return F.broadcast(steps) if few else steps
 
 
 def with_split_factor(rows: DataFrame, steps: DataFrame, asset: str = "asset", only: str = "true", more: tuple[str, ...] = ()) -> DataFrame:

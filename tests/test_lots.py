@@ -203,3 +203,28 @@ def test_from_date_filters_output_only(make_ledger, make_prices):
     assert row.sell_quantity == 4.0 and row.cost_basis_usd == 40.0
     (year,) = fifo.realized_gains_by_year(fifo.realized_gains(ledger, prices, "2024-12-31")).collect()
     assert (year.total_realized_gain, year.short_term_gain, year.transaction_count) == (12.0, 12.0, 2)
+
+
+def test_trades_stay_where_they_are_where_splits_are_few(spark, make_ledger):
+    from ledgerloom.functions import classify as C
+    from ledgerloom.operators import splits
+
+    ledger = C.classified(make_ledger([
+        ("2024-01-01", "AAPL", "BUY", 10, 1), ("2024-01-05", "AAPL", "SPLIT", 4), ("2024-01-06", "AAPL", "BUY", 1, 1), ("2024-01-06", "SPY", "BUY", 2, 1),
+    ]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = splits.with_split_factor(ledger, splits.split_steps(ledger))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.asset, r.id): (r.factor, r.end_factor) for r in found.collect()}
+        most, splits.FEW_SPLITS = splits.FEW_SPLITS, 0
+        try:
+            many = splits.with_split_factor(ledger, splits.split_steps(ledger))
+            assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+            assert {(r.asset, r.id): (r.factor, r.end_factor) for r in many.collect()} == rows
+        finally:
+            splits.FEW_SPLITS = most
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows == {("AAPL", 1): (1.0, 4.0), ("AAPL", 2): (1.0, 1.0), ("AAPL", 3): (4.0, 4.0), ("SPY", 4): (1.0, 1.0)}
